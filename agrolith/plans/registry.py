@@ -51,4 +51,4 @@ def load_all() -> None:
         importlib.import_module(f"agrolith.plans.{m}")
 
 
-MODULES = ["q_integrate"]
+MODULES = ["q_integrate", "q_prepare"]
