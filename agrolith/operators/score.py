@@ -127,11 +127,15 @@ def horizon(resp: DataFrame, years: int = 5) -> DataFrame:
 
 
 def response_struct(resp: DataFrame) -> DataFrame:
-    """Nested response per request (struct with arrays), timestamped."""
+    """Nested response per request (struct with arrays), timestamped.
+
+    The chart rows carry the fixed low / high bounds of X16 instead of random draws.
+    """
+    p = F.col("prediction")
     chart = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct(
         (F.col("year") + i).cast("string").alias("year"),
-        round_half_even(F.col("prediction"), 2).alias("actual"),
-        round_half_even(F.col("prediction"), 2).alias("predicted")))
+        round_half_even(p * 0.9, 2).alias("actual_low"), round_half_even(p * 1.1, 2).alias("actual_high"),
+        round_half_even(p * 0.95, 2).alias("predicted_low"), round_half_even(p * 1.05, 2).alias("predicted_high")))
     return resp.select("event_id", F.struct(
         F.col("prediction"), F.col("model"), F.col("confidence"), F.col("insights"),
         F.when(F.col("error").isNull(), chart).alias("chart_data"),
@@ -141,3 +145,22 @@ def response_struct(resp: DataFrame) -> DataFrame:
 def encode_request(req: DataFrame, dictionary: DataFrame) -> DataFrame:
     """E2 on requests: country / crop codes, unseen -> 0."""
     return encode(req, dictionary, {"country": "country_code", "crop": "crop_code"})
+
+
+def score_request_table(req: DataFrame, dictionary: DataFrame, scaler: Scaler, weights: Mapping[str, float],
+                        intercept: DataFrame, image_scores: DataFrame | None) -> DataFrame:
+    """N13 -> E2 -> M9 -> image join -> table with ``tabular`` and ``image`` (batch or stream).
+
+    ``intercept`` is a one-row table with column ``_ybar``; ``image_scores`` has
+    ``image_id, image``. Both side tables are static, so a streaming ``req``
+    joins them as stream-static joins.
+    """
+    r = fill_request_defaults(req)
+    enc = encode_request(r, dictionary)
+    feats = enc.select("event_id", "model_type", "year", "image_id", "country_code", "crop_code",
+                       F.col("rainfall").alias("rain"), F.col("temperature").alias("temp"),
+                       F.col("pesticides").alias("pest"))
+    tab = linear_score(feats.crossJoin(intercept), scaler, weights, F.col("_ybar"), out="tabular").drop("_ybar")
+    if image_scores is None:
+        return tab.withColumn("image", F.lit(None).cast("double"))
+    return tab.join(image_scores, "image_id", "left")

@@ -103,19 +103,17 @@ resp AS (
 SQL_ALL = MF + SQL_PRED.split(",\nlp AS")[0] + SQL_REQ
 
 
-def scored_requests(spark, d):
+def image_scores(spark, d):
+    return TB.table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("image_id"), SCR.image_class_score(F.col("embedding")).alias("image"))
+
+
+def scored_requests(spark, d, req=None):
     """N13 -> E2 -> M9 (+ image scores) -> table with tabular and image score."""
     mf = ST.model_frame(spark, d)
-    req = SCR.fill_request_defaults(requests_table(spark, d))
-    enc = SCR.encode_request(req, ST.dictionary(spark, d))
-    feats = enc.select("event_id", "model_type", "year", "image_id", "country_code", "crop_code",
-                       F.col("rainfall").alias("rain"), F.col("temperature").alias("temp"),
-                       F.col("pesticides").alias("pest"))
-    tab = linear_score(feats.crossJoin(train_mean(mf)), fixed_scaler(mf), FIXED_MODELS["fixed_a"],
-                       F.col("_ybar"), out="tabular")
-    emb = TB.table(spark, d, "embeddings").select(
-        F.col("vec_id"), SCR.image_class_score(F.col("embedding")).alias("image"))
-    return tab.join(emb, tab.image_id == emb.vec_id, "left").drop("vec_id", "_ybar")
+    req = requests_table(spark, d) if req is None else req
+    return SCR.score_request_table(req, ST.dictionary(spark, d), fixed_scaler(mf), FIXED_MODELS["fixed_a"],
+                                   train_mean(mf), image_scores(spark, d))
 
 
 @register("score_linear", MF + SQL_PRED.split(",\nlp AS")[0] +
