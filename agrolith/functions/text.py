@@ -24,9 +24,13 @@ def normalise_name(name: str) -> str:
     return name.strip().lower().replace(" ", "_")
 
 
+# Characters stripped from both ends (ASCII white space, no-break and wide spaces).
+WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip_all(c) -> Column:
-    """Remove leading and trailing white space of any kind."""
-    return F.regexp_replace(F.regexp_replace(_c(c), r"^\s+", ""), r"\s+$", "")
+    """Remove leading and trailing white space of any kind (``btrim`` over a fixed set, no regex)."""
+    return F.btrim(_c(c), F.lit(WHITESPACE))
 
 
 def title_case(c) -> Column:
@@ -48,6 +52,12 @@ def null_tokens_to_null(c) -> Column:
     return F.when(s.isin(NULL_TOKENS), F.lit(None).cast("string")).otherwise(_c(c))
 
 
+def stripped_or_null(c) -> Column:
+    """Strip once; missing-value tokens become null (the usual first step of a coercion)."""
+    s = strip_all(c)
+    return F.when(s.isin(NULL_TOKENS), F.lit(None).cast("string")).otherwise(s)
+
+
 def file_extension(path) -> Column:
     """X11: lower-case extension with the dot, '' if none."""
     return F.lower(F.regexp_extract(_c(path), r"(\.[^./]+)$", 1))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agrolith.functions.numeric import round_half_even
-from agrolith.functions.text import normalise_name, null_tokens_to_null, strip_all
+from agrolith.functions.text import normalise_name, strip_all, stripped_or_null
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
@@ -91,8 +91,7 @@ def strict_int(c: str):
 
 def coerce_double(c: str):
     """To double; missing-value tokens and malformed text become null."""
-    v = null_tokens_to_null(F.col(c).cast("string"))
-    return strip_all(v).try_cast("double")
+    return stripped_or_null(F.col(c).cast("string")).try_cast("double")
 
 
 def hg_to_tonnes(df: DataFrame, src: str = "yield_hg_per_ha", dst: str = "yield_tonnes_per_ha") -> DataFrame:

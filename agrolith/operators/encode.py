@@ -15,6 +15,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from agrolith.session import broadcast_if_small
+
 
 def dense_codes(df: DataFrame, col: str, code_col: str = "code") -> DataFrame:
     """Distinct non-null values of ``col`` with their 0-based rank in value order."""
@@ -48,6 +50,7 @@ def encode(df: DataFrame, dictionary: DataFrame, cols: Sequence[str] | Mapping[s
     ``cols`` may map source column -> output column; by default codes replace the text.
     """
     mapping = dict(cols) if isinstance(cols, Mapping) else {c: c for c in cols}
+    dictionary = broadcast_if_small(dictionary)
     out = df
     for src, dst in mapping.items():
         m = dictionary.where(F.col("column") == src).select(
@@ -61,6 +64,7 @@ def encode(df: DataFrame, dictionary: DataFrame, cols: Sequence[str] | Mapping[s
 def decode(df: DataFrame, dictionary: DataFrame, cols: Mapping[str, str]) -> DataFrame:
     """Code column -> text column (``{code_col: (source column name, output)}``)."""
     out = df
+    dictionary = broadcast_if_small(dictionary)
     for code_col, spec in cols.items():
         src, dst = spec if isinstance(spec, tuple) else (spec, spec)
         m = dictionary.where(F.col("column") == src).select(

@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agrolith.operators.quantile import _ns_join, exact_medians_many, unpivot
+from agrolith.session import broadcast_if_small, cut
 
 STRATEGIES = ("mean", "median", "most_frequent", "constant")
 
@@ -100,10 +100,10 @@ def group_median_fill(df: DataFrame, cols: Sequence[str], group_col: str) -> Dat
     keep their observed value.
     """
     cols = list(cols)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)  # read by four aggregates and the fill
+    df = cut(df)  # read by both median runs and the fill: written once, short lineage
     gm = exact_medians_many(df, cols, [group_col])
     gwide = gm.groupBy(group_col).pivot("measure", cols).agg(F.first("median"))
-    gwide = gwide.select(group_col, *[F.col(c).alias(f"_gm_{c}") for c in cols])
+    gwide = broadcast_if_small(gwide.select(group_col, *[F.col(c).alias(f"_gm_{c}") for c in cols]))
     out = _ns_join(df, gwide, [group_col], "left")
     for c in cols:
         out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"_gm_{c}")))

@@ -1,8 +1,9 @@
 """Integration of keyed sources (J1-J6, A1, A2) and the full job.
 
-All joins are null-safe left joins on the shared keys; the planner (with AQE)
-chooses broadcast or sort-merge from measured sizes, so no side is broadcast
-on faith. Aggregations run before the joins so only one row per key travels.
+All joins are null-safe left joins on the shared keys. Side tables are
+aggregated before the join (one row per key travels), then materialised and
+broadcast only when their counted size is under a bound; otherwise the join
+is a sort-merge join. Nothing is broadcast on faith.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from agrolith.functions.text import strip_all, title_case
 from agrolith.operators import clean as C
 from agrolith.operators.impute import group_median_fill
 from agrolith.operators.quantile import _ns_join
+from agrolith.session import broadcast_if_small
 
 KEYS = ["country", "year"]
 
@@ -88,8 +90,16 @@ def group_sum_zero(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 # ---- joins -------------------------------------------------------------------
 
-def left_join(base: DataFrame, right: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Left join on null-safe keys; the right side is not deduplicated."""
+def left_join(base: DataFrame, right: DataFrame, keys: Sequence[str] = KEYS,
+              check_broadcast: bool = True) -> DataFrame:
+    """Left join on null-safe keys; the right side is not deduplicated.
+
+    A keyed side table (one row per place and year, or a few) is materialised
+    and broadcast when its row count is under the bound, so the base is never
+    shuffled for it; a larger side falls back to a sort-merge join.
+    """
+    if check_broadcast:
+        right = broadcast_if_small(right)
     return _ns_join(base, right, list(keys), "left")
 
 
@@ -174,9 +184,21 @@ def post_merge_fill(merged: DataFrame, group_col: str = "crop",
     return C.drop_missing(filled, [target])
 
 
+def title_by_value(df: DataFrame, col: str) -> DataFrame:
+    """Title case through a map of the distinct values (few per key column), joined back.
+
+    The regex work runs once per distinct value instead of once per row; the
+    map is broadcast only when its counted size is under the bound.
+    """
+    m = df.select(col).distinct().select(F.col(col).alias("_tv"), title_case(col).alias("_tt"))
+    m = broadcast_if_small(m)
+    out = df.join(m, df[col].eqNullSafe(m["_tv"]), "left")
+    return out.withColumn(col, F.col("_tt")).drop("_tv", "_tt")
+
+
 def finalise(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Types, title case, unit conversion; column order of the integrated table."""
-    df = df.withColumn("country", title_case("country")).withColumn("crop", title_case("crop"))
+    df = title_by_value(title_by_value(df, "country"), "crop")
     df = C.hg_to_tonnes(df)
     return df.select("country", "crop", "year", *FILL_COLUMNS, "yield_tonnes_per_ha", *extra)
 

@@ -27,7 +27,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agrolith.session import checkpoint_dir
+from agrolith.session import checkpoint_dir, cut
 
 _X = "_qx"
 _CONST = "_qgroup"
@@ -72,16 +72,13 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                      (pos - F.floor(pos)).alias("frac"),
                      F.lit(0).cast("long").alias("below"),
                      F.col("n").alias("cnt")))
-    state = state.persist(StorageLevel.MEMORY_AND_DISK)  # small: one row per group and probability
+    checkpoint_dir(spark)
+    state = cut(state)  # small: one row per group and probability
     busy = (F.col("cnt") > F.lit(max_exact)) & (F.col("lo") < F.col("hi"))
-    # Small groups (the common case) need no narrowing pass and no checkpoint.
-    # The check reads only the per-group counts; callers persist an expensive input.
     persisted = False
     while state.where(busy).limit(1).count() > 0:
-        if not persisted:
-            checkpoint_dir(spark)
+        if not persisted:  # narrowing passes re-read the projected values
             data = data.persist(StorageLevel.MEMORY_AND_DISK)
-            state = state.persist(StorageLevel.MEMORY_AND_DISK).checkpoint(eager=True)
             persisted = True
         active = state.where(busy)
         span = active.select(*g, "prob_id", "lo", "hi")
@@ -103,8 +100,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
         moved = moved.select(*g, "prob_id", "prob", F.col("nlo").alias("lo"), F.col("nhi").alias("hi"),
                              "klo", "khi", "frac", (F.col("below") + F.col("skip")).alias("below"),
                              (F.col("upto") - F.col("skip")).alias("cnt"))
-        state = state.where(~busy).unionByName(moved).persist(StorageLevel.MEMORY_AND_DISK)
-        state = state.checkpoint(eager=True)  # cut the growing lineage each pass
+        state = cut(state.where(~busy).unionByName(moved))  # cut the growing lineage each pass
 
     flat = state.where(F.col("lo") == F.col("hi")).select(
         *g, "prob_id", "prob", F.col("lo").alias("vlo"), F.col("lo").alias("vhi"), "frac")
@@ -121,6 +117,9 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
         (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac")).alias("value"))
     if no_group:
         out = out.drop(_CONST)
+    out = cut(out)  # one row per group and probability
+    if persisted:
+        data.unpersist()
     return out
 
 

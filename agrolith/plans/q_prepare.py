@@ -156,3 +156,20 @@ def preview_topn(spark, d):
     """First 10 rows in key order."""
     mf = ST.model_frame(spark, d)
     return S.preview(mf, ["order_key", "crop", "y"], 10).select("order_key", "crop", "y", "rain", "temp", "pest")
+
+
+@register("target_summary", MF + """
+SELECT count(y) AS n, min(y) AS min, max(y) AS max, round_even(avg(y) * 1e4, 0) / 1e4 AS mean,
+       round_even(stddev_samp(y) * 1e4, 0) / 1e4 AS std FROM mf""")
+def target_summary(spark, d):
+    """Range, mean and sample std of the target column."""
+    from agrolith.operators.clean import target_summary as ts
+    out = ts(ST.model_frame(spark, d), "y")
+    return out.withColumn("mean", round_half_even("mean", 4)).withColumn("std", round_half_even("std", 4))
+
+
+@register("sample_vectors", """
+SELECT vec_id, CAST(label AS BIGINT) AS label FROM embeddings ORDER BY md5('5|' || CAST(vec_id AS VARCHAR)) LIMIT 20""")
+def sample_vectors(spark, d):
+    """T5: n random items of the vector (image stand-in) table, repeatable by md5 order."""
+    return S.sample_n(TB.table(spark, d, "embeddings").select("vec_id", "label"), ["vec_id"], 20, seed=5)

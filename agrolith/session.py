@@ -56,3 +56,39 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="agrolith-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def cut(df):
+    """Materialise ``df`` into the reliable checkpoint folder and return a short-lineage copy.
+
+    Used at step boundaries of multi-pass operators: later plans start from the
+    written files (small plans, fast to optimise) and survive lost executors.
+    The temporary cache makes the checkpoint write read the computed rows
+    instead of recomputing them.
+    """
+    from pyspark import StorageLevel
+    checkpoint_dir(df.sparkSession)
+    p = df.persist(StorageLevel.MEMORY_AND_DISK)
+    c = p.checkpoint(eager=True)
+    p.unpersist()
+    return c
+
+
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
+    """Size-checked broadcast: cache ``df``, count it, hint a broadcast only under the bound.
+
+    One counting job computes and caches the side; beyond the bound the cache
+    is dropped and the side joins by sort-merge, so a side that turns out large
+    never lands whole on every executor. A lost cached block is recomputed
+    from lineage.
+    """
+    from pyspark import StorageLevel
+    from pyspark.sql import functions as F
+    m = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if m.count() <= max_rows:
+        return F.broadcast(m)
+    m.unpersist()
+    return df
