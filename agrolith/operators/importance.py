@@ -66,4 +66,5 @@ def importance_summary(imp: DataFrame) -> DataFrame:
     """Mean and std of importance per feature, ranked by mean (one row per feature)."""
     s = imp.groupBy("feature").agg(round_half_even(F.avg("importance"), 4).alias("mean_importance"),
                                    round_half_even(F.stddev_pop("importance"), 4).alias("std_importance"))
+    # one row per feature: a global window over a table bounded by the feature count
     return s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_importance"), "feature")))

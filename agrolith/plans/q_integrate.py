@@ -127,7 +127,8 @@ u AS ({_unpivot_sql('merged', ['crop'])})
 SELECT crop, measure, median(value) AS median FROM u WHERE value IS NOT NULL GROUP BY crop, measure""")
 def group_median(spark, d):
     """Exact median per crop of each measure (the values the group fill uses)."""
-    return exact_medians_many(merged_table(spark, d), _MED_COLS, ["crop"])
+    from agrolith.plans.stage import merged
+    return exact_medians_many(merged(spark, d), _MED_COLS, ["crop"])
 
 
 @register("global_median_fallback", W + "," + SQL_FILLED.replace("filled AS", "unused AS") + f""",
@@ -136,7 +137,8 @@ u AS ({_unpivot_sql('gfill', []).replace('average_rain_fall_mm_per_year AS value
 SELECT measure, median(value) AS median FROM u WHERE value IS NOT NULL GROUP BY measure""")
 def global_median(spark, d):
     """A4 / I4: global median of each measure taken after the group fill."""
-    m = merged_table(spark, d)
+    from agrolith.plans.stage import merged
+    m = merged(spark, d)
     gm = exact_medians_many(m, _MED_COLS, ["crop"])
     wide = gm.groupBy("crop").pivot("measure", _MED_COLS).agg(F.first("median"))
     wide = wide.select("crop", *[F.col(c).alias(f"_g_{c}") for c in _MED_COLS])
@@ -170,7 +172,8 @@ SELECT crop, count(*) FILTER (WHERE average_rain_fall_mm_per_year IS NOT NULL) A
 FROM merged GROUP BY crop""")
 def drop_missing_target(spark, d):
     """rows kept and dropped per crop when rows missing the rainfall value are dropped."""
-    m = merged_table(spark, d)
+    from agrolith.plans.stage import merged
+    m = merged(spark, d)
     kept = C.drop_missing(m, ["average_rain_fall_mm_per_year"]).groupBy("crop").agg(F.count(F.lit(1)).alias("kept_rows"))
     allr = m.groupBy("crop").agg(F.count(F.lit(1)).alias("all_rows"))
     return allr.join(kept, "crop", "left").select(

@@ -11,7 +11,6 @@ from agrolith.operators import scale as SC
 from agrolith.operators.impute import impute
 from agrolith.plans import stage as ST
 from agrolith.plans import tables as TB
-from agrolith.plans.q_integrate import merged_table
 from agrolith.plans.registry import register
 from agrolith.plans.tables import SQL_FILLED, SQL_FINAL, SQL_SOURCES
 
@@ -27,7 +26,7 @@ def r4(sql: str) -> str:
 
 def _impute_q(strategy):
     def q(spark, d):
-        m = merged_table(spark, d)
+        m = ST.merged(spark, d)
         out = impute(m, MCOLS, strategy)
         return out.select("order_key", "crop", *[round_half_even(c, 4).alias(c) for c in MCOLS])
     q.__doc__ = f"I1: fill the three measures with the column {strategy} (nulls from missing keys)."

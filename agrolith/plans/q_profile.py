@@ -8,7 +8,6 @@ from agrolith.functions.numeric import percent
 from agrolith.operators import profile as P
 from agrolith.plans import stage as ST
 from agrolith.plans import tables as TB
-from agrolith.plans.q_integrate import merged_table
 from agrolith.plans.registry import register
 from agrolith.plans.tables import SQL_FILLED, SQL_FINAL, SQL_SOURCES
 
@@ -30,7 +29,7 @@ def _missing_sql():
 @register("missing_report", _missing_sql())
 def missing_report(spark, d):
     """A5 + F3: null count and % per column of the joined table, columns with gaps only."""
-    return P.missing_report(merged_table(spark, d)).drop("dtype")
+    return P.missing_report(ST.merged(spark, d)).drop("dtype")
 
 
 _DCOLS = ["rain", "temp", "pest", "y"]

@@ -37,9 +37,20 @@ def stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def merged(spark: SparkSession, d: str) -> DataFrame:
+    """The cleaned sources joined onto the base, before any fill (order_key kept)."""
+    from agrolith.plans.q_integrate import merged_table
+    return stage(spark, d, "merged", lambda: merged_table(spark, d))
+
+
 def integrated(spark: SparkSession, d: str) -> DataFrame:
-    from agrolith.plans.q_integrate import integrated_table
-    return stage(spark, d, "integrated", lambda: integrated_table(spark, d, keep_key=True))
+    """Fill + finalise of the staged joined table (the same result as the integration job)."""
+    from agrolith.operators.integrate import finalise, post_merge_fill
+
+    def build():
+        out = finalise(post_merge_fill(merged(spark, d)), ["order_key"])
+        return out.withColumn("order_key", F.col("order_key").cast("bigint"))
+    return stage(spark, d, "integrated", build)
 
 
 def model_frame(spark: SparkSession, d: str) -> DataFrame:

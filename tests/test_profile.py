@@ -31,7 +31,7 @@ def test_missing_and_describe_match_pandas(spark):
     d = {r.column: r for r in P.describe_numeric(df, ["rain", "crop_yield"]).collect()}
     ref = pdf[["rain", "crop_yield"]].describe()
     for c in ["rain", "crop_yield"]:
-        assert d[c].count == ref[c]["count"]
+        assert d[c]["count"] == ref[c]["count"]
         for ours, theirs in [("mean", "mean"), ("std", "std"), ("min", "min"), ("q25", "25%"),
                              ("q50", "50%"), ("q75", "75%"), ("max", "max")]:
             assert getattr(d[c], ours) == pytest.approx(ref[c][theirs])
