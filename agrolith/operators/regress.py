@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agrolith.operators.kernel import FeatureMap
+from agrolith.session import ship_package
 
 _SCHEMA = "loss array<double>, gw array<double>, gb array<double>, n array<double>"
 
@@ -187,6 +188,7 @@ def fit_svr(df: DataFrame, features: Sequence[str], label: str, fmap: FeatureMap
     C = np.broadcast_to(C, (M,)).copy()
     eps = np.broadcast_to(eps, (M,)).copy()
     folds = np.full(M, -1, dtype=np.int64) if model_folds is None else np.asarray(model_folds, dtype=np.int64)
+    ship_package(df.sparkSession)
     data = cache if cache is not None else training_cache(df, features, label, fold_col if model_folds is not None else None)
     st = data.agg(F.avg(label).alias("m"), F.stddev_pop(label).alias("s")).first()  # two numbers
     delta = max(delta_frac * float(st["s"] or 1.0), 1e-6)
@@ -214,6 +216,7 @@ def fold_scores(df: DataFrame, features: Sequence[str], label: str, fold_col: st
     """Per model: RMSE on its held-out fold and on its training rows -> (M, 2)."""
     fmap, W, b, folds = fit.fmap, fit.W, fit.b, fit.model_folds
     feats = list(features)
+    ship_package(df.sparkSession)
 
     def run(batches):
         M = W.shape[1]
@@ -253,6 +256,7 @@ def predict(df: DataFrame, features: Sequence[str], fit: SVRFit, j: int = 0, out
             expr = expr + t
         return df.withColumn(out, expr)
 
+    ship_package(df.sparkSession)
     schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.DoubleType())])
 
     def run(batches):

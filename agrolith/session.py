@@ -92,3 +92,32 @@ def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
         return F.broadcast(m)
     m.unpersist()
     return df
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark) -> None:
+    """Make ``agrolith`` importable in the Python workers (the ``--py-files`` route).
+
+    Functions sent to ``mapInPandas`` reference this package; on a cluster the
+    executors only have what the application ships, so the package is zipped
+    once per application on the driver and added with ``addPyFile``.
+    """
+    import os
+    import zipfile
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="agrolith-pyfiles-"), "agrolith.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    p = os.path.join(d, f)
+                    z.write(p, os.path.relpath(p, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)

@@ -80,6 +80,9 @@ def _resize_norm(data: bytes, h: int, w: int, c: int, size: int) -> list[float]:
 
 def preprocess(decoded: DataFrame, size: int = 128) -> DataFrame:
     """G1: RGB, size x size, [0, 1], then channel mean/std; invalid rows keep a null tensor."""
+    from agrolith.session import ship_package
+    ship_package(decoded.sparkSession)
+
     def run(batches):
         for pdf in batches:
             out = []
