@@ -72,8 +72,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                      (pos - F.floor(pos)).alias("frac"),
                      F.lit(0).cast("long").alias("below"),
                      F.col("n").alias("cnt")))
-    # small: one row per group and probability; cached by the first check below
-    state = state.persist(StorageLevel.MEMORY_AND_DISK)
+    state = cut(state)  # small: one row per group and probability; short lineage for later plans
     busy = (F.col("cnt") > F.lit(max_exact)) & (F.col("lo") < F.col("hi"))
     persisted = False
     while state.where(busy).limit(1).count() > 0:
@@ -117,12 +116,9 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
         (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac")).alias("value"))
     if no_group:
         out = out.drop(_CONST)
+    out = cut(out)  # one row per group and probability; keeps the plans that use it small
     if persisted:
-        out = cut(out)  # written before the projected values are dropped from the cache
         data.unpersist()
-    else:
-        out = out.persist(StorageLevel.MEMORY_AND_DISK)
-        out.count()  # one row per group and probability
     return out
 
 

@@ -59,7 +59,15 @@ def _smoothed(R: np.ndarray, eps: np.ndarray, delta: float):
 
 
 def _tree_sum(df: DataFrame):
+    """Sum the one-row-per-partition partials: collected directly when there are few
+    partitions (at most 256 small rows), by ``treeAggregate`` beyond that."""
     parts = df.rdd.getNumPartitions()
+    if parts <= 256:
+        acc = None
+        for row in df.collect():  # one row per partition, bounded above
+            vals = [np.asarray(row[k], dtype=np.float64) for k in ("loss", "gw", "gb", "n")]
+            acc = vals if acc is None else [a + v for a, v in zip(acc, vals)]
+        return acc
     depth = 2 if parts < 10_000 else 3
 
     def seq(acc, row):
