@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agrolith.operators.quantile import _ns_join, exact_medians_many, unpivot
+from agrolith.operators.quantile import _ns_join, exact_medians_many
 from agrolith.session import broadcast_if_small, cut
 
 STRATEGIES = ("mean", "median", "most_frequent", "constant")
@@ -117,4 +117,4 @@ def group_median_fill(df: DataFrame, cols: Sequence[str], group_col: str) -> Dat
     return out.drop(*[f"_fb_{c}" for c in cols])
 
 
-__all__ = ["STRATEGIES", "group_median_fill", "impute", "most_frequent", "null_counts", "unpivot"]
+__all__ = ["STRATEGIES", "group_median_fill", "impute", "most_frequent", "null_counts"]

@@ -139,7 +139,9 @@ def response_struct(resp: DataFrame) -> DataFrame:
     return resp.select("event_id", F.struct(
         F.col("prediction"), F.col("model"), F.col("confidence"), F.col("insights"),
         F.when(F.col("error").isNull(), chart).alias("chart_data"),
-        F.current_timestamp().alias("timestamp"), F.col("error")).alias("response"))
+        F.current_timestamp().alias("timestamp"),
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp_iso"),
+        F.col("error")).alias("response"))
 
 
 def encode_request(req: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from agrolith.functions.text import strip_all, title_case
 from agrolith.operators import clean as C
 from agrolith.operators import integrate as I
-from agrolith.operators.impute import group_median_fill
 from agrolith.operators.quantile import exact_medians_many
 from agrolith.plans import tables as TB
 from agrolith.plans.registry import register
@@ -181,4 +180,4 @@ def drop_missing_target(spark, d):
         (F.col("all_rows") - F.coalesce("kept_rows", F.lit(0))).alias("dropped_rows"))
 
 
-__all__ = ["integrated_table", "merged_table", "group_median_fill"]
+__all__ = ["integrated_table", "merged_table"]

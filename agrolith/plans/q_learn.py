@@ -7,7 +7,6 @@ fixed head and has one.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from agrolith.functions.numeric import argmax, round_half_even, softmax
@@ -183,4 +182,4 @@ def class_accuracy_loss(spark, d):
         round_half_even(F.avg((F.col("pred") == F.col("label")).cast("double")) * 100, 4).alias("accuracy"))
 
 
-__all__ = ["KERNELS", "cv_table", "zframe", "np"]
+__all__ = ["KERNELS", "cv_table", "zframe"]

@@ -1,5 +1,4 @@
 import duckdb
-from pyspark.sql import functions as F
 
 from agrolith.functions import (argmax, hash_bucket, null_tokens_to_null, round_half_even, softmax,
                                 strip_all, title_case)

@@ -2,7 +2,6 @@ import os
 import struct
 import zlib
 
-from pyspark.sql import functions as F
 
 from agrolith.operators.profile import class_summary, file_summary, image_folders
 from agrolith.sources.images import decode_images, labelled_images, list_images, preprocess

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from agrolith.operators import encode as E
 from agrolith.operators import sample as S

@@ -1,4 +1,3 @@
-import pandas as pd
 import pytest
 
 from agrolith.functions import clip_low

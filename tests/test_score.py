@@ -48,6 +48,7 @@ def test_request_rules(spark):
     assert h[0].actual_low == 11.25 and h[0].predicted_high == 13.12
     nested = SCR.response_struct(SCR.respond(score(req))).where("event_id = 6").first().response
     assert len(nested.chart_data) == 5 and nested.insights
+    assert nested.timestamp_iso[10] == "T" and len(nested.timestamp_iso) == 26
 
 
 def test_stream_equals_batch(spark, tmpdir_path):
