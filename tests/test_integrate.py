@@ -70,3 +70,17 @@ def test_integration_keeps_every_base_row(spark):
     assert out.count() == base
     nulls = out.select([F.count_if(F.col(c).isNull()).alias(c) for c in out.columns]).first()
     assert all(v == 0 for v in nulls)
+
+
+def test_integration_same_under_1_4_64_shuffle_partitions(spark):
+    import __spark_entry__ as E
+    q = E.queries()["integrate_full"]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    results = []
+    try:
+        for n in ("1", "4", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            results.append(sorted(tuple(r) for r in q(spark, "/root/testdata/sf0.001").collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert results[0] == results[1] == results[2] and len(results[0]) > 0
