@@ -96,3 +96,32 @@ def class_counts(spark, d):
     c = e.groupBy("label").agg(F.count(F.lit(1)).alias("images"))
     tot = e.agg(F.count(F.lit(1)).alias("_t"))
     return c.crossJoin(tot).select("label", "images", percent("images", "_t").alias("pct"))
+
+
+_ROLES = [("country", "string", "categorical", False), ("crop", "string", "categorical", False),
+          ("year", "int", "numeric", False), ("average_rain_fall_mm_per_year", "double", "numeric", False),
+          ("avg_temp", "double", "numeric", False), ("pesticides_tonnes", "double", "numeric", False),
+          ("yield_tonnes_per_ha", "double", "numeric", True)]
+
+
+def _profile_sql():
+    roles = " UNION ALL ".join(f"SELECT '{c}' AS column, '{t}' AS dtype, '{k}' AS kind, {str(g).upper()} AS is_target"
+                               for c, t, k, g in _ROLES)
+    miss = " UNION ALL ".join(
+        f"SELECT '{c}' AS column, count({c}) AS non_null, count(*) - count({c}) AS missing, "
+        f"round_even(CAST(count(*) - count({c}) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100 * 100, 0) / 100 AS missing_pct "
+        f"FROM final" for c, *_ in _ROLES)
+    return (W + "," + SQL_FILLED + "," + SQL_FINAL + f""",
+roles AS ({roles}),
+miss AS ({miss}),
+descr AS ({_describe_all_sql()[len(W + "," + SQL_FILLED + "," + SQL_FINAL):]})
+SELECT r.column, r.dtype, r.kind, r.is_target, m.non_null, m.missing, m.missing_pct,
+       d.unique, d.top, d.freq, d.mean, d.std, d.min, d.q25, d.q50, d.q75, d.max
+FROM roles r LEFT JOIN miss m ON r.column = m.column LEFT JOIN descr d ON r.column = d.column""")
+
+
+@register("profile_table", _profile_sql())
+def profile_table(spark, d):
+    """One row per column of the integrated table: type, role, target flag, gaps, statistics."""
+    t = ST.integrated(spark, d).drop("order_key")
+    return P.profile(t, places=4)
