@@ -122,8 +122,13 @@ def _one_row(loss, gw, gb, n):
                          "n": [n.tolist()]})
 
 
-def _lbfgs(fg, x0: np.ndarray, max_iter: int, m: int = 10, gtol: float = 1e-6, ftol: float = 1e-9):
-    """Minimise with L-BFGS (two-loop recursion) and Armijo backtracking; returns x, history."""
+def _lbfgs(fg, x0: np.ndarray, max_iter: int, m: int = 10, gtol: float = 1e-6, ftol: float = 1e-9,
+           rtol: float = 1e-4, window: int = 5):
+    """Minimise with L-BFGS (two-loop recursion) and Armijo backtracking; returns x, history.
+
+    Stops on a small gradient, on a stalled step, or when the objective fell by
+    less than ``rtol`` (relative) over the last ``window`` iterations.
+    """
     x = x0.copy()
     f, g = fg(x)
     hist = [f]
@@ -168,6 +173,8 @@ def _lbfgs(fg, x0: np.ndarray, max_iter: int, m: int = 10, gtol: float = 1e-6, f
         done = abs(f - fn) <= ftol * max(1.0, abs(f))
         f, g = fn, gn
         hist.append(f)
+        if len(hist) > window and hist[-1 - window] - f <= rtol * max(1.0, abs(f)):
+            done = True
         if done:
             break
     return x, hist
