@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolith.llm import simhash, topk, urls
+from agrolith.llm import bpe, packing, pii, rules, simhash, topk, urls
 from agrolith.llm.common import table
 
 
@@ -20,6 +20,64 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fp(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"), "doc_id", "text").drop("scores")
+
+
+#: The plain patterns of the base kinds and of the kinds that the method adds.
+OP3_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([ -]?[0-9])+",
+    "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[0-9]{1,3})?",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+}
+
+
+def _op3_sql() -> str:
+    kinds = {k.name: k for k in pii.KINDS}
+    found = " UNION ALL ".join(
+        f"SELECT rid, '{k}' AS kind, {i} AS rank, regexp_extract_all(text, '{p}') AS hits, string_split_regex(text, '{p}') AS pieces "
+        f"FROM d WHERE regexp_matches(text, '{p}')" for i, (k, p) in enumerate(OP3_PATTERNS.items()))
+    context = " ".join(f"WHEN '{k}' THEN regexp_matches(near, '{v.context}')" for k, v in kinds.items())
+    scores = " ".join(f"WHEN '{k}' THEN {v.score}" for k, v in kinds.items())
+    digits = "regexp_replace(hit, '[^0-9]', '', 'g')"
+    turned = "(replace(hit, ' ', '')[5:] || replace(hit, ' ', '')[:4])"
+    counts = ", ".join(f"CAST(count(s.kind) FILTER (s.kind = '{k}') AS BIGINT) AS n_{k}" for k, v in kinds.items() if v.base)
+    line = "s.kind || ':' || s.a || ':' || s.b"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+k AS ({found}),
+e AS (SELECT rid, kind, rank, unnest(hits) AS hit, unnest(pieces[1:len(hits)]) AS before, unnest(pieces[2:len(hits) + 1]) AS after,
+             unnest(range(1, len(hits) + 1)) AS i FROM k),
+p AS (SELECT *, lower(right(before, {pii.CONTEXT_CHARS}) || ' ' || left(after, {pii.CONTEXT_CHARS})) AS near,
+             CAST(sum(length(before) + length(hit)) OVER (PARTITION BY rid, kind ORDER BY i) AS BIGINT) AS b FROM e),
+v AS (SELECT rid, kind, rank, b - length(hit) AS a, b,
+  CASE kind {scores} END + CASE WHEN CASE kind {context} END THEN {pii.CONTEXT_BONUS} ELSE 0 END AS score,
+  CASE kind
+    WHEN 'ip' THEN regexp_matches(hit, '^(0*(25[0-5]|2[0-4][0-9]|1?[0-9]{{1,2}})(\.|$)){{4}}$')
+    WHEN 'card' THEN length({digits}) BETWEEN 14 AND 19 AND
+      list_sum(list_transform(range(1, length({digits}) + 1), lambda j:
+        CASE WHEN j % 2 = 1 THEN CAST(reverse({digits})[j] AS INTEGER)
+             ELSE 2 * CAST(reverse({digits})[j] AS INTEGER) - CASE WHEN CAST(reverse({digits})[j] AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+    WHEN 'phone' THEN length({digits}) BETWEEN 10 AND 15
+    WHEN 'iban' THEN list_reduce(list_transform(range(1, length({turned}) + 1), lambda j: ascii({turned}[j])),
+        lambda acc, c: CASE WHEN c < 65 THEN (acc * 10 + c - 48) % 97 ELSE (acc * 100 + c - 55) % 97 END, 0) = 1
+    WHEN 'ssn' THEN NOT regexp_matches(hit, '^(000|666|9)|-00-|-0000$')
+    ELSE true END AS ok FROM p),
+s AS (SELECT * FROM v WHERE ok AND (rank < 4 OR score >= {pii.KEEP_SCORE}))
+SELECT d.doc_id, {counts},
+       sha256(coalesce(string_agg({line}, ',' ORDER BY s.a, s.rank) FILTER (s.rank < 4), '')) AS base_sha256,
+       coalesce(string_agg({line}, ',' ORDER BY s.a, s.rank) FILTER (s.kind IS NOT NULL), '') AS spans
+FROM d LEFT JOIN s USING (rid) GROUP BY d.rid, d.doc_id
+"""
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     scaled = F.transform("embedding", lambda x: F.floor(F.lit(64.0) * x.cast("double")).cast("bigint"))
@@ -41,6 +99,14 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.apply_rules(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), "page_id", "url")
 
@@ -73,7 +139,11 @@ SELECT page_id, host, path, rule,
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op3_pii": op3_pii,
+    "op4_packing": op4_packing,
     "op5_topk": op5_topk,
+    "op8_rules": op8_rules,
+    "op9_bpe": op9_bpe,
     "op10_urls": op10_urls,
 }
-ORACLE: dict[str, str] = {"op5_topk": OP5_SQL, "op10_urls": _op10_sql()}
+ORACLE: dict[str, str] = {"op3_pii": _op3_sql(), "op5_topk": OP5_SQL, "op10_urls": _op10_sql()}
