@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolith.llm import bpe, packing, pii, rules, simhash, topk, urls
+from agrolith.llm import bpe, html, packing, pii, quality, rules, simhash, topk, urls
 from agrolith.llm.common import table
 
 
@@ -99,6 +99,14 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "text")
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+
+
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -142,6 +150,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_packing": op4_packing,
     "op5_topk": op5_topk,
+    "op6_quality": op6_quality,
+    "op7_html": op7_html,
     "op8_rules": op8_rules,
     "op9_bpe": op9_bpe,
     "op10_urls": op10_urls,
