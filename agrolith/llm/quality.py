@@ -236,16 +236,37 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Without labelled target documents all weights are 0 and all rows with
     n-grams stay. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     model = fit(docs, labels, id_col, text_col, label_col) or Model(np.zeros(BUCKETS), 0.0)
     base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *also)
+    scored = staged(_keyed(base, model, seed, list(also)), "quality-scores")
+    kept = _kept(_threshold(scored, k))
+    return scored.select(F.col("__id").alias(id_col), "log_weight", "gumbel_key", kept.alias("kept"), *also)
+
+
+def _keyed(base: DataFrame, model: Model, seed: int, also: list[str]) -> DataFrame:
     unit = (F.shiftrightunsigned(F.xxhash64(F.col("__id"), F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    scored = score(base, model, "__id", "__text", list(also)) \
+    return score(base, model, "__id", "__text", also) \
         .withColumn("log_weight", F.when(F.col("n") > 0, F.col("total") - F.col("n") * F.lit(model.tilt))) \
         .withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(unit)))
-    scored = staged(scored, "quality-scores")
-    if k is None:
-        k = scored.where("log_weight >= 0").count()
-    least = kth_largest(scored, "gumbel_key", k)
-    kept = F.lit(False) if least is None else F.coalesce(F.col("gumbel_key") >= F.lit(least), F.lit(False))
-    return scored.select(F.col("__id").alias(id_col), "log_weight", "gumbel_key", kept.alias("kept"), *also)
+
+
+def _threshold(scored: DataFrame, k: int | None) -> float | None:
+    return kth_largest(scored, "gumbel_key", scored.where("log_weight >= 0").count() if k is None else k)
+
+
+def _kept(least: float | None):
+    return F.lit(False) if least is None else F.coalesce(F.col("gumbel_key") >= F.lit(least), F.lit(False))
+
+
+def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+         k: int | None = None, seed: int = 42) -> DataFrame:
+    """The rows of ``docs``, same columns, that :func:`resample` keeps.
+
+    The keys depend on the row alone, so the second pass over the texts finds
+    the same ones and nothing is joined.
+    """
+    model = fit(docs, labels, id_col, text_col, label_col) or Model(np.zeros(BUCKETS), 0.0)
+    both = [F.col(id_col).alias("__id"), F.col(text_col).alias("__text")]
+    least = _threshold(staged(_keyed(docs.select(*both), model, seed, []), "quality-scores"), k)
+    packed = docs.select(*both, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    return _keyed(packed, model, seed, ["__row"]).where(_kept(least)).select("__row.*")

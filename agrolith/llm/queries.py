@@ -11,10 +11,65 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolith.llm import bpe, html, packing, pii, quality, rules, simhash, topk, urls
+import corpus_pipeline
+from agrolith.llm import bpe, html, licenses, packing, pii, quality, rules, simhash, topk, urls
 from agrolith.llm.common import table
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source / language / hundred of the id / id."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws(
+        "/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.floor(F.col("doc_id") / 100).cast("string"),
+        F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
+    return licenses.scan(docs, "doc_id", "text", "path")
+
+
+def _op1_sql() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    rows = ", ".join(f"({i}, {quote(n)}, {quote(t.translate(str.maketrans(upper, lower)))})" for i, (n, t) in enumerate(licenses.TEMPLATES))
+    speaks = lambda c: "(" + " OR ".join(f"contains({c}, {quote(t)})" for t in licenses.TRIGGERS) + ")"
+    return rf"""
+WITH tem(t, license, text) AS (VALUES {rows}),
+base AS (SELECT doc_id, coalesce(text, '') AS text,
+    coalesce(source, '') || '/' || coalesce(lang, '') || '/' || CAST(CAST(floor(doc_id / 100) AS BIGINT) AS VARCHAR) AS dir FROM documents),
+low AS (SELECT doc_id, translate(text, '{upper}', '{lower}') AS low FROM base),
+cand AS (SELECT doc_id, regexp_replace(trim(seg, ' '), '[ 	
+]+', ' ', 'g') AS seg
+  FROM (SELECT doc_id, unnest(string_split_regex(low, '
+|[.;!?][ 	]+')) AS seg FROM low WHERE {speaks('low')}) WHERE {speaks('seg')}),
+segs AS (SELECT seg, count(*) AS c FROM cand GROUP BY seg),
+stok AS (SELECT seg, c, token, CAST(count(*) AS DOUBLE) AS tf
+  FROM (SELECT seg, c, unnest(regexp_extract_all(seg, '{licenses.TOKENS}')) AS token FROM segs) GROUP BY ALL),
+ttok AS (SELECT t, license, token, CAST(count(*) AS DOUBLE) AS tf
+  FROM (SELECT t, license, unnest(regexp_extract_all(text, '{licenses.TOKENS}')) AS token FROM tem) GROUP BY ALL),
+df AS (SELECT token, sum(c) AS df FROM (SELECT token, c FROM stok UNION ALL SELECT token, 1 FROM ttok) GROUP BY token),
+idf AS (SELECT token, ln(((SELECT coalesce(sum(c), 0) + {len(licenses.TEMPLATES)} FROM segs) + 1) / (df + 1)) + 1 AS idf FROM df),
+tw AS (SELECT t, license, token, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY t)) AS tw FROM ttok JOIN idf USING (token)),
+sw AS (SELECT seg, token, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY seg)) AS norm FROM stok JOIN idf USING (token)),
+cos AS (SELECT seg, t, license, round(sum(w * tw) / any_value(norm), 4) AS score FROM sw JOIN tw USING (token) GROUP BY ALL),
+best AS (SELECT seg, license, score FROM cos QUALIFY row_number() OVER (PARTITION BY seg ORDER BY score DESC, license) = 1),
+own AS (SELECT doc_id, license, score FROM cand JOIN best USING (seg) WHERE score >= {licenses.MIN_SCORE}
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
+marked AS (SELECT b.doc_id, b.dir, o.license, o.score, len(list_filter(regexp_split_to_array(b.text, '[	
+
+ ]+'), lambda w: w <> '')) AS words
+  FROM base b LEFT JOIN own o USING (doc_id)),
+files AS (SELECT array_to_string(list_filter(string_split(dir, '/'), lambda p: p <> ''), '/') AS at, license, score FROM marked
+  WHERE license IS NOT NULL AND words <= {licenses.FILE_WORDS}
+  QUALIFY row_number() OVER (PARTITION BY array_to_string(list_filter(string_split(dir, '/'), lambda p: p <> ''), '/') ORDER BY score DESC, license) = 1),
+parts AS (SELECT DISTINCT dir, list_filter(string_split(dir, '/'), lambda p: p <> '') AS ps FROM marked),
+ups AS (SELECT dir, ps, unnest(range(0, len(ps) + 1)) AS up FROM parts),
+near AS (SELECT u.dir, f.at, f.license, f.score FROM ups u JOIN files f ON f.at = array_to_string(u.ps[1:len(u.ps) - u.up], '/')
+  QUALIFY row_number() OVER (PARTITION BY u.dir ORDER BY u.up) = 1)
+SELECT m.doc_id, m.dir || '/' || CAST(m.doc_id AS VARCHAR) || '.txt' AS path, coalesce(m.license, n.license) AS license,
+       coalesce(m.score, n.score) AS score,
+       CASE WHEN m.license IS NOT NULL THEN 'declared' WHEN n.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS status,
+       CASE WHEN m.license IS NULL THEN n.at END AS inherited_from
+FROM marked m LEFT JOIN near n ON m.dir = n.dir
+"""
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", shingle=4, max_bits=4)
     return found.select("doc_id", simhash.hex_fp(F.col("fp")).alias("fingerprint"), "component_id")
@@ -145,7 +200,12 @@ SELECT page_id, host, path, rule,
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_simhash": op2_simhash,
     "op3_pii": op3_pii,
     "op4_packing": op4_packing,
@@ -155,5 +215,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rules": op8_rules,
     "op9_bpe": op9_bpe,
     "op10_urls": op10_urls,
+    "pipeline": pipeline,
 }
-ORACLE: dict[str, str] = {"op3_pii": _op3_sql(), "op5_topk": OP5_SQL, "op10_urls": _op10_sql()}
+ORACLE: dict[str, str] = {"op1_licenses": _op1_sql(), "op3_pii": _op3_sql(), "op5_topk": OP5_SQL, "op10_urls": _op10_sql()}
