@@ -39,6 +39,24 @@ def softmax(arr) -> Column:
     return F.transform(ex, lambda x: x / total)
 
 
+def fixed_logits(vector, classes: int) -> Column:
+    """Logits of a fixed linear head over every entry of a vector column.
+
+    The weight of entry i (from 1) for class j (from 0) is ((i (j + 1)) mod 7 - 3) / 8,
+    a binary fraction, so a second engine gets the same sums.
+    """
+    def logit(j: int) -> Column:
+        terms = F.transform(_c(vector), lambda x, i: x.cast("double") * (F.pmod((i + 1) * (j + 1), F.lit(7)) - 3) / 8.0)
+        return F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
+    return F.array(*[logit(j) for j in range(classes)])
+
+
+def fixed_logits_sql(vector: str, classes: int) -> str:
+    """DuckDB twin of :func:`fixed_logits`."""
+    return (f"list_transform(range(0, {classes}), lambda j: list_sum(list_transform(range(1, len({vector}) + 1), "
+            f"lambda i: CAST({vector}[i] AS DOUBLE) * ((i * (j + 1)) % 7 - 3) / 8.0)))")
+
+
 def argmax(arr) -> Column:
     """0-based index of the first largest element."""
     a = _c(arr)

@@ -16,7 +16,9 @@ NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType
 DATETIME_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 # Names tried, in order and in any case, when guessing the target column.
-TARGET_CANDIDATES = ["crop_yield", "yield", "yield_tonnes_per_ha", "yield_hg_per_ha", "hg/ha_yield", "target", "label"]
+TARGET_CANDIDATES = ["yield", "crop_yield", "production", "output", "value", "area_harvested", "crop_production"]
+# What counts as a number in text (decimal notation, an optional exponent).
+DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def normalise_columns(df: DataFrame) -> DataFrame:
@@ -81,17 +83,20 @@ def common_columns(frames: Mapping[str, DataFrame]) -> list[str]:
 
 
 def strict_int(c: str):
-    """Integer cast where null or malformed text is an error (ANSI cast + assert)."""
+    """Integer cast where null or malformed text is an error; a whole number may be written as ``1990.0``."""
     v = F.col(c).cast("string")
-    parsed = strip_all(v).try_cast("int")
+    text = strip_all(v)
+    number = F.when(text.rlike(DECIMAL), text.try_cast("double"))
+    parsed = F.when((F.floor(number) == number) & (F.abs(number) < 2147483648.0), number.try_cast("int"))
     checked = F.when(parsed.isNull(), F.raise_error(F.concat(F.lit(f"bad integer in {c}: "),
                                                              F.coalesce(v, F.lit("null")))))
     return checked.otherwise(parsed)
 
 
 def coerce_double(c: str):
-    """To double; missing-value tokens and malformed text become null."""
-    return stripped_or_null(F.col(c).cast("string")).try_cast("double")
+    """To double; missing-value tokens and text that is not a decimal number become null (never NaN)."""
+    text = stripped_or_null(F.col(c).cast("string"))
+    return F.when(text.rlike(DECIMAL), text.try_cast("double"))
 
 
 def hg_to_tonnes(df: DataFrame, src: str = "yield_hg_per_ha", dst: str = "yield_tonnes_per_ha") -> DataFrame:

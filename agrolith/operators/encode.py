@@ -11,11 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agrolith.session import broadcast_if_small
+from agrolith.session import stage_table
 
 
 def dense_codes(df: DataFrame, col: str, code_col: str = "code") -> DataFrame:
@@ -24,7 +23,7 @@ def dense_codes(df: DataFrame, col: str, code_col: str = "code") -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
     d = df.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct()
     ranged = d.repartitionByRange(parts, "value").withColumn("_pid", F.spark_partition_id())
-    ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)  # both branches see one partitioning
+    ranged = stage_table(ranged, "dictionary")  # both branches read one partitioning, also after a lost executor
     local = ranged.withColumn("_lr", F.row_number().over(Window.partitionBy("_pid").orderBy("value")))
     sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: a bounded table, so a global window here is cheap
@@ -50,7 +49,6 @@ def encode(df: DataFrame, dictionary: DataFrame, cols: Sequence[str] | Mapping[s
     ``cols`` may map source column -> output column; by default codes replace the text.
     """
     mapping = dict(cols) if isinstance(cols, Mapping) else {c: c for c in cols}
-    dictionary = broadcast_if_small(dictionary)
     out = df
     for src, dst in mapping.items():
         m = dictionary.where(F.col("column") == src).select(
@@ -64,7 +62,6 @@ def encode(df: DataFrame, dictionary: DataFrame, cols: Sequence[str] | Mapping[s
 def decode(df: DataFrame, dictionary: DataFrame, cols: Mapping[str, str]) -> DataFrame:
     """Code column -> text column (``{code_col: (source column name, output)}``)."""
     out = df
-    dictionary = broadcast_if_small(dictionary)
     for code_col, spec in cols.items():
         src, dst = spec if isinstance(spec, tuple) else (spec, spec)
         m = dictionary.where(F.col("column") == src).select(

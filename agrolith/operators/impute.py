@@ -3,8 +3,7 @@
 Statistics for all columns come from one aggregate (or one quantile run over
 the unpivoted columns) and are attached to the rows as a one-row table, so the
 fill is a projection. Group statistics are joined back on the group key; the
-join strategy is left to the planner, which broadcasts only measured-small
-sides.
+join strategy is left to the planner, which broadcasts by bytes.
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agrolith.operators.quantile import _ns_join, exact_medians_many
-from agrolith.session import broadcast_if_small, cut
 
 STRATEGIES = ("mean", "median", "most_frequent", "constant")
 
@@ -97,13 +95,13 @@ def group_median_fill(df: DataFrame, cols: Sequence[str], group_col: str) -> Dat
 
     The fallback median is taken after the group fill (a group with no value
     at all gets the median of the filled column). Rows with a null group key
-    keep their observed value.
+    keep their observed value. ``df`` is read several times: stage it first
+    when it is costly to compute.
     """
     cols = list(cols)
-    df = cut(df)  # read by both median runs and the fill: written once, short lineage
     gm = exact_medians_many(df, cols, [group_col])
     gwide = gm.groupBy(group_col).pivot("measure", cols).agg(F.first("median"))
-    gwide = broadcast_if_small(gwide.select(group_col, *[F.col(c).alias(f"_gm_{c}") for c in cols]))
+    gwide = gwide.select(group_col, *[F.col(c).alias(f"_gm_{c}") for c in cols])
     out = _ns_join(df, gwide, [group_col], "left")
     for c in cols:
         out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"_gm_{c}")))

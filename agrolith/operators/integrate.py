@@ -1,9 +1,9 @@
 """Integration of keyed sources (J1-J6, A1, A2) and the full job.
 
 All joins are null-safe left joins on the shared keys. Side tables are
-aggregated before the join (one row per key travels), then materialised and
-broadcast only when their counted size is under a bound; otherwise the join
-is a sort-merge join. Nothing is broadcast on faith.
+aggregated before the join (one row per key travels); the planner broadcasts a
+side only when its bytes are under the session's threshold. The joined table is
+staged once, and the fill reads it from there.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from agrolith.functions.text import strip_all, title_case
 from agrolith.operators import clean as C
 from agrolith.operators.impute import group_median_fill
 from agrolith.operators.quantile import _ns_join
-from agrolith.session import broadcast_if_small
+from agrolith.session import cut, stage_table
 
 KEYS = ["country", "year"]
 
@@ -90,44 +90,63 @@ def group_sum_zero(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 # ---- joins -------------------------------------------------------------------
 
-def left_join(base: DataFrame, right: DataFrame, keys: Sequence[str] = KEYS,
-              check_broadcast: bool = True) -> DataFrame:
-    """Left join on null-safe keys; the right side is not deduplicated.
-
-    A keyed side table (one row per place and year, or a few) is materialised
-    and broadcast when its row count is under the bound, so the base is never
-    shuffled for it; a larger side falls back to a sort-merge join.
-    """
-    if check_broadcast:
-        right = broadcast_if_small(right)
+def left_join(base: DataFrame, right: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Left join on null-safe keys; the right side is not deduplicated."""
     return _ns_join(base, right, list(keys), "left")
 
 
-def join_audit(base: DataFrame, right: DataFrame, keys: Sequence[str] = KEYS,
-               name: str = "join", strip_col: str | None = "country") -> DataFrame:
+def key_counts(df: DataFrame, keys: Sequence[str] = KEYS, weight: str | None = None) -> DataFrame:
+    """Rows per key (or the sum of ``weight``) as ``_w``."""
+    rows = F.sum(weight) if weight else F.count(F.lit(1))
+    return df.groupBy(*keys).agg(rows.cast("long").alias("_w"))
+
+
+def join_audit(base: DataFrame, right: DataFrame, keys: Sequence[str] = KEYS, name: str = "join",
+               strip_col: str | None = "country", weight: str | None = None,
+               right_weight: str | None = None) -> DataFrame:
     """One row describing a left join without materialising it.
 
-    The right side is reduced to a count per key first, so the audit costs two
-    aggregates and a join of the base with one row per right key.
+    Both sides are reduced to a count per key, so every number comes from the
+    join of the counts. ``weight`` and ``right_weight`` name columns that
+    already count rows per key.
     """
     keys = list(keys)
-    rk = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rc"))
-    j = _ns_join(base.select(*keys), rk, keys, "left")
-    cols = [F.count(F.lit(1)).alias("base_rows"),
-            F.count("_rc").alias("matched_rows"),
-            F.count_if(F.col("_rc").isNull()).alias("unmatched_rows"),
-            F.sum(F.coalesce("_rc", F.lit(1))).cast("long").alias("out_rows")]
-    audit = j.agg(*cols).withColumn("fanout_rows", F.col("out_rows") - F.col("base_rows"))
+    bk = key_counts(base, keys, weight)
+    rk = key_counts(right, keys, right_weight).withColumnRenamed("_w", "_rc")
+    j = _ns_join(bk, rk, keys, "left")
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    audit = j.agg(zero(F.col("_w")).alias("base_rows"), zero(F.when(F.col("_rc").isNotNull(), F.col("_w"))).alias("matched_rows"),
+                  zero(F.when(F.col("_rc").isNull(), F.col("_w"))).alias("unmatched_rows"),
+                  zero(F.col("_w") * F.coalesce("_rc", F.lit(1))).alias("out_rows")) \
+        .withColumn("fanout_rows", F.col("out_rows") - F.col("base_rows"))
     dup = rk.agg(F.count_if(F.col("_rc") > 1).alias("dup_right_keys"),
                  F.count(F.lit(1)).alias("right_keys"))
     audit = audit.crossJoin(dup)  # two one-row tables
     if strip_col and strip_col in keys:
         skeys = [strip_all(k).alias(k) if k == strip_col else F.col(k) for k in keys]
-        stripped = _ns_join(base.select(*skeys), rk.select(*keys), keys, "left_semi")
-        audit = audit.crossJoin(stripped.agg(F.count(F.lit(1)).alias("matched_if_stripped")))
+        stripped = _ns_join(bk.select(*skeys, "_w"), rk.select(*keys), keys, "left_semi")
+        audit = audit.crossJoin(stripped.agg(zero(F.col("_w")).alias("matched_if_stripped")))
     return audit.select(F.lit(name).alias("join_name"), "*")
 
 
+def join_chain_audit(base: DataFrame, sides: Mapping[str, DataFrame], keys: Sequence[str] = KEYS) -> DataFrame:
+    """Each left join of a chain audited against the table it extends.
+
+    The base is read once, for its rows per key; a join only multiplies the
+    count of a key by the rows it meets.
+    """
+    keys = list(keys)
+    counts = cut(key_counts(base, keys))
+    out = None
+    for name, side in sides.items():
+        rk = cut(key_counts(side, keys))
+        row = join_audit(counts, rk, keys, name, weight="_w", right_weight="_w")
+        out = row if out is None else out.unionByName(row)
+        met = _ns_join(counts, rk.withColumnRenamed("_w", "_rc"), keys, "left")
+        counts = met.select(*keys, (F.col("_w") * F.coalesce("_rc", F.lit(1))).alias("_w"))
+    return out
+
+
 def join_type_counts(left: DataFrame, right: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Rows kept by inner, left, right and full outer joins (long form).
 
@@ -160,6 +179,7 @@ def join_type_counts(left: DataFrame, right: DataFrame, keys: Sequence[str] = KE
 
 # ---- the full job ------------------------------------------------------------
 
+# The measures that are filled after the joins.
 FILL_COLUMNS = ["average_rain_fall_mm_per_year", "avg_temp", "pesticides_tonnes"]
 
 
@@ -184,29 +204,21 @@ def post_merge_fill(merged: DataFrame, group_col: str = "crop",
     return C.drop_missing(filled, [target])
 
 
-def title_by_value(df: DataFrame, col: str) -> DataFrame:
-    """Title case through a map of the distinct values (few per key column), joined back.
-
-    The regex work runs once per distinct value instead of once per row; the
-    map is broadcast only when its counted size is under the bound.
-    """
-    m = df.select(col).distinct().select(F.col(col).alias("_tv"), title_case(col).alias("_tt"))
-    m = broadcast_if_small(m)
-    out = df.join(m, df[col].eqNullSafe(m["_tv"]), "left")
-    return out.withColumn(col, F.col("_tt")).drop("_tv", "_tt")
-
-
 def finalise(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Types, title case, unit conversion; column order of the integrated table."""
-    df = title_by_value(title_by_value(df, "country"), "crop")
+    df = df.withColumns({"country": title_case("country"), "crop": title_case("crop")})
     df = C.hg_to_tonnes(df)
     return df.select("country", "crop", "year", *FILL_COLUMNS, "yield_tonnes_per_ha", *extra)
 
 
 def integrate(frames: Mapping[str, DataFrame], first_temp_year: int = 1960,
               adjust=None, extra: Sequence[str] = ()) -> DataFrame:
-    """Clean x4 -> join x3 -> (optional ``adjust``) -> fill -> finalise, one lazy plan."""
+    """Clean x4 -> join x3 -> (optional ``adjust``) -> fill -> finalise.
+
+    The joined table is written once and the two median runs and the fill read
+    it; the medians run while this function builds the result.
+    """
     merged = merge_sources(frames, first_temp_year, extra)
     if adjust is not None:
         merged = adjust(merged)
-    return finalise(post_merge_fill(merged), extra)
+    return finalise(post_merge_fill(stage_table(merged, "joined")), extra)

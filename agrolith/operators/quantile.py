@@ -2,25 +2,28 @@
 
 Spark's exact ``percentile``/``median`` keeps a map of every distinct value of a
 group in the task that finishes the group; a group holding a third of a 100 TB
-table would not fit. Here the k-th smallest value is found by narrowing:
+table would not fit. Here the k-th smallest value is found by narrowing, the
+same way at every size:
 
 1. one aggregate gives per group ``n``, ``min``, ``max``; each wanted
-   probability p gives the ranks ``floor((n-1)p)+1`` and ``ceil((n-1)p)+1``;
-2. while a group's candidate interval still holds more than ``max_exact``
-   values, one scan builds a ``buckets``-wide histogram of the interval per
-   group (partial aggregation, so only counts are shuffled), and the interval
-   shrinks to the buckets holding the two ranks;
-3. the few candidate values left per group are sorted and the two ranks read
-   off; the result is interpolated as ``lo + (hi - lo) * frac`` (the linear
+   probability p needs the ranks ``floor((n-1)p)+1`` and ``ceil((n-1)p)+1``;
+2. every (group, rank) has an interval of its own. One scan builds a
+   ``buckets``-wide histogram of each open interval (partial aggregation, so
+   only counts are shuffled), and the interval shrinks to the smallest and
+   largest value of the bucket that holds the rank;
+3. an interval of one value is the answer. The two ends of an open interval
+   always fall into different buckets, so each pass removes a value and the
+   passes end, ties or not;
+4. the two ranks are interpolated as ``lo + (hi - lo) * frac`` (the linear
    rule of pandas and of SQL ``quantile_cont``).
 
-Bucket numbers are a monotone function of the value, so equal values share a
-bucket and the narrowed interval is exact. The small per-group state is a
-DataFrame, checkpointed to the shared checkpoint folder each pass.
+The small per-group state is a DataFrame, checkpointed to the shared
+checkpoint folder each pass.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -31,6 +34,7 @@ from agrolith.session import cut
 
 _X = "_qx"
 _CONST = "_qgroup"
+_MAX = sys.float_info.max
 
 
 def _ns_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -49,10 +53,8 @@ def _ns_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
-                    group_cols: Sequence[str] = (), max_exact: int = 1_000_000,
-                    buckets: int = 4096) -> DataFrame:
+                    group_cols: Sequence[str] = (), buckets: int = 65536) -> DataFrame:
     """Long form: ``group_cols + [prob_id, prob, value]``; groups with no value absent."""
-    spark = df.sparkSession
     g = list(group_cols)
     no_group = not g
     if no_group:
@@ -60,68 +62,50 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
         g = [_CONST]
     x = F.col(value_col).cast("double")
     data = df.select(*g, x.alias(_X)).where(F.col(_X).isNotNull() & ~F.isnan(F.col(_X)))
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)  # every pass reads the projected values
 
     prob_arr = F.array(*[F.struct(F.lit(i).alias("prob_id"), F.lit(float(p)).alias("prob"))
                          for i, p in enumerate(probs)])
     stats = data.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.min(_X).alias("lo"), F.max(_X).alias("hi"))
     pos = (F.col("n") - 1).cast("double") * F.col("prob")
-    state = (stats.select(*g, "n", "lo", "hi", F.explode(prob_arr).alias("t"))
-             .select(*g, "t.prob_id", "t.prob", "lo", "hi",
-                     (F.floor(pos) + 1).cast("long").alias("klo"),
-                     (F.ceil(pos) + 1).cast("long").alias("khi"),
-                     (pos - F.floor(pos)).alias("frac"),
-                     F.lit(0).cast("long").alias("below"),
-                     F.col("n").alias("cnt")))
-    state = cut(state)  # small: one row per group and probability; short lineage for later plans
-    busy = (F.col("cnt") > F.lit(max_exact)) & (F.col("lo") < F.col("hi"))
-    persisted = False
-    while state.where(busy).limit(1).count() > 0:
-        if not persisted:  # narrowing passes re-read the projected values
-            data = data.persist(StorageLevel.MEMORY_AND_DISK)
-            persisted = True
-        active = state.where(busy)
-        span = active.select(*g, "prob_id", "lo", "hi")
-        inside = _ns_join(data, span, g).where(F.col(_X).between(F.col("lo"), F.col("hi")))
-        b = F.least(F.floor((F.col(_X) - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(float(buckets))),
-                    F.lit(buckets - 1)).cast("int")
-        hist = (inside.withColumn("b", b).groupBy(*g, "prob_id", "b")
-                .agg(F.count(F.lit(1)).alias("c"), F.min(_X).alias("bmin"), F.max(_X).alias("bmax")))
-        w = Window.partitionBy(*g, "prob_id").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        hist = hist.withColumn("cum", F.sum("c").over(w))
-        ranks = active.select(*g, "prob_id", (F.col("klo") - F.col("below")).alias("rlo"),
-                              (F.col("khi") - F.col("below")).alias("rhi"))
-        hist = _ns_join(hist, ranks, g + ["prob_id"])
-        first = hist.where((F.col("cum") - F.col("c") < F.col("rlo")) & (F.col("rlo") <= F.col("cum"))) \
-            .select(*g, "prob_id", F.col("bmin").alias("nlo"), (F.col("cum") - F.col("c")).alias("skip"))
-        last = hist.where((F.col("cum") - F.col("c") < F.col("rhi")) & (F.col("rhi") <= F.col("cum"))) \
-            .select(*g, "prob_id", F.col("bmax").alias("nhi"), F.col("cum").alias("upto"))
-        moved = _ns_join(_ns_join(active, first, g + ["prob_id"]), last, g + ["prob_id"])
-        moved = moved.select(*g, "prob_id", "prob", F.col("nlo").alias("lo"), F.col("nhi").alias("hi"),
-                             "klo", "khi", "frac", (F.col("below") + F.col("skip")).alias("below"),
-                             (F.col("upto") - F.col("skip")).alias("cnt"))
-        state = cut(state.where(~busy).unionByName(moved))  # cut the growing lineage each pass
-
-    flat = state.where(F.col("lo") == F.col("hi")).select(
-        *g, "prob_id", "prob", F.col("lo").alias("vlo"), F.col("lo").alias("vhi"), "frac")
-    open_ = state.where(F.col("lo") < F.col("hi"))
-    cand = _ns_join(data, open_.select(*g, "prob_id", "lo", "hi"), g) \
-        .where(F.col(_X).between(F.col("lo"), F.col("hi")))
-    sorted_ = cand.groupBy(*g, "prob_id").agg(F.sort_array(F.collect_list(_X)).alias("vals"))
-    picked = _ns_join(open_, sorted_, g + ["prob_id"]).select(
-        *g, "prob_id", "prob",
-        F.element_at("vals", (F.col("klo") - F.col("below")).cast("int")).alias("vlo"),
-        F.element_at("vals", (F.col("khi") - F.col("below")).cast("int")).alias("vhi"), "frac")
-    out = flat.unionByName(picked).select(
-        *g, "prob_id", "prob",
-        (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac")).alias("value"))
+    want = cut(stats.select(*g, "n", "lo", "hi", F.explode(prob_arr).alias("t"))
+               .select(*g, "t.prob_id", "t.prob", "lo", "hi", (F.floor(pos) + 1).cast("long").alias("klo"),
+                       (F.ceil(pos) + 1).cast("long").alias("khi"), (pos - F.floor(pos)).alias("frac")))
+    # one row per group and rank: small, with a short lineage for the passes
+    state = want.select(*g, "lo", "hi", F.explode(F.array("klo", "khi")).alias("k")).distinct() \
+        .withColumn("below", F.lit(0).cast("long"))
+    open_ = F.col("lo") < F.col("hi")
+    while not state.where(open_).isEmpty():
+        active = state.where(open_)
+        inside = _ns_join(data, active, g).where(F.col(_X).between(F.col("lo"), F.col("hi")))
+        hist = (inside.withColumn("b", _bucket(buckets)).groupBy(*g, "k", "below", "b")
+                .agg(F.count(F.lit(1)).alias("c"), F.min(_X).alias("lo"), F.max(_X).alias("hi")))
+        w = Window.partitionBy(*g, "k").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        hist = hist.withColumn("upto", F.col("below") + F.sum("c").over(w))
+        moved = hist.where((F.col("k") <= F.col("upto")) & (F.col("k") > F.col("upto") - F.col("c"))) \
+            .select(*g, "lo", "hi", "k", (F.col("upto") - F.col("c")).alias("below"))
+        state = cut(state.where(~open_).unionByName(moved))
+    values = state.select(*g, "k", F.col("lo").alias("v"))
+    low = _ns_join(want.drop("lo", "hi").withColumn("k", F.col("klo")), values, g + ["k"]).withColumnRenamed("v", "vlo").drop("k")
+    both = _ns_join(low.withColumn("k", F.col("khi")), values, g + ["k"])
+    out = both.select(*g, "prob_id", "prob", F.when(F.col("vlo") == F.col("v"), F.col("v"))
+                      .otherwise(F.col("vlo") + (F.col("v") - F.col("vlo")) * F.col("frac")).alias("value"))
     if no_group:
         out = out.drop(_CONST)
     out = cut(out)  # one row per group and probability; keeps the plans that use it small
-    if persisted:
-        data.unpersist()
+    data.unpersist()
     return out
 
 
+def _bucket(buckets: int):
+    """Bucket of a value in its interval: monotone, the two ends in the first and the last one."""
+    # halves, and finite stand-ins for infinities, keep the span finite
+    half = lambda c: F.least(F.greatest(F.col(c), F.lit(-_MAX)), F.lit(_MAX)) / 2
+    share = F.coalesce(F.try_divide(half(_X) - half("lo"), half("hi") - half("lo")), F.lit(0.0))
+    middle = F.least(F.floor(share * F.lit(float(buckets))), F.lit(buckets - 1))
+    return F.when(F.col(_X) == F.col("lo"), 0).when(F.col(_X) == F.col("hi"), buckets - 1).otherwise(middle).cast("int")
+
+
 def exact_median(df: DataFrame, value_col: str, group_cols: Sequence[str] = (),
                  alias: str = "median", **kw) -> DataFrame:
     """A3 / A4: exact interpolated median per group (one row per non-empty group)."""

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agrolith.functions.numeric import round_half_even, softmax
+from agrolith.functions.numeric import fixed_logits, round_half_even, softmax
 from agrolith.operators.encode import encode
 from agrolith.operators.scale import Scaler
 
@@ -77,10 +77,14 @@ def validate_requests(req: DataFrame, countries: Sequence[str] | None = None,
     return req.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
 
 
-def image_class_score(embedding: Column, head: Sequence[int] = (1, 2)) -> Column:
-    """G3 with a fixed head: P(class 0) from a softmax over two logits, x 60, 4 places."""
-    logits = F.array(*[F.element_at(embedding, i).cast("double") for i in head])
-    return round_half_even(F.element_at(softmax(logits), 1) * F.lit(IMAGE_SCALE), 4)
+def split_requests(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The accepted requests, and the rejected ones with their reason."""
+    return validated.where("valid").drop("reason", "valid"), validated.where(~F.col("valid")).drop("valid")
+
+
+def image_class_score(embedding: Column, classes: int = 2) -> Column:
+    """G3 with a fixed head over the whole vector: P(class 0) from a softmax, x 60, 4 places."""
+    return round_half_even(F.element_at(softmax(fixed_logits(embedding, classes)), 1) * F.lit(IMAGE_SCALE), 4)
 
 
 def fuse(tabular: Column, image: Column) -> Column:

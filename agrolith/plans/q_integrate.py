@@ -56,10 +56,12 @@ FROM {left} b LEFT JOIN (SELECT country, year, count(*) AS rc FROM {right} GROUP
   ON b.country IS NOT DISTINCT FROM k.country AND b.year = k.year"""
 
 
+# rainfall readings of 1999 come twice here, so that the first join fans out
 _AUDIT_SQL = W + """,
-m1 AS (SELECT b.* FROM base b LEFT JOIN rain r ON b.country IS NOT DISTINCT FROM r.country AND b.year = r.year),
+rain2 AS (SELECT * FROM rain UNION ALL SELECT * FROM rain WHERE year = 1999),
+m1 AS (SELECT b.* FROM base b LEFT JOIN rain2 r ON b.country IS NOT DISTINCT FROM r.country AND b.year = r.year),
 m2 AS (SELECT b.* FROM m1 b LEFT JOIN temp r ON b.country IS NOT DISTINCT FROM r.country AND b.year = r.year)
-""" + _audit_sql("rainfall", "base", "rain") + "\nUNION ALL" + _audit_sql("temp", "m1", "temp") + \
+""" + _audit_sql("rainfall", "base", "rain2") + "\nUNION ALL" + _audit_sql("temp", "m1", "temp") + \
     "\nUNION ALL" + _audit_sql("pesticides", "m2", "pest")
 
 
@@ -67,15 +69,11 @@ m2 AS (SELECT b.* FROM m1 b LEFT JOIN temp r ON b.country IS NOT DISTINCT FROM r
 def join_left_audit(spark, d):
     """Each left join audited against the table it extends (matched, fan-out, dup keys)."""
     frames = TB.raw_sources(spark, d)
-    base = I.clean_base(frames["yield"])
     rain = I.clean_rainfall(frames["rainfall"])
-    temp = I.clean_temperature(frames["temp"], TB.FIRST_TEMP_YEAR)
-    pest = I.clean_pesticides(frames["pesticides"])
-    m1 = I.left_join(base, rain)
-    m2 = I.left_join(m1, temp)
-    return (I.join_audit(base, rain, name="rainfall")
-            .unionByName(I.join_audit(m1, temp, name="temp"))
-            .unionByName(I.join_audit(m2, pest, name="pesticides")))
+    return I.join_chain_audit(I.clean_base(frames["yield"]), {
+        "rainfall": rain.unionByName(rain.where("year = 1999")),
+        "temp": I.clean_temperature(frames["temp"], TB.FIRST_TEMP_YEAR),
+        "pesticides": I.clean_pesticides(frames["pesticides"])})
 
 
 _JT_ON = "b.country IS NOT DISTINCT FROM r.country AND b.year = r.year"
@@ -172,12 +170,31 @@ FROM merged GROUP BY crop""")
 def drop_missing_target(spark, d):
     """rows kept and dropped per crop when rows missing the rainfall value are dropped."""
     from agrolith.plans.stage import merged
-    m = merged(spark, d)
-    kept = C.drop_missing(m, ["average_rain_fall_mm_per_year"]).groupBy("crop").agg(F.count(F.lit(1)).alias("kept_rows"))
-    allr = m.groupBy("crop").agg(F.count(F.lit(1)).alias("all_rows"))
-    return allr.join(kept, "crop", "left").select(
-        "crop", F.coalesce("kept_rows", F.lit(0)).alias("kept_rows"),
-        (F.col("all_rows") - F.coalesce("kept_rows", F.lit(0))).alias("dropped_rows"))
+    gone = F.col("average_rain_fall_mm_per_year").isNull()
+    return merged(spark, d).groupBy("crop").agg(F.count_if(~gone).alias("kept_rows"), F.count_if(gone).alias("dropped_rows"))
+
+
+# Ways of writing a number that raw tables carry; the order key picks one.
+NUMBER_FORMS = ["{}", " {} ", "{}.0", "{}d", "{}f", "0x{}p3", "NAN", "nAn", "+{}", "{}e1", "-{}.5", "..", "NA", "", "1,{}", ".{}"]
+
+
+@register("number_forms", """
+WITH f AS (SELECT o_orderkey AS order_key, [""" + ", ".join(f"'{x}'" for x in NUMBER_FORMS) + """][CAST(o_orderkey % 16 AS BIGINT) + 1] AS form,
+           CAST(year(o_orderdate) AS VARCHAR) AS y FROM orders),
+t AS (SELECT order_key, replace(form, '{}', y) AS raw FROM f),
+v AS (SELECT *, regexp_matches(trim(raw), '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$') AS ok FROM t)
+SELECT order_key, raw, CASE WHEN ok THEN CAST(trim(raw) AS DOUBLE) END AS number,
+       CASE WHEN order_key % 16 IN (0, 1, 2, 8) THEN CAST(CAST(trim(raw) AS DOUBLE) AS BIGINT) END AS whole FROM v""")
+def number_forms(spark, d):
+    """Text numbers in sixteen forms; whole numbers may carry ``.0``, Java suffixes and NaN are no numbers."""
+    o = TB.table(spark, d, "orders")
+    forms = F.array(*[F.lit(x) for x in NUMBER_FORMS])
+    pick = F.pmod("o_orderkey", F.lit(16)).cast("int")
+    raw = F.replace(F.element_at(forms, pick + 1), F.lit("{}"), F.year("o_orderdate").cast("string"))
+    t = o.select(F.col("o_orderkey").alias("order_key"), raw.alias("raw"), pick.isin(0, 1, 2, 8).alias("whole_form"))
+    t = t.withColumn("_y", F.when(F.col("whole_form"), F.col("raw")).otherwise(F.lit("0")))
+    return t.select("order_key", "raw", C.coerce_double("raw").alias("number"),
+                    F.when(F.col("whole_form"), C.strict_int("_y")).alias("whole"))
 
 
 __all__ = ["integrated_table", "merged_table"]

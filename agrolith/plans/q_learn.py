@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from agrolith.functions.numeric import argmax, round_half_even, softmax
+from agrolith.functions.numeric import argmax, fixed_logits, fixed_logits_sql, round_half_even, softmax
 from agrolith.operators import metrics as M
 from agrolith.operators.kernel import make_map
 from agrolith.operators.regress import fit_svr, fold_scores, predict, training_cache
@@ -168,7 +168,7 @@ def class_yield_proxy(spark, d):
 
 
 @register("class_accuracy_loss", """
-WITH e AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS lg FROM embeddings),
+WITH e AS (SELECT vec_id, label, """ + fixed_logits_sql("embedding", 10) + """ AS lg FROM embeddings),
 x AS (SELECT vec_id, label, list_transform(lg, lambda v: exp(v - list_max(lg))) AS ex FROM e),
 p AS (SELECT vec_id, label, list_transform(ex, lambda v: v / list_sum(ex)) AS pr FROM x),
 s AS (SELECT label, list_position(pr, list_max(pr)) - 1 AS pred, -ln(pr[label + 1]) AS nll FROM p)
@@ -176,10 +176,9 @@ SELECT CAST(label AS BIGINT) AS label, count(*) AS n, round_even(avg(nll) * 1e4,
        round_even(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END) * 100 * 1e4, 0) / 1e4 AS accuracy
 FROM s GROUP BY label""")
 def class_accuracy_loss(spark, d):
-    """Softmax over the first ten vector entries, arg-max class, loss and accuracy per label."""
+    """Softmax over ten logits of the whole vector, arg-max class, loss and accuracy per label."""
     e = TB.table(spark, d, "embeddings")
-    lg = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double"))
-    p = e.select("label", softmax(lg).alias("pr"))
+    p = e.select("label", softmax(fixed_logits(F.col("embedding"), 10)).alias("pr"))
     s = p.select("label", argmax("pr").alias("pred"),
                  (-F.log(F.element_at("pr", (F.col("label") + 1).cast("int")))).alias("nll"))
     return s.groupBy("label").agg(

@@ -94,25 +94,33 @@ def class_counts(spark, d):
     """Items per class of the vector table, with % of all."""
     e = TB.table(spark, d, "embeddings")
     c = e.groupBy("label").agg(F.count(F.lit(1)).alias("images"))
-    tot = e.agg(F.count(F.lit(1)).alias("_t"))
+    tot = e.agg(F.count(F.lit(1)).alias("_t"))  # one row
     return c.crossJoin(tot).select("label", "images", percent("images", "_t").alias("pct"))
 
 
-_ROLES = [("country", "string", "categorical", False), ("crop", "string", "categorical", False),
-          ("year", "int", "numeric", False), ("average_rain_fall_mm_per_year", "double", "numeric", False),
-          ("avg_temp", "double", "numeric", False), ("pesticides_tonnes", "double", "numeric", False),
-          ("yield_tonnes_per_ha", "double", "numeric", True)]
+_COLUMNS = ["country", "crop", "year", "average_rain_fall_mm_per_year", "avg_temp", "pesticides_tonnes", "yield_tonnes_per_ha"]
+
+
+def _roles_sql(columns, src, candidates=None):
+    """Types from the engine, kinds from the types, the target by the candidate list."""
+    from agrolith.operators.clean import TARGET_CANDIDATES
+    names = "[" + ", ".join(f"'{c}'" for c in (candidates or TARGET_CANDIDATES)) + "]"
+    one = " UNION ALL ".join(f"SELECT '{c}' AS column, any_value(typeof({c})) AS t FROM {src}" for c in columns)
+    return f"""
+ty AS ({one}),
+po AS (SELECT *, list_position({names}, lower(ty."column")) AS p FROM ty),
+roles AS (SELECT po."column",
+    CASE t WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'BIGINT' THEN 'bigint' ELSE lower(t) END AS dtype,
+    CASE WHEN t IN ('VARCHAR', 'BOOLEAN') THEN 'categorical' WHEN t IN ('DATE', 'TIMESTAMP') THEN 'datetime' ELSE 'numeric' END AS kind,
+    coalesce(p = (SELECT min(p) FROM po WHERE p > 0), false) AS is_target FROM po)"""
 
 
 def _profile_sql():
-    roles = " UNION ALL ".join(f"SELECT '{c}' AS column, '{t}' AS dtype, '{k}' AS kind, {str(g).upper()} AS is_target"
-                               for c, t, k, g in _ROLES)
     miss = " UNION ALL ".join(
         f"SELECT '{c}' AS column, count({c}) AS non_null, count(*) - count({c}) AS missing, "
         f"round_even(CAST(count(*) - count({c}) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100 * 100, 0) / 100 AS missing_pct "
-        f"FROM final" for c, *_ in _ROLES)
-    return (W + "," + SQL_FILLED + "," + SQL_FINAL + f""",
-roles AS ({roles}),
+        f"FROM final" for c in _COLUMNS)
+    return (W + "," + SQL_FILLED + "," + SQL_FINAL + "," + _roles_sql(_COLUMNS, "final") + f""",
 miss AS ({miss}),
 descr AS ({_describe_all_sql()[len(W + "," + SQL_FILLED + "," + SQL_FINAL):]})
 SELECT r.column, r.dtype, r.kind, r.is_target, m.non_null, m.missing, m.missing_pct,
@@ -125,3 +133,27 @@ def profile_table(spark, d):
     """One row per column of the integrated table: type, role, target flag, gaps, statistics."""
     t = ST.integrated(spark, d).drop("order_key")
     return P.profile(t, places=4)
+
+
+@register("column_roles", W + f"""
+, v1 AS (SELECT country AS area, yield_hg_per_ha AS value, year, yield_hg_per_ha AS production FROM base),
+v2 AS (SELECT country, yield_hg_per_ha AS crop_yield, crop, yield_hg_per_ha AS yield FROM base),
+v3 AS (SELECT country, year FROM base)
+""" + "".join(
+    f", x{i} AS (WITH {_roles_sql(cols, src)} SELECT '{name}' AS view_name, * FROM roles)"
+    for i, (name, src, cols) in enumerate([("raw", "v1", ["area", "value", "year", "production"]),
+                                           ("named", "v2", ["country", "crop_yield", "crop", "yield"]), ("plain", "v3", ["country", "year"])]))
+    + " SELECT * FROM x0 UNION ALL SELECT * FROM x1 UNION ALL SELECT * FROM x2")
+def column_roles(spark, d):
+    """Types, roles and the guessed target of three views of the base table."""
+    from agrolith.operators.integrate import clean_base
+    b = clean_base(TB.raw_yield(spark, d))
+    y = F.col("yield_hg_per_ha")
+    views = {"raw": b.select(F.col("country").alias("area"), y.alias("value"), "year", y.alias("production")),
+             "named": b.select("country", y.alias("crop_yield"), "crop", y.alias("yield")),
+             "plain": b.select("country", "year")}
+    out = None
+    for name, v in views.items():
+        r = P.column_roles(v).select(F.lit(name).alias("view_name"), "*")
+        out = r if out is None else out.unionByName(r)
+    return out

@@ -4,14 +4,14 @@ Requests are derived from ``events`` (one request per event): country from
 the user, crop from a fixed list (one name the dictionary lacks), year and
 image id from the JSON ``props``, and some fields left empty by event type so
 the defaults and the form rules have work to do. Image scores come from the
-``embeddings`` vectors with a fixed two-logit head.
+whole ``embeddings`` vectors with a fixed linear head.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from agrolith.functions.numeric import round_half_even
+from agrolith.functions.numeric import fixed_logits_sql, round_half_even
 from agrolith.functions.topics import insight_topic, insight_topic_sql
 from agrolith.operators import score as SCR
 from agrolith.operators.score import linear_score
@@ -73,7 +73,8 @@ enc AS (
   SELECT rq.*, coalesce(dc.code, 0) AS country_code, coalesce(dp.code, 0) AS crop_code FROM rq
   LEFT JOIN dict dc ON dc.column = 'country' AND dc.value = rq.country
   LEFT JOIN dict dp ON dp.column = 'crop' AND dp.value = rq.crop),
-emb AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS e1, CAST(embedding[2] AS DOUBLE) AS e2 FROM embeddings),
+lgt AS (SELECT vec_id, {fixed_logits_sql('embedding', 2)} AS lg FROM embeddings),
+emb AS (SELECT vec_id, lg[1] AS e1, lg[2] AS e2 FROM lgt),
 img AS (SELECT vec_id, round_even((exp(e1 - greatest(e1, e2)) / (exp(e1 - greatest(e1, e2)) + exp(e2 - greatest(e1, e2)))) * 60.0 * 1e4, 0) / 1e4 AS image FROM emb),
 sc AS (
   SELECT m.event_id, m.model_type, m.year, {_pred_sql(FIXED_MODELS['fixed_a'])} AS tabular, img.image

@@ -33,58 +33,17 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 FIRST_TEMP_YEAR = 1997
 
 
-_LOADED: dict[tuple, DataFrame] = {}
-# fact-like tables and their row keys: spread over the cores when the file gives
-# fewer splits than task slots
-FACT_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id",
-             "documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a scan on its key when it has fewer partitions than task slots.
-
-    A table written as one Parquet row group is one split, and broadcast joins
-    keep that single partition through the whole stage. Hash partitioning needs
-    no sort (round-robin sorts first to stay retry-safe) and is deterministic.
-    On a cluster the scan already has more splits than slots: a no-op.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan of one driver table; the footer/schema is read once per session."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
-    df = _LOADED.get(key)
-    if df is None:
-        df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-        if name in FACT_KEYS:
-            df = spread(df, FACT_KEYS[name])
-        _LOADED[key] = df
-    return df
-
-
-_DIMS: dict[tuple, DataFrame] = {}
-
-
-def dim(spark: SparkSession, sf_dir: str, name: str, build=None) -> DataFrame:
-    """A dimension table (or a join of dimensions): cached once per session, broadcast only
-    under the counted bound, so the fact side is the one that streams."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
-    df = _DIMS.get(key)
-    if df is None:
-        from agrolith.session import broadcast_if_small
-        df = broadcast_if_small(build() if build else table(spark, sf_dir, name))
-        _DIMS[key] = df
-    return df
+    """Scan of one driver table. Join strategies are the planner's: it broadcasts by bytes."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _orders_with_country(spark, d) -> DataFrame:
     # orders x customer x nation first: the fact table then meets one
     # order-keyed table (one shuffle by order key) instead of three.
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    c = dim(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    n = dim(spark, d, "nation").select("n_nationkey", "n_name")
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    n = table(spark, d, "nation").select("n_nationkey", "n_name")
     return (o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
             .select("o_orderkey", "o_orderdate", "c_mktsegment", "n_name"))
 
@@ -92,7 +51,7 @@ def _orders_with_country(spark, d) -> DataFrame:
 def obs(spark: SparkSession, d: str) -> DataFrame:
     """Typed base view: order_key, country, year, crop, value (one row per line item)."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice")
-    p = dim(spark, d, "part").select("p_partkey", "p_type")
+    p = table(spark, d, "part").select("p_partkey", "p_type")
     oc = _orders_with_country(spark, d)
     j = li.join(oc, li.l_orderkey == oc.o_orderkey).join(p, li.l_partkey == p.p_partkey)
     return j.select(F.col("l_orderkey").alias("order_key"), F.col("n_name").alias("country"),
@@ -102,7 +61,7 @@ def obs(spark: SparkSession, d: str) -> DataFrame:
 
 def raw_yield(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice")
-    p = dim(spark, d, "part").select("p_partkey", "p_type")
+    p = table(spark, d, "part").select("p_partkey", "p_type")
     oc = _orders_with_country(spark, d)
     j = li.join(oc, li.l_orderkey == oc.o_orderkey).join(p, li.l_partkey == p.p_partkey)
     yr = F.year("o_orderdate")
@@ -115,11 +74,9 @@ def raw_yield(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _supplier_nation(spark, d) -> DataFrame:
-    def build():
-        s = dim(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-        n = dim(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
-        return s.join(n, s.s_nationkey == n.n_nationkey).select("s_suppkey", "n_name", "n_regionkey")
-    return dim(spark, d, "supplier_nation", build)
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    n = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return s.join(n, s.s_nationkey == n.n_nationkey).select("s_suppkey", "n_name", "n_regionkey")
 
 
 def raw_rainfall(spark: SparkSession, d: str) -> DataFrame:

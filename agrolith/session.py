@@ -1,8 +1,9 @@
 """Session construction and the shared checkpoint folder.
 
 On a cluster the checkpoint folder is whatever the cluster names in
-``spark.checkpoint.dir`` (a shared file system). Only when that setting is
-absent (local runs, tests) do we pick a scratch folder ourselves.
+``spark.checkpoint.dir`` (a shared file system). Only in local mode may that
+setting be absent; then a scratch folder is picked here. Elsewhere it is an
+error.
 """
 
 from __future__ import annotations
@@ -52,7 +53,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        # unset: a local run or a test; never reached on a configured cluster
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="agrolith-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -74,24 +76,17 @@ def cut(df):
     return c
 
 
-BROADCAST_MAX_ROWS = 2_000_000
+def stage_table(df, name: str):
+    """Write ``df`` once as Parquet into the checkpoint folder and read it back.
 
-
-def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
-    """Size-checked broadcast: cache ``df``, count it, hint a broadcast only under the bound.
-
-    One counting job computes and caches the side; beyond the bound the cache
-    is dropped and the side joins by sort-merge, so a side that turns out large
-    never lands whole on every executor. A lost cached block is recomputed
-    from lineage.
+    For a table that several plans read: they prune its columns and start from
+    written files, which a lost executor cannot take away.
     """
-    from pyspark import StorageLevel
-    from pyspark.sql import functions as F
-    m = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if m.count() <= max_rows:
-        return F.broadcast(m)
-    m.unpersist()
-    return df
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _SHIPPED: set = set()

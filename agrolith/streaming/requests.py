@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from agrolith.operators.score import respond
-from agrolith.session import checkpoint_dir
 
 REQUEST_SCHEMA = ("event_id bigint, country string, crop string, year int, rainfall double, "
                   "temperature double, pesticides double, model_type string, image_id bigint")
@@ -32,10 +31,12 @@ def score_stream(req_stream: DataFrame, score_fn) -> DataFrame:
         "event_id", "model_type", "prediction", "model", "confidence", "error", "insights")
 
 
-def run_available_now(stream: DataFrame, out_path: str, name: str = "responses") -> None:
-    """Write the stream to Parquet, processing all input present now, then stop."""
-    spark = stream.sparkSession
-    ck = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
-    q = (stream.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", ck)
+def run_available_now(stream: DataFrame, out_path: str, checkpoint: str) -> None:
+    """Write the stream to Parquet, processing all input present now, then stop.
+
+    ``checkpoint`` is a lasting folder of this job, the same one at every start:
+    it says which files are done, so a later run goes on where this one ended.
+    """
+    q = (stream.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()

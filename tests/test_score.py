@@ -57,7 +57,35 @@ def test_stream_equals_batch(spark, tmpdir_path):
     req.coalesce(2).write.parquet(src)
     score = _model(spark)
     out = f"{tmpdir_path}/out"
-    run_available_now(score_stream(request_stream(spark, src), score), out, name="test-requests")
+    run_available_now(score_stream(request_stream(spark, src), score), out, checkpoint=f"{tmpdir_path}/ck")
     got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
     want = sorted(tuple(r) for r in score_stream(req, score).collect())
     assert got == want
+
+
+def test_stream_goes_on_after_a_restart(spark, tmpdir_path):
+    """Requests that land after a run are scored by the next one, from another session, exactly once."""
+    req = spark.createDataFrame(REQS, REQUEST_SCHEMA)
+    src, out, ck = (f"{tmpdir_path}/{x}" for x in ("in", "out", "ck"))
+    for session, ids in ((spark, "event_id <= 4"), (spark.newSession(), "event_id > 4")):
+        req.where(ids).write.mode("append").parquet(src)
+        score = _model(session)
+        run_available_now(score_stream(request_stream(session, src), score), out, ck)
+    got = sorted(r.event_id for r in spark.read.parquet(out).collect())
+    assert got == [1, 2, 3, 4, 5, 6]
+
+
+def test_accepted_and_rejected(spark):
+    req = spark.createDataFrame(REQS, REQUEST_SCHEMA)
+    yes, no = SCR.split_requests(SCR.validate_requests(req, countries=["A"], crops=["x"]))
+    assert sorted(r.event_id for r in yes.collect()) == [6] and yes.columns == req.columns
+    assert {r.event_id: r.reason for r in no.collect()} == {1: "missing_fields", 2: "image_required", 3: "country_not_listed",
+                                                           4: "year_out_of_range", 5: "image_required"}
+
+
+def test_image_score_reads_the_whole_vector(spark):
+    import math
+    v = [((i * 37) % 11 - 5) / 4 for i in range(64)]
+    lg = [sum(x * (((i + 1) * (j + 1)) % 7 - 3) / 8 for i, x in enumerate(v)) for j in range(2)]
+    got = spark.createDataFrame([(v,)], "e array<float>").select(SCR.image_class_score(F.col("e")).alias("s")).first().s
+    assert got == pytest.approx(60 / (1 + math.exp(lg[1] - lg[0])), abs=1e-4)
