@@ -1,11 +1,11 @@
 """Permutation importance (M13) without a global shuffle.
 
-For each repeat, rows are hashed into shards of about ``shard_rows`` rows;
-inside a shard two md5 orders give each row a position and a partner
-position, and one self-join on (shard, position) hands every row the feature
-values of a random partner. All features are scored from that one join: for
-feature f the model sees the partner's f and the row's own other features.
-Importance is the drop in R^2 against the unpermuted score.
+Rows are hashed into a fixed number of shards and sorted by md5 inside their
+shard, once. The partner of a row in repeat r is the row r + 1 places further
+in that order (the first rows follow the last ones), so all repeats come from
+one window; the model then sees the partner's value of a feature and the row's
+own other features. Importance is the drop in R^2 against the unpermuted score.
+The same rule holds at every size.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from agrolith.functions.hashing import hash_order, hash_u32
 from agrolith.functions.numeric import round_half_even
+from agrolith.session import cut
 
 
 def _r2(df: DataFrame, y: str, pred: str, by: Sequence[str]) -> DataFrame:
@@ -26,37 +27,30 @@ def _r2(df: DataFrame, y: str, pred: str, by: Sequence[str]) -> DataFrame:
 
 def permutation_importance(df: DataFrame, features: Sequence[str], predict: Callable[[DataFrame], DataFrame],
                            y: str, key_cols, repeats: int = 5, seed: int = 0,
-                           shard_rows: int = 1_000_000, places: int | None = 4) -> DataFrame:
+                           shards: int = 256, places: int | None = 4) -> DataFrame:
     """Long table ``(feature, repeat, importance)``; ``predict`` adds a ``pred`` column."""
     features = list(features)
-    base = predict(df)
-    r2_base = _r2(base, y, "pred", []).select(F.col("r2").alias("r2_base"))
-    n = df.agg(F.count(F.lit(1)).alias("_n")).select(
-        F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(float(shard_rows)))).cast("long").alias("_shards"))
-    parts = []
+    own = F.struct(*features)
+    t = df.withColumn("_shard", F.pmod(hash_u32(seed + 1000, key_cols), F.lit(shards)))
+    w = Window.partitionBy("_shard").orderBy(hash_order(seed + 1, key_cols))
+    t = t.withColumns({"_pos": F.row_number().over(w), **{f"_p{r}": F.lead(own, r + 1).over(w) for r in range(repeats)}})
+    # rows at the end of a shard meet its first rows: at most ``repeats`` rows a shard
+    heads = t.where(F.col("_pos") <= repeats).groupBy("_shard").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_pos", own.alias("v")))), lambda x: x["v"]).alias("_heads"))
+    sizes = t.groupBy("_shard").agg(F.count(F.lit(1)).alias("_size"))
+    t = t.join(heads.join(sizes, "_shard"), "_shard")
+    rest = [c for c in df.columns if c not in features]
+    variants = [F.struct(F.lit(None).cast("string").alias("feature"), F.lit(-1).alias("repeat"), *features)]
     for r in range(repeats):
-        s1, s2 = seed + 2 * r + 1, seed + 2 * r + 2
-        t = df.crossJoin(n)  # one-row shard count
-        t = t.withColumn("_shard", F.pmod(hash_u32(s1 + 1000, key_cols), F.col("_shards")))
-        wa = Window.partitionBy("_shard").orderBy(hash_order(s1, key_cols))
-        wb = Window.partitionBy("_shard").orderBy(hash_order(s2, key_cols))
-        a = t.withColumn("_pos", F.row_number().over(wa))
-        b = t.select("_shard", F.row_number().over(wb).alias("_pos"),
-                     *[F.col(f).alias(f"_p_{f}") for f in features])
-        j = a.join(b, ["_shard", "_pos"])
-        # one copy of each row per feature (bounded by the feature count), with
-        # that feature taken from the partner: a single scan scores them all
-        rest = [c for c in df.columns if c not in features]
-        variants = F.array(*[F.struct(F.lit(f).alias("feature"),
-                                      *[(F.col(f"_p_{g}") if g == f else F.col(g)).alias(g) for g in features])
-                             for f in features])
-        stacked = j.select(*rest, F.explode(variants).alias("_v")).select(*rest, "_v.*")
-        sc = predict(stacked)
-        parts.append(_r2(sc, y, "pred", ["feature"]).select("feature", F.lit(r).alias("repeat"), "r2"))
-    allr = parts[0]
-    for p in parts[1:]:
-        allr = allr.unionByName(p)
-    out = allr.crossJoin(r2_base).select("feature", "repeat", (F.col("r2_base") - F.col("r2")).alias("importance"))
+        turn = F.element_at("_heads", ((F.col("_pos") + r) % F.col("_size") + 1).cast("int"))
+        mate = F.when(F.col("_pos") + r + 1 <= F.col("_size"), F.col(f"_p{r}")).otherwise(turn)
+        variants += [F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat"),
+                              *[(mate[g] if g == f else F.col(g)).alias(g) for g in features]) for f in features]
+    # one copy of a row per (feature, repeat): a single scan scores them all
+    scored = predict(t.select(*rest, F.explode(F.array(*variants)).alias("_v")).select(*rest, "_v.*"))
+    r2 = cut(_r2(scored, y, "pred", ["feature", "repeat"]))  # a row per feature and repeat
+    base = r2.where("repeat < 0").select(F.col("r2").alias("r2_base"))
+    out = r2.where("repeat >= 0").crossJoin(base).select("feature", "repeat", (F.col("r2_base") - F.col("r2")).alias("importance"))
     if places is not None:
         out = out.withColumn("importance", round_half_even("importance", places))
     return out

@@ -98,6 +98,12 @@ def poly_map(dim_in: int, degree: int = 3, gamma: float | None = None, coef0: fl
     return FeatureMap("poly", dim_in, g, degree, coef0, np.asarray(exps), np.asarray(coefs))
 
 
+def landmark_map(landmarks: np.ndarray, gamma: float) -> FeatureMap:
+    """The kernel values to the landmarks themselves, without the Nystroem projection."""
+    L = np.asarray(landmarks, dtype=np.float64)
+    return FeatureMap("rbf", L.shape[1], float(gamma), landmarks=L, proj=np.eye(len(L)))
+
+
 def rbf_map(landmarks: np.ndarray, gamma: float, rel_floor: float = 1e-8) -> FeatureMap:
     """Nystroem map from landmark rows; tiny eigenvalues are dropped."""
     L = np.asarray(landmarks, dtype=np.float64)
@@ -110,16 +116,15 @@ def rbf_map(landmarks: np.ndarray, gamma: float, rel_floor: float = 1e-8) -> Fea
 
 
 def pick_landmarks(df: DataFrame, cols, m: int, seed: int = 42, key_cols=None) -> np.ndarray:
-    """m distinct rows chosen by md5 order (a bounded ``limit``), brought to the driver."""
-    key_cols = key_cols or list(cols)
-    pts = sample_n(df.select(*cols, *[c for c in key_cols if isinstance(c, str) and c not in cols])
-                   .dropDuplicates(list(cols)), key_cols, m, seed)
-    rows = pts.select(*[F.col(c).cast("double") for c in cols]).collect()  # m rows, m is a parameter
-    return np.asarray([list(r) for r in rows], dtype=np.float64)
+    """At most m distinct rows: the first in md5 order among the first 4 m rows of that order (a bounded ``limit``)."""
+    pts = sample_n(df, key_cols or list(cols), 4 * m, seed).select(*[F.col(c).cast("double") for c in cols])
+    rows = dict.fromkeys(tuple(r) for r in pts.collect())  # 4 m rows, m is a parameter; in md5 order
+    return np.asarray(list(rows)[:m], dtype=np.float64)
 
 
 def make_map(kind: str, df: DataFrame | None, cols, gamma: float | None = None, degree: int = 3,
-             coef0: float = 1.0, landmarks: int = 256, seed: int = 42) -> FeatureMap:
+             coef0: float = 1.0, landmarks: int = 256, seed: int = 42, key_cols=None) -> FeatureMap:
+    """The map of a kernel. ``landmarks`` bounds the rank of the RBF map: its error falls as it grows."""
     d = len(cols)
     if kind == "linear":
         return linear_map(d)
@@ -127,5 +132,5 @@ def make_map(kind: str, df: DataFrame | None, cols, gamma: float | None = None,
         return poly_map(d, degree, gamma, coef0)
     if kind == "rbf":
         g = 1.0 / d if gamma is None else float(gamma)
-        return rbf_map(pick_landmarks(df, cols, landmarks, seed), g)
+        return rbf_map(pick_landmarks(df, cols, landmarks, seed, key_cols), g)
     raise ValueError(f"unknown kernel {kind!r}")

@@ -68,7 +68,7 @@ def binned_mean(df: DataFrame, feature: str, value: str, bins: int = 10) -> Data
     r = df.agg(F.min(feature).alias("_lo"), F.max(feature).alias("_hi"))
     j = df.crossJoin(r)  # one-row range
     hi = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi")).otherwise(F.col("_lo") + 1)
-    b = F.least(F.width_bucket(F.col(feature), F.col("_lo"), hi, F.lit(bins)), F.lit(bins))
+    b = F.least(F.floor((F.col(feature) - F.col("_lo")) / (hi - F.col("_lo")) * bins), F.lit(bins - 1)) + 1
     return j.withColumn("bin", b.cast("int")).groupBy("bin").agg(
         F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_value"),
         F.min(feature).alias("feature_min"), F.max(feature).alias("feature_max"))
@@ -119,17 +119,17 @@ def cv_pivot(cv: DataFrame, row: str = "C", col: str = "gamma", slice_col: str =
              score: str = "rmse", places: int = 4) -> DataFrame:
     """Mean score, rows x columns, one block per slice value.
 
-    The column axis values come from a distinct over the (small) grid table.
+    The column axis values come from a distinct over the (small) grid table;
+    column ``<col>_<i>`` is the i-th of them in order.
     """
     axis = [r[0] for r in cv.select(col).distinct().orderBy(col).collect()]  # grid axis: a handful of values
     mean = cv.groupBy(slice_col, row).pivot(col, axis).agg(F.avg(score))
-    names = {str(v): f"{col}_{v}" for v in axis}
-    for k, v in names.items():
-        mean = mean.withColumnRenamed(k, v).withColumn(v, round_half_even(v, places))
-    return mean
+    return mean.select(slice_col, row, *[round_half_even(F.col(f"`{v}`"), places).alias(f"{col}_{i}") for i, v in enumerate(axis)])
 
 
 def grid_range(cv: DataFrame, score: str = "rmse") -> DataFrame:
-    """Smallest and largest mean score over the grid."""
+    """Smallest and largest mean score over the grid, and the setting with the smallest."""
     m = cv.groupBy("C", "gamma", "eps").agg(F.avg(score).alias("s"))
-    return m.agg(round_half_even(F.min("s"), 4).alias("min_score"), round_half_even(F.max("s"), 4).alias("max_score"))
+    key = F.struct("s", "C", "gamma", "eps")
+    return m.agg(round_half_even(F.min("s"), 4).alias("min_score"), round_half_even(F.max("s"), 4).alias("max_score"),
+                 *[F.min_by(c, key).alias(f"best_{c}") for c in ("C", "gamma", "eps")])

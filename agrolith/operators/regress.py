@@ -59,17 +59,7 @@ def _smoothed(R: np.ndarray, eps: np.ndarray, delta: float):
 
 
 def _tree_sum(df: DataFrame):
-    """Sum the one-row-per-partition partials: collected directly when there are few
-    partitions (at most 256 small rows), by ``treeAggregate`` beyond that."""
-    parts = df.rdd.getNumPartitions()
-    if parts <= 256:
-        acc = None
-        for row in df.collect():  # one row per partition, bounded above
-            vals = [np.asarray(row[k], dtype=np.float64) for k in ("loss", "gw", "gb", "n")]
-            acc = vals if acc is None else [a + v for a, v in zip(acc, vals)]
-        return acc
-    depth = 2 if parts < 10_000 else 3
-
+    """Sum the one-row-per-partition partials in a tree."""
     def seq(acc, row):
         vals = [np.asarray(row[k], dtype=np.float64) for k in ("loss", "gw", "gb", "n")]
         return vals if acc is None else [a + v for a, v in zip(acc, vals)]
@@ -81,7 +71,7 @@ def _tree_sum(df: DataFrame):
             return a
         return [x + y for x, y in zip(a, b)]
 
-    return df.rdd.treeAggregate(None, seq, comb, depth=depth)
+    return df.rdd.treeAggregate(None, seq, comb, depth=2)
 
 
 def _partials_fn(fmap: FeatureMap, features: Sequence[str], label: str, fold_col: str | None,
@@ -181,15 +171,11 @@ def _lbfgs(fg, x0: np.ndarray, max_iter: int, m: int = 10, gtol: float = 1e-6, f
 
 
 def training_cache(df: DataFrame, features: Sequence[str], label: str, fold_col: str | None = None) -> DataFrame:
-    """The rows a fit scans every iteration: features, label (and fold), persisted, spread over the cores."""
+    """The rows a fit scans every iteration: features, label (and fold), persisted, in partitions of an even size."""
     cols = [F.col(c).cast("double").alias(c) for c in features] + [F.col(label).cast("double").alias(label)]
     if fold_col:
         cols.append(F.col(fold_col).cast("int").alias(fold_col))
-    t = df.select(*cols)
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if t.rdd.getNumPartitions() < par:
-        t = t.repartition(par)
-    return t.persist(StorageLevel.MEMORY_AND_DISK)
+    return df.select(*cols).hint("rebalance").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fit_svr(df: DataFrame, features: Sequence[str], label: str, fmap: FeatureMap,
@@ -227,6 +213,21 @@ def fit_svr(df: DataFrame, features: Sequence[str], label: str, fmap: FeatureMap
     return SVRFit(fmap, x[: p * M].reshape(p, M), x[p * M:], C, eps, folds, hist)
 
 
+def evaluate(df: DataFrame, features: Sequence[str], label: str, fmap: FeatureMap, W: np.ndarray, b: np.ndarray,
+             C: Sequence[float], eps: Sequence[float], fold_col: str | None = None, model_folds: Sequence[int] | None = None,
+             delta_frac: float = 0.01) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Objective (M,), gradient (p, M) and intercept gradient (M,) of M models at the given weights: one scan."""
+    ship_package(df.sparkSession)
+    C, eps = np.asarray(C, dtype=np.float64), np.asarray(eps, dtype=np.float64)
+    folds = np.full(W.shape[1], -1) if model_folds is None else np.asarray(model_folds)
+    s = df.agg(F.stddev_pop(label).alias("s")).first()["s"]
+    delta = max(delta_frac * float(s or 1.0), 1e-6)
+    fn = _partials_fn(fmap, features, label, fold_col, W, b, eps, delta, folds)
+    loss, gw, gb, n = _tree_sum(df.mapInPandas(fn, _SCHEMA))
+    n = np.maximum(n, 1.0)
+    return (0.5 * (W * W).sum(0) + C * loss) / n, (W + C[None, :] * gw.reshape(W.shape)) / n[None, :], C * gb / n
+
+
 def fold_scores(df: DataFrame, features: Sequence[str], label: str, fold_col: str, fit: SVRFit) -> np.ndarray:
     """Per model: RMSE on its held-out fold and on its training rows -> (M, 2)."""
     fmap, W, b, folds = fit.fmap, fit.W, fit.b, fit.model_folds

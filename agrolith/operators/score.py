@@ -33,6 +33,19 @@ YEAR_RANGE = (1990, 2030)
 IMAGE_SCALE = 60.0
 
 
+def linear_scores(df: DataFrame, scaler: Scaler, models: Mapping[str, Mapping[str, float]], intercept: Column) -> DataFrame:
+    """M9 for several weight sets at once: the features are scaled a single time, one column per set."""
+    raw = {c: f"_raw_{c}" for c in scaler.cols}
+    scaled = scaler.transform(df.withColumns({r: F.col(c) for c, r in raw.items()}))
+    cols = {}
+    for name, weights in models.items():
+        expr = intercept
+        for c, w in weights.items():
+            expr = expr + F.col(c) * F.lit(float(w))
+        cols[name] = expr
+    return scaled.withColumns(cols).withColumns({c: F.col(r) for c, r in raw.items()}).drop(*raw.values())
+
+
 def linear_score(df: DataFrame, scaler: Scaler, weights: Mapping[str, float], intercept: Column | float,
                  out: str = "pred") -> DataFrame:
     """M9: scale with a fitted scaler, then ``intercept + sum(w * z)`` in feature order."""

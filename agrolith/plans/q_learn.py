@@ -1,22 +1,24 @@
 """Registered queries: kernel regressors, grid search, refit, vector classifier.
 
 Fits are iterative (L-BFGS over distributed loss/gradient scans), so they have
-no SQL twin; tests check their properties. ``class_accuracy_loss`` uses a
-fixed head and has one.
+no SQL twin; but one evaluation of each objective at fixed weights has
+(``svr_eval_*``, ``grid_eval``), and the CV tables are built from the latter.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from agrolith.functions.numeric import argmax, fixed_logits, fixed_logits_sql, round_half_even, softmax
 from agrolith.operators import metrics as M
-from agrolith.operators.kernel import make_map
-from agrolith.operators.regress import fit_svr, fold_scores, predict, training_cache
+from agrolith.operators.kernel import landmark_map, make_map, pick_landmarks, poly_map
+from agrolith.operators.regress import SVRFit, evaluate, fit_svr, fold_scores, predict, training_cache
 from agrolith.operators.sample import hash_split
 from agrolith.plans import stage as ST
 from agrolith.plans import tables as TB
-from agrolith.plans.q_model import GRID_C, GRID_EPS, GRID_GAMMA, fixed_scaler
+from agrolith.plans.q_model import _ROW_KEY, GRID_C, GRID_EPS, GRID_GAMMA, MF, SQL_PRED, _z, fixed_scaler
+from agrolith.plans.q_prepare import row_key_cols
 from agrolith.plans.registry import register
 
 FEATS = ST.FEATURES
@@ -37,15 +39,17 @@ def zframe(spark, d):
 
 
 def _fit(train, kind, C, eps, gamma=None, degree=3, coef0=1.0, cache=None, max_iter=MAX_ITER):
-    fmap = make_map(kind, train, FEATS, gamma=gamma, degree=degree, coef0=coef0, landmarks=LANDMARKS, seed=42)
+    fmap = make_map(kind, train, FEATS, gamma=gamma, degree=degree, coef0=coef0, landmarks=LANDMARKS, seed=42, key_cols=row_key_cols())
     return fit_svr(train, FEATS, "y", fmap, C, eps, max_iter=max_iter, cache=cache)
 
 
 def _metrics_row(spark, test, fit, name):
     p = predict(test, FEATS, fit).select("y", "pred")
     m = M.regression_metrics(p.withColumn("model", F.lit(name)))
-    return m.withColumn("iterations", F.lit(len(fit.history) - 1)) \
-        .withColumn("objective", F.lit(float(round(fit.history[-1], 6))))
+    h = fit.history
+    gap = (h[-6] - h[-1]) / max(abs(h[-1]), 1e-12) if len(h) > 5 else float("nan")  # what the last five steps still gained
+    return m.withColumn("iterations", F.lit(len(h) - 1)).withColumn("objective", F.lit(float(round(h[-1], 6)))) \
+        .withColumn("last_gain", F.lit(float(gap)))
 
 
 def _single(name):
@@ -87,7 +91,7 @@ def cv_table(spark, d, max_iter=30):
     cache = training_cache(train, FEATS, "y", "fold")
     rows = []
     for g in GRID_GAMMA:
-        fmap = make_map("rbf", train, FEATS, gamma=g, landmarks=LANDMARKS)
+        fmap = make_map("rbf", train, FEATS, gamma=g, landmarks=LANDMARKS, key_cols=row_key_cols())
         settings = [(c, e, f) for c in GRID_C for e in GRID_EPS for f in range(3)]
         fit = fit_svr(train, FEATS, "y", fmap, [s[0] for s in settings], [s[1] for s in settings],
                       fold_col="fold", model_folds=[s[2] for s in settings], max_iter=max_iter, cache=cache)
@@ -128,6 +132,178 @@ def refit_best(spark, d):
         .withColumn("best_eps", F.lit(best["eps"]))
 
 
+# ---- one evaluation at fixed weights, with twins ----------------------------------
+
+EVAL_LANDMARKS = 8
+
+
+def fixed_weight(k: int) -> float:
+    """Fixed weight of term k: a binary fraction between -5/16 and 5/16."""
+    return ((k * 7) % 11 - 5) / 16
+
+
+FIXED_B = 1.0
+
+
+def _eval_map(name, train):
+    k = KERNELS[name]
+    if name == "RBF":
+        return landmark_map(pick_landmarks(train, FEATS, EVAL_LANDMARKS, 42, row_key_cols()), 0.2)
+    return make_map(k["kind"], None, FEATS, gamma=k.get("gamma"), degree=k.get("degree", 3), coef0=k.get("coef0", 1.0))
+
+
+_TRAIN_SQL = MF + SQL_PRED.split(",\nlp AS")[0] + """,
+tr AS (SELECT m.order_key, m.crop, m.y, m.fold, """ + ", ".join(f"{_z(c)} AS z{i}" for i, c in enumerate(FEATS)) + """
+       FROM mf m, st WHERE m.part = 'train'),
+dl AS (SELECT greatest(0.01 * stddev_pop(y), 1e-6) AS delta FROM tr),
+top AS (SELECT z0, z1, z2, z3, z4, md5('42|' || """ + _ROW_KEY + f""") AS h FROM tr ORDER BY h LIMIT {4 * EVAL_LANDMARKS}),
+lm AS (SELECT z0, z1, z2, z3, z4, row_number() OVER (ORDER BY min(h)) - 1 AS k FROM top GROUP BY z0, z1, z2, z3, z4
+       QUALIFY row_number() OVER (ORDER BY min(h)) <= {EVAL_LANDMARKS})"""
+
+
+def _kernel_sql(k, gamma):
+    near = " + ".join(f"(tr.z{i} - (SELECT z{i} FROM lm WHERE k = {k})) * (tr.z{i} - (SELECT z{i} FROM lm WHERE k = {k}))" for i in range(len(FEATS)))
+    return f"exp(-{gamma} * ({near}))"
+
+
+def _terms_sql(name):
+    if name == "Linear":
+        return [f"z{i}" for i in range(len(FEATS))]
+    if name == "RBF":
+        return [_kernel_sql(k, 0.2) for k in range(EVAL_LANDMARKS)]
+    fmap = poly_map(len(FEATS), 3, None, 1.0)
+    return [" * ".join([repr(float(c)), *(f"z{i}" for i, n in enumerate(e) for _ in range(int(n)))]) for e, c in zip(fmap.exps, fmap.coefs)]
+
+
+def _eval_sql(name):
+    terms, k = _terms_sql(name), KERNELS[name]
+    ws = [fixed_weight(i) for i in range(len(terms))]
+    norm = 0.5 * sum(w * w for w in ws)
+    fit = " + ".join([repr(FIXED_B), *(f"p{i} * {w}" for i, w in enumerate(ws))])
+    rows = [f"SELECT CAST({i} AS BIGINT) AS term, ({w} - {k['C']} * sum(dl * p{i})) / count(*) AS gradient FROM ls" for i, w in enumerate(ws)]
+    rows.append(f"SELECT CAST(-1 AS BIGINT), -{k['C']} * sum(dl) / count(*) FROM ls")
+    return _TRAIN_SQL + f""",
+ph AS (SELECT y, {', '.join(f'{t} AS p{i}' for i, t in enumerate(terms))} FROM tr),
+rs AS (SELECT *, y - ({fit}) AS r FROM ph),
+ls AS (SELECT *, CASE WHEN abs(r) - {k['eps']} <= delta THEN greatest(abs(r) - {k['eps']}, 0) * greatest(abs(r) - {k['eps']}, 0) / (2 * delta)
+                      ELSE abs(r) - {k['eps']} - delta / 2 END AS loss,
+              sign(r) * least(greatest(abs(r) - {k['eps']}, 0) / delta, 1) AS dl FROM rs, dl),
+ob AS (SELECT ({norm} + {k['C']} * sum(loss)) / count(*) AS objective FROM ls),
+gr AS ({' UNION ALL '.join(rows)})
+SELECT term, round_even(gradient * 1e6, 0) / 1e6 AS gradient, round_even(objective * 1e6, 0) / 1e6 AS objective FROM gr, ob"""
+
+
+def _evaluation(name):
+    def q(spark, d):
+        z = zframe(spark, d)
+        train = z.where(F.col("part") == "train")
+        k, fmap = KERNELS[name], _eval_map(name, train)
+        w = np.array([[fixed_weight(i)] for i in range(fmap.dim_out)])
+        obj, gw, gb = evaluate(train.select(*FEATS, "y"), FEATS, "y", fmap, w, np.array([FIXED_B]), [k["C"]], [k["eps"]])
+        rows = [(i, float(g), float(obj[0])) for i, g in enumerate(gw[:, 0])] + [(-1, float(gb[0]), float(obj[0]))]
+        return spark.createDataFrame(rows, "term bigint, gradient double, objective double") \
+            .select("term", round_half_even("gradient", 6).alias("gradient"), round_half_even("objective", 6).alias("objective"))
+    q.__doc__ = f"M1-M3: loss and gradient of the {name} regressor at fixed weights over the train part."
+    return q
+
+
+for _q, _n in [("svr_eval_linear", "Linear"), ("svr_eval_poly", "Polynomial"), ("svr_eval_rbf", "RBF")]:
+    register(_q, _eval_sql(_n))(_evaluation(_n))
+
+
+def _scale(c, e):
+    return c / (c + 10.0 * e)
+
+
+def fixed_grid(spark, d):
+    """(C, gamma, eps, fold, objective, test_rmse, train_rmse): the 27 x 3 grid at fixed weights, scaled by C / (C + 10 eps)."""
+    z = zframe(spark, d)
+    train = z.where(F.col("part") == "train")
+    marks = pick_landmarks(train, FEATS, EVAL_LANDMARKS, 42, row_key_cols())
+    data = train.select(*FEATS, "y", F.col("fold").cast("int").alias("fold"))
+    settings = [(c, e, f) for c in GRID_C for e in GRID_EPS for f in range(3)]
+    cs, es, fs = (np.array(x) for x in zip(*settings))
+    base = np.array([fixed_weight(i) for i in range(len(marks))])
+    w = base[:, None] * np.array([_scale(c, e) for c, e, _ in settings])[None, :]
+    rows = []
+    for g in GRID_GAMMA:
+        fit = SVRFit(landmark_map(marks, g), w, np.full(len(settings), FIXED_B), cs, es, fs)
+        obj, _, _ = evaluate(data, FEATS, "y", fit.fmap, w, fit.b, cs, es, "fold", fs)
+        for (c, e, f), o, (te, tr) in zip(settings, obj, fold_scores(data, FEATS, "y", "fold", fit)):
+            rows.append((c, g, e, f, float(o), float(te), float(tr)))
+    return spark.createDataFrame(rows, "C double, gamma double, eps double, fold int, objective double, test_rmse double, train_rmse double")
+
+
+def _grid_sql():
+    lin = {g: " + ".join(f"{fixed_weight(k)} * {_kernel_sql(k, g)}" for k in range(EVAL_LANDMARKS)) for g in GRID_GAMMA}
+    kk = " UNION ALL ".join(f"SELECT CAST({g} AS DOUBLE) AS gamma, y, fold, {t} AS lin FROM tr" for g, t in lin.items())
+    st = " UNION ALL ".join(f"SELECT CAST({c} AS DOUBLE) AS C, CAST({e} AS DOUBLE) AS eps, CAST({_scale(c, e)!r} AS DOUBLE) AS s, {f} AS f"
+                            for c in GRID_C for e in GRID_EPS for f in range(3))
+    norm = 0.5 * sum(fixed_weight(k) ** 2 for k in range(EVAL_LANDMARKS))
+    return _TRAIN_SQL + f""",
+kk AS ({kk}), sg AS ({st}),
+rs AS (SELECT C, gamma, eps, s, f, fold, y - ({FIXED_B} + s * lin) AS r, delta FROM kk, sg, dl),
+gr AS (SELECT C, gamma, eps, f AS fold,
+  (any_value(s) * any_value(s) * {norm} + C * sum(CASE WHEN abs(r) - eps <= delta THEN greatest(abs(r) - eps, 0) * greatest(abs(r) - eps, 0) / (2 * delta)
+     ELSE abs(r) - eps - delta / 2 END) FILTER (fold <> f)) / count(*) FILTER (fold <> f) AS objective,
+  sqrt(avg(r * r) FILTER (fold = f)) AS test_rmse, sqrt(avg(r * r) FILTER (fold <> f)) AS train_rmse
+  FROM rs GROUP BY C, gamma, eps, f)
+"""
+
+
+def staged_grid(spark, d):
+    return ST.stage(spark, d, "fixed_grid", lambda: fixed_grid(spark, d))
+
+
+@register("grid_eval", _grid_sql() + """SELECT C, gamma, eps, CAST(fold AS BIGINT) AS fold, round_even(objective * 1e6, 0) / 1e6 AS objective,
+  round_even(test_rmse * 1e6, 0) / 1e6 AS test_rmse, round_even(train_rmse * 1e6, 0) / 1e6 AS train_rmse FROM gr""")
+def grid_eval(spark, d):
+    """M5: objective, held-out and train RMSE of every setting and fold of the grid at fixed weights."""
+    g = staged_grid(spark, d)
+    return g.select("C", "gamma", "eps", "fold", *[round_half_even(c, 6).alias(c) for c in ("objective", "test_rmse", "train_rmse")])
+
+
+@register("cv_pivot", _grid_sql() + "SELECT eps, C, " + ", ".join(
+    f"round_even(avg(CASE WHEN gamma = {g} THEN test_rmse END) * 1e4, 0) / 1e4 AS gamma_{i}" for i, g in enumerate(sorted(GRID_GAMMA)))
+    + " FROM gr GROUP BY eps, C")
+def cv_pivot(spark, d):
+    """Mean held-out score, C x gamma, per epsilon slice (heatmap table)."""
+    return M.cv_pivot(staged_grid(spark, d), score="test_rmse")
+
+
+@register("cv_range", _grid_sql() + """
+SELECT round_even(min(s) * 1e4, 0) / 1e4 AS min_score, round_even(max(s) * 1e4, 0) / 1e4 AS max_score,
+       arg_min(C, (s, C, gamma, eps)) AS best_C, arg_min(gamma, (s, C, gamma, eps)) AS best_gamma,
+       arg_min(eps, (s, C, gamma, eps)) AS best_eps
+FROM (SELECT C, gamma, eps, avg(test_rmse) AS s FROM gr GROUP BY C, gamma, eps)""")
+def cv_range(spark, d):
+    """Smallest and largest mean held-out score and the best setting."""
+    return M.grid_range(staged_grid(spark, d), score="test_rmse")
+
+
+@register("cv_pivot_fitted")
+def cv_pivot_fitted(spark, d):
+    """M8: the same heatmap table over the fitted grid search."""
+    return M.cv_pivot(staged_cv(spark, d), score="test_rmse")
+
+
+@register("score_stored_model")
+def score_stored_model(spark, d):
+    """The RBF regressor fitted, stored as tables, read back, and used to score the test rows."""
+    from agrolith.session import checkpoint_dir
+    from agrolith.sources.store import load_model, save_model
+    mf = ST.model_frame(spark, d)
+    scaler = fixed_scaler(mf)
+    train = scaler.transform(mf).where(F.col("part") == "train")
+    k = KERNELS["RBF"]
+    path = f"{checkpoint_dir(spark).rstrip('/')}/agrolith-models/{spark.sparkContext.applicationId}/rbf"
+    save_model(spark, path, scaler, ST.dictionary(spark, d), _fit(train, k["kind"], k["C"], k["eps"]), FEATS)
+    m = load_model(spark, path)
+    test = mf.where(F.col("part") == "test").select("order_key", "crop", "y", *FEATS)
+    out = predict(m["scaler"].transform(test), m["features"], m["fit"])
+    return out.select("order_key", "crop", "y", round_half_even("pred", 4).alias("pred"))
+
+
 # ---- vector classifier (image stand-in) ----------------------------------------
 
 def _vectors(spark, d):

@@ -13,7 +13,7 @@ from agrolith.functions.numeric import round_half_even
 from agrolith.operators import metrics as M
 from agrolith.operators import scale as SC
 from agrolith.operators.importance import importance_summary, permutation_importance
-from agrolith.operators.score import linear_score
+from agrolith.operators.score import linear_score, linear_scores
 from agrolith.plans import stage as ST
 from agrolith.plans.registry import register
 from agrolith.plans.tables import SQL_FILLED, SQL_FINAL, SQL_SOURCES
@@ -36,15 +36,14 @@ def train_mean(mf):
     return mf.where(F.col("part") == "train").agg(F.avg("y").alias("_ybar"))
 
 
-def fixed_predictions(spark, d, part: str | None = "test", keep=("order_key", "crop", "y")):
-    """Long predictions (model, keep..., y, pred) of the fixed models."""
+def fixed_predictions(spark, d, part: str | None = "test", keep=("order_key", "crop", "y"), models=None):
+    """Long predictions (model, keep..., y, pred) of the fixed models (or of ``models``); the rows are scaled once."""
     mf = ST.model_frame(spark, d)
     rows = mf if part is None else mf.where(F.col("part") == part)
-    sc = fixed_scaler(mf)
-    rows = rows.crossJoin(train_mean(mf))  # one-row mean
-    for m, w in FIXED_MODELS.items():
-        rows = linear_score(rows, sc, w, F.col("_ybar"), out=f"pred_{m}")
-    return M.long_predictions(rows, "y", {m: f"pred_{m}" for m in FIXED_MODELS},
+    names = list(models or FIXED_MODELS)
+    rows = linear_scores(rows.crossJoin(train_mean(mf)), fixed_scaler(mf),  # one-row mean
+                         {f"pred_{m}": FIXED_MODELS[m] for m in names}, F.col("_ybar"))
+    return M.long_predictions(rows, "y", {m: f"pred_{m}" for m in names},
                               keep=[k for k in keep if k != "y"] + [c for c in FEATS if c not in keep])
 
 
@@ -110,22 +109,75 @@ def model_improvement(spark, d):
     return M.improvement(M.regression_metrics(fixed_predictions(spark, d)), "mean")
 
 
-@register("residual_bins", MF + SQL_PRED + """,
-r AS (SELECT rain, y - pred AS residual FROM lp WHERE model = 'fixed_a'),
-rg AS (SELECT min(rain) AS lo, CASE WHEN max(rain) > min(rain) THEN max(rain) ELSE min(rain) + 1 END AS hi FROM r)
-SELECT CAST(least(floor((rain - lo) / (hi - lo) * 10), 9) + 1 AS BIGINT) AS bin, count(*) AS n,
-       round_even(avg(residual) * 1e4, 0) / 1e4 AS mean_value, min(rain) AS feature_min, max(rain) AS feature_max
-FROM r, rg GROUP BY 1""")
-def residual_bins(spark, d):
-    """Mean residual of fixed_a per equal-width rainfall bin (10 bins)."""
-    lp = M.residuals(fixed_predictions(spark, d).where(F.col("model") == "fixed_a"))
-    r = lp.agg(F.min("rain").alias("_lo"), F.max("rain").alias("_hi"))
-    j = lp.crossJoin(r)  # one-row range
-    hi = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi")).otherwise(F.col("_lo") + 1)
-    b = (F.least(F.floor((F.col("rain") - F.col("_lo")) / (hi - F.col("_lo")) * 10), F.lit(9)) + 1).cast("long")
-    return j.withColumn("bin", b).groupBy("bin").agg(
-        F.count(F.lit(1)).alias("n"), round_half_even(F.avg("residual"), 4).alias("mean_value"),
-        F.min("rain").alias("feature_min"), F.max("rain").alias("feature_max"))
+def _bins_sql(x):
+    return MF + SQL_PRED + f""",
+r AS (SELECT {x} AS x, y - pred AS residual FROM lp WHERE model = 'fixed_a'),
+rg AS (SELECT min(x) AS lo, CASE WHEN max(x) > min(x) THEN max(x) ELSE min(x) + 1 END AS hi FROM r)
+SELECT CAST(least(floor((x - lo) / (hi - lo) * 10), 9) + 1 AS BIGINT) AS bin, count(*) AS n,
+       round_even(avg(residual) * 1e4, 0) / 1e4 AS mean_value, round_even(min(x) * 1e6, 0) / 1e6 AS feature_min,
+       round_even(max(x) * 1e6, 0) / 1e6 AS feature_max
+FROM r, rg GROUP BY 1"""
+
+
+def _residual_bins(x):
+    def q(spark, d):
+        out = M.binned_mean(M.residuals(fixed_predictions(spark, d, models=["fixed_a"])), x, "residual", 10)
+        return out.select("bin", "n", *[round_half_even(c, k).alias(c) for c, k in (("mean_value", 4), ("feature_min", 6), ("feature_max", 6))])
+    q.__doc__ = f"M15: mean residual of fixed_a per equal-width bin of {x} (10 bins)."
+    return q
+
+
+for _name, _x in (("residual_bins", "rain"), ("residual_by_temperature", "temp"), ("residual_by_fitted", "pred")):
+    register(_name, _bins_sql(_x))(_residual_bins(_x))
+
+
+_ROW_KEY = "CAST(order_key AS VARCHAR) || '|' || crop || '|' || CAST(CAST(round_even(y * 1e4, 0) AS BIGINT) AS VARCHAR)"
+
+
+@register("residual_sample", MF + SQL_PRED + f"""
+SELECT order_key, y, round_even(pred * 1e4, 0) / 1e4 AS pred, round_even((y - pred) * 1e4, 0) / 1e4 AS residual
+FROM lp WHERE model = 'fixed_a' ORDER BY md5('13|' || {_ROW_KEY}) LIMIT 500""")
+def residual_sample(spark, d):
+    """The residual table of 500 test rows, chosen by md5 order."""
+    from agrolith.operators.sample import sample_n
+    lp = M.residuals(fixed_predictions(spark, d, models=["fixed_a"]))
+    s = sample_n(lp, ["order_key", "crop", F.rint(F.col("y") * F.lit(1e4)).cast("bigint")], 500, seed=13)
+    return s.select("order_key", "y", round_half_even("pred", 4).alias("pred"), round_half_even("residual", 4).alias("residual"))
+
+
+# ---- tabular, image and fused scores side by side ------------------------------------------
+
+def modality_predictions(spark, d):
+    """(model, y, pred): the tabular score, the image score of the row's vector, and their fusion, per test row."""
+    from agrolith.operators import score as SCR
+    from agrolith.plans.q_score import image_scores
+    tab = fixed_predictions(spark, d, models=["fixed_a"]).select("order_key", "y", F.col("pred").alias("tabular"))
+    img = image_scores(spark, d)
+    n = img.agg(F.max("image_id").alias("_top"))  # one row
+    j = tab.crossJoin(n).withColumn("image_id", F.pmod("order_key", F.col("_top") + 2)).join(img, "image_id", "left")
+    j = j.withColumn("fused", SCR.fuse(F.col("tabular"), F.col("image")))
+    return M.long_predictions(j, "y", {"Tabular only": "tabular", "Image only": "image", "Fused": "fused"}).where(F.col("pred").isNotNull())
+
+
+def _modality_sql():
+    from agrolith.functions.numeric import fixed_logits_sql
+    return MF + SQL_PRED + f""",
+lgt AS (SELECT vec_id, {fixed_logits_sql('embedding', 2)} AS lg FROM embeddings),
+img AS (SELECT vec_id, round_even(exp(lg[1] - greatest(lg[1], lg[2])) / (exp(lg[1] - greatest(lg[1], lg[2])) + exp(lg[2] - greatest(lg[1], lg[2])))
+                                  * 60.0 * 1e4, 0) / 1e4 AS image FROM lgt),
+w AS (SELECT y, pred AS tabular, image, pred * 0.7 + coalesce(image, pred * 0.95) * 0.3 AS fused
+      FROM lp LEFT JOIN img ON img.vec_id = lp.order_key % ((SELECT max(vec_id) FROM embeddings) + 2) WHERE lp.model = 'fixed_a'),
+l3 AS (SELECT 'Tabular only' AS model, y, tabular AS pred FROM w UNION ALL SELECT 'Image only', y, image FROM w WHERE image IS NOT NULL
+       UNION ALL SELECT 'Fused', y, fused FROM w),
+mt AS (SELECT model, count(*) AS n, round_even(avg(abs(y - pred)) * 1e4, 0) / 1e4 AS mae, round_even(sqrt(avg((y - pred) * (y - pred))) * 1e4, 0) / 1e4 AS rmse,
+              round_even((1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(*))) * 1e4, 0) / 1e4 AS r2 FROM l3 GROUP BY model)
+"""
+
+
+@register("modality_compare", _modality_sql() + "SELECT *, CAST(row_number() OVER (ORDER BY rmse, model) AS BIGINT) AS rank FROM mt")
+def modality_compare(spark, d):
+    """Tabular only, image only and fused scored on the same test rows, ranked."""
+    return M.rank_models(M.regression_metrics(modality_predictions(spark, d)))
 
 
 @register("residual_histogram", MF + SQL_PRED + """,
@@ -140,7 +192,7 @@ SELECT a.bin AS bin, round_even(a.center * 1e6, 0) / 1e6 AS center, a.cnt AS cou
 FROM hc a, hc b GROUP BY a.bin, a.center, a.cnt, a.n, a.bw""")
 def residual_histogram(spark, d):
     """Residual histogram (20 bins) with a kernel density at each bin centre."""
-    lp = M.residuals(fixed_predictions(spark, d).where(F.col("model") == "fixed_a"))
+    lp = M.residuals(fixed_predictions(spark, d, models=["fixed_a"]))
     return M.histogram_density(lp, "residual", 20).withColumn("bin", F.col("bin").cast("long"))
 
 
@@ -154,11 +206,11 @@ SELECT r.crop, round_even(q1 * 1e4, 0) / 1e4 AS q1, round_even(med * 1e4, 0) / 1
 FROM r JOIN q ON r.crop = q.crop GROUP BY r.crop, q1, med, q3""")
 def box_summary(spark, d):
     """Quartiles, whiskers and outlier count of fixed_a residuals per crop."""
-    lp = M.residuals(fixed_predictions(spark, d).where(F.col("model") == "fixed_a"))
+    lp = M.residuals(fixed_predictions(spark, d, models=["fixed_a"]))
     return M.box_summary(lp, "crop", "residual")
 
 
-# ---- CV-shaped table from a fixed parameter grid -------------------------------------
+# ---- axes of the parameter grid ---------------------------------------------------------
 # The grid axes of the reference's search; gamma "scale" is
 # 1 / (features x variance) = 1/5 for five standardised features.
 GRID_C = [1.0, 10.0, 100.0]
@@ -166,77 +218,6 @@ GRID_GAMMA = [0.2, 0.01, 0.1]
 GRID_EPS = [0.1, 0.5, 1.0]
 
 
-def fixed_cv_table(spark, d):
-    """(C, gamma, eps, fold, rmse) of a shrunk fixed_a scorer with an eps-insensitive residual.
-
-    All 27 settings are scored in one aggregate per fold (27 sums), no row copies.
-    """
-    mf = ST.model_frame(spark, d)
-    tr = mf.where(F.col("part") == "train")
-    sc = fixed_scaler(mf)
-    rows = linear_score(tr.crossJoin(train_mean(mf)), sc, FIXED_MODELS["fixed_a"], F.lit(0.0), out="_lin")
-    aggs = []
-    keys = []
-    for ci, c in enumerate(GRID_C):
-        for gi, g in enumerate(GRID_GAMMA):
-            shrink = c / (c + 1.0) * __import__("math").exp(-g)
-            for ei, e in enumerate(GRID_EPS):
-                r = F.col("y") - (F.col("_ybar") + F.col("_lin") * F.lit(shrink))
-                rr = F.greatest(F.abs(r) - F.lit(e), F.lit(0.0))
-                name = f"s_{ci}_{gi}_{ei}"
-                keys.append((c, g, e, name))
-                aggs.append(F.sqrt(F.avg(rr * rr)).alias(name))
-    wide = rows.groupBy("fold").agg(*aggs)
-    arr = F.array(*[F.struct(F.lit(c).alias("C"), F.lit(g).alias("gamma"), F.lit(e).alias("eps"),
-                             F.col(n).alias("rmse")) for c, g, e, n in keys])
-    return wide.select("fold", F.explode(arr).alias("k")).select("k.C", "k.gamma", "k.eps", "fold", "k.rmse")
-
-
-def _cv_sql():
-    import math
-    grid = " UNION ALL ".join(
-        f"SELECT CAST({c} AS DOUBLE) AS C, CAST({g} AS DOUBLE) AS gamma, CAST({e} AS DOUBLE) AS eps, "
-        f"CAST({c / (c + 1.0) * math.exp(-g)!r} AS DOUBLE) AS shrink"
-        for c in GRID_C for g in GRID_GAMMA for e in GRID_EPS)
-    lin = "0.0"
-    for c, v in FIXED_MODELS["fixed_a"].items():
-        lin = f"({lin} + {_z(c)} * {v})"
-    return MF + SQL_PRED.split(",\nlp AS")[0] + f""",
-tr AS (SELECT m.fold, m.y, st.ybar, {lin} AS lin FROM mf m, st WHERE m.part = 'train'),
-grid AS ({grid}),
-cv AS (SELECT C, gamma, eps, fold,
-              sqrt(avg(greatest(abs(y - (ybar + lin * shrink)) - eps, 0.0) * greatest(abs(y - (ybar + lin * shrink)) - eps, 0.0))) AS rmse
-       FROM tr, grid GROUP BY C, gamma, eps, fold)
-"""
-
-
-@register("cv_pivot", _cv_sql() + "SELECT eps, C, " + ", ".join(
-    f"round_even(avg(CASE WHEN gamma = {g} THEN rmse END) * 1e4, 0) / 1e4 AS gamma_{i}" for i, g in enumerate(GRID_GAMMA))
-    + " FROM cv GROUP BY eps, C")
-def cv_pivot(spark, d):
-    """Mean CV score, C x gamma, per epsilon slice (heatmap table)."""
-    cv = fixed_cv_table(spark, d)
-    out = cv.groupBy("eps", "C").pivot("gamma", GRID_GAMMA).agg(F.avg("rmse"))
-    for i, g in enumerate(GRID_GAMMA):
-        out = out.withColumnRenamed(str(g), f"gamma_{i}").withColumn(f"gamma_{i}", round_half_even(f"gamma_{i}", 4))
-    return out
-
-
-@register("cv_range", _cv_sql() + """
-SELECT round_even(min(s) * 1e4, 0) / 1e4 AS min_score, round_even(max(s) * 1e4, 0) / 1e4 AS max_score,
-       arg_min(C, (s, C, gamma, eps)) AS best_C, arg_min(gamma, (s, C, gamma, eps)) AS best_gamma,
-       arg_min(eps, (s, C, gamma, eps)) AS best_eps
-FROM (SELECT C, gamma, eps, avg(rmse) AS s FROM cv GROUP BY C, gamma, eps)""")
-def cv_range(spark, d):
-    """Smallest and largest mean CV score and the best setting."""
-    cv = fixed_cv_table(spark, d)
-    m = cv.groupBy("C", "gamma", "eps").agg(F.avg("rmse").alias("s"))
-    key = F.struct("s", "C", "gamma", "eps")
-    return m.agg(round_half_even(F.min("s"), 4).alias("min_score"), round_half_even(F.max("s"), 4).alias("max_score"),
-                 F.min_by("C", key).alias("best_C"), F.min_by("gamma", key).alias("best_gamma"),
-                 F.min_by("eps", key).alias("best_eps"))
-
-
 # ---- permutation importance ------------------------------------------------------------
 
 def _perm_frame(spark, d):
@@ -257,34 +238,25 @@ def _perm_predict(mf):
 
 def _perm_sql():
     key = "CAST(order_key AS VARCHAR) || '|' || crop || '|' || CAST(y_key AS VARCHAR)"
-    ens = []
-    for r in range(5):
-        s1, s2 = 2 * r + 1, 2 * r + 2
-        cols = ", ".join(f"b.{c} AS p_{c}" for c in FEATS)
-        ens.append(f"""
-j{r} AS (
-  SELECT a.*, {cols} FROM
-  (SELECT t.*, row_number() OVER (PARTITION BY shard ORDER BY md5('{s1}|' || {key})) AS pos
-     FROM (SELECT *, (('0x' || substr(md5('{s1 + 1000}|' || {key}), 1, 8))::UBIGINT % (SELECT shards FROM ns)) AS shard FROM te) t) a
-  JOIN
-  (SELECT t.*, row_number() OVER (PARTITION BY shard ORDER BY md5('{s2}|' || {key})) AS pos
-     FROM (SELECT *, (('0x' || substr(md5('{s1 + 1000}|' || {key}), 1, 8))::UBIGINT % (SELECT shards FROM ns)) AS shard FROM te) t) b
-  ON a.shard = b.shard AND a.pos = b.pos)""")
+    cols = ", ".join(f"b.{c} AS p_{c}" for c in FEATS)
+    mates = [f"j{r} AS (SELECT a.*, {cols} FROM sh a JOIN sh b ON a.shard = b.shard AND b.pos = (a.pos + {r}) % a.size + 1)" for r in range(5)]
     feats = []
     for r in range(5):
         for f in FEATS:
-            w = FIXED_MODELS["fixed_a"]
             expr = "st.ybar"
-            for c, v in w.items():
+            for c, v in FIXED_MODELS["fixed_a"].items():
                 col = f"m.p_{c}" if c == f else f"m.{c}"
                 expr = f"({expr} + ({col} - st.a_{c}) / st.b_{c} * {v})"
             feats.append(f"SELECT '{f}' AS feature, {r} AS repeat, 1 - sum((m.y - {expr}) * (m.y - {expr})) / "
                          f"(var_pop(m.y) * count(*)) AS r2 FROM j{r} m, st")
     base_expr = _pred_sql(FIXED_MODELS["fixed_a"])
-    return (MF + SQL_PRED.split(",\nlp AS")[0] + """,
+    return (MF + SQL_PRED.split(",\nlp AS")[0] + f""",
 te AS (SELECT order_key, crop, y, rain, temp, pest, country_code, crop_code,
               CAST(round_even(y * 1e4, 0) AS BIGINT) AS y_key FROM mf WHERE part = 'test'),
-ns AS (SELECT CAST(greatest(1, ceil(count(*) / 1000000.0)) AS BIGINT) AS shards FROM te),""" + ",".join(ens) + f""",
+sd AS (SELECT *, (('0x' || substr(md5('1000|' || {key}), 1, 8))::UBIGINT % 256) AS shard FROM te),
+sh AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY md5('1|' || {key})) AS pos,
+              count(*) OVER (PARTITION BY shard) AS size FROM sd),
+{', '.join(mates)},
 rb AS (SELECT 1 - sum((m.y - {base_expr}) * (m.y - {base_expr})) / (var_pop(m.y) * count(*)) AS r2_base FROM te m, st),
 rp AS ({' UNION ALL '.join(feats)})
 """)
@@ -293,7 +265,7 @@ rp AS ({' UNION ALL '.join(feats)})
 @register("permutation_importance", _perm_sql() +
           "SELECT feature, CAST(repeat AS BIGINT) AS repeat, round_even((r2_base - r2) * 1e4, 0) / 1e4 AS importance FROM rp, rb")
 def perm_importance(spark, d):
-    """R^2 drop of fixed_a when one feature is permuted, 5 repeats, one join per repeat."""
+    """R^2 drop of fixed_a when one feature is permuted, 5 repeats from one sort."""
     mf, test = _perm_frame(spark, d)
     return permutation_importance(test, FEATS, _perm_predict(mf), "y", ["order_key", "crop", "y_key"], repeats=5)
 
