@@ -47,9 +47,8 @@ def title_case(c) -> Column:
 
 
 def null_tokens_to_null(c) -> Column:
-    """Map CSV missing-value tokens (after stripping) to null."""
-    s = strip_all(c)
-    return F.when(s.isin(NULL_TOKENS), F.lit(None).cast("string")).otherwise(_c(c))
+    """Map CSV missing-value tokens to null; a cell must be the token itself, blanks around it count."""
+    return F.when(_c(c).isin(NULL_TOKENS), F.lit(None).cast("string")).otherwise(_c(c))
 
 
 def stripped_or_null(c) -> Column:
@@ -58,6 +57,11 @@ def stripped_or_null(c) -> Column:
     return F.when(s.isin(NULL_TOKENS), F.lit(None).cast("string")).otherwise(s)
 
 
+def iso_time(c) -> Column:
+    """A timestamp as ISO text with microseconds."""
+    return F.date_format(_c(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
 def file_extension(path) -> Column:
     """X11: lower-case extension with the dot, '' if none."""
     return F.lower(F.regexp_extract(_c(path), r"(\.[^./]+)$", 1))

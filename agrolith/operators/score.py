@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agrolith.functions.numeric import fixed_logits, round_half_even, softmax
+from agrolith.functions.text import iso_time
 from agrolith.operators.encode import encode
 from agrolith.operators.scale import Scaler
 
@@ -157,7 +158,7 @@ def response_struct(resp: DataFrame) -> DataFrame:
         F.col("prediction"), F.col("model"), F.col("confidence"), F.col("insights"),
         F.when(F.col("error").isNull(), chart).alias("chart_data"),
         F.current_timestamp().alias("timestamp"),
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp_iso"),
+        iso_time(F.current_timestamp()).alias("timestamp_iso"),
         F.col("error")).alias("response"))
 
 

@@ -51,4 +51,4 @@ def load_all() -> None:
         importlib.import_module(f"agrolith.plans.{m}")
 
 
-MODULES = ["q_integrate", "q_prepare", "q_profile", "q_model", "q_score", "q_learn"]
+MODULES = ["q_integrate", "q_prepare", "q_profile", "q_model", "q_score", "q_learn", "q_rest"]

@@ -39,11 +39,21 @@ def load_named(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, DataF
     return out
 
 
-def find_csv_files(spark: SparkSession, root: str) -> list[str]:
-    """S3 (listing): every .csv under root, any case; only paths are read."""
+MAX_CSV_FILES = 10_000
+
+
+def find_csv_files(spark: SparkSession, root: str, max_files: int = MAX_CSV_FILES) -> list[str]:
+    """S3 (listing): every .csv under root, any case; only paths are read.
+
+    Each file becomes a table of its own, so their number is a driver matter:
+    more than ``max_files`` is an error, not a cut.
+    """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
              .select("path").where(F.lower(F.col("path")).endswith(".csv")))
-    return sorted(r.path for r in files.collect())  # a file listing, not table rows
+    found = [r.path for r in files.limit(max_files + 1).collect()]  # at most max_files paths
+    if len(found) > max_files:
+        raise ValueError(f"more than {max_files} CSV files under {root}: read them by pattern as one table")
+    return sorted(found)
 
 
 def read_each_csv(spark: SparkSession, root: str) -> tuple[dict[str, DataFrame], dict[str, str]]:

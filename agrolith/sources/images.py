@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agrolith.functions.text import file_extension, parent_name, parent_path
-from agrolith.operators.encode import dense_codes
 from agrolith.operators.profile import IMAGE_EXTENSIONS, list_files
 
 # Extensions the labelled dataset accepts, and ImageNet channel statistics.
@@ -28,23 +27,27 @@ def list_images(spark: SparkSession, root: str) -> DataFrame:
     return list_files(spark, root, IMAGE_EXTENSIONS)
 
 
+def class_folders(spark: SparkSession, root: str) -> tuple[str, list[str]]:
+    """The root with its scheme, and the names of the folders in it, sorted (a directory listing, no files)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/"))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    full = fs.makeQualified(path)
+    return full.toString(), sorted(s.getPath().getName() for s in fs.listStatus(full) if s.isDirectory())
+
+
 def labelled_images(spark: SparkSession, root: str) -> DataFrame:
-    """Direct children of class folders (class -> sorted index); a flat folder gets label 0."""
-    root = root.rstrip("/")
-    files = list_files(spark, root, DATASET_EXTENSIONS)
-    rel = F.regexp_replace("path", r"^file:", "")
-    rel = F.regexp_replace(rel, "^" + root.replace(".", r"\.") + "/", "")
-    depth = F.size(F.split(rel, "/"))
-    files = files.withColumn("_depth", depth)
-    nested = files.where(F.col("_depth") == 2).withColumn("class", parent_name("path"))
-    flat = files.where(F.col("_depth") == 1)
-    codes = dense_codes(nested, "class", "label")
-    with_class = nested.join(codes.withColumnRenamed("value", "class"), "class", "left")
-    # flat layout only when no class folder exists: an anti join keeps it lazy
-    flat = flat.join(nested.select(F.lit(1).alias("_any")).limit(1), how="left_anti") \
-        .select("*", F.lit("").alias("class"), F.lit(0).alias("label"))
-    cols = ["path", "class", "label", "length", "extension"]
-    return with_class.select(*cols).unionByName(flat.select(*cols))
+    """Direct children of class folders (label = index of the folder by name, empty folders count);
+    without folders the images in the root get label 0. Extensions match in lower case only."""
+    full, classes = class_folders(spark, root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    files = files.withColumn("extension", F.regexp_extract("path", r"(\.[^./]+)$", 1)).where(F.col("extension").isin(DATASET_EXTENSIONS))
+    inside = F.substring("path", len(full) + 2, 1 << 30)
+    parts = F.split(inside, "/")
+    if not classes:
+        return files.where(F.size(parts) == 1).select("path", F.lit("").alias("class"), F.lit(0).alias("label"), "length", "extension")
+    names = F.array(*[F.lit(c) for c in classes])
+    return files.where(F.size(parts) == 2).withColumn("class", F.element_at(parts, 1)).select(
+        "path", "class", (F.array_position(names, F.col("class")) - 1).cast("int").alias("label"), "length", "extension")
 
 
 def decode_images(spark: SparkSession, root: str) -> DataFrame:
@@ -58,24 +61,25 @@ def decode_images(spark: SparkSession, root: str) -> DataFrame:
         .withColumn("folder", parent_path("path"))
 
 
-def _resize_norm(data: bytes, h: int, w: int, c: int, size: int) -> list[float]:
-    a = np.frombuffer(data, dtype=np.uint8).reshape(h, w, c).astype(np.float32)
+def _weights(n: int, size: int) -> np.ndarray:
+    """Triangle filter from ``n`` to ``size`` samples; when shrinking it widens to cover every source sample."""
+    scale = n / size
+    wide = max(scale, 1.0)
+    centre = (np.arange(size) + 0.5) * scale
+    w = np.maximum(0.0, 1.0 - np.abs(np.arange(n)[None, :] + 0.5 - centre[:, None]) / wide)
+    return w / w.sum(axis=1, keepdims=True)
+
+
+def _resize_norm(data: bytes, h: int, w: int, c: int, size: int) -> np.ndarray:
+    a = np.frombuffer(data, dtype=np.uint8).reshape(h, w, c).astype(np.float64)
     if c == 1:
         a = np.repeat(a, 3, axis=2)
-    a = a[:, :, :3][:, :, ::-1] / 255.0  # BGR(A) -> RGB in [0, 1]
-    # bilinear resize with align-corners=False sampling
-    ys = (np.arange(size) + 0.5) * h / size - 0.5
-    xs = (np.arange(size) + 0.5) * w / size - 0.5
-    y0 = np.clip(np.floor(ys).astype(int), 0, h - 1)
-    x0 = np.clip(np.floor(xs).astype(int), 0, w - 1)
-    y1, x1 = np.clip(y0 + 1, 0, h - 1), np.clip(x0 + 1, 0, w - 1)
-    wy = np.clip(ys - y0, 0, 1)[:, None, None]
-    wx = np.clip(xs - x0, 0, 1)[None, :, None]
-    top = a[y0][:, x0] * (1 - wx) + a[y0][:, x1] * wx
-    bot = a[y1][:, x0] * (1 - wx) + a[y1][:, x1] * wx
-    r = top * (1 - wy) + bot * wy
-    r = (r - np.asarray(MEAN_RGB, np.float32)) / np.asarray(STD_RGB, np.float32)
-    return r.transpose(2, 0, 1).ravel().tolist()  # channels first
+    a = a[:, :, :3][:, :, ::-1]  # BGR(A) -> RGB
+    # columns, then rows, each back to whole levels
+    a = np.clip(np.floor(np.einsum("xw,hwc->hxc", _weights(w, size), a) + 0.5), 0, 255)
+    a = np.clip(np.floor(np.einsum("yh,hxc->yxc", _weights(h, size), a) + 0.5), 0, 255)
+    r = (a.astype(np.float32) / 255.0 - np.asarray(MEAN_RGB, np.float32)) / np.asarray(STD_RGB, np.float32)
+    return np.ascontiguousarray(r.transpose(2, 0, 1)).ravel()  # channels first
 
 
 def preprocess(decoded: DataFrame, size: int = 128) -> DataFrame:

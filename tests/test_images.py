@@ -64,3 +64,35 @@ def test_decode_bgr_invalid_flag_and_preprocess(spark, tmpdir_path):
     red = t["a.pngblight"].tensor
     assert len(red) == 3 * 8 * 8
     assert abs(red[0] - (200 / 255 - 0.485) / 0.229) < 1e-5  # R channel first
+
+
+def test_shrinking_averages_every_source_pixel():
+    """Halving a black and white chessboard gives grey; a flat image stays flat at any size."""
+    import numpy as np
+
+    from agrolith.sources.images import MEAN_RGB, STD_RGB, _resize_norm, _weights
+    for n, size in ((256, 128), (300, 128), (6, 128), (128, 128)):
+        w = _weights(n, size)
+        assert np.allclose(w.sum(axis=1), 1) and (w.sum(axis=0) > 0).all() if n >= size else True
+    assert np.allclose(_weights(128, 128), np.eye(128))
+    board = (np.indices((256, 256)).sum(axis=0) % 2 * 255).astype(np.uint8)
+    t = _resize_norm(board.tobytes(), 256, 256, 1, 128).reshape(3, 128, 128)
+    grey = (t * np.array(STD_RGB, np.float32)[:, None, None] + np.array(MEAN_RGB, np.float32)[:, None, None]) * 255
+    inner = grey[:, 1:-1, 1:-1]  # at the rim the filter has fewer samples, not as many black as white
+    assert abs(inner - 127.5).max() <= 0.51 and abs(grey - 127.5).max() < 4
+    flat = np.full((200, 300, 3), 77, np.uint8)
+    t = _resize_norm(flat.tobytes(), 200, 300, 3, 64).reshape(3, -1)
+    assert all(len(set(c.tolist())) == 1 for c in t)
+
+
+def test_empty_class_folder_keeps_its_label(spark, tmpdir_path):
+    import os
+
+    from agrolith.sources.images import labelled_images
+    for d, names in (("a", []), ("b", ["x.png", "y.PNG"]), ("c", ["z.jpg", "deep/q.png"])):
+        for n in names or [None]:
+            os.makedirs(os.path.join(tmpdir_path, "set", d, os.path.dirname(n or "")), exist_ok=True)
+            if n:
+                open(os.path.join(tmpdir_path, "set", d, n), "wb").write(b"1")
+    got = sorted((r["class"], r.label, r.path.rsplit("/", 1)[1]) for r in labelled_images(spark, f"{tmpdir_path}/set").collect())
+    assert got == [("b", 1, "x.png"), ("c", 2, "z.jpg")]
