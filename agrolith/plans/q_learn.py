@@ -321,12 +321,19 @@ def _train_classifier(spark, d):
     return e, clf.fit(e.where(F.col("part") == "train"))
 
 
+def class_probabilities(spark, d):
+    """(vec_id, label, part, prediction, prob) of the classifier, trained once per input."""
+    def build():
+        from pyspark.ml.functions import vector_to_array
+        e, model = _train_classifier(spark, d)
+        return model.transform(e).select("vec_id", "label", "part", "prediction", vector_to_array("probability").alias("prob"))
+    return ST.stage(spark, d, "class_probabilities", build)
+
+
 @register("embedding_classifier")
 def embedding_classifier(spark, d):
     """Multilayer classifier on the vectors; loss and accuracy % per part."""
-    from pyspark.ml.functions import vector_to_array
-    e, model = _train_classifier(spark, d)
-    p = model.transform(e).withColumn("prob", vector_to_array("probability"))
+    p = class_probabilities(spark, d)
     pl = F.element_at("prob", (F.col("label") + 1).cast("int"))
     return p.groupBy("part").agg(
         F.count(F.lit(1)).alias("n"),
@@ -337,9 +344,7 @@ def embedding_classifier(spark, d):
 @register("class_yield_proxy")
 def class_yield_proxy(spark, d):
     """P(class 0) x 60 per vector from the trained classifier, 4 places; failures -> 0.0."""
-    from pyspark.ml.functions import vector_to_array
-    e, model = _train_classifier(spark, d)
-    p = model.transform(e).withColumn("prob", vector_to_array("probability"))
+    p = class_probabilities(spark, d)
     return p.select("vec_id", F.coalesce(round_half_even(F.element_at("prob", 1) * 60.0, 4), F.lit(0.0)).alias("yield_proxy"))
 
 

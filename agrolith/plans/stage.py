@@ -25,12 +25,21 @@ FOLD_SEED = 7
 FEATURES = ["country_code", "crop_code", "rain", "temp", "pest"]
 
 
+def signature(spark: SparkSession, sf_dir: str) -> str:
+    """A digest of the input folder's tables: names, sizes and times of change (one directory listing)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir.rstrip("/"))
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    parts = sorted(f"{s.getPath().getName()}:{s.getLen()}:{s.getModificationTime()}" for s in found)
+    return hashlib.md5("|".join([sf_dir.rstrip("/"), *parts]).encode()).hexdigest()[:12]
+
+
 def stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """The stage table ``name`` of an input folder, built when it is not there or the input has changed."""
     app = spark.sparkContext.applicationId
-    key = (app, sf_dir.rstrip("/"), name)
+    tag = signature(spark, sf_dir)
+    key = (app, tag, name)
     path = _DONE.get(key)
     if path is None:
-        tag = hashlib.md5(sf_dir.rstrip("/").encode()).hexdigest()[:10]
         path = f"{checkpoint_dir(spark).rstrip('/')}/agrolith-stage/{app}/{tag}/{name}"
         build().write.mode("overwrite").parquet(path)
         _DONE[key] = path
