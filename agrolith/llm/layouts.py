@@ -39,4 +39,10 @@ LAYOUTS = (
 
     "<html><body><header>" + _NAV + "</header><main><h1 data-y>{h}</h1><div><p data-y>{p}</p><p data-y>{p}</p></div><div><p data-y>{p}</p></div></main>"
     '<div role="alert">{s} {p}</div><div class="popup">' + _FORM + "</div>" + _FOOT + "</body></html>",
+
+    "<html><body>" + _NAV + '<article class="entry"><nav class="toc"><a href="#a">{s}</a><a href="#b">{s}</a></nav><h1 data-y>{h}</h1><p data-y>{p}</p>'
+    + '<form class="login"><p>{s}</p><label>{s}</label><p>Log in to read more</p></form>' + "<p data-y>{p}</p>" + '<form action="/poll"><p>{p}</p><button>{s}</button></form>'
+    '<p data-y>{p}</p><div class="sponsored"><p>{p}</p></div><p data-y>{p}</p><footer><p>{s}</p><p>{p}</p></footer></article>' + _COMMENTS + _FOOT + "</body></html>",
+
+    "<html><body data-y>{p} {p}</body></html>",
 )
