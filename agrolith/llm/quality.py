@@ -56,10 +56,16 @@ class Grams:
     def __init__(self, buckets: int = BUCKETS):
         self.mask = np.uint64(buckets - 1)
         self.up, self.down = _powers(1 << 12)
+        self.last: tuple | None = None  # the last token's hash, without and with its mark
 
-    def of(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(buckets, document index of each) for bytes ``data`` whose texts begin at ``starts``."""
+    def of(self, data: np.ndarray, starts: np.ndarray, goes_on: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets, document index of each) for bytes ``data`` whose texts begin at ``starts``.
+
+        ``goes_on``: the bytes are the next piece of the text before.
+        """
         none = np.zeros(0, np.int64)
+        if not goes_on:
+            self.last = None
         if not len(data):
             return none, none
         if len(self.up) < len(data) + 1:
@@ -82,23 +88,41 @@ class Grams:
         caps = (upper[b] - upper[a] == b - a) & (b - a > 1)
         doc = np.searchsorted(starts, a, side="right") - 1
         near = doc[1:] == doc[:-1]
-        again = np.concatenate([[False], (h[1:] == h[:-1]) & near])
+        plain = h
+        again = np.concatenate([[self.last is not None and h[0] == self.last[0]], (h[1:] == h[:-1]) & near])
         h = np.where(again, _AGAIN, np.where(caps, h ^ _CAPS, h))
-        pairs = (h[:-1] * _PAIR + h[1:])[near]
+        pairs, pair_doc = (h[:-1] * _PAIR + h[1:])[near], doc[1:][near]
+        if self.last is not None:
+            pairs, pair_doc = np.append(pairs, self.last[1] * _PAIR + h[:1]), np.append(pair_doc, 0)
+        self.last = (plain[-1], h[-1:])
         both = np.concatenate([h, pairs])
         both = (both ^ (both >> np.uint64(32))) * _MIX
-        return ((both >> np.uint64(40)) & self.mask).astype(np.int64), np.concatenate([doc, doc[1:][near]])
+        return ((both >> np.uint64(40)) & self.mask).astype(np.int64), np.concatenate([doc, pair_doc])
+
 
+def blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """(rows, bytes, starts, goes on) of a string column in blocks of about a MiB; nulls are empty.
 
-def blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, bytes, starts) of a string column in blocks of about a MiB; nulls are empty."""
+    A longer text comes in pieces that end at white space, all but the first with ``goes on``.
+    """
     column = column.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset: column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
     a = 0
     while a < len(column):
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + _BLOCK, side="right")) - 1)
-        yield np.arange(a, b), data[offsets[a]:offsets[b]], offsets[a:b] - offsets[a]
+        at, end = int(offsets[a]), int(offsets[b])
+        while end - at > 2 * _BLOCK:  # one text, as blocks of several end sooner
+            stop = at + _BLOCK
+            while stop < end and _KIND[data[stop]]:
+                ahead = np.flatnonzero(_KIND[data[stop:min(end, stop + _BLOCK)]] == 0)
+                stop = stop + int(ahead[0]) if len(ahead) else min(end, stop + _BLOCK)
+            yield np.array([a]), data[at:stop], np.zeros(1, np.int64), at > offsets[a]
+            at = stop
+        if at == offsets[a]:
+            yield np.arange(a, b), data[at:end], offsets[a:b] - offsets[a], False
+        elif at < end:
+            yield np.array([a]), data[at:end], np.zeros(1, np.int64), True
         a = b
 
 
@@ -110,10 +134,10 @@ class Model:
     def scores(self, column: pa.Array, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
         """(summed log ratio, number of n-grams) per text."""
         total, n = np.zeros(len(column)), np.zeros(len(column), np.int64)
-        for rows, data, starts in blocks(column):
-            bucket, doc = grams.of(data, starts)
-            total[rows] = np.bincount(doc, weights=self.ratio[bucket], minlength=len(rows))
-            n[rows] = np.bincount(doc, minlength=len(rows))
+        for rows, data, starts, goes_on in blocks(column):
+            bucket, doc = grams.of(data, starts, goes_on)
+            total[rows] += np.bincount(doc, weights=self.ratio[bucket], minlength=len(rows))
+            n[rows] += np.bincount(doc, minlength=len(rows))
         return total, n
 
 
@@ -147,8 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         for batch in batches:
             ids = batch.column(0).fill_null(-1).to_numpy()
             chosen = member(ids, sent.value[0]) & np.asarray(batch.column(0).is_valid())
-            for rows, data, starts in blocks(batch.column(1)):
-                bucket, doc = grams.of(data, starts)
+            for rows, data, starts, goes_on in blocks(batch.column(1)):
+                bucket, doc = grams.of(data, starts, goes_on)
                 raw += np.bincount(bucket, minlength=buckets)
                 target += np.bincount(bucket[chosen[rows][doc]], minlength=buckets)
         at = np.flatnonzero(raw)

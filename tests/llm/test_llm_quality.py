@@ -29,11 +29,12 @@ def grams_by_hand(text, buckets):
 def test_hashing_equals_plain_integers(monkeypatch):
     rng = random.Random(4)
     texts = ["", None, " \n", "One ONE one", "a!! b!! c", "É é ÉÉ x", "z"] + ["".join(rng.choices("abAB !é\n", k=rng.randrange(80))) for _ in range(60)]
+    texts += [" ".join(rng.choices(["a", "B", "BB", "c!", "!!", "dd", "x" * 200], k=400)) for _ in range(4)] + ["y" * 1000, " " * 900, "z z " * 300]
     monkeypatch.setattr(quality, "_BLOCK", 150)
     grams = quality.Grams(256)
     got = {}
-    for rows, data, starts in quality.blocks(pa.array(texts)):
-        bucket, doc = grams.of(data, starts)
+    for rows, data, starts, goes_on in quality.blocks(pa.array(texts)):
+        bucket, doc = grams.of(data, starts, goes_on)
         for b, d in zip(bucket.tolist(), doc.tolist()):
             got.setdefault(int(rows[d]), []).append(b)
     for i, t in enumerate(texts):
