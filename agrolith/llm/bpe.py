@@ -27,7 +27,7 @@ from agrolith.llm.common import with_workers
 #: A cut on average every 2**CUT_BITS bytes.
 CUT_BITS = 9
 WINDOW = 16
-#: Entries of a worker's caches; a full one is emptied.
+#: Entries of a worker's caches. A full word cache becomes the older one, a full chunk cache is emptied.
 MAX_WORDS = 1 << 18
 MAX_CHUNKS = 1 << 14
 #: Longer chunks are encoded without being kept.
@@ -73,6 +73,7 @@ class ChunkEncoder:
         self.names = [self.tok.id_to_token(i) for i in range(size)]
         self.bits = bits
         self.words: dict[bytes, tuple[bytes, str]] = {}
+        self.older: dict[bytes, tuple[bytes, str]] = {}  # the words before the cache was last emptied
         self.chunks: dict[bytes, tuple[bytes, str]] = {}
 
     def pack(self, ids: list[int]) -> tuple[bytes, str]:
@@ -80,17 +81,41 @@ class ChunkEncoder:
 
     def core(self, data: bytes) -> tuple[bytes, str]:
         """Ids and decoded text of bytes that begin and end beside white space."""
+        if len(self.words) > MAX_WORDS:
+            self.words, self.older = {}, self.words
         words, cache = data.split(), self.words
         new = [w for w in dict.fromkeys(words) if w not in cache]
         if new:
-            if len(cache) + len(new) > MAX_WORDS:
-                cache.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.tok.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-                cache[w] = self.pack(e.ids)
+            self.learn(new)
         got = [cache[w] for w in words]
         return b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])
 
+    def learn(self, new: list[bytes]) -> None:
+        """Put words into the cache: from the older one, from a word without its last comma or stop, or encoded."""
+        cache, older = self.words, self.older
+        stems, todo = {}, {}
+        for w in new:
+            if w in older:
+                cache[w] = older[w]
+                continue
+            # a comma or stop after a letter is a token run of its own
+            stem = w[:-1] if w[-1] in b",." and w[-2:-1].isalpha() else w
+            stems[w] = stem
+            for part in (stem, w[len(stem):]):
+                if part and part not in cache:
+                    if part in older:
+                        cache[part] = older[part]
+                    else:
+                        todo[part] = None
+        if todo:
+            texts = [w.decode("utf-8", "replace") for w in todo]
+            for w, e in zip(todo, self.tok.encode_batch(texts, add_special_tokens=False)):
+                cache[w] = self.pack(e.ids)
+        for w, stem in stems.items():
+            if w not in cache:
+                (a, x), (b, y) = cache[stem], cache[w[len(stem):]]
+                cache[w] = (a + b, " ".join(filter(None, (x, y))))
+
     def chunk(self, data: bytes) -> tuple[bytes, str]:
         got = self.chunks.get(data)
         if got is None:
@@ -104,6 +129,8 @@ class ChunkEncoder:
     def encode(self, text: str) -> tuple[bytes, str]:
         """(ids as little-endian unsigned 32-bit integers, decoded text) of a whole text."""
         data = text.encode()
+        if b"<|" not in data:  # no special token, whose case counts: the tokenizer ignores case
+            data = data.lower()
         parts: list[tuple[bytes, str]] = []
         open_end, a = b"", 0  # bytes after the last white space so far
         for b in cuts(data, self.bits):
