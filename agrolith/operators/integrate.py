@@ -18,7 +18,7 @@ from agrolith.functions.text import strip_all, title_case
 from agrolith.operators import clean as C
 from agrolith.operators.impute import group_median_fill
 from agrolith.operators.quantile import _ns_join
-from agrolith.session import cut, stage_table
+from agrolith.session import stage_table
 
 KEYS = ["country", "year"]
 
@@ -136,10 +136,10 @@ def join_chain_audit(base: DataFrame, sides: Mapping[str, DataFrame], keys: Sequ
     count of a key by the rows it meets.
     """
     keys = list(keys)
-    counts = cut(key_counts(base, keys))
+    counts = stage_table(key_counts(base, keys), "key-counts")
     out = None
     for name, side in sides.items():
-        rk = cut(key_counts(side, keys))
+        rk = stage_table(key_counts(side, keys), "key-counts")
         row = join_audit(counts, rk, keys, name, weight="_w", right_weight="_w")
         out = row if out is None else out.unionByName(row)
         met = _ns_join(counts, rk.withColumnRenamed("_w", "_rc"), keys, "left")

@@ -17,7 +17,7 @@ same way at every size:
 4. the two ranks are interpolated as ``lo + (hi - lo) * frac`` (the linear
    rule of pandas and of SQL ``quantile_cont``).
 
-The small per-group state is a DataFrame, checkpointed to the shared
+The small per-group state is a DataFrame, written to the shared
 checkpoint folder each pass.
 """
 
@@ -30,7 +30,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agrolith.session import cut
+from agrolith.session import stage_table
 
 _X = "_qx"
 _CONST = "_qgroup"
@@ -68,9 +68,9 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                          for i, p in enumerate(probs)])
     stats = data.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.min(_X).alias("lo"), F.max(_X).alias("hi"))
     pos = (F.col("n") - 1).cast("double") * F.col("prob")
-    want = cut(stats.select(*g, "n", "lo", "hi", F.explode(prob_arr).alias("t"))
+    want = stage_table(stats.select(*g, "n", "lo", "hi", F.explode(prob_arr).alias("t"))
                .select(*g, "t.prob_id", "t.prob", "lo", "hi", (F.floor(pos) + 1).cast("long").alias("klo"),
-                       (F.ceil(pos) + 1).cast("long").alias("khi"), (pos - F.floor(pos)).alias("frac")))
+                       (F.ceil(pos) + 1).cast("long").alias("khi"), (pos - F.floor(pos)).alias("frac")), "ranks")
     # one row per group and rank: small, with a short lineage for the passes
     state = want.select(*g, "lo", "hi", F.explode(F.array("klo", "khi")).alias("k")).distinct() \
         .withColumn("below", F.lit(0).cast("long"))
@@ -84,7 +84,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
         hist = hist.withColumn("upto", F.col("below") + F.sum("c").over(w))
         moved = hist.where((F.col("k") <= F.col("upto")) & (F.col("k") > F.col("upto") - F.col("c"))) \
             .select(*g, "lo", "hi", "k", (F.col("upto") - F.col("c")).alias("below"))
-        state = cut(state.where(~open_).unionByName(moved))
+        state = stage_table(state.where(~open_).unionByName(moved), "intervals")
     values = state.select(*g, "k", F.col("lo").alias("v"))
     low = _ns_join(want.drop("lo", "hi").withColumn("k", F.col("klo")), values, g + ["k"]).withColumnRenamed("v", "vlo").drop("k")
     both = _ns_join(low.withColumn("k", F.col("khi")), values, g + ["k"])
@@ -92,7 +92,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                       .otherwise(F.col("vlo") + (F.col("v") - F.col("vlo")) * F.col("frac")).alias("value"))
     if no_group:
         out = out.drop(_CONST)
-    out = cut(out)  # one row per group and probability; keeps the plans that use it small
+    out = stage_table(out, "quantiles")  # one row per group and probability; keeps the plans that use it small
     data.unpersist()
     return out
 

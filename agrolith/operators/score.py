@@ -29,6 +29,7 @@ MODEL_INFO = {
                ["Hybrid model reduces variance by fusing tabular and visual signals."]),
 }
 UNKNOWN_MODEL = ("Unknown", 0.90)
+NO_IMAGE_ERROR = "CNN model requires an image upload"
 TABULAR_WEIGHT, IMAGE_WEIGHT, NO_IMAGE_FACTOR = 0.7, 0.3, 0.95
 YEAR_RANGE = (1990, 2030)
 IMAGE_SCALE = 60.0
@@ -113,7 +114,7 @@ def respond(scored: DataFrame, tab: str = "tabular", img: str = "image") -> Data
     t, i = F.col(tab), F.col(img)
     hybrid = fuse(t, i)
     pred = (F.when(mt == "svr", t).when(mt == "cnn", i).when(mt == "hybrid", hybrid).otherwise(F.lit(0.0)))
-    err = F.when((mt == "cnn") & i.isNull(), F.lit("CNN model requires an image upload"))
+    err = F.when((mt == "cnn") & i.isNull(), F.lit(NO_IMAGE_ERROR))
     name = F.lit(UNKNOWN_MODEL[0])
     conf = F.lit(UNKNOWN_MODEL[1])
     for k, (nm, cf, _) in MODEL_INFO.items():

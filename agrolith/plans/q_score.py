@@ -49,6 +49,12 @@ def requests_table(spark, d):
 
 _CROPS_SQL = "[" + ", ".join(f"'{c}'" for c in REQUEST_CROPS) + "]"
 _MT_SQL = "CASE " + " ".join(f"WHEN event_type = '{e}' THEN '{m}'" for e, m in MODEL_BY_EVENT.items()) + " END"
+
+
+def _info_sql(i):
+    return " ".join(f"WHEN model_type = '{k}' THEN {v[i]!r}" for k, v in SCR.MODEL_INFO.items())
+
+
 SQL_REQ = f""",
 ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
 req AS (
@@ -85,17 +91,12 @@ resp AS (
     CASE WHEN model_type = 'cnn' AND image IS NULL THEN NULL ELSE
       round_even((CASE WHEN model_type = 'svr' THEN tabular WHEN model_type = 'cnn' THEN image
                        WHEN model_type = 'hybrid' THEN fused ELSE 0.0 END) * 100, 0) / 100 END AS prediction,
+    CASE WHEN model_type = 'cnn' AND image IS NULL THEN NULL {_info_sql(0)} ELSE '{SCR.UNKNOWN_MODEL[0]}' END AS model,
+    CAST(CASE WHEN model_type = 'cnn' AND image IS NULL THEN NULL {_info_sql(1)} ELSE {SCR.UNKNOWN_MODEL[1]} END AS DOUBLE) AS confidence,
+    CASE WHEN model_type = 'cnn' AND image IS NULL THEN '{SCR.NO_IMAGE_ERROR}' END AS error,
     CASE WHEN model_type = 'cnn' AND image IS NULL THEN NULL
-         WHEN model_type = 'svr' THEN 'SVR RBF Tuned' WHEN model_type = 'cnn' THEN 'SatelliteCNN'
-         WHEN model_type = 'hybrid' THEN 'Hybrid (0.7 SVR + 0.3 CNN)' ELSE 'Unknown' END AS model,
-    CAST(CASE WHEN model_type = 'cnn' AND image IS NULL THEN NULL
-         WHEN model_type = 'svr' THEN 0.94 WHEN model_type = 'cnn' THEN 0.88
-         WHEN model_type = 'hybrid' THEN 0.96 ELSE 0.90 END AS DOUBLE) AS confidence,
-    CASE WHEN model_type = 'cnn' AND image IS NULL THEN 'CNN model requires an image upload' END AS error,
-    CASE WHEN model_type = 'cnn' AND image IS NULL THEN NULL
-         WHEN model_type = 'svr' THEN 'SVR focusing on historical climate-pesticide correlations.'
-         WHEN model_type = 'cnn' THEN 'CNN extracting spatial health features from satellite imagery.'
-         WHEN model_type = 'hybrid' THEN 'Hybrid model reduces variance by fusing tabular and visual signals. | SVR Component: '
+         WHEN model_type = 'svr' THEN '{SCR.MODEL_INFO["svr"][2][0]}' WHEN model_type = 'cnn' THEN '{SCR.MODEL_INFO["cnn"][2][0]}'
+         WHEN model_type = 'hybrid' THEN '{SCR.MODEL_INFO["hybrid"][2][0]} | SVR Component: '
               || CAST(round_even(tabular * 100, 0) / 100 AS VARCHAR) || ' t/ha | CNN Component: '
               || CAST(round_even(coalesce(image, tabular * 0.95) * 100, 0) / 100 AS VARCHAR) || ' t/ha'
          ELSE '' END AS insights
