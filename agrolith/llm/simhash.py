@@ -156,6 +156,29 @@ class Links:
             self.up[max(a, b)] = min(a, b)
 
 
+def near_groups(points: np.ndarray, max_bits: int, width: int = 64) -> Iterator[np.ndarray]:
+    """The groups of two or more points that links connect, as indexes; smallest index first.
+
+    Every point is met once: from a seed, ``width`` points at a time look for
+    their neighbours among those not met yet. In a dense group the first ones
+    find nearly all, so no list of pairs is ever made.
+    """
+    rest = np.arange(len(points))
+    while len(rest):
+        group, todo, rest = [rest[:1]], rest[:1], rest[1:]
+        while len(todo) and len(rest):
+            now, todo = todo[:width], todo[width:]
+            hit = np.zeros(len(rest), bool)
+            step = max(1, (1 << 22) // len(rest))
+            for a in range(0, len(now), step):
+                hit |= (np.bitwise_count(points[now[a:a + step], None] ^ points[None, rest]) <= max_bits).any(axis=0)
+            if hit.any():
+                group.append(rest[hit])
+                todo, rest = np.concatenate([todo, rest[hit]]), rest[~hit]
+        if len(group) > 1:
+            yield np.concatenate(group)
+
+
 def link_shard(points: np.ndarray, mask: int, radius: int, max_bits: int, leaf_rows: int = LEAF_ROWS) -> np.ndarray:
     """For sorted distinct points: the index of the smallest point each is linked to through the shard."""
     links = Links(len(points))
@@ -163,14 +186,13 @@ def link_shard(points: np.ndarray, mask: int, radius: int, max_bits: int, leaf_r
     for _, rows in tree.route(points):
         rows = np.sort(rows)
         here = points[rows]
-        step = max(1, (1 << 22) // max(1, len(rows)))
-        for a in range(0, len(rows), step):
-            near = np.bitwise_count(here[a:a + step, None] ^ here[None, a:]) <= max_bits
-            i, j = np.nonzero(np.triu(near, 1))
-            if len(i):
-                # within a row the first neighbour stands for the row; others join it in turn
-                for x, y in zip(rows[a + i].tolist(), rows[a + j].tolist()):
-                    links.join(x, y)
+        linked = np.ones(len(rows), bool)
+        if len(rows) <= 2 * leaf_rows:  # most points have no neighbour: find the others at once
+            linked = (np.bitwise_count(here[:, None] ^ here[None, :]) <= max_bits).sum(axis=1) > 1
+        rows, here = rows[linked], here[linked]
+        for group in near_groups(here, max_bits):
+            for i in rows[group[1:]].tolist():
+                links.join(int(rows[group[0]]), i)
     return np.fromiter((links.root(i) for i in range(len(points))), np.int64, len(points))
 
 

@@ -114,3 +114,23 @@ def test_query_equals_brute_force(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = queries.op2_simhash(spark, SF).collect()
     assert sorted((repr(r["doc_id"]), r["fingerprint"], r["component_id"]) for r in got) == brute(docs)
+
+
+def test_a_dense_region_needs_no_list_of_pairs():
+    """Thousands of fingerprints around one: each is met once; the result is that of the plain comparison."""
+    import time
+    rng = random.Random(9)
+    centre = rng.getrandbits(64)
+    flips = lambda n: sum(1 << b for b in rng.sample(range(64), n))
+    points = np.unique(np.array([centre ^ flips(rng.choice([1, 2, 3])) for _ in range(20_000)] + [rng.getrandbits(64) for _ in range(500)], np.uint64))
+    began = time.process_time()
+    up = simhash.link_shard(points, simhash.block_masks(3)[0], 1, 4)
+    assert time.process_time() - began < 60
+    small = np.sort(rng.sample(points.tolist(), 300))
+    up = simhash.link_shard(np.array(small, np.uint64), simhash.block_masks(1)[0], 4, 4, leaf_rows=50)
+    want = components([int(p) for p in small])
+    groups = {}
+    for i, p in enumerate(small):
+        groups.setdefault(want[int(p)], []).append(i)
+    assert all(len({int(up[i]) for i in g}) == 1 for g in groups.values())
+    assert len({int(u) for u in up}) == len(groups)
