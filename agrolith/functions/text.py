@@ -51,12 +51,6 @@ def null_tokens_to_null(c) -> Column:
     return F.when(_c(c).isin(NULL_TOKENS), F.lit(None).cast("string")).otherwise(_c(c))
 
 
-def stripped_or_null(c) -> Column:
-    """Strip once; missing-value tokens become null (the usual first step of a coercion)."""
-    s = strip_all(c)
-    return F.when(s.isin(NULL_TOKENS), F.lit(None).cast("string")).otherwise(s)
-
-
 def iso_time(c) -> Column:
     """A timestamp as ISO text with microseconds."""
     return F.date_format(_c(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agrolith.functions.numeric import round_half_even
-from agrolith.functions.text import normalise_name, strip_all, stripped_or_null
+from agrolith.functions.text import normalise_name, strip_all
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
@@ -19,6 +19,8 @@ DATETIME_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 TARGET_CANDIDATES = ["yield", "crop_yield", "production", "output", "value", "area_harvested", "crop_production"]
 # What counts as a number in text (decimal notation, an optional exponent).
 DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# A whole number written with a decimal point.
+WHOLE = r"^[+-]?[0-9]+\.0*$"
 
 
 def normalise_columns(df: DataFrame) -> DataFrame:
@@ -86,16 +88,15 @@ def strict_int(c: str):
     """Integer cast where null or malformed text is an error; a whole number may be written as ``1990.0``."""
     v = F.col(c).cast("string")
     text = strip_all(v)
-    number = F.when(text.rlike(DECIMAL), text.try_cast("double"))
-    parsed = F.when((F.floor(number) == number) & (F.abs(number) < 2147483648.0), number.try_cast("int"))
-    checked = F.when(parsed.isNull(), F.raise_error(F.concat(F.lit(f"bad integer in {c}: "),
-                                                             F.coalesce(v, F.lit("null")))))
-    return checked.otherwise(parsed)
+    number = text.try_cast("double")
+    whole = F.when(text.rlike(WHOLE), number.try_cast("int"))  # only looked at when the text is no plain integer
+    error = F.raise_error(F.concat(F.lit(f"bad integer in {c}: "), F.coalesce(v, F.lit("null")))).cast("int")
+    return F.coalesce(text.try_cast("int"), whole, error)
 
 
 def coerce_double(c: str):
     """To double; missing-value tokens and text that is not a decimal number become null (never NaN)."""
-    text = stripped_or_null(F.col(c).cast("string"))
+    text = strip_all(F.col(c).cast("string"))
     return F.when(text.rlike(DECIMAL), text.try_cast("double"))
 
 

@@ -359,7 +359,8 @@ FROM s GROUP BY label""")
 def class_accuracy_loss(spark, d):
     """Softmax over ten logits of the whole vector, arg-max class, loss and accuracy per label."""
     e = TB.table(spark, d, "embeddings")
-    p = e.select("label", softmax(fixed_logits(F.col("embedding"), 10)).alias("pr"))
+    lg = e.select("label", fixed_logits(F.col("embedding"), 10).alias("lg"))  # a step of its own: used several times
+    p = lg.select("label", softmax("lg").alias("pr"))
     s = p.select("label", argmax("pr").alias("pred"),
                  (-F.log(F.element_at("pr", (F.col("label") + 1).cast("int")))).alias("nll"))
     return s.groupBy("label").agg(
