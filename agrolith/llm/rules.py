@@ -9,6 +9,7 @@ very short and self-repeating documents first.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -95,8 +96,7 @@ def fails(line: str, words: list[str], chars: int) -> bool:
     if n >= 20:
         if not ENDS.search(line):
             return True  # a long line without any punctuation
-        top = max(map(words.count, set(words[:: max(1, n // 8)])))
-        if top * 3 > n:
+        if Counter(words).most_common(1)[0][1] * 3 > n:
             return True  # one word over and over
     return False
 

@@ -71,3 +71,20 @@ def test_query_equals_brute_force(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in queries.op8_rules(spark, SF).collect():
         assert tuple(r[c] for c in (*rules.COUNTS, "base_failed")) == by_hand(texts[r["doc_id"]])
+
+
+def test_one_word_over_and_over():
+    """All words of a line count, wherever they stand: verdict and lost characters against plain loops."""
+    rng = random.Random(3)
+    for n in range(20, 60):
+        for every in (2, 3, 4):
+            for at in range(every):
+                words = ["buy" if i % every == at else f"w{rng.randrange(10**6)}x{i}" for i in range(n)]
+                words[-1] += "."
+                line = ", ".join(words[:2]) + " " + " ".join(words[2:])
+                words = line.split(" ")
+                often = max(sum(x == y for y in words) for x in words)
+                g = rules.judge(CLEAN + "\n" + line)
+                assert (g.lost_chars > 0) == (often * 3 > n), line
+                assert g.lost_chars == (sum(map(len, words)) if often * 3 > n else 0)
+                assert g.kept == (g.lost_chars <= 0.4 * g.word_chars)
