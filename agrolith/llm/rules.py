@@ -28,11 +28,22 @@ WINDOW = 8
 #: A document stays if the lines it loses hold at most this share of its word characters.
 MAX_LOSS = 0.4
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-#: Words of menus and notices; a short line made of them alone is navigation.
+#: Words of menus and notices; a line made of them alone is navigation.
 NAV_WORDS = frozenset("home menu login logout register search next previous prev back top share tweet contact about help sitemap rss print email more".split())
 BOILERPLATE = re.compile(r"all rights reserved|cookie policy|accept (all )?cookies|privacy policy|terms of (use|service)|click here|subscribe to our|"
                          r"enable javascript|sign up for|lorem ipsum", re.IGNORECASE)
-ENDS = re.compile(r"[.!?:;,…\"')\]]")
+NAV_OR_NONE = NAV_WORDS | {""}
+SEPARATORS = ".,:|>-·•»/"
+SENTENCE = re.compile(r"(?<=[.!?;])\s+")
+#: Every phrase holds one of these.
+NOTICE_PARTS = ("reserved", "cookie", "privacy policy", "terms of", "click here", "subscribe to", "enable javascript", "sign up for", "lorem ipsum")
+#: A line or sentence is a notice if boilerplate phrases fill at least one word in this many.
+NOTICE_WORDS = 12.5
+#: Punctuation marks; not those inside a word or a number (don't, 3.14, 10:30).
+MARKS = re.compile(r"(?:[!?;…)\]]|,(?!\d)|[.:\"'](?!\w))+")
+#: Prose has a mark in so many words, and fewer than LAST_WORDS behind the last one.
+MARK_WORDS = 40
+LAST_WORDS = 20
 
 
 @dataclass
@@ -79,6 +90,27 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(cover[:-1]) > 0).sum())
 
 
+def notice(line: str, n: int) -> bool:
+    """Whether boilerplate phrases fill their share of the line, or of sentences that make half of it."""
+    def filled(text: str) -> int:
+        return sum(len(m[0].split()) for m in BOILERPLATE.finditer(text))
+
+    low = line.lower()
+    if not any(map(low.__contains__, NOTICE_PARTS)) and not any(map(line.__contains__, "İıſ")):
+        return False  # the pattern's folding of case knows three letters more than lower()
+    found = filled(line)
+    if not found or found * NOTICE_WORDS >= n:
+        return found > 0
+    sentences = [(len(x.split()), filled(x)) for x in SENTENCE.split(line)]
+    return 2 * sum(m for m, f in sentences if f and f * NOTICE_WORDS >= m) >= n
+
+
+def unmarked(line: str, n: int) -> bool:
+    """Whether a line has fewer marks than one in MARK_WORDS words, none at all, or LAST_WORDS words behind the last."""
+    ends = [m.end() for m in MARKS.finditer(line)]
+    return not ends or len(ends) < n // MARK_WORDS or len(line[ends[-1]:].split()) >= LAST_WORDS
+
+
 def fails(line: str, words: list[str], chars: int) -> bool:
     """Whether a line is removed; ``chars`` counts its characters in words."""
     n = len(words)
@@ -87,15 +119,15 @@ def fails(line: str, words: list[str], chars: int) -> bool:
         return True  # noise of symbols, or cells of a table or menu
     if line.count("!!") * 3 > n or (n >= 5 and chars > 20 and line == line.upper() and line != line.lower()):
         return True  # shouting
-    if n <= 6 and all(w.strip(".,:|>-").lower() in NAV_WORDS for w in words):
+    if all(w.strip(SEPARATORS).lower() in NAV_OR_NONE for w in words) and any(w.strip(SEPARATORS) for w in words):
         return True  # navigation
-    if n <= 25 and BOILERPLATE.search(line):
+    if notice(line, n):
         return True
     if n >= 10 and 3 * sum(map(str.__eq__, words, words[1:])) > n:
         return True  # words said again at once
     if n >= 20:
-        if not ENDS.search(line):
-            return True  # a long line without any punctuation
+        if unmarked(line, n):
+            return True  # a long line without the punctuation of prose
         if Counter(words).most_common(1)[0][1] * 3 > n:
             return True  # one word over and over
     return False

@@ -88,3 +88,37 @@ def test_one_word_over_and_over():
                 assert (g.lost_chars > 0) == (often * 3 > n), line
                 assert g.lost_chars == (sum(map(len, words)) if often * 3 > n else 0)
                 assert g.kept == (g.lost_chars <= 0.4 * g.word_chars)
+
+
+LONG_PROSE = ("The keeper of the weir wrote down the height of the water every morning and evening for thirty years, and nobody asked for the book until the bridge "
+              "fell; then three engineers read it in one night, page by page, and found that the river had warned them.")
+NOTICE = ("We use small files on your device to remember settings. By using this site you accept our cookie policy and privacy policy. "
+          "Click here to accept all cookies or to change them in your browser, and read the terms of use before you go on.")
+MENU = "Home About Contact Login Register Search Help Sitemap"
+PLAIN = " ".join(f"word{i}" for i in range(60))
+# line, whether it is removed
+LINES = [
+    (MENU, True), ((MENU + " ") * 5, True), ("Home / About / Contact", True), ("Home | Menu | Login", True), (MENU + " river", False), ("/ - /", False),
+    (NOTICE, True), (NOTICE.upper().replace("WE USE", "We use"), True), ("Please read our privacy policy.", True), ("cookie policy " + "word " * 23 + "end.", True),
+    (LONG_PROSE + " Only later did the town hang up a privacy policy at the mill, which no miller read.", False), (LONG_PROSE, False),
+    (PLAIN, True), (PLAIN.replace("word0 ", "word0, "), True), (PLAIN.replace("word0 ", "don't "), True), (PLAIN + ".", False), (PLAIN + " " + PLAIN[::-1] + ".", True),
+    (PLAIN.replace("word9 ", "3.14 10:30 1,000 "), True), (" ".join(PLAIN.split()[:19]), False), (" ".join(PLAIN.split()[:20]), True), ("no,spaces here " * 3 + CLEAN, False),
+]
+
+
+def test_lines_of_any_length():
+    """Navigation, notices and punctuation are judged in lines of any length; lost characters are the lines' own."""
+    for line, gone in LINES:
+        g = rules.judge(CLEAN + "\n" + line)
+        size = sum(map(len, line.split()))
+        assert g.lost_chars == (size if gone else 0), line
+        assert g.text == (CLEAN if gone else CLEAN + "\n" + line)
+        assert g.kept == (g.lost_chars <= 0.4 * (size + sum(map(len, CLEAN.split()))) and not g.base_failed)
+
+
+def test_notice_parts_miss_nothing():
+    """The quick look before the pattern: every phrase is still found, in any case."""
+    for phrase in ("all rights reserved", "cookie policy", "accept cookies", "accept all cookies", "privacy policy", "terms of use", "terms of service", "click here",
+                   "subscribe to our", "enable javascript", "sign up for", "lorem ipsum", "S\u0130GN UP FOR", "CL\u0131CK HERE", "term\u017f of use", "\u212A".join(("coo", "ie policy"))):
+        for text in (phrase, phrase.swapcase()) if phrase.isascii() else (phrase,):
+            assert rules.BOILERPLATE.search(text) and rules.notice(text, 3), text
