@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from agrolith.llm import bpe, html, licenses, packing, pii, quality, rules, simhash, topk, urls
+from agrolith.llm import bpe, html, kmeans, licenses, packing, pii, quality, rules, simhash, topk, trie, urls
 from agrolith.llm.common import table
 
 
@@ -200,6 +200,82 @@ SELECT page_id, host, path, rule,
 """
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the prefix trie of the rebuilt ``conversations``, with their subtree totals."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = """
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                            sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT DISTINCT c, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384::BIGINT) ELSE y // 2 END))) % 6 AS h FROM t),
+r AS (
+  SELECT i.c, t.pos AS d, t.role, t.text FROM ids i JOIN t ON t.c = i.c - i.c % 100 AND t.pos <= i.h
+  UNION ALL
+  SELECT i.c, t.pos - i.h + least(i.h, (SELECT count(*) FROM t b WHERE b.c = i.c - i.c % 100)), t.role, t.text FROM ids i JOIN t ON t.c = i.c AND t.pos > i.h),
+p AS (
+  SELECT c, d, length(text) AS chars, list({'role': role, 'text': text}) OVER (PARTITION BY c ORDER BY d) AS seq FROM r
+  UNION ALL SELECT c, 0, 0, [] FROM ids),
+len AS (SELECT c, max(d) AS n FROM p GROUP BY c),
+n AS (
+  SELECT d, seq, min(p.c) AS rep, count(*) AS n_convs, any_value(chars) AS chars,
+         coalesce(string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c) FILTER (p.d = len.n), '') AS ends
+  FROM p JOIN len ON p.c = len.c GROUP BY d, seq),
+through AS (SELECT p.c, p.d, n.rep FROM p JOIN n ON p.d = n.d AND p.seq = n.seq),
+up AS (SELECT n.rep, n.d, a.rep AS parent FROM n LEFT JOIN through a ON a.c = n.rep AND a.d = n.d - 1),
+kids AS (SELECT parent, d - 1 AS d, count(*) AS k FROM up WHERE d > 0 GROUP BY ALL),
+v AS (SELECT n.*, up.parent, coalesce(kids.k, 0) AS k FROM n JOIN up ON n.rep = up.rep AND n.d = up.d
+      LEFT JOIN kids ON kids.parent = n.rep AND kids.d = n.d),
+sums AS (
+  SELECT a.rep, a.d, sum(CASE WHEN v.k = 0 THEN 1 ELSE 0 END) AS leaves, sum((v.n_convs - 1) * v.chars) AS saved
+  FROM v JOIN through a ON a.c = v.rep AND a.d <= v.d GROUP BY a.rep, a.d)
+SELECT v.rep AS conv_id, CAST(v.d AS BIGINT) AS depth, v.parent AS parent_conv_id, v.n_convs, CAST(v.k AS BIGINT) AS n_children,
+       CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(v.ends) AS ends_sha256
+FROM v JOIN sums s ON v.rep = s.rep AND v.d = s.d
+"""
+
+
+def op13_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16 clusters of the 64-component ``embeddings``, three rounds and a last assignment."""
+    good = (F.size("embedding") == 64) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    scaled = F.transform("embedding", lambda x: F.floor(F.lit(64.0) * x.cast("double")).cast("bigint"))
+    vectors = table(spark, sf_dir, "embeddings").where(F.col("embedding").isNotNull() & good).select("vec_id", scaled.alias("v"))
+    rows, centres, _ = kmeans.cluster(vectors, "vec_id", "v", 16, 3, F.sha2(F.concat(F.lit("1:"), F.col("vec_id").cast("string")), 256))
+    named = spark.createDataFrame([(i, ",".join(map(str, c))) for i, c in enumerate(centres)], "cluster int, parts string")  # 16 rows
+    return rows.join(F.broadcast(named), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("parts", 256).alias("centroid_sha256"))
+
+
+def _op13_sql() -> str:
+    near = lambda c: f"""SELECT v.vec_id, v.e, arg_min(c.j, {{'d': list_sum(list_transform(list_zip(v.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'j': c.j}}) AS j,
+         min(list_sum(list_transform(list_zip(v.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d
+  FROM v CROSS JOIN {c} c GROUP BY v.rid, v.vec_id, v.e"""
+    rounds = ",".join(f"""
+a{r} AS ({near(f'c{r}')}),
+s{r} AS (SELECT j, i, sum(x) AS s, count(*) AS n FROM (SELECT j, unnest(e) AS x, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY j, i),
+m{r} AS (SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS e FROM s{r} GROUP BY j),
+c{r + 1} AS (SELECT c.j, coalesce(m.e, c.e) AS e FROM c{r} c LEFT JOIN m{r} m ON c.j = m.j)""" for r in range(3))
+    return f"""
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, e) - 1 AS j, e FROM v
+       QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, e) <= 16),{rounds},
+f AS ({near('c3')})
+SELECT f.vec_id, CAST(f.j AS INTEGER) AS cluster, CAST(f.d AS BIGINT) AS distance,
+       CAST(sum(f.d) OVER (PARTITION BY f.j) AS BIGINT) AS cluster_inertia, CAST(sum(f.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM f JOIN c3 c ON f.j = c.j
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -215,6 +291,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rules": op8_rules,
     "op9_bpe": op9_bpe,
     "op10_urls": op10_urls,
+    "op11_trie": op11_trie,
+    "op13_kmeans": op13_kmeans,
     "pipeline": pipeline,
 }
-ORACLE: dict[str, str] = {"op1_licenses": _op1_sql(), "op3_pii": _op3_sql(), "op5_topk": OP5_SQL, "op10_urls": _op10_sql()}
+ORACLE: dict[str, str] = {"op1_licenses": _op1_sql(), "op3_pii": _op3_sql(), "op5_topk": OP5_SQL, "op10_urls": _op10_sql(),
+                          "op11_trie": OP11_SQL, "op13_kmeans": _op13_sql()}
