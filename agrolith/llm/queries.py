@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from agrolith.llm import bpe, html, kmeans, licenses, packing, pii, quality, rules, simhash, topk, trie, urls
+from agrolith.llm import bpe, html, kmeans, licenses, packing, pii, quality, rules, simhash, topk, toxicity, trie, urls
 from agrolith.llm.common import table
 
 
@@ -241,6 +241,14 @@ FROM v JOIN sums s ON v.rep = s.rep AND v.d = s.d
 """
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text; labels are learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~toxicity.held_out("doc_id")).select(F.col("doc_id").alias("id"), "toxic")
+    model = toxicity.fit(docs, labels, "doc_id", "text")
+    return toxicity.score(docs, "doc_id", "text", model).select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted", "n_hits", "n_mentions")
+
+
 def op13_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """16 clusters of the 64-component ``embeddings``, three rounds and a last assignment."""
     good = (F.size("embedding") == 64) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -292,6 +300,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_urls": op10_urls,
     "op11_trie": op11_trie,
+    "op12_toxicity": op12_toxicity,
     "op13_kmeans": op13_kmeans,
     "pipeline": pipeline,
 }
