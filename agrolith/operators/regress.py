@@ -1,20 +1,28 @@
 """Epsilon-insensitive kernel regression at scale (M1-M7, M9 for kernels).
 
-Objective per model j (C_j, eps_j), on the rows it trains on (n_j rows):
+Objective per model j (C_j, eps_j), on the rows it trains on:
 
-    f_j(w, b) = ( 1/2 |w|^2 + C_j * sum_i l(y_i - phi(x_i) w - b) ) / n_j
+    f_j(w, b) = 1/2 |w|^2 + C_j * sum_i l(y_i - phi(x_i) w - b)
 
 with the smoothed epsilon-insensitive loss l(r) = 0 for |r| <= eps,
 (|r| - eps)^2 / (2 delta) up to eps + delta, |r| - eps - delta/2 beyond
 (delta = a small share of std(y); it tends to the plain loss as delta -> 0).
 
-Each evaluation is one scan of the cached training rows: a ``mapInPandas``
-task maps its rows through the feature map (numpy, Arrow batches), scores all
-models at once as a matrix product, and emits one partial sum per partition;
-``treeAggregate`` adds the partials. The driver only keeps the weights
-(feature-map size x models) and runs L-BFGS. Many models (a whole
-hyper-parameter grid and its folds) train in the same scans; a model's own
-fold is masked out of its sums.
+One scan of the cached training rows evaluates many models at once (a whole
+grid and its folds; a model's own fold is masked out): every task maps its rows
+through the feature map and emits one partial sum; the driver holds only the
+weights and curvatures (feature-map size x models). Each model has its own
+step, history, smoothing and stop test, and leaves the scans once it is done:
+
+* the direction comes from the curvature of the rows inside the smoothing band,
+  summed over a bounded number of tasks; where those are not all tasks, secant
+  pairs of the model's own steps correct it;
+* a scan also returns the losses at shorter steps, so a step that does not
+  fall far enough costs one more scan, whatever its length;
+* delta starts wide and shrinks tenfold whenever the model has settled;
+* the derivatives of the loss are a dual point (scaled so that they add up to
+  zero), so every scan yields the model's **duality gap**. A model is done when
+  its gap is at most ``gap_tol`` of its objective.
 """
 
 from __future__ import annotations
@@ -26,12 +34,15 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from agrolith.operators.kernel import FeatureMap
 from agrolith.session import ship_package
 
-_SCHEMA = "loss array<double>, gw array<double>, gb array<double>, n array<double>"
+GAP_TOL = 1e-4
+#: Tasks that add up curvature, and bytes of partial sums that are added on the driver instead of in a tree.
+CURVATURE_TASKS, DIRECT_BYTES = 64, 1 << 26
+SHORTER = np.array([0.5, 0.25, 0.1, 0.03, 0.01, 1e-3, 1e-4])
+MEMORY = 8
 
 
 @dataclass
@@ -42,132 +53,132 @@ class SVRFit:
     C: np.ndarray
     eps: np.ndarray
     model_folds: np.ndarray  # (M,), -1 = trained on all rows
-    history: list = field(default_factory=list)
+    iterations: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
+    objective: np.ndarray = field(default_factory=lambda: np.zeros(0))  # per training row
+    gap: np.ndarray = field(default_factory=lambda: np.zeros(0))        # relative duality gap
+    delta: float = 0.0
 
     def column(self, j: int = 0) -> "SVRFit":
-        return SVRFit(self.fmap, self.W[:, [j]], self.b[[j]], self.C[[j]], self.eps[[j]],
-                      self.model_folds[[j]], self.history)
+        pick = lambda a: a[[j]] if len(a) else a
+        return SVRFit(self.fmap, self.W[:, [j]], self.b[[j]], self.C[[j]], self.eps[[j]], self.model_folds[[j]],
+                      pick(self.iterations), pick(self.objective), pick(self.gap), self.delta)
 
 
-def _smoothed(R: np.ndarray, eps: np.ndarray, delta: float):
-    a = np.abs(R) - eps[None, :]
-    pos = np.maximum(a, 0.0)
-    quad = pos <= delta
-    loss = np.where(quad, pos * pos / (2 * delta), a - delta / 2)
-    dl = np.sign(R) * np.minimum(pos / delta, 1.0)  # d loss / d r
-    return loss, dl
+def _matrix(batch, cols: Sequence[str]) -> np.ndarray:
+    return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in cols])
 
 
-def _tree_sum(df: DataFrame):
-    """Sum the one-row-per-partition partials in a tree."""
-    def seq(acc, row):
-        vals = [np.asarray(row[k], dtype=np.float64) for k in ("loss", "gw", "gb", "n")]
-        return vals if acc is None else [a + v for a, v in zip(acc, vals)]
+def _sum_parts(df: DataFrame, fn, size: int, parts: int) -> np.ndarray:
+    """Sum of the tasks' partial vectors of ``size`` doubles: on the driver while they are few, else in a tree."""
+    out = df.mapInArrow(fn, "part binary")
+    if parts * size * 8 <= DIRECT_BYTES:
+        total = np.zeros(size)
+        for r in out.collect():  # at most DIRECT_BYTES
+            total += np.frombuffer(r["part"])
+        return total
+    add = lambda a, b: b if a is None else a if b is None else a + b
+    return out.rdd.treeAggregate(None, lambda acc, r: add(acc, np.frombuffer(r["part"])), add, depth=2)
 
-    def comb(a, b):
-        if a is None:
-            return b
-        if b is None:
-            return a
-        return [x + y for x, y in zip(a, b)]
 
-    return df.rdd.treeAggregate(None, seq, comb, depth=2)
+def _binary(vector: np.ndarray):
+    import pyarrow as pa
+    return pa.RecordBatch.from_arrays([pa.array([vector.tobytes()], pa.binary())], ["part"])
 
 
-def _partials_fn(fmap: FeatureMap, features: Sequence[str], label: str, fold_col: str | None,
-                 W: np.ndarray, b: np.ndarray, eps: np.ndarray, delta: float, folds: np.ndarray):
-    feats = list(features)
+@dataclass
+class Scan:
+    """What one scan evaluates: models at (W, b) and, for trial steps, shorter ones along (D, db)."""
 
-    def run(batches):
-        p, M = W.shape
-        loss = np.zeros(M)
-        gw = np.zeros((p, M))
-        gb = np.zeros(M)
-        n = np.zeros(M)
-        for pdf in batches:
-            if len(pdf) == 0:
+    fmap: FeatureMap
+    features: list[str]
+    label: str
+    fold_col: str | None
+    W: np.ndarray
+    b: np.ndarray
+    eps: np.ndarray
+    delta: np.ndarray
+    folds: np.ndarray
+    D: np.ndarray | None = None
+    db: np.ndarray | None = None
+    curvature_every: int = 0  # 0: none; k: the tasks of every k-th partition
+
+    @property
+    def sizes(self) -> dict[str, tuple[int, ...]]:
+        p, m = self.W.shape
+        out = {"loss": (m,), "n": (m,), "vp": (p, m), "vm": (p, m), **{k: (m,) for k in ("ap", "am", "yp", "ym", "qp", "qm")}}
+        if self.D is not None:
+            out["shorter"] = (len(SHORTER), m)
+        if self.curvature_every:
+            out |= {"band_rows": (1,), "band": (m, p + 1, p + 1)}
+        return out
+
+    def run(self, batches):
+        from pyspark import TaskContext
+        total = {k: np.zeros(v) for k, v in self.sizes.items()}
+        context = TaskContext.get()
+        curved = bool(self.curvature_every) and (context is None or context.partitionId() % self.curvature_every == 0)
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            X = pdf[feats].to_numpy(dtype=np.float64)
-            y = pdf[label].to_numpy(dtype=np.float64)
-            Phi = fmap.apply(X)
-            R = y[:, None] - (Phi @ W + b[None, :])
-            if fold_col is not None:
-                mask = (pdf[fold_col].to_numpy()[:, None] != folds[None, :]).astype(np.float64)
-            else:
-                mask = np.ones_like(R)
-            l, dl = _smoothed(R, eps, delta)
-            l *= mask
+            phi = self.fmap.apply(_matrix(batch, self.features))
+            y = _matrix(batch, [self.label])
+            mask = np.ones((len(y), len(self.b)))
+            if self.fold_col is not None:
+                mask = (batch.column(self.fold_col).to_numpy(zero_copy_only=False)[:, None] != self.folds[None, :]).astype(np.float64)
+            r = y - (phi @ self.W + self.b[None, :])
+            loss, dl, band = self.losses(r)
             dl *= mask
-            loss += l.sum(0)
-            gw -= Phi.T @ dl
-            gb -= dl.sum(0)
-            n += mask.sum(0)
-        yield _one_row(loss, gw, gb, n)
-    return run
-
-
-def _one_row(loss, gw, gb, n):
-    import pandas as pd
-    return pd.DataFrame({"loss": [loss.tolist()], "gw": [gw.ravel().tolist()], "gb": [gb.tolist()],
-                         "n": [n.tolist()]})
-
-
-def _lbfgs(fg, x0: np.ndarray, max_iter: int, m: int = 10, gtol: float = 1e-6, ftol: float = 1e-9,
-           rtol: float = 1e-4, window: int = 5):
-    """Minimise with L-BFGS (two-loop recursion) and Armijo backtracking; returns x, history.
-
-    Stops on a small gradient, on a stalled step, or when the objective fell by
-    less than ``rtol`` (relative) over the last ``window`` iterations.
+            up, down = np.maximum(dl, 0), np.maximum(-dl, 0)
+            total["loss"] += (loss * mask).sum(0)
+            total["n"] += mask.sum(0)
+            for sign, d in (("p", up), ("m", down)):
+                total["v" + sign] += phi.T @ d
+                total["a" + sign] += d.sum(0)
+                total["y" + sign] += (y * d).sum(0)
+                total["q" + sign] += (d * d).sum(0)
+            if self.D is not None:
+                along = phi @ self.D + self.db[None, :]
+                for i, s in enumerate(SHORTER):
+                    total["shorter"][i] += (self.losses(r + (1 - s) * along)[0] * mask).sum(0)
+            if curved:
+                total["band_rows"] += len(y)
+                phi1 = np.column_stack([phi, np.ones(len(y))])
+                for j in range(len(self.b)):
+                    rows = phi1[band[:, j] & (mask[:, j] > 0)]
+                    total["band"][j] += rows.T @ rows
+        yield _binary(np.concatenate([v.ravel() for v in total.values()]))
+
+    def losses(self, r: np.ndarray):
+        """Loss, derivative by r, and whether a row lies in the smoothing band."""
+        over = np.maximum(np.abs(r) - self.eps[None, :], 0.0)
+        inside = over <= self.delta
+        loss = np.where(inside, over * over / (2 * self.delta), over - self.delta / 2)
+        return loss, np.sign(r) * np.minimum(over / self.delta, 1.0), inside & (over > 0)
+
+    def over(self, data: DataFrame, parts: int) -> dict[str, np.ndarray]:
+        size = sum(int(np.prod(v)) for v in self.sizes.values())
+        flat, out, at = _sum_parts(data, self.run, size, parts), {}, 0
+        for k, v in self.sizes.items():
+            n = int(np.prod(v))
+            out[k] = flat[at:at + n].reshape(v)
+            at += n
+        return out
+
+
+def objective(t: dict, W: np.ndarray, C: np.ndarray, eps: np.ndarray, delta: np.ndarray):
+    """(primal, dual, gradient by w, by b) per model from the sums of a scan.
+
+    The dual point is alpha = C * loss derivative; the larger of its positive
+    and negative parts is scaled down until they add up to zero.
     """
-    x = x0.copy()
-    f, g = fg(x)
-    hist = [f]
-    S, Y = [], []
-    for it in range(max_iter):
-        if np.max(np.abs(g)) < gtol:
-            break
-        q = g.copy()
-        alphas = []
-        for s, yv in reversed(list(zip(S, Y))):
-            rho = 1.0 / yv.dot(s)
-            a = rho * s.dot(q)
-            alphas.append((a, rho, s, yv))
-            q -= a * yv
-        if S:
-            gamma = S[-1].dot(Y[-1]) / Y[-1].dot(Y[-1])
-        else:
-            gamma = 1.0 / max(np.linalg.norm(g), 1e-12)
-        r = gamma * q
-        for a, rho, s, yv in reversed(alphas):
-            bcoef = rho * yv.dot(r)
-            r += s * (a - bcoef)
-        d = -r
-        if g.dot(d) >= 0:
-            d = -g
-        step = 1.0
-        fn, gn = fg(x + step * d)
-        tries = 0
-        while fn > f + 1e-4 * step * g.dot(d) and tries < 20:
-            step *= 0.5
-            fn, gn = fg(x + step * d)
-            tries += 1
-        s_k = step * d
-        y_k = gn - g
-        if y_k.dot(s_k) > 1e-12:
-            S.append(s_k)
-            Y.append(y_k)
-            if len(S) > m:
-                S.pop(0)
-                Y.pop(0)
-        x = x + s_k
-        done = abs(f - fn) <= ftol * max(1.0, abs(f))
-        f, g = fn, gn
-        hist.append(f)
-        if len(hist) > window and hist[-1 - window] - f <= rtol * max(1.0, abs(f)):
-            done = True
-        if done:
-            break
-    return x, hist
+    primal = 0.5 * (W * W).sum(0) + C * t["loss"]
+    least = np.minimum(t["ap"], t["am"])
+    kp = np.divide(least, t["ap"], out=np.zeros_like(least), where=t["ap"] > 0)
+    km = np.divide(least, t["am"], out=np.zeros_like(least), where=t["am"] > 0)
+    v = C * (kp * t["vp"] - km * t["vm"])
+    dual = -0.5 * (v * v).sum(0) + C * (kp * t["yp"] - km * t["ym"]) - eps * C * (kp * t["ap"] + km * t["am"]) \
+        - 0.5 * delta * C * (kp ** 2 * t["qp"] + km ** 2 * t["qm"])
+    return primal, dual, W - C * (t["vp"] - t["vm"]), -C * (t["ap"] - t["am"])
 
 
 def training_cache(df: DataFrame, features: Sequence[str], label: str, fold_col: str | None = None) -> DataFrame:
@@ -178,54 +189,139 @@ def training_cache(df: DataFrame, features: Sequence[str], label: str, fold_col:
     return df.select(*cols).hint("rebalance").persist(StorageLevel.MEMORY_AND_DISK)
 
 
+class _Model:
+    """One model's place in its own minimisation (x = weights and intercept)."""
+
+    def __init__(self, x: np.ndarray, delta: float):
+        self.x, self.delta = x, delta
+        self.f = self.g = self.h = self.d = None
+        self.step, self.pairs, self.scans, self.gap, self.done = 1.0, [], 0, np.inf, False
+
+    def point(self) -> np.ndarray:
+        return self.x if self.d is None else self.x + self.step * self.d
+
+    def accept(self, f: float, g: np.ndarray, h: np.ndarray, keep_pairs: bool) -> None:
+        new = self.point()
+        if keep_pairs and self.d is not None:
+            s, y = new - self.x, g - self.g
+            if y @ s > 1e-12 * np.sqrt((y @ y) * (s @ s)):
+                self.pairs = [*self.pairs, (s, y)][-MEMORY:]
+        self.x, self.f, self.g, self.h = new, f, g, h
+
+    def aim(self) -> None:
+        """Next direction: the secant pairs around the solve with the measured curvature."""
+        q, kept = self.g.copy(), []
+        for s, y in reversed(self.pairs):
+            a = (s @ q) / (y @ s)
+            kept.append((a, s, y))
+            q -= a * y
+        d = np.linalg.solve(self.h, q)
+        for a, s, y in reversed(kept):
+            d += s * (a - (y @ d) / (y @ s))
+        if self.g @ d <= 0:  # not a descent direction
+            self.pairs, d = [], np.linalg.solve(self.h, self.g)
+        self.d, self.step = -d, 1.0
+
+
 def fit_svr(df: DataFrame, features: Sequence[str], label: str, fmap: FeatureMap,
             C: Sequence[float] | float = 1.0, eps: Sequence[float] | float = 0.1,
             fold_col: str | None = None, model_folds: Sequence[int] | None = None,
-            max_iter: int = 60, delta_frac: float = 0.01, cache: DataFrame | None = None) -> SVRFit:
-    """M1-M3 / M5: fit one or many epsilon-insensitive regressors on a shared feature map."""
+            max_iter: int = 5000, delta_frac: float = 0.01, cache: DataFrame | None = None, gap_tol: float = GAP_TOL) -> SVRFit:
+    """M1-M3 / M5: fit one or many epsilon-insensitive regressors on a shared feature map.
+
+    A model ends with a relative duality gap of at most ``gap_tol``; ``gap``
+    and ``iterations`` of the result say so per model. ``max_iter`` only guards
+    against data that do not allow it (then the gap stays above).
+    """
     C = np.atleast_1d(np.asarray(C, dtype=np.float64))
     eps = np.atleast_1d(np.asarray(eps, dtype=np.float64))
     M = max(len(C), len(eps), 1 if model_folds is None else len(model_folds))
-    C = np.broadcast_to(C, (M,)).copy()
-    eps = np.broadcast_to(eps, (M,)).copy()
+    C, eps = np.broadcast_to(C, (M,)).copy(), np.broadcast_to(eps, (M,)).copy()
     folds = np.full(M, -1, dtype=np.int64) if model_folds is None else np.asarray(model_folds, dtype=np.int64)
+    fc = fold_col if model_folds is not None else None
     ship_package(df.sparkSession)
-    data = cache if cache is not None else training_cache(df, features, label, fold_col if model_folds is not None else None)
+    data = cache if cache is not None else training_cache(df, features, label, fc)
     st = data.agg(F.avg(label).alias("m"), F.stddev_pop(label).alias("s")).first()  # two numbers
-    delta = max(delta_frac * float(st["s"] or 1.0), 1e-6)
-    p = fmap.dim_out
-    fc = fold_col if model_folds is not None else None
-
-    def fg(vec):
-        W = vec[: p * M].reshape(p, M)
-        b = vec[p * M:]
-        fn = _partials_fn(fmap, features, label, fc, W, b, eps, delta, folds)
-        loss, gw, gb, n = _tree_sum(data.mapInPandas(fn, _SCHEMA))
-        gw = gw.reshape(p, M)
-        n = np.maximum(n, 1.0)
-        f = ((0.5 * (W * W).sum(0) + C * loss) / n).sum()
-        gW = (W + C[None, :] * gw) / n[None, :]
-        gB = C * gb / n
-        return f, np.concatenate([gW.ravel(), gB])
-
-    x0 = np.concatenate([np.zeros(p * M), np.full(M, float(st["m"] or 0.0))])
-    x, hist = _lbfgs(fg, x0, max_iter)
-    return SVRFit(fmap, x[: p * M].reshape(p, M), x[p * M:], C, eps, folds, hist)
+    parts = data.rdd.getNumPartitions()
+    every, p = max(1, parts // CURVATURE_TASKS), fmap.dim_out
+    last = max(delta_frac * float(st["s"] or 1.0), 1e-6)
+    models = [_Model(np.append(np.zeros(p), float(st["m"] or 0.0)), max(last, float(st["s"] or 1.0))) for _ in range(M)]
+    rows_of = np.ones(M)
+    for _ in range(max_iter):
+        live = [j for j in range(M) if not models[j].done]
+        if not live:
+            break
+        at = np.array([models[j].point() for j in live]).T
+        along = np.array([np.zeros(p + 1) if models[j].d is None else models[j].step * models[j].d for j in live]).T
+        delta = np.array([models[j].delta for j in live])
+        scan = Scan(fmap, list(features), label, fc, at[:p], at[p], eps[live], delta, folds[live], along[:p], along[p], every)
+        t = scan.over(data, parts)
+        f, dual, gw, gb = objective(t, at[:p], C[live], eps[live], delta)
+        share = t["n"].max() / max(1.0, float(t["band_rows"][0]))  # all rows for each one whose curvature was added up
+        for i, j in enumerate(live):
+            m = models[j]
+            m.scans += 1
+            rows_of[j] = max(1.0, t["n"][i])
+            if m.d is not None:
+                slope = m.step * (m.g @ m.d)
+                if not f[i] <= m.f + 1e-4 * slope + 1e-13 * abs(m.f):
+                    short = 0.5 * ((m.x[:p, None] + m.step * SHORTER[None, :] * m.d[:p, None]) ** 2).sum(0) + C[j] * t["shorter"][:, i]
+                    good = np.flatnonzero(short <= m.f + 1e-4 * SHORTER * slope)
+                    if len(good):
+                        m.step *= SHORTER[good[short[good].argmin()]]
+                        continue
+                    if m.pairs:  # a poor secant model: aim again without it
+                        m.pairs = []
+                        m.aim()
+                        continue
+                    m.done = m.delta <= last  # no smaller value along a descent direction: the precision of doubles
+                    m.delta, m.d = max(last, 0.1 * m.delta), None
+                    continue
+            h = t["band"][i] * (C[j] / m.delta * max(1.0, share)) + np.diag(np.append(np.ones(p), 1e-9 * C[j] * rows_of[j] + 1e-12))
+            m.accept(f[i], np.append(gw[:, i], gb[i]), h, every > 1)
+            m.gap = (f[i] - dual[i]) / max(abs(f[i]), 1e-300)
+            if m.gap <= (gap_tol if m.delta <= last else 0.03):
+                if m.delta <= last:
+                    m.done = True
+                else:  # settled at this smoothing: the same point under a narrower one
+                    m.delta, m.d, m.pairs = max(last, 0.1 * m.delta), None, []
+                continue
+            m.aim()
+    if cache is None:
+        data.unpersist()
+    x = np.array([m.x for m in models]).T
+    return SVRFit(fmap, x[:p], x[p], C, eps, folds, np.array([m.scans for m in models]),
+                  np.array([np.nan if m.f is None else m.f for m in models]) / rows_of, np.array([m.gap for m in models]), last)
 
 
 def evaluate(df: DataFrame, features: Sequence[str], label: str, fmap: FeatureMap, W: np.ndarray, b: np.ndarray,
              C: Sequence[float], eps: Sequence[float], fold_col: str | None = None, model_folds: Sequence[int] | None = None,
              delta_frac: float = 0.01) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Objective (M,), gradient (p, M) and intercept gradient (M,) of M models at the given weights: one scan."""
+    """Objective (M,), gradient (p, M) and intercept gradient (M,) per training row of M models at the given weights: one scan."""
+    t, C, eps, delta = _evaluated(df, features, label, fmap, W, b, C, eps, fold_col, model_folds, delta_frac)
+    primal, _, gw, gb = objective(t, W, C, eps, delta)
+    n = np.maximum(t["n"], 1.0)
+    return primal / n, gw / n[None, :], gb / n
+
+
+def duality_gap(df: DataFrame, features: Sequence[str], label: str, fit: SVRFit, fold_col: str | None = None,
+                delta_frac: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+    """(primal, dual) per training row of the models of a fit: the distance to the optimum is at most their difference. One scan."""
+    t, C, eps, delta = _evaluated(df, features, label, fit.fmap, fit.W, fit.b, fit.C, fit.eps, fold_col,
+                                  None if fold_col is None else fit.model_folds, delta_frac)
+    primal, dual, _, _ = objective(t, fit.W, C, eps, delta)
+    n = np.maximum(t["n"], 1.0)
+    return primal / n, dual / n
+
+
+def _evaluated(df, features, label, fmap, W, b, C, eps, fold_col, model_folds, delta_frac):
     ship_package(df.sparkSession)
     C, eps = np.asarray(C, dtype=np.float64), np.asarray(eps, dtype=np.float64)
     folds = np.full(W.shape[1], -1) if model_folds is None else np.asarray(model_folds)
     s = df.agg(F.stddev_pop(label).alias("s")).first()["s"]
-    delta = max(delta_frac * float(s or 1.0), 1e-6)
-    fn = _partials_fn(fmap, features, label, fold_col, W, b, eps, delta, folds)
-    loss, gw, gb, n = _tree_sum(df.mapInPandas(fn, _SCHEMA))
-    n = np.maximum(n, 1.0)
-    return (0.5 * (W * W).sum(0) + C * loss) / n, (W + C[None, :] * gw.reshape(W.shape)) / n[None, :], C * gb / n
+    delta = np.full(W.shape[1], max(delta_frac * float(s or 1.0), 1e-6))
+    scan = Scan(fmap, list(features), label, fold_col, W, b, eps, delta, folds)
+    return scan.over(df, df.rdd.getNumPartitions()), C, eps, delta
 
 
 def fold_scores(df: DataFrame, features: Sequence[str], label: str, fold_col: str, fit: SVRFit) -> np.ndarray:
@@ -235,51 +331,60 @@ def fold_scores(df: DataFrame, features: Sequence[str], label: str, fold_col: st
     ship_package(df.sparkSession)
 
     def run(batches):
-        M = W.shape[1]
-        s_in, s_out, n_in, n_out = (np.zeros(M) for _ in range(4))
-        for pdf in batches:
-            if len(pdf) == 0:
+        total = np.zeros((4, W.shape[1]))  # squares and rows, held out and not
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            Phi = fmap.apply(pdf[feats].to_numpy(dtype=np.float64))
-            R = pdf[label].to_numpy(dtype=np.float64)[:, None] - (Phi @ W + b[None, :])
-            held = (pdf[fold_col].to_numpy()[:, None] == folds[None, :]).astype(np.float64)
-            s_out += (R * R * held).sum(0)
-            n_out += held.sum(0)
-            s_in += (R * R * (1 - held)).sum(0)
-            n_in += (1 - held).sum(0)
-        yield _one_row(s_out, s_in, n_out, n_in)
-    loss, gw, gb, n = _tree_sum(df.mapInPandas(run, _SCHEMA))
-    return np.stack([np.sqrt(loss / np.maximum(gb, 1)), np.sqrt(gw / np.maximum(n, 1))], axis=1)
+            r = _matrix(batch, [label]) - (fmap.apply(_matrix(batch, feats)) @ W + b[None, :])
+            held = (batch.column(fold_col).to_numpy(zero_copy_only=False)[:, None] == folds[None, :]).astype(np.float64)
+            total += np.stack([(r * r * held).sum(0), held.sum(0), (r * r * (1 - held)).sum(0), (1 - held).sum(0)])
+        yield _binary(total)
+    out, n_out, inside, n_in = _sum_parts(df, run, 4 * W.shape[1], df.rdd.getNumPartitions()).reshape(4, -1)
+    return np.stack([np.sqrt(out / np.maximum(n_out, 1)), np.sqrt(inside / np.maximum(n_in, 1))], axis=1)
 
 
 def predict(df: DataFrame, features: Sequence[str], fit: SVRFit, j: int = 0, out: str = "pred") -> DataFrame:
-    """M9 for a fitted model: JVM expressions for linear and polynomial maps, Arrow batches for RBF."""
-    fmap, w, b = fit.fmap, fit.W[:, j], float(fit.b[j])
-    feats = list(features)
-    if fmap.kind in ("linear", "poly"):
-        if fmap.kind == "linear":
-            terms = [F.col(c).cast("double") * F.lit(float(wi)) for c, wi in zip(feats, w)]
-        else:
-            terms = []
-            for e, cf, wi in zip(fmap.exps, fmap.coefs, w):
-                t = F.lit(float(cf * wi))
-                for c, k in zip(feats, e):
-                    for _ in range(int(k)):
-                        t = t * F.col(c).cast("double")
-                terms.append(t)
-        expr = F.lit(b)
-        for t in terms:
-            expr = expr + t
-        return df.withColumn(out, expr)
-
-    ship_package(df.sparkSession)
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.DoubleType())])
+    """M9 for a fitted model, as JVM expressions for every kernel.
 
-    def run(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                yield pdf.assign(**{out: np.zeros(0)})
-                continue
-            Phi = fmap.apply(pdf[feats].to_numpy(dtype=np.float64))
-            yield pdf.assign(**{out: Phi @ w + b})
-    return df.mapInPandas(run, schema)
+    Linear and polynomial maps are sums of terms. An RBF score is a sum over
+    the landmarks, ``b + sum_k beta_k exp(-gamma |x - l_k|^2)``: landmarks and
+    coefficients are one constant array that the rows fold over, so no row
+    leaves the JVM and the plan does not grow with the rank.
+    """
+    fmap, w, b = fit.fmap, fit.W[:, j], float(fit.b[j])
+    x = [F.col(c).cast("double") for c in features]
+    if fmap.kind == "rbf":
+        return df.withColumn(out, _rbf_score(x, fmap, fmap.proj @ w, b))
+    if fmap.kind == "linear":
+        terms = [c * F.lit(float(wi)) for c, wi in zip(x, w)]
+    else:
+        terms = []
+        for e, cf, wi in zip(fmap.exps, fmap.coefs, w):
+            t = F.lit(float(cf * wi))
+            for c, k in zip(x, e):
+                for _ in range(int(k)):
+                    t = t * c
+            terms.append(t)
+    expr = F.lit(b)
+    for t in terms:
+        expr = expr + t
+    return df.withColumn(out, expr)
+
+
+def _rbf_score(x: list, fmap: FeatureMap, beta: np.ndarray, b: float):
+    import json
+    kind = "array<struct<" + ",".join(f"l{i}:double" for i in range(fmap.dim_in)) + ",beta:double>>"
+    text = json.dumps([{**{f"l{i}": float(v) for i, v in enumerate(row)}, "beta": float(c)} for row, c in zip(fmap.landmarks, beta)])
+    marks = F.from_json(F.lit(text), kind)  # a constant: folded once while planning
+
+    def add(acc, m):
+        near = None
+        for i, c in enumerate(x):
+            d = (c - m[f"l{i}"]) * (c - m[f"l{i}"])
+            near = d if near is None else near + d
+        return acc + m["beta"] * F.exp(F.lit(-fmap.gamma) * near)
+
+    some_null = x[0].isNull()
+    for c in x[1:]:
+        some_null = some_null | c.isNull()
+    return F.when(some_null, F.lit(None).cast("double")).otherwise(F.aggregate(marks, F.lit(b), add))

@@ -1,7 +1,10 @@
 """Registered queries: kernel regressors, grid search, refit, vector classifier.
 
-Fits are iterative (L-BFGS over distributed loss/gradient scans), so they have
-no SQL twin; but one evaluation of each objective at fixed weights has
+Fits are iterative, so no SQL computes them anew; but SQL can hold them to
+account. ``svr_gap`` stores each fitted model as tables, and its twin reads
+these and recomputes primal, dual and gap over the train part: a small gap
+proves the fit, however it was found. ``score_stored_model`` has its twin score
+with the stored RBF model. One evaluation at fixed weights has twins as well
 (``svr_eval_*``, ``grid_eval``), and the CV tables are built from the latter.
 """
 
@@ -13,13 +16,15 @@ from pyspark.sql import functions as F
 from agrolith.functions.numeric import argmax, fixed_logits, fixed_logits_sql, round_half_even, softmax
 from agrolith.operators import metrics as M
 from agrolith.operators.kernel import landmark_map, make_map, pick_landmarks, poly_map
-from agrolith.operators.regress import SVRFit, evaluate, fit_svr, fold_scores, predict, training_cache
+from agrolith.operators.regress import SVRFit, duality_gap, evaluate, fit_svr, fold_scores, predict, training_cache
 from agrolith.operators.sample import hash_split
 from agrolith.plans import stage as ST
 from agrolith.plans import tables as TB
 from agrolith.plans.q_model import _ROW_KEY, GRID_C, GRID_EPS, GRID_GAMMA, MF, SQL_PRED, _z, fixed_scaler
 from agrolith.plans.q_prepare import row_key_cols
 from agrolith.plans.registry import register
+from agrolith.session import checkpoint_dir
+from agrolith.sources.store import load_model, save_model
 
 FEATS = ST.FEATURES
 # Default settings of the three kernels (gamma None = "scale").
@@ -28,8 +33,8 @@ KERNELS = {
     "RBF": {"kind": "rbf", "C": 10.0, "eps": 0.1, "gamma": None},
     "Polynomial": {"kind": "poly", "C": 1.0, "eps": 0.1, "degree": 3, "coef0": 1.0, "gamma": None},
 }
-LANDMARKS = 128
-MAX_ITER = 40
+#: Share of the kernel's trace that the RBF map may miss.
+RBF_TOL = 0.02
 
 
 def zframe(spark, d):
@@ -38,27 +43,30 @@ def zframe(spark, d):
     return fixed_scaler(mf).transform(mf)
 
 
-def _fit(train, kind, C, eps, gamma=None, degree=3, coef0=1.0, cache=None, max_iter=MAX_ITER):
-    fmap = make_map(kind, train, FEATS, gamma=gamma, degree=degree, coef0=coef0, landmarks=LANDMARKS, seed=42, key_cols=row_key_cols())
-    return fit_svr(train, FEATS, "y", fmap, C, eps, max_iter=max_iter, cache=cache)
+def _map(train, name, gamma=None):
+    k = KERNELS[name]
+    return make_map(k["kind"], train, FEATS, gamma=gamma or k.get("gamma"), degree=k.get("degree", 3), coef0=k.get("coef0", 1.0), tol=RBF_TOL)
+
+
+def _fit(train, name, cache=None, **other):
+    """A default kernel fitted on ``train``; ``other``: C, eps or gamma in place of the default ones."""
+    k = KERNELS[name]
+    return fit_svr(train, FEATS, "y", _map(train, name, other.get("gamma")), other.get("C", k["C"]), other.get("eps", k["eps"]), cache=cache)
 
 
 def _metrics_row(spark, test, fit, name):
     p = predict(test, FEATS, fit).select("y", "pred")
     m = M.regression_metrics(p.withColumn("model", F.lit(name)))
-    h = fit.history
-    gap = (h[-6] - h[-1]) / max(abs(h[-1]), 1e-12) if len(h) > 5 else float("nan")  # what the last five steps still gained
-    return m.withColumn("iterations", F.lit(len(h) - 1)).withColumn("objective", F.lit(float(round(h[-1], 6)))) \
-        .withColumn("last_gain", F.lit(float(gap)))
+    return m.withColumns({"iterations": F.lit(int(fit.iterations[0])), "objective": F.lit(float(round(fit.objective[0], 6))),
+                          "gap": F.lit(float(fit.gap[0])), "rank": F.lit(fit.fmap.dim_out), "kernel_error": F.lit(float(fit.fmap.error))})
 
 
 def _single(name):
     def q(spark, d):
         z = zframe(spark, d)
         train, test = z.where(F.col("part") == "train"), z.where(F.col("part") == "test")
-        k = KERNELS[name]
         cache = training_cache(train, FEATS, "y")
-        fit = _fit(train, k["kind"], k["C"], k["eps"], k.get("gamma"), k.get("degree", 3), k.get("coef0", 1.0), cache)
+        fit = _fit(train, name, cache)
         cache.unpersist()
         return _metrics_row(spark, test, fit, name)
     q.__doc__ = f"M1-M3: {name} kernel regressor fitted on the train part, scored on the test part."
@@ -76,30 +84,31 @@ def kernel_compare(spark, d):
     train, test = z.where(F.col("part") == "train"), z.where(F.col("part") == "test")
     cache = training_cache(train, FEATS, "y")
     preds = None
-    for name, k in KERNELS.items():
-        fit = _fit(train, k["kind"], k["C"], k["eps"], k.get("gamma"), k.get("degree", 3), k.get("coef0", 1.0), cache)
+    for name in KERNELS:
+        fit = _fit(train, name, cache)
         p = predict(test.select("y", *FEATS), FEATS, fit).select(F.lit(name).alias("model"), "y", "pred")
         preds = p if preds is None else preds.unionByName(p)
     cache.unpersist()
     return M.rank_models(M.regression_metrics(preds))
 
 
-def cv_table(spark, d, max_iter=30):
-    """M5: 27 settings x 3 folds; per gamma one map and one joint fit of its 27 models."""
+def cv_table(spark, d, gap_tol=1e-3):
+    """M5: 27 settings x 3 folds; per gamma one map and one joint run of its 27 models, each with its own stop test."""
     z = zframe(spark, d)
     train = z.where(F.col("part") == "train")
     cache = training_cache(train, FEATS, "y", "fold")
     rows = []
     for g in GRID_GAMMA:
-        fmap = make_map("rbf", train, FEATS, gamma=g, landmarks=LANDMARKS, key_cols=row_key_cols())
+        fmap = make_map("rbf", train, FEATS, gamma=g, tol=RBF_TOL)
         settings = [(c, e, f) for c in GRID_C for e in GRID_EPS for f in range(3)]
         fit = fit_svr(train, FEATS, "y", fmap, [s[0] for s in settings], [s[1] for s in settings],
-                      fold_col="fold", model_folds=[s[2] for s in settings], max_iter=max_iter, cache=cache)
+                      fold_col="fold", model_folds=[s[2] for s in settings], cache=cache, gap_tol=gap_tol)
         sc = fold_scores(cache, FEATS, "y", "fold", fit)
-        for (c, e, f), (te, tr) in zip(settings, sc):
-            rows.append((float(c), float(g), float(e), int(f), float(te), float(tr)))
+        for (c, e, f), (te, tr), n, gap in zip(settings, sc, fit.iterations, fit.gap):
+            rows.append((float(c), float(g), float(e), int(f), float(te), float(tr), int(n), float(gap), fmap.dim_out, float(fmap.error)))
     cache.unpersist()
-    return spark.createDataFrame(rows, "C double, gamma double, eps double, fold int, test_rmse double, train_rmse double")
+    return spark.createDataFrame(rows, "C double, gamma double, eps double, fold int, test_rmse double, train_rmse double, "
+                                       "iterations int, gap double, rank int, kernel_error double")
 
 
 def staged_cv(spark, d):
@@ -109,7 +118,7 @@ def staged_cv(spark, d):
 
 @register("grid_search")
 def grid_search(spark, d):
-    """M5 / M8: cross-validated RMSE for every (C, gamma, eps) and fold, train and test score kept."""
+    """M5 / M8: cross-validated RMSE for every (C, gamma, eps) and fold, train and test score, scans and duality gap kept."""
     return staged_cv(spark, d).withColumn("test_rmse", round_half_even("test_rmse", 4)) \
         .withColumn("train_rmse", round_half_even("train_rmse", 4))
 
@@ -123,11 +132,12 @@ def refit_best(spark, d):
     z = zframe(spark, d)
     train, test = z.where(F.col("part") == "train"), z.where(F.col("part") == "test")
     cache = training_cache(train, FEATS, "y")
-    tuned = _fit(train, "rbf", best["C"], best["eps"], best["gamma"], cache=cache)
-    base = _fit(train, "rbf", 10.0, 0.1, None, cache=cache)
+    tuned = _fit(train, "RBF", cache, C=best["C"], eps=best["eps"], gamma=best["gamma"])
+    base = _fit(train, "RBF", cache)
     cache.unpersist()
     m = _metrics_row(spark, test, base, "RBF default").unionByName(_metrics_row(spark, test, tuned, "RBF tuned"))
     imp = M.improvement(m, "RBF default")
+    imp = imp.join(F.broadcast(m.select("model", "iterations", "gap")), "model")  # two rows
     return imp.withColumn("best_C", F.lit(best["C"])).withColumn("best_gamma", F.lit(best["gamma"])) \
         .withColumn("best_eps", F.lit(best["eps"]))
 
@@ -287,19 +297,96 @@ def cv_pivot_fitted(spark, d):
     return M.cv_pivot(staged_cv(spark, d), score="test_rmse")
 
 
-@register("score_stored_model")
-def score_stored_model(spark, d):
-    """The RBF regressor fitted, stored as tables, read back, and used to score the test rows."""
-    from agrolith.session import checkpoint_dir
-    from agrolith.sources.store import load_model, save_model
+# ---- fitted models, stored and held to account ------------------------------------
+
+def model_path(spark, name):
+    """Where this application's fitted model ``name`` is stored."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/agrolith-models/{spark.sparkContext.applicationId}/{name}"
+
+
+def _stored(spark, name, part):
+    return f"read_parquet('{model_path(spark, name).removeprefix('file:')}/{part}/*.parquet')"
+
+
+def _gap_sql(spark):
+    """Primal, dual and gap of the stored models, from their weights and the train rows."""
+    ctes, out = [], []
+    for name, k in KERNELS.items():
+        t, n = name.lower(), len(FEATS)
+        if k["kind"] == "rbf":
+            near = " + ".join(f"(tr.z{i} - l.x[{i + 1}]) * (tr.z{i} - l.x[{i + 1}])" for i in range(n))
+            ctes.append(f"""{t}_k AS (SELECT tr.rid, l.k, exp(-l.gamma * ({near})) AS v FROM tr, {_stored(spark, t, 'landmarks')} l),
+{t}_b AS (SELECT p.k, sum(p.value * w.weight) AS beta FROM {_stored(spark, t, 'projection')} p JOIN {_stored(spark, t, 'weights')} w ON p.idx = w.idx GROUP BY p.k),
+{t}_f AS (SELECT rid, sum(v * beta) AS f FROM {t}_k JOIN {t}_b USING (k) GROUP BY rid),
+""")
+            v2 = f"""(SELECT sum(c * c) FROM (SELECT p.idx, sum(p.value * m.s) AS c FROM {_stored(spark, t, 'projection')} p
+      JOIN (SELECT k, sum(a * v) AS s FROM {t}_a JOIN {t}_k USING (rid) GROUP BY k) m ON p.k = m.k GROUP BY p.idx))"""
+        else:
+            fmap = poly_map(n, 3, None, 1.0)
+            terms = [f"z{i}" for i in range(n)] if k["kind"] == "linear" else \
+                [" * ".join([repr(float(c)), *(f"z{i}" for i, e in enumerate(x) for _ in range(int(e)))]) for x, c in zip(fmap.exps, fmap.coefs)]
+            ctes.append(f"""{t}_w AS (SELECT list(weight ORDER BY idx) AS w FROM {_stored(spark, t, 'weights')} WHERE idx >= 0),
+{t}_f AS (SELECT rid, {' + '.join(f'({x}) * w[{i + 1}]' for i, x in enumerate(terms))} AS f FROM tr, {t}_w),
+""")
+            v2 = "(SELECT " + " + ".join(f"sum(a * ({x})) * sum(a * ({x}))" for x in terms) + f" FROM {t}_a JOIN tr USING (rid))"
+        over = f"greatest(abs(r) - {k['eps']}, 0)"
+        ctes[-1] += f"""{t}_r AS (SELECT rid, y, y - f - (SELECT weight FROM {_stored(spark, t, 'weights')} WHERE idx < 0) AS r FROM tr JOIN {t}_f USING (rid)),
+{t}_l AS (SELECT rid, y, delta, CASE WHEN {over} <= delta THEN {over} * {over} / (2 * delta) ELSE {over} - delta / 2 END AS loss,
+                 {k['C']} * sign(r) * least({over} / delta, 1) AS a FROM {t}_r, dl),
+{t}_s AS (SELECT sum(greatest(a, 0)) AS up, sum(greatest(-a, 0)) AS down FROM {t}_l),
+{t}_a AS (SELECT rid, y, delta, loss, a * CASE WHEN a > 0 THEN least(up, down) / up WHEN a < 0 THEN least(up, down) / down ELSE 0 END AS a FROM {t}_l, {t}_s),
+{t}_o AS (SELECT count(*) AS n, 0.5 * (SELECT sum(weight * weight) FROM {_stored(spark, t, 'weights')} WHERE idx >= 0) + {k['C']} * sum(loss) AS primal,
+                 sum(a * y) - {k['eps']} * sum(abs(a)) - 0.5 * any_value(delta) / {k['C']} * sum(a * a) - 0.5 * {v2} AS dual FROM {t}_a)"""
+        out.append(f"SELECT '{name}' AS model, n, primal / n AS primal, dual / n AS dual, (primal - dual) / abs(primal) AS gap FROM {t}_o")
+    return _TRAIN_SQL.replace("tr AS (SELECT", "tr AS (SELECT row_number() OVER () AS rid,") + ",\n" + ",\n".join(ctes) + f"""
+SELECT model, CAST(n AS BIGINT) AS n, round_even(primal * 1e6, 0) / 1e6 AS primal, round_even(dual * 1e6, 0) / 1e6 AS dual,
+       round_even(gap * 1e7, 0) / 1e7 AS gap, gap < 1e-3 AS converged FROM ({' UNION ALL '.join(out)})"""
+
+
+def _store(spark, d, name, place, cache=None):
+    """The default kernel ``name`` fitted on the train part, stored as tables at ``place`` and read back."""
     mf = ST.model_frame(spark, d)
     scaler = fixed_scaler(mf)
     train = scaler.transform(mf).where(F.col("part") == "train")
-    k = KERNELS["RBF"]
-    path = f"{checkpoint_dir(spark).rstrip('/')}/agrolith-models/{spark.sparkContext.applicationId}/rbf"
-    save_model(spark, path, scaler, ST.dictionary(spark, d), _fit(train, k["kind"], k["C"], k["eps"]), FEATS)
-    m = load_model(spark, path)
-    test = mf.where(F.col("part") == "test").select("order_key", "crop", "y", *FEATS)
+    path = model_path(spark, place)
+    save_model(spark, path, scaler, ST.dictionary(spark, d), _fit(train, name, cache), FEATS)
+    return load_model(spark, path)
+
+
+@register("svr_gap", later=_gap_sql)
+def svr_gap(spark, d):
+    """Per default kernel the primal and dual objective per train row of the fitted, stored and reloaded model, and their gap.
+
+    The gap bounds how far the fit is from the optimum; ``converged``: below a thousandth of the objective.
+    """
+    z = zframe(spark, d)
+    train = z.where(F.col("part") == "train")
+    cache = training_cache(train, FEATS, "y")
+    rows, n = [], cache.count()
+    for name in KERNELS:
+        (primal,), (dual,) = duality_gap(cache, FEATS, "y", _store(spark, d, name, name.lower(), cache)["fit"])
+        rows.append((name, n, float(primal), float(dual), float((primal - dual) / abs(primal))))
+    cache.unpersist()
+    out = spark.createDataFrame(rows, "model string, n bigint, primal double, dual double, gap double")
+    return out.select("model", "n", round_half_even("primal", 6).alias("primal"), round_half_even("dual", 6).alias("dual"),
+                      round_half_even("gap", 7).alias("gap"), (F.col("gap") < 1e-3).alias("converged"))
+
+
+def _stored_score_sql(spark):
+    near = " + ".join(f"(z{i} - l.x[{i + 1}]) * (z{i} - l.x[{i + 1}])" for i in range(len(FEATS)))
+    return MF + SQL_PRED.split(",\nlp AS")[0] + f""",
+te AS (SELECT row_number() OVER () AS rid, m.order_key, m.crop, m.y, {', '.join(f'{_z(c)} AS z{i}' for i, c in enumerate(FEATS))}
+       FROM mf m, st WHERE m.part = 'test'),
+be AS (SELECT p.k, sum(p.value * w.weight) AS beta FROM {_stored(spark, 'scored', 'projection')} p JOIN {_stored(spark, 'scored', 'weights')} w ON p.idx = w.idx GROUP BY p.k),
+sc AS (SELECT rid, sum(beta * exp(-l.gamma * ({near}))) AS f FROM te, {_stored(spark, 'scored', 'landmarks')} l JOIN be ON be.k = l.k GROUP BY rid)
+SELECT order_key, crop, y, round_even((f + (SELECT weight FROM {_stored(spark, 'scored', 'weights')} WHERE idx < 0)) * 1e4, 0) / 1e4 AS pred FROM te JOIN sc USING (rid)"""
+
+
+@register("score_stored_model", later=_stored_score_sql)
+def score_stored_model(spark, d):
+    """The RBF regressor fitted, stored as tables, read back, and used to score the test rows in the JVM."""
+    m = _store(spark, d, "RBF", "scored")
+    test = ST.model_frame(spark, d).where(F.col("part") == "test").select("order_key", "crop", "y", *FEATS)
     out = predict(m["scaler"].transform(test), m["features"], m["fit"])
     return out.select("order_key", "crop", "y", round_half_even("pred", 4).alias("pred"))
 

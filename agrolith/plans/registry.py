@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: Twins that read what a query has stored: the SQL is made from the session, whose folder it lies in.
+ORACLE_LATER: dict[str, Callable[[SparkSession], str]] = {}
 
 
 def normalise_types(df: DataFrame) -> DataFrame:
@@ -31,7 +33,7 @@ def normalise_types(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def register(name: str, sql: str | None = None):
+def register(name: str, sql: str | None = None, later: Callable[[SparkSession], str] | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return normalise_types(fn(spark, sf_dir))
@@ -40,10 +42,18 @@ def register(name: str, sql: str | None = None):
         QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
+        if later is not None:
+            ORACLE_LATER[name] = later
         return fn
     return deco
 
 
+def oracle() -> dict[str, str]:
+    """All twins; those that read stored tables only when a session is there to say where."""
+    spark = SparkSession.getActiveSession()
+    return dict(ORACLE) | ({name: make(spark) for name, make in ORACLE_LATER.items()} if spark else {})
+
+
 def load_all() -> None:
     """Import the query modules (they register themselves)."""
     import importlib

@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from agrolith.operators.kernel import poly_map, rbf_map
-from agrolith.operators.regress import SVRFit, fit_svr, predict
+from agrolith.operators.kernel import grown_map, linear_map, poly_map, rbf_map
+from agrolith.operators.regress import SVRFit, duality_gap, fit_svr, fold_scores, predict, training_cache
 from agrolith.sources.store import load_model, save_model
 
 
@@ -43,10 +43,9 @@ def _objective(df, fit, j=0, delta=None):
 
 @pytest.mark.parametrize("kind", ["linear", "poly"])
 def test_fit_beats_zero_and_perturbations(spark, kind):
-    from agrolith.operators.kernel import linear_map
     df = _data(spark)
     fm = linear_map(3) if kind == "linear" else poly_map(3, 3, None, 1.0)
-    fit = fit_svr(df, ["a", "b", "c"], "y", fm, 1.0, 0.1, max_iter=80)
+    fit = fit_svr(df, ["a", "b", "c"], "y", fm, 1.0, 0.1)
     obj = _objective(df, fit)
     zero = SVRFit(fm, np.zeros_like(fit.W), np.zeros(1), fit.C, fit.eps, fit.model_folds)
     assert obj < _objective(df, zero)
@@ -62,12 +61,10 @@ def test_fit_beats_zero_and_perturbations(spark, kind):
 
 
 def test_joint_fold_models_match_separate_fits(spark):
-    from agrolith.operators.kernel import linear_map
     df = _data(spark, 300)
     fm = linear_map(3)
-    joint = fit_svr(df, ["a", "b", "c"], "y", fm, [1.0, 1.0], [0.1, 0.1], fold_col="fold",
-                    model_folds=[0, 1], max_iter=100)
-    solo = fit_svr(df.where(F.col("fold") != 0), ["a", "b", "c"], "y", fm, 1.0, 0.1, max_iter=100)
+    joint = fit_svr(df, ["a", "b", "c"], "y", fm, [1.0, 1.0], [0.1, 0.1], fold_col="fold", model_folds=[0, 1])
+    solo = fit_svr(df.where(F.col("fold") != 0), ["a", "b", "c"], "y", fm, 1.0, 0.1)
     assert np.max(np.abs(joint.W[:, 0] - solo.W[:, 0])) < 2e-2
 
 
@@ -77,7 +74,7 @@ def test_rbf_predict_and_model_store_roundtrip(spark, tmpdir_path):
     df = _data(spark, 200)
     L = np.asarray([[r.a, r.b, r.c] for r in df.limit(30).collect()])
     fm = rbf_map(L, 0.3)
-    fit = fit_svr(df, ["a", "b", "c"], "y", fm, 10.0, 0.1, max_iter=30)
+    fit = fit_svr(df, ["a", "b", "c"], "y", fm, 10.0, 0.1)
     p1 = predict(df, ["a", "b", "c"], fit).orderBy("k").toPandas()["pred"].to_numpy()
     sc = SC.fit(df, ["a", "b", "c"])
     dic = E.fit_encoders(spark.createDataFrame([("x",), ("y",)], "k string"), ["k"])
@@ -86,3 +83,92 @@ def test_rbf_predict_and_model_store_roundtrip(spark, tmpdir_path):
     p2 = predict(df, m["features"], m["fit"]).orderBy("k").toPandas()["pred"].to_numpy()
     assert np.max(np.abs(p1 - p2)) < 1e-12
     assert m["dictionary"].count() == 2 and m["scaler"].cols == ["a", "b", "c"]
+
+
+FEATS = ["a", "b", "c"]
+
+
+def _by_hand_gap(df, fit, j, delta):
+    """Primal and dual of model j from the rows, one by one in numpy."""
+    pdf = df.toPandas()
+    y, phi = pdf["y"].to_numpy(), fit.fmap.apply(pdf[FEATS].to_numpy())
+    r = y - phi @ fit.W[:, j] - fit.b[j]
+    over = np.maximum(np.abs(r) - fit.eps[j], 0)
+    primal = 0.5 * (fit.W[:, j] ** 2).sum() + fit.C[j] * np.where(over <= delta, over ** 2 / (2 * delta), over - delta / 2).sum()
+    a = fit.C[j] * np.sign(r) * np.minimum(over / delta, 1)
+    up, down = a[a > 0].sum(), -a[a < 0].sum()
+    a = np.where(a > 0, a * min(up, down) / max(up, 1e-300), a * min(up, down) / max(down, 1e-300))
+    assert abs(a.sum()) < 1e-8 * np.abs(a).sum() and (np.abs(a) <= fit.C[j] + 1e-12).all()  # a feasible dual point
+    v = phi.T @ a
+    return primal / len(y), (-0.5 * v @ v + a @ y - fit.eps[j] * np.abs(a).sum() - 0.5 * delta / fit.C[j] * (a * a).sum()) / len(y)
+
+
+@pytest.mark.parametrize("kind", ["linear", "poly", "rbf"])
+def test_fit_ends_with_a_small_duality_gap(spark, kind):
+    df = _data(spark)
+    fm = {"linear": lambda: linear_map(3), "poly": lambda: poly_map(3, 3, None, 1.0), "rbf": lambda: grown_map(df, FEATS, 0.2, 0.01, block=16)}[kind]()
+    fit = fit_svr(df, FEATS, "y", fm, [1.0, 100.0], [0.1, 0.5], gap_tol=1e-5)
+    assert (fit.gap <= 1e-5).all() and (fit.gap >= -1e-9).all() and (fit.iterations < 200).all()
+    primal, dual = duality_gap(df, FEATS, "y", fit)
+    for j in range(2):
+        p, d = _by_hand_gap(df, fit, j, fit.delta)
+        assert abs(p - primal[j]) < 1e-9 * abs(p) and abs(d - dual[j]) < 1e-6 * abs(p) and (p - d) / p <= 1.1e-5
+
+
+def test_each_model_of_a_grid_has_its_own_stop_and_the_choice_is_settled(spark):
+    df = _data(spark, 400)
+    fm = grown_map(df, FEATS, 0.1, 0.02, block=16)
+    settings = [(c, e, f) for c in (1.0, 10.0, 100.0) for e in (0.1, 1.0) for f in range(3)]
+    cache = training_cache(df, FEATS, "y", "fold")
+    best = []
+    for tol in (1e-3, 1e-4):
+        fit = fit_svr(df, FEATS, "y", fm, [s[0] for s in settings], [s[1] for s in settings], fold_col="fold",
+                      model_folds=[s[2] for s in settings], cache=cache, gap_tol=tol)
+        assert (fit.gap <= tol).all() and len(set(fit.iterations)) > 1
+        rmse = fold_scores(cache, FEATS, "y", "fold", fit)[:, 0].reshape(-1, 3).mean(1)
+        best.append(settings[3 * int(rmse.argmin())][:2])
+    assert best[0] == best[1]
+
+
+def test_sampled_curvature_reaches_the_same_optimum(spark, monkeypatch):
+    from agrolith.operators import regress
+    df = _data(spark)
+    cache = training_cache(df, FEATS, "y").repartition(6).persist()
+    fm = poly_map(3, 2, None, 1.0)
+    whole = fit_svr(df, FEATS, "y", fm, 10.0, 0.1, cache=cache, gap_tol=1e-6)
+    monkeypatch.setattr(regress, "CURVATURE_TASKS", 2)
+    monkeypatch.setattr(regress, "DIRECT_BYTES", 0)  # partial sums in a tree
+    part = fit_svr(df, FEATS, "y", fm, 10.0, 0.1, cache=cache, gap_tol=1e-6)
+    assert part.gap[0] <= 1e-6 and abs(part.objective[0] - whole.objective[0]) < 2e-6 * whole.objective[0]
+
+
+def test_map_grows_to_the_error_whatever_the_repeats_and_layout(spark):
+    df = _data(spark, 300).select(*FEATS)
+    hot = df.limit(3)
+    for _ in range(6):
+        hot = hot.unionByName(hot)
+    repeated = df.unionByName(hot).repartition(7)
+    for tol in (0.2, 0.02, 1e-4):
+        fm = grown_map(df, FEATS, 0.5, tol, block=8)
+        x = df.toPandas().to_numpy()
+        assert fm.error <= tol and abs(fm.error - (1 - (fm.apply(x) ** 2).sum(1)).mean()) < 1e-9
+        again = grown_map(df.repartition(5), FEATS, 0.5, tol, block=8)
+        assert np.array_equal(again.landmarks, fm.landmarks)
+        many = grown_map(repeated, FEATS, 0.5, tol, block=8)
+        assert many.error <= tol and len({tuple(r) for r in many.landmarks}) == len(many.landmarks)
+    with pytest.raises(ValueError, match="landmarks"):
+        grown_map(df, FEATS, 0.5, 1e-6, block=8, max_rank=10)
+    assert len(grown_map(df.limit(0), FEATS, 0.5, 0.1).landmarks) == 0
+    assert len(grown_map(hot, FEATS, 0.5, 1e-6).landmarks) == 3  # three different rows, no more
+
+
+def test_rbf_scores_in_the_jvm_equal_the_map(spark):
+    df = _data(spark, 200)
+    fm = grown_map(df, FEATS, 0.3, 0.05, block=16)
+    rng = np.random.default_rng(3)
+    fit = SVRFit(fm, rng.normal(size=(fm.dim_out, 1)), np.array([0.7]), np.ones(1), np.ones(1), np.full(1, -1))
+    out = predict(df, FEATS, fit)
+    assert "Python" not in out._jdf.queryExecution().toString() and "Pandas" not in out._jdf.queryExecution().toString()
+    pdf = out.toPandas()
+    assert np.max(np.abs(pdf["pred"].to_numpy() - (fm.apply(pdf[FEATS].to_numpy()) @ fit.W[:, 0] + 0.7))) < 1e-9
+    assert predict(spark.createDataFrame([(None, 1.0, 2.0)], "a double, b double, c double"), FEATS, fit).first()["pred"] is None
