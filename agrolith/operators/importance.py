@@ -1,11 +1,11 @@
-"""Permutation importance (M13) without a global shuffle.
-
-Rows are hashed into a fixed number of shards and sorted by md5 inside their
-shard, once. The partner of a row in repeat r is the row r + 1 places further
-in that order (the first rows follow the last ones), so all repeats come from
-one window; the model then sees the partner's value of a feature and the row's
-own other features. Importance is the drop in R^2 against the unpermuted score.
-The same rule holds at every size.
+"""Permutation importance (M13) over the whole table.
+
+Every row gets its rank in md5 order; a keyed bijection of the ranks names the
+row whose value of a feature it borrows in a repeat, so each repeat is one
+permutation of all rows, the same one for any number of partitions. One shuffle
+join brings a row and its partners together; all features of a repeat are
+scored on the joined row side by side, without copies of it. Importance is the
+drop in R^2 against the unpermuted score.
 """
 
 from __future__ import annotations
@@ -15,45 +15,40 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agrolith.functions.hashing import hash_order, hash_u32
+from agrolith.functions.hashing import hash_order
 from agrolith.functions.numeric import round_half_even
-from agrolith.session import cut
-
-
-def _r2(df: DataFrame, y: str, pred: str, by: Sequence[str]) -> DataFrame:
-    e = F.col(y) - F.col(pred)
-    return df.groupBy(*by).agg((F.lit(1.0) - F.sum(e * e) / (F.var_pop(y) * F.count(F.lit(1)))).alias("r2"))
+from agrolith.operators.rank import global_rank, permuted
+from agrolith.session import stage_table
 
 
 def permutation_importance(df: DataFrame, features: Sequence[str], predict: Callable[[DataFrame], DataFrame],
-                           y: str, key_cols, repeats: int = 5, seed: int = 0,
-                           shards: int = 256, places: int | None = 4) -> DataFrame:
-    """Long table ``(feature, repeat, importance)``; ``predict`` adds a ``pred`` column."""
+                           y: str, key_cols, repeats: int = 5, seed: int = 0, places: int | None = 4) -> DataFrame:
+    """Long table ``(feature, repeat, importance)``; ``predict`` adds a ``pred`` column and leaves the others alone."""
     features = list(features)
-    own = F.struct(*features)
-    t = df.withColumn("_shard", F.pmod(hash_u32(seed + 1000, key_cols), F.lit(shards)))
-    w = Window.partitionBy("_shard").orderBy(hash_order(seed + 1, key_cols))
-    t = t.withColumns({"_pos": F.row_number().over(w), **{f"_p{r}": F.lead(own, r + 1).over(w) for r in range(repeats)}})
-    # rows at the end of a shard meet its first rows: at most ``repeats`` rows a shard
-    heads = t.where(F.col("_pos") <= repeats).groupBy("_shard").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_pos", own.alias("v")))), lambda x: x["v"]).alias("_heads"))
-    sizes = t.groupBy("_shard").agg(F.count(F.lit(1)).alias("_size"))
-    t = t.join(heads.join(sizes, "_shard"), "_shard")
-    rest = [c for c in df.columns if c not in features]
-    variants = [F.struct(F.lit(None).cast("string").alias("feature"), F.lit(-1).alias("repeat"), *features)]
-    for r in range(repeats):
-        turn = F.element_at("_heads", ((F.col("_pos") + r) % F.col("_size") + 1).cast("int"))
-        mate = F.when(F.col("_pos") + r + 1 <= F.col("_size"), F.col(f"_p{r}")).otherwise(turn)
-        variants += [F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat"),
-                              *[(mate[g] if g == f else F.col(g)).alias(g) for g in features]) for f in features]
-    # one copy of a row per (feature, repeat): a single scan scores them all
-    scored = predict(t.select(*rest, F.explode(F.array(*variants)).alias("_v")).select(*rest, "_v.*"))
-    r2 = cut(_r2(scored, y, "pred", ["feature", "repeat"]))  # a row per feature and repeat
-    base = r2.where("repeat < 0").select(F.col("r2").alias("r2_base"))
-    out = r2.where("repeat >= 0").crossJoin(base).select("feature", "repeat", (F.col("r2_base") - F.col("r2")).alias("importance"))
+    ranked = global_rank(df.withColumn("_order", hash_order(seed + 1, key_cols)), ["_order", *features, y], "_rank").drop("_order")
+    n = ranked.count()
+    turns = F.array(*[F.struct(F.lit(r).alias("repeat"), permuted(F.col("_rank"), n, f"{seed}|{r}").alias("_to")) for r in range(repeats)])
+    mates = ranked.select(F.col("_rank").alias("_to"), F.struct(*features).alias("_mate"))
+    rows = ranked.select("*", F.explode(turns).alias("_turn")).select(*df.columns, "_turn.*").join(mates, "_to")
+    names = {}
+    for i, f in enumerate([None, *features]):
+        names[f] = f"_pred_{i}"
+        if f is not None:
+            rows = rows.withColumns({"_own": F.col(f), f: F.col("_mate")[f]})
+        rows = predict(rows).withColumnRenamed("pred", names[f])
+        if f is not None:
+            rows = rows.withColumn(f, F.col("_own")).drop("_own")
+
+    def r2(pred: str):
+        e = F.col(y) - F.col(pred)
+        return F.lit(1.0) - F.sum(e * e) / (F.var_pop(y) * F.count(F.lit(1)))
+
+    scores = rows.groupBy("repeat").agg(r2(names[None]).alias("_base"), *[r2(names[f]).alias(f"_r2_{i}") for i, f in enumerate(features)])
+    drops = F.array(*[F.struct(F.lit(f).alias("feature"), (F.col("_base") - F.col(f"_r2_{i}")).alias("importance")) for i, f in enumerate(features)])
+    out = scores.select("repeat", F.explode(drops).alias("_d")).select("_d.feature", "repeat", "_d.importance")
     if places is not None:
         out = out.withColumn("importance", round_half_even("importance", places))
-    return out
+    return stage_table(out, "importance")  # a row per feature and repeat
 
 
 def importance_summary(imp: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agrolith.operators.quantile import _ns_join, exact_medians_many
+from agrolith.session import stage_table
 
 STRATEGIES = ("mean", "median", "most_frequent", "constant")
 
@@ -95,13 +96,14 @@ def group_median_fill(df: DataFrame, cols: Sequence[str], group_col: str) -> Dat
 
     The fallback median is taken after the group fill (a group with no value
     at all gets the median of the filled column). Rows with a null group key
-    keep their observed value. ``df`` is read several times: stage it first
-    when it is costly to compute.
+    keep their observed value. The group medians are computed while the plan is
+    built (one row per group), the fallback with the rows. ``df`` is read several
+    times: stage it first when it is costly to compute.
     """
     cols = list(cols)
     gm = exact_medians_many(df, cols, [group_col])
     gwide = gm.groupBy(group_col).pivot("measure", cols).agg(F.first("median"))
-    gwide = gwide.select(group_col, *[F.col(c).alias(f"_gm_{c}") for c in cols])
+    gwide = stage_table(gwide.select(group_col, *[F.col(c).alias(f"_gm_{c}") for c in cols]), "group-medians")  # a row per group
     out = _ns_join(df, gwide, [group_col], "left")
     for c in cols:
         out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"_gm_{c}")))

@@ -1,24 +1,24 @@
-"""Exact quantiles per group (A3, A4, A6, A18) without putting a group in one task.
+"""Exact quantiles per group (A3, A4, A6, A18) in two passes, without putting a group in one task.
 
 Spark's exact ``percentile``/``median`` keeps a map of every distinct value of a
 group in the task that finishes the group; a group holding a third of a 100 TB
-table would not fit. Here the k-th smallest value is found by narrowing, the
-same way at every size:
-
-1. one aggregate gives per group ``n``, ``min``, ``max``; each wanted
-   probability p needs the ranks ``floor((n-1)p)+1`` and ``ceil((n-1)p)+1``;
-2. every (group, rank) has an interval of its own. One scan builds a
-   ``buckets``-wide histogram of each open interval (partial aggregation, so
-   only counts are shuffled), and the interval shrinks to the smallest and
-   largest value of the bucket that holds the rank;
-3. an interval of one value is the answer. The two ends of an open interval
-   always fall into different buckets, so each pass removes a value and the
-   passes end, ties or not;
-4. the two ranks are interpolated as ``lo + (hi - lo) * frac`` (the linear
-   rule of pandas and of SQL ``quantile_cont``).
-
-The small per-group state is a DataFrame, written to the shared
-checkpoint folder each pass.
+table would not fit. Here, for all groups and probabilities at once:
+
+1. one pass builds a mergeable quantile summary per group (``percentile_approx``:
+   partial per task, of bounded size). A wanted rank lies at most ``1/accuracy``
+   of the rows from what the summary says, so the summary's values at four times
+   that distance on both sides bracket it; small groups are their own bracket;
+2. the other pass counts, per group and probability, the rows below the bracket
+   and every value inside it (partial counts; what lies above is dropped at
+   once). The counts are cut into ``SLICES`` even slices of the bracket, ordered
+   inside a slice, and offset by the slices before, so a rank is found exactly
+   without ordering a bracket in one task;
+3. the two ranks ``floor((n-1)p)+1`` and ``ceil((n-1)p)+1`` are interpolated as
+   ``lo + (hi - lo) * frac`` (the linear rule of pandas and of SQL
+   ``quantile_cont``). A rank outside its bracket is an error, never a guess.
+
+Nothing runs while the plan is built: both passes belong to the action that
+reads the quantiles.
 """
 
 from __future__ import annotations
@@ -26,15 +26,14 @@ from __future__ import annotations
 import sys
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agrolith.session import stage_table
-
 _X = "_qx"
 _CONST = "_qgroup"
 _MAX = sys.float_info.max
+ACCURACY = 10_000
+SLICES = 64
 
 
 def _ns_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -53,8 +52,8 @@ def _ns_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
-                    group_cols: Sequence[str] = (), buckets: int = 65536) -> DataFrame:
-    """Long form: ``group_cols + [prob_id, prob, value]``; groups with no value absent."""
+                    group_cols: Sequence[str] = (), accuracy: int = ACCURACY) -> DataFrame:
+    """Long form: ``group_cols + [prob_id, prob, value]``; groups with no value absent. ``df`` is read twice."""
     g = list(group_cols)
     no_group = not g
     if no_group:
@@ -62,48 +61,54 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
         g = [_CONST]
     x = F.col(value_col).cast("double")
     data = df.select(*g, x.alias(_X)).where(F.col(_X).isNotNull() & ~F.isnan(F.col(_X)))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)  # every pass reads the projected values
-
-    prob_arr = F.array(*[F.struct(F.lit(i).alias("prob_id"), F.lit(float(p)).alias("prob"))
-                         for i, p in enumerate(probs)])
-    stats = data.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.min(_X).alias("lo"), F.max(_X).alias("hi"))
-    pos = (F.col("n") - 1).cast("double") * F.col("prob")
-    want = stage_table(stats.select(*g, "n", "lo", "hi", F.explode(prob_arr).alias("t"))
-               .select(*g, "t.prob_id", "t.prob", "lo", "hi", (F.floor(pos) + 1).cast("long").alias("klo"),
-                       (F.ceil(pos) + 1).cast("long").alias("khi"), (pos - F.floor(pos)).alias("frac")), "ranks")
-    # one row per group and rank: small, with a short lineage for the passes
-    state = want.select(*g, "lo", "hi", F.explode(F.array("klo", "khi")).alias("k")).distinct() \
-        .withColumn("below", F.lit(0).cast("long"))
-    open_ = F.col("lo") < F.col("hi")
-    while not state.where(open_).isEmpty():
-        active = state.where(open_)
-        inside = _ns_join(data, active, g).where(F.col(_X).between(F.col("lo"), F.col("hi")))
-        hist = (inside.withColumn("b", _bucket(buckets)).groupBy(*g, "k", "below", "b")
-                .agg(F.count(F.lit(1)).alias("c"), F.min(_X).alias("lo"), F.max(_X).alias("hi")))
-        w = Window.partitionBy(*g, "k").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        hist = hist.withColumn("upto", F.col("below") + F.sum("c").over(w))
-        moved = hist.where((F.col("k") <= F.col("upto")) & (F.col("k") > F.col("upto") - F.col("c"))) \
-            .select(*g, "lo", "hi", "k", (F.col("upto") - F.col("c")).alias("below"))
-        state = stage_table(state.where(~open_).unionByName(moved), "intervals")
-    values = state.select(*g, "k", F.col("lo").alias("v"))
-    low = _ns_join(want.drop("lo", "hi").withColumn("k", F.col("klo")), values, g + ["k"]).withColumnRenamed("v", "vlo").drop("k")
-    both = _ns_join(low.withColumn("k", F.col("khi")), values, g + ["k"])
-    out = both.select(*g, "prob_id", "prob", F.when(F.col("vlo") == F.col("v"), F.col("v"))
-                      .otherwise(F.col("vlo") + (F.col("v") - F.col("vlo")) * F.col("frac")).alias("value"))
-    if no_group:
-        out = out.drop(_CONST)
-    out = stage_table(out, "quantiles")  # one row per group and probability; keeps the plans that use it small
-    data.unpersist()
-    return out
-
-
-def _bucket(buckets: int):
-    """Bucket of a value in its interval: monotone, the two ends in the first and the last one."""
+    wide = 4.0 / accuracy
+    ends = [min(1.0, max(0.0, p + s * wide)) for p in probs for s in (-1, 1)]
+    stats = data.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.min(_X).alias("lo"), F.max(_X).alias("hi"),
+                                 F.percentile_approx(_X, ends, accuracy).alias("ends"))
+    small = F.col("n") <= accuracy
+    wanted = []
+    for i, p in enumerate(probs):
+        pos = (F.col("n") - 1).cast("double") * F.lit(float(p))
+        wanted.append(F.struct(F.lit(i).alias("prob_id"), F.lit(float(p)).alias("prob"),
+                               F.when(small | F.lit(ends[2 * i] <= 0), F.col("lo")).otherwise(F.col("ends")[2 * i]).alias("low"),
+                               F.when(small | F.lit(ends[2 * i + 1] >= 1), F.col("hi")).otherwise(F.col("ends")[2 * i + 1]).alias("high"),
+                               (F.floor(pos) + 1).cast("long").alias("klo"), (F.ceil(pos) + 1).cast("long").alias("khi"),
+                               (pos - F.floor(pos)).alias("frac")))
+    brackets = stats.select(*g, F.array(*wanted).alias("want"))
+
+    # per probability: rows below the bracket (no value) and the values inside it
+    met = _ns_join(data, brackets, g)
+    part = []
+    for i in range(len(probs)):
+        w, v = F.col("want")[i], F.col(_X)
+        part.append(F.when(v <= w["high"], F.struct(
+            F.lit(i).alias("prob_id"), F.when(v >= w["low"], v).alias("v"),
+            F.when(v >= w["low"], _slice(v, w["low"], w["high"])).otherwise(-1).alias("slice"))))
+    counts = met.select(*g, F.explode(F.array(*part)).alias("c")).where(F.col("c").isNotNull()) \
+        .groupBy(*g, "c.prob_id", "c.slice", "c.v").agg(F.count(F.lit(1)).alias("c"))
+    inside = Window.partitionBy(*g, "prob_id", "slice").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*g, "prob_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = counts.groupBy(*g, "prob_id", "slice").agg(F.sum("c").alias("in_slice")) \
+        .select(*g, "prob_id", "slice", F.coalesce(F.sum("in_slice").over(before), F.lit(0)).alias("before"))  # at most SLICES + 1 rows each
+    placed = _ns_join(counts.where(F.col("slice") >= 0).withColumn("upto", F.sum("c").over(inside)), slices, [*g, "prob_id", "slice"])
+    wants = brackets.select(*g, F.explode("want").alias("w")).select(*g, "w.prob_id", "w.prob", "w.klo", "w.khi", "w.frac")
+    placed = _ns_join(placed, wants, [*g, "prob_id"])
+    last = F.col("before") + F.col("upto")
+    holds = lambda k: F.max(F.when((F.col(k) <= last) & (F.col(k) > last - F.col("c")), F.col("v")))
+    out = placed.groupBy(*g, "prob_id", "prob", "frac").agg(holds("klo").alias("vlo"), holds("khi").alias("vhi"))
+    lost = F.raise_error(F.lit("a rank lies outside its bracket: raise the accuracy")).cast("double")
+    value = F.when(F.col("vlo").isNull() | F.col("vhi").isNull(), lost).when(F.col("vlo") == F.col("vhi"), F.col("vlo")) \
+        .otherwise(F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac"))
+    out = out.select(*g, "prob_id", "prob", value.alias("value"))
+    return out.drop(_CONST) if no_group else out
+
+
+def _slice(x, low, high):
+    """Slice of a value in its bracket: 0 .. SLICES - 1, monotone."""
     # halves, and finite stand-ins for infinities, keep the span finite
-    half = lambda c: F.least(F.greatest(F.col(c), F.lit(-_MAX)), F.lit(_MAX)) / 2
-    share = F.coalesce(F.try_divide(half(_X) - half("lo"), half("hi") - half("lo")), F.lit(0.0))
-    middle = F.least(F.floor(share * F.lit(float(buckets))), F.lit(buckets - 1))
-    return F.when(F.col(_X) == F.col("lo"), 0).when(F.col(_X) == F.col("hi"), buckets - 1).otherwise(middle).cast("int")
+    half = lambda c: F.least(F.greatest(c, F.lit(-_MAX)), F.lit(_MAX)) / 2
+    share = F.coalesce(F.try_divide(half(x) - half(low), half(high) - half(low)), F.lit(0.0))
+    return F.least(F.floor(share * F.lit(float(SLICES))), F.lit(SLICES - 1)).cast("int")
 
 
 def exact_median(df: DataFrame, value_col: str, group_cols: Sequence[str] = (),

@@ -17,6 +17,7 @@ from agrolith.operators.score import linear_score, linear_scores
 from agrolith.plans import stage as ST
 from agrolith.plans.registry import register
 from agrolith.plans.tables import SQL_FILLED, SQL_FINAL, SQL_SOURCES
+from agrolith.session import stage_table
 
 MF = "WITH " + SQL_SOURCES + "," + SQL_FILLED + "," + SQL_FINAL + "," + ST.SQL_MF
 FEATS = ST.FEATURES
@@ -229,17 +230,44 @@ def _perm_frame(spark, d):
 
 def _perm_predict(mf):
     sc = fixed_scaler(mf)
-    ybar = train_mean(mf)
+    row = stage_table(sc.stats.crossJoin(train_mean(mf)), "scorer")  # one row
+    sc, ybar = SC.Scaler(sc.method, sc.cols, row.drop("_ybar")), row.select("_ybar")
 
     def predict(df):
         return linear_score(df.crossJoin(ybar), sc, FIXED_MODELS["fixed_a"], F.col("_ybar")).drop("_ybar")
     return predict
 
 
+PERM_KEY = "CAST(order_key AS VARCHAR) || '|' || crop || '|' || CAST(y_key AS VARCHAR)"
+
+
+def _once_sql(x, repeat):
+    """The Feistel rounds of :func:`agrolith.operators.rank.permuted` on the SQL expression ``x``, over an a x b grid."""
+    left, right = f"(({x}) // b)", f"(({x}) % b)"
+    for i in range(4):
+        noise = lambda v, i=i: f"('0x' || substr(md5('0|{repeat}|{i}|' || CAST({v} AS VARCHAR)), 1, 8))::BIGINT"
+        if i % 2 == 0:
+            left = f"(({left} + {noise(right)}) % a)"
+        else:
+            right = f"(({right} + {noise(left)}) % b)"
+    return f"({left} * b + {right})"
+
+
+def perm_mates_sql():
+    """CTEs te, rk (rank), ab (the grid) and j0.. (each row with its partner's features as p_*), after the model frame."""
+    cols = ", ".join(f"m.{c} AS p_{c}" for c in FEATS)
+    mates = []
+    for r in range(5):
+        to = f"list_reduce(list_prepend({_once_sql('rank', r)}, range(0, a * b - n + 1)), lambda x, i: CASE WHEN x < n THEN x ELSE {_once_sql('x', r)} END)"
+        mates.append(f"t{r} AS (SELECT rk.*, {to} AS mate FROM rk, ab),\nj{r} AS (SELECT o.*, {cols} FROM t{r} o JOIN rk m ON m.rank = o.mate)")
+    return f""",
+te AS (SELECT order_key, crop, y, rain, temp, pest, country_code, crop_code, CAST(round_even(y * 1e4, 0) AS BIGINT) AS y_key FROM mf WHERE part = 'test'),
+rk AS (SELECT *, row_number() OVER (ORDER BY md5('1|' || {PERM_KEY}), {', '.join(FEATS)}, y) - 1 AS rank FROM te),
+ab AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM (SELECT count(*) AS n FROM te))),
+{', '.join(mates)}"""
+
+
 def _perm_sql():
-    key = "CAST(order_key AS VARCHAR) || '|' || crop || '|' || CAST(y_key AS VARCHAR)"
-    cols = ", ".join(f"b.{c} AS p_{c}" for c in FEATS)
-    mates = [f"j{r} AS (SELECT a.*, {cols} FROM sh a JOIN sh b ON a.shard = b.shard AND b.pos = (a.pos + {r}) % a.size + 1)" for r in range(5)]
     feats = []
     for r in range(5):
         for f in FEATS:
@@ -250,33 +278,44 @@ def _perm_sql():
             feats.append(f"SELECT '{f}' AS feature, {r} AS repeat, 1 - sum((m.y - {expr}) * (m.y - {expr})) / "
                          f"(var_pop(m.y) * count(*)) AS r2 FROM j{r} m, st")
     base_expr = _pred_sql(FIXED_MODELS["fixed_a"])
-    return (MF + SQL_PRED.split(",\nlp AS")[0] + f""",
-te AS (SELECT order_key, crop, y, rain, temp, pest, country_code, crop_code,
-              CAST(round_even(y * 1e4, 0) AS BIGINT) AS y_key FROM mf WHERE part = 'test'),
-sd AS (SELECT *, (('0x' || substr(md5('1000|' || {key}), 1, 8))::UBIGINT % 256) AS shard FROM te),
-sh AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY md5('1|' || {key})) AS pos,
-              count(*) OVER (PARTITION BY shard) AS size FROM sd),
-{', '.join(mates)},
+    return (MF + SQL_PRED.split(",\nlp AS")[0] + perm_mates_sql() + f""",
 rb AS (SELECT 1 - sum((m.y - {base_expr}) * (m.y - {base_expr})) / (var_pop(m.y) * count(*)) AS r2_base FROM te m, st),
-rp AS ({' UNION ALL '.join(feats)})
+rp AS ({' UNION ALL '.join(feats)}),
+im AS (SELECT feature, CAST(repeat AS BIGINT) AS repeat, round_even((r2_base - r2) * 1e4, 0) / 1e4 AS importance FROM rp, rb)
 """)
 
 
-@register("permutation_importance", _perm_sql() +
-          "SELECT feature, CAST(repeat AS BIGINT) AS repeat, round_even((r2_base - r2) * 1e4, 0) / 1e4 AS importance FROM rp, rb")
+def staged_importance(spark, d):
+    """The importances of fixed_a, computed once per application and read by the tables over them."""
+    def build():
+        mf, test = _perm_frame(spark, d)
+        return permutation_importance(test, FEATS, _perm_predict(mf), "y", ["order_key", "crop", "y_key"], repeats=5)
+    return ST.stage(spark, d, "importance", build)
+
+
+@register("permutation_importance", _perm_sql() + "SELECT * FROM im")
 def perm_importance(spark, d):
-    """R^2 drop of fixed_a when one feature is permuted, 5 repeats from one sort."""
+    """R^2 drop of fixed_a when one feature is permuted over the whole test part, 5 repeats."""
     mf, test = _perm_frame(spark, d)
     return permutation_importance(test, FEATS, _perm_predict(mf), "y", ["order_key", "crop", "y_key"], repeats=5)
 
 
 @register("importance_summary", _perm_sql() + """,
-imp AS (SELECT feature, round_even((r2_base - r2) * 1e4, 0) / 1e4 AS importance FROM rp, rb),
 s AS (SELECT feature, round_even(avg(importance) * 1e4, 0) / 1e4 AS mean_importance,
-             round_even(stddev_pop(importance) * 1e4, 0) / 1e4 AS std_importance FROM imp GROUP BY feature)
+             round_even(stddev_pop(importance) * 1e4, 0) / 1e4 AS std_importance FROM im GROUP BY feature)
 SELECT *, CAST(row_number() OVER (ORDER BY mean_importance DESC, feature) AS BIGINT) AS rank FROM s""")
 def perm_summary(spark, d):
-    """Mean and spread of importance per feature, ordered."""
-    mf, test = _perm_frame(spark, d)
-    imp = permutation_importance(test, FEATS, _perm_predict(mf), "y", ["order_key", "crop", "y_key"], repeats=5)
-    return importance_summary(imp)
+    """Mean and spread of importance per feature, ordered."""
+    return importance_summary(staged_importance(spark, d))
+
+
+@register("importance_box", _perm_sql() + """,
+q AS (SELECT feature, quantile_cont(importance, 0.25) AS q1, quantile_cont(importance, 0.5) AS med, quantile_cont(importance, 0.75) AS q3 FROM im GROUP BY feature)
+SELECT im.feature, round_even(q1 * 1e4, 0) / 1e4 AS q1, round_even(med * 1e4, 0) / 1e4 AS median, round_even(q3 * 1e4, 0) / 1e4 AS q3,
+  round_even(min(CASE WHEN importance >= q1 - 1.5 * (q3 - q1) AND importance <= q3 + 1.5 * (q3 - q1) THEN importance END) * 1e4, 0) / 1e4 AS whisker_low,
+  round_even(max(CASE WHEN importance >= q1 - 1.5 * (q3 - q1) AND importance <= q3 + 1.5 * (q3 - q1) THEN importance END) * 1e4, 0) / 1e4 AS whisker_high,
+  count(*) FILTER (WHERE NOT (importance >= q1 - 1.5 * (q3 - q1) AND importance <= q3 + 1.5 * (q3 - q1))) AS outliers
+FROM im JOIN q ON im.feature = q.feature GROUP BY im.feature, q1, med, q3""")
+def importance_box(spark, d):
+    """Quartiles, whiskers and outliers of the importances per feature."""
+    return M.box_summary(staged_importance(spark, d), "feature", "importance")

@@ -118,17 +118,18 @@ def response_rows(spark, d):
 
 @register("residual_density", MF + SQL_PRED + """,
 r AS (SELECT y - pred AS v FROM lp WHERE model = 'fixed_a'),
-st2 AS (SELECT min(v) AS lo, max(v) AS hi, count(v) AS n, stddev_samp(v) AS sd FROM r),
-h AS (SELECT coalesce(CAST(least(floor((v - lo) / ((hi - lo) / 200.0)), 199) AS INTEGER), 0) AS bin, count(*) AS cnt FROM r, st2 GROUP BY 1),
-hc AS (SELECT bin, cnt, lo + (bin + 0.5) * ((hi - lo) / 200.0) AS center, n, sd * pow(CAST(n AS DOUBLE), -0.2) AS bw FROM h, st2)
-SELECT a.bin AS bin, round_even(a.center * 1e6, 0) / 1e6 AS center,
-       round_even(sum(b.cnt * exp(-0.5 * ((a.center - b.center) / a.bw) * ((a.center - b.center) / a.bw)))
-                  / (a.n * a.bw * sqrt(2 * pi())) * 1e6, 0) / 1e6 AS density
-FROM hc a, hc b GROUP BY a.bin, a.center, a.n, a.bw""")
+sx AS (SELECT min(v) AS lo, (max(v) - min(v)) / 199.0 AS step, count(v) AS n, stddev_samp(v) * pow(CAST(count(v) AS DOUBLE), -0.2) AS bw FROM r),
+b AS (SELECT least(floor((v - lo) / step), 198) AS low, (v - lo) / step AS pos FROM r, sx),
+w AS (SELECT k, sum(w) AS w FROM (SELECT low AS k, 1 - (pos - low) AS w FROM b UNION ALL SELECT low + 1, pos - low FROM b) GROUP BY k),
+g AS (SELECT unnest(range(200)) AS point)
+SELECT point, round_even((lo + point * step) * 1e6, 0) / 1e6 AS place,
+       round_even(coalesce((SELECT sum(w.w * exp(-0.5 * ((point - k) * step / bw) * ((point - k) * step / bw))) FROM w WHERE abs(point - k) * step <= 8 * bw), 0)
+                  / (n * bw * sqrt(2 * pi())) * 1e6, 0) / 1e6 AS density
+FROM g, sx""")
 def residual_density(spark, d):
-    """The residual density on a grid of 200 points (those with rows)."""
+    """The residual density on a grid of 200 points from the smallest to the largest residual."""
     lp = M.residuals(fixed_predictions(spark, d, models=["fixed_a"]))
-    return M.histogram_density(lp, "residual", 200).select("bin", "center", "density")
+    return M.kernel_density(lp, "residual", 200)
 
 
 @register("csv_round_trip", """
@@ -204,3 +205,12 @@ def relative_paths(spark, d):
     p = TB.table(spark, d, "pages").select("page_id", path.alias("p"))
     return p.select("page_id", relative_path("p", "www").alias("path"))
 
+
+
+@register("images_per_class", f"""
+WITH f AS (SELECT {_PATH} AS path FROM pages),
+g AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, string_split(path, '/')[-2] AS class FROM f)
+SELECT class, count(*) AS images, (SELECT count(DISTINCT folder) > 1 FROM g) AS class_based FROM g GROUP BY class""")
+def images_per_class(spark, d):
+    """Files per class folder of a listing, and whether it is laid out by class."""
+    return P.class_summary(_listing(spark, d))

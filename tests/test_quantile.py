@@ -8,8 +8,8 @@ def _ref(vals, p):
     return float(np.quantile(np.asarray(vals, dtype=float), p, method="linear"))
 
 
-@pytest.mark.parametrize("buckets", [65536, 8, 2])
-def test_grouped_quantiles_match_numpy(spark, buckets):
+@pytest.mark.parametrize("accuracy", [10_000, 50, 100])
+def test_grouped_quantiles_match_numpy(spark, accuracy):
     rng = np.random.default_rng(3)
     rows = []
     # one hot group with a third of the rows, heavy ties, and small groups
@@ -20,7 +20,7 @@ def test_grouped_quantiles_match_numpy(spark, buckets):
     rows += [("nulls", None), ("nulls", None), ("one", 5.0)]
     df = spark.createDataFrame(rows, "g string, v double")
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    q = exact_quantiles(df, "v", probs, ["g"], buckets=buckets).collect()
+    q = exact_quantiles(df, "v", probs, ["g"], accuracy=accuracy).collect()
     got = {(r.g, r.prob_id): r.value for r in q}
     groups = {}
     for g, v in rows:
@@ -37,22 +37,37 @@ def test_global_median_and_partition_layout(spark):
     for parts in (1, 4, 64):
         df = spark.createDataFrame([(v,) for v in vals], "v double").repartition(parts)
         assert exact_median(df, "v").first()["median"] == 4.5
-        assert exact_median(df, "v", buckets=2).first()["median"] == 4.5
+        assert exact_median(df, "v", accuracy=2).first()["median"] == 4.5
 
 
-@pytest.mark.parametrize("buckets", [2, 5, 65536])
-def test_tied_ranks_end(spark, buckets):
+@pytest.mark.parametrize("accuracy", [2, 5, 10_000])
+def test_tied_ranks_end(spark, accuracy):
     """Two values, half and half: the ranks of the median lie on both; one value: nothing to narrow."""
     for parts in (1, 64):
         df = spark.createDataFrame([(float(i % 2),) for i in range(20)], "v double").repartition(parts)
-        assert exact_median(df, "v", buckets=buckets).first()["median"] == 0.5
+        assert exact_median(df, "v", accuracy=accuracy).first()["median"] == 0.5
     same = spark.createDataFrame([("a", 3.0)] * 9 + [("b", 1.0)] * 4 + [("b", 2.0)] * 4 + [(None, 7.0)], "g string, v double")
-    got = {r.g: r.median for r in exact_median(same, "v", ["g"], buckets=buckets).collect()}
+    got = {r.g: r.median for r in exact_median(same, "v", ["g"], accuracy=accuracy).collect()}
     assert got == {"a": 3.0, "b": 1.5, None: 7.0}
 
 
 def test_extreme_values_end(spark):
     values = [-1.7e308, 1.7e308, 5e-324, 0.0, float("inf"), float("-inf"), 1.0, float("nan")]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = [r.value for r in exact_quantiles(df, "v", [0.0, 0.5, 1.0], buckets=4).orderBy("prob_id").collect()]
+    got = [r.value for r in exact_quantiles(df, "v", [0.0, 0.5, 1.0], accuracy=4).orderBy("prob_id").collect()]
     assert got == [float("-inf"), 5e-324, float("inf")]
+
+
+@pytest.mark.parametrize("shape", ["normal", "sorted", "skewed", "two_values"])
+def test_brackets_hold_on_large_groups_of_any_layout(spark, shape):
+    """Many more rows than the summary keeps: both passes are at work, and the plan builds without a job."""
+    rng = np.random.default_rng(4)
+    v = {"normal": rng.normal(size=60_000), "sorted": np.arange(60_000.0), "skewed": np.exp(rng.normal(scale=6, size=60_000)),
+         "two_values": (np.arange(60_000) % 2).astype(float)}[shape]
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    for parts in (3, 40):
+        before = jobs()
+        q = exact_quantiles(df.repartition(parts), "v", [0.001, 0.25, 0.5, 0.9999], accuracy=200)
+        assert jobs() == before
+        assert [r.value for r in q.orderBy("prob_id").collect()] == pytest.approx([_ref(v, p) for p in (0.001, 0.25, 0.5, 0.9999)], abs=0, rel=1e-15)
