@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from agrolith.functions.hashing import hash_order
 from agrolith.functions.numeric import round_half_even
-from agrolith.operators.rank import global_rank, permuted
+from agrolith.operators.rank import global_rank, with_permuted
 from agrolith.session import stage_table
 
 
@@ -27,9 +27,10 @@ def permutation_importance(df: DataFrame, features: Sequence[str], predict: Call
     features = list(features)
     ranked = global_rank(df.withColumn("_order", hash_order(seed + 1, key_cols)), ["_order", *features, y], "_rank").drop("_order")
     n = ranked.count()
-    turns = F.array(*[F.struct(F.lit(r).alias("repeat"), permuted(F.col("_rank"), n, f"{seed}|{r}").alias("_to")) for r in range(repeats)])
+    turns = ranked.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")) if repeats else ranked.withColumn("repeat", F.lit(0)).limit(0)
+    turns = with_permuted(turns, "_rank", n, F.concat(F.lit(f"{seed}|"), F.col("repeat").cast("string")), "_to")
     mates = ranked.select(F.col("_rank").alias("_to"), F.struct(*features).alias("_mate"))
-    rows = ranked.select("*", F.explode(turns).alias("_turn")).select(*df.columns, "_turn.*").join(mates, "_to")
+    rows = turns.select(*df.columns, "repeat", "_to").join(mates, "_to")
     names = {}
     for i, f in enumerate([None, *features]):
         names[f] = f"_pred_{i}"

@@ -29,8 +29,8 @@ def global_rank(df: DataFrame, order: Sequence[str], out: str = "rank") -> DataF
     return rows.join(parts, "_part").withColumn(out, F.col("_mid") + F.col("_offset")).drop("_mid", "_part", "_offset")
 
 
-def permuted(rank: Column, n: int, key: str, rounds: int = 4) -> Column:
-    """The place a keyed bijection of [0, n) sends ``rank`` to.
+def with_permuted(df: DataFrame, rank: str, n: int, key: Column, out: str, rounds: int = 4) -> DataFrame:
+    """``df`` with the place a keyed bijection of [0, n) sends the column ``rank`` to; ``key`` is a string column.
 
     A Feistel network over the grid ceil(sqrt n) x ceil(n / ceil(sqrt n)): each
     round shifts one coordinate by a hash of the key, the round and the other
@@ -44,15 +44,16 @@ def permuted(rank: Column, n: int, key: str, rounds: int = 4) -> Column:
     def once(x: Column) -> Column:
         left, right = F.floor(x / F.lit(float(b))).cast("bigint"), x % F.lit(b)
         for i in range(rounds):
-            noise = lambda v, i=i: F.conv(F.substring(F.md5(F.concat(F.lit(f"{key}|{i}|"), v.cast("string"))), 1, 8), 16, 10).cast("bigint")
+            noise = lambda v, i=i: F.conv(F.substring(F.md5(F.concat(key, F.lit(f"|{i}|"), v.cast("string"))), 1, 8), 16, 10).cast("bigint")
             if i % 2 == 0:
                 left = (left + noise(right)) % F.lit(a)
             else:
                 right = (right + noise(left)) % F.lit(b)
         return left * F.lit(b) + right
 
-    first = once(rank)
+    # a column of its own, so that the rounds run once for each row
+    df = df.withColumn(out, once(F.col(rank)))
     if a * b == n:
-        return first
-    return F.when(first < n, first).otherwise(
-        F.aggregate(F.sequence(F.lit(0), F.lit(a * b - n)), first, lambda x, _: F.when(x < n, x).otherwise(once(x))))
+        return df
+    walk = F.aggregate(F.sequence(F.lit(0), F.lit(a * b - n)), F.col(out), lambda x, _: F.when(x < n, x).otherwise(once(x)))
+    return df.withColumn(out, F.when(F.col(out) < n, F.col(out)).otherwise(walk))

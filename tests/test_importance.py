@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from agrolith.operators.importance import permutation_importance
 from agrolith.operators.metrics import kernel_density
-from agrolith.operators.rank import global_rank, permuted
+from agrolith.operators.rank import global_rank, with_permuted
 
 
 def by_hand(x, n, key):
@@ -26,7 +26,7 @@ def by_hand(x, n, key):
 def test_permuted_is_a_bijection(spark, n):
     for r in range(3):
         key = f"0|{r}"
-        got = [x["p"] for x in spark.range(n).select("id", permuted(F.col("id"), n, key).alias("p")).orderBy("id").collect()]
+        got = [x["p"] for x in with_permuted(spark.range(n), "id", n, F.lit(key), "p").orderBy("id").collect()]
         assert sorted(got) == list(range(n)) and got == [by_hand(x, n, key) for x in range(n)]
         if n == 1000:
             assert got != list(range(n)) and abs(np.corrcoef(got, range(n))[0, 1]) < 0.1
