@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from agrolith.functions.numeric import argmax, fixed_logits, fixed_logits_sql, round_half_even, softmax
 from agrolith.operators import metrics as M
 from agrolith.operators.kernel import landmark_map, make_map, pick_landmarks, poly_map
+from agrolith.operators.network import TwoLayer, network_pass
 from agrolith.operators.regress import SVRFit, duality_gap, evaluate, fit_svr, fold_scores, predict, training_cache
 from agrolith.operators.sample import hash_split
 from agrolith.plans import stage as ST
@@ -435,6 +436,39 @@ def class_yield_proxy(spark, d):
     return p.select("vec_id", F.coalesce(round_half_even(F.element_at("prob", 1) * 60.0, 4), F.lit(0.0)).alias("yield_proxy"))
 
 
+def fixed_network() -> TwoLayer:
+    """The classifier's shape (64, 32, 10) with fixed weights: small binary fractions by place."""
+    i, j, c = np.arange(64)[:, None], np.arange(32), np.arange(10)
+    return TwoLayer(((i * 5 + j * 3) % 13 - 6) / 32, (j % 5 - 2) / 8, ((j[:, None] * 7 + c * 2) % 11 - 5) / 8, (c % 3 - 1) / 4)
+
+
+@register("class_net_eval", """
+WITH e AS (SELECT row_number() OVER () AS rid, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x, label FROM embeddings
+           WHERE len(embedding) = 64 AND label BETWEEN 0 AND 9 AND len(list_filter(embedding, lambda v: v IS NULL)) = 0),
+h AS (SELECT rid, x, label, list_transform(range(0, 32), lambda j: 1 / (1 + exp(-((j % 5 - 2) / 8.0
+        + list_sum(list_transform(range(0, 64), lambda i: x[i + 1] * ((i * 5 + j * 3) % 13 - 6) / 32.0)))))) AS h FROM e),
+z AS (SELECT *, list_transform(range(0, 10), lambda c: (c % 3 - 1) / 4.0
+        + list_sum(list_transform(range(0, 32), lambda j: h[j + 1] * ((j * 7 + c * 2) % 11 - 5) / 8.0))) AS z FROM h),
+q AS (SELECT *, list_max(z) + ln(list_sum(list_transform(z, lambda v: exp(v - list_max(z))))) AS lse FROM z),
+d AS (SELECT rid, x, h, lse - z[label + 1] AS loss, CASE WHEN list_position(z, list_max(z)) - 1 = label THEN 1 ELSE 0 END AS hit,
+             list_transform(range(0, 10), lambda c: exp(z[c + 1] - lse) - CASE WHEN c = label THEN 1 ELSE 0 END) AS o FROM q),
+b AS (SELECT *, list_transform(range(0, 32), lambda j: h[j + 1] * (1 - h[j + 1])
+        * list_sum(list_transform(range(0, 10), lambda c: o[c + 1] * ((j * 7 + c * 2) % 11 - 5) / 8.0))) AS g FROM d),
+jj AS (SELECT unnest(range(1, 33)) AS j), cc AS (SELECT unnest(range(1, 11)) AS c), ii AS (SELECT unnest(range(1, 65)) AS i),
+r AS (
+  SELECT 'loss' AS name, avg(loss) AS value FROM b UNION ALL SELECT 'accuracy', avg(hit) FROM b UNION ALL SELECT 'rows', count(*) FROM b
+  UNION ALL SELECT 'grad_w1', sqrt(sum(m * m)) FROM (SELECT avg(x[i] * g[j]) AS m FROM b, ii, jj GROUP BY i, j)
+  UNION ALL SELECT 'grad_b1', sqrt(sum(m * m)) FROM (SELECT avg(g[j]) AS m FROM b, jj GROUP BY j)
+  UNION ALL SELECT 'grad_w2', sqrt(sum(m * m)) FROM (SELECT avg(h[j] * o[c]) AS m FROM b, jj, cc GROUP BY j, c)
+  UNION ALL SELECT 'grad_b2', sqrt(sum(m * m)) FROM (SELECT avg(o[c]) AS m FROM b, cc GROUP BY c))
+SELECT name, round_even(value * 1e6, 0) / 1e6 AS value FROM r""")
+def class_net_eval(spark, d):
+    """One forward and backward pass of the two-layer classifier at fixed weights: loss, accuracy and gradient norms."""
+    p = network_pass(TB.table(spark, d, "embeddings"), "embedding", "label", fixed_network())
+    rows = [(k, float(p[k])) for k in ("loss", "accuracy", "rows")] + [(f"grad_{k}", float(np.sqrt((p[k] ** 2).sum()))) for k in ("w1", "b1", "w2", "b2")]
+    return spark.createDataFrame(rows, "name string, value double").select("name", round_half_even("value", 6).alias("value"))
+
+
 @register("class_accuracy_loss", """
 WITH e AS (SELECT vec_id, label, """ + fixed_logits_sql("embedding", 10) + """ AS lg FROM embeddings),
 x AS (SELECT vec_id, label, list_transform(lg, lambda v: exp(v - list_max(lg))) AS ex FROM e),

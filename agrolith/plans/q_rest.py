@@ -18,8 +18,9 @@ from agrolith.plans.q_model import MF, SQL_PRED, fixed_predictions
 from agrolith.plans.q_score import REQUEST_CROPS, SQL_ALL, SQL_REQ, requests_table, scored_requests
 from agrolith.plans.registry import register
 from agrolith.session import checkpoint_dir
-from agrolith.sources.csv import read_csv_strings, write_csv
+from agrolith.sources.csv import load_named, read_csv_strings, read_csv_tree, write_csv
 from agrolith.sources.landing import land_tables
+from agrolith.streaming.requests import commit_log, request_stream, run_available_now, score_stream
 
 _REQ = "WITH " + SQL_REQ.split(",\nrq AS")[0].lstrip().lstrip(",")
 _MODE = "(SELECT {c} FROM req WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"
@@ -145,6 +146,72 @@ def csv_round_trip(spark, d):
     return back.select(F.col("order_key").cast("bigint").alias("order_key"), "status", C.coerce_double("price").alias("price"), "priority")
 
 
+@register("csv_tree", """
+SELECT CAST(o_orderkey AS BIGINT) AS order_key, o_orderstatus AS status, CASE WHEN o_orderkey % 4 < 3 THEN o_totalprice END AS price,
+       CASE WHEN o_orderkey % 4 = 3 AND o_orderkey % 7 <> 0 THEN o_orderpriority END AS priority, NULL::VARCHAR AS error FROM orders
+UNION ALL SELECT count(*), NULL, NULL, NULL, 'expected 2 fields, saw 3' FROM customer""")
+def csv_tree(spark, d):
+    """S3: orders as many CSV files with two headers, and one broken file of customers: all read by header, the broken one reported with its lines."""
+    o = TB.table(spark, d, "orders")
+    root = scratch(spark, "tree")
+    token = F.when(F.col("o_orderkey") % 7 == 0, F.lit("null")).otherwise(F.col("o_orderpriority"))
+    priced = o.where("o_orderkey % 4 < 3").select(F.col("o_orderkey").alias("Order Key"), F.col("o_orderstatus").alias("Status"), F.col("o_totalprice").alias("Price"))
+    write_csv(priced.repartition(5, "Order Key"), f"{root}/priced")
+    write_csv(o.where("o_orderkey % 4 = 3").select(F.col("o_orderkey").alias("order_key"), F.col("o_orderstatus").alias("status"), token.alias("priority"))
+              .repartition(3, "order_key"), f"{root}/deep/priority")
+    # names with a separator that nobody quoted, below a header of two columns
+    c = TB.table(spark, d, "customer").select(F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name", F.lit("extra")).alias("key,name"))
+    c.coalesce(1).write.option("header", True).option("quote", "\u0000").option("sep", "\u0001").csv(f"{root}/broken")
+    groups, report = read_csv_tree(spark, root)
+    out = None
+    for g in groups:
+        has = lambda n, g=g: F.col(n) if n in g.rows.columns else F.lit(None).cast("string")
+        rows = g.rows.select("order_key", "status", has("price").alias("price"), has("priority").alias("priority"))
+        part = rows.select(F.col("order_key").cast("bigint").alias("order_key"), "status", C.coerce_double("price").alias("price"),
+                           "priority", F.lit(None).cast("string").alias("error"))
+        out = part if out is None else out.unionByName(part)
+    bad = report.where(F.col("error").isNotNull()).select((F.col("lines") - 1).alias("order_key"), F.lit(None).cast("string").alias("status"),
+                                                          F.lit(None).cast("double").alias("price"), F.lit(None).cast("string").alias("priority"), "error")
+    return bad if out is None else out.unionByName(bad)
+
+
+@register("named_csvs", """
+SELECT 'nation' AS name, count(*) AS rows, count(DISTINCT n_regionkey) AS keys FROM nation
+UNION ALL SELECT 'region', count(*), count(DISTINCT r_regionkey) FROM region""")
+def named_csvs(spark, d):
+    """A list of named CSV files, one of which is absent and left out; headers normalised."""
+    root = scratch(spark, "named")
+    for n in ("nation", "region"):
+        t = TB.table(spark, d, n)
+        write_csv(t.select(*[F.col(c).alias(c.replace("_", " ").upper()) for c in t.columns]), f"{root}/{n}.csv")
+    frames = load_named(spark, {n: f"{root}/{n}.csv" for n in ("nation", "region", "gone")})
+    out = None
+    for n, key in (("nation", "n_regionkey"), ("region", "r_regionkey")):
+        r = frames[n].agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("rows"), F.count_distinct(key).alias("keys"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@register("stream_restart", SQL_ALL + "SELECT event_id, model_type, prediction, model, confidence, error, insights, CAST(event_id % 2 AS BIGINT) AS batch FROM resp")
+def stream_restart(spark, d):
+    """M12 on a stream: requests land in two waves, the job stops after the first and a new one goes on from its checkpoint.
+
+    ``batch`` comes from the sink's commit log: the commit that holds the file a
+    row is in, so rows are there once, and in the wave they landed in.
+    """
+    root = scratch(spark, "requests")
+    src, out, check = (f"{root}/{x}" for x in ("in", "out", "checkpoint"))
+    req = requests_table(spark, d)
+    for wave in (0, 1):
+        req.where(F.col("event_id") % 2 == wave).write.mode("append").parquet(src)
+        job = spark.newSession()  # a start of its own; only the folders carry over
+        job.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+        run_available_now(score_stream(request_stream(job, src, schema=req.schema), lambda r, job=job: scored_requests(job, d, r)), out, check)
+    rows = spark.read.parquet(out).withColumn("file", F.col("_metadata.file_name"))
+    return rows.join(commit_log(spark, out), "file").select("event_id", "model_type", "prediction", "model", "confidence", "error",
+                                         F.array_join("insights", " | ").alias("insights"), "batch")
+
+
 @register("landed_tables", """
 SELECT 'customer' AS name, count(*) AS rows, min(c_custkey) AS first_key FROM customer
 UNION ALL SELECT 'supplier', count(*), min(s_suppkey) FROM supplier""")

@@ -10,6 +10,7 @@ what is there and stops (used by the tests to compare with the batch result).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from agrolith.operators.score import respond
 
@@ -40,3 +41,21 @@ def run_available_now(stream: DataFrame, out_path: str, checkpoint: str) -> None
     q = (stream.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def commit_log(spark: SparkSession, out_path: str) -> DataFrame:
+    """(file, batch): the files the sink has committed and the first commit that names each.
+
+    DataFrame readers leave out folders that begin with an underscore, so the
+    log's few small files are read as texts in tasks.
+    """
+    import json
+    logs = spark.sparkContext.wholeTextFiles(f"{out_path.rstrip('/')}/_spark_metadata/[0-9]*")
+
+    def entries(log):
+        batch = int(log[0].rsplit("/", 1)[1].split(".")[0])
+        adds = [json.loads(line) for line in log[1].splitlines() if line.startswith("{")]
+        return [(a["path"].rsplit("/", 1)[1], batch) for a in adds if a["action"] == "add"]
+
+    rows = spark.createDataFrame(logs.flatMap(entries), "file string, batch bigint")
+    return rows.groupBy("file").agg(F.min("batch").alias("batch"))
