@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 
 from agrolith.functions.numeric import argmax, fixed_logits, fixed_logits_sql, round_half_even, softmax
 from agrolith.operators import metrics as M
+from agrolith.operators.importance import permutation_importance
 from agrolith.operators.kernel import landmark_map, make_map, pick_landmarks, poly_map
 from agrolith.operators.network import TwoLayer, network_pass
 from agrolith.operators.regress import SVRFit, duality_gap, evaluate, fit_svr, fold_scores, predict, training_cache
 from agrolith.operators.sample import hash_split
 from agrolith.plans import stage as ST
 from agrolith.plans import tables as TB
-from agrolith.plans.q_model import _ROW_KEY, GRID_C, GRID_EPS, GRID_GAMMA, MF, SQL_PRED, _z, fixed_scaler
+from agrolith.plans.q_model import (
+    _ROW_KEY, GRID_C, GRID_EPS, GRID_GAMMA, METRICS_SQL, MF, SQL_PRED, _z, fixed_scaler, perm_frame, perm_mates_sql)
 from agrolith.plans.q_prepare import row_key_cols
 from agrolith.plans.registry import register
 from agrolith.session import checkpoint_dir
@@ -344,13 +346,19 @@ SELECT model, CAST(n AS BIGINT) AS n, round_even(primal * 1e6, 0) / 1e6 AS prima
        round_even(gap * 1e7, 0) / 1e7 AS gap, gap < 1e-3 AS converged FROM ({' UNION ALL '.join(out)})"""
 
 
-def _store(spark, d, name, place, cache=None):
-    """The default kernel ``name`` fitted on the train part, stored as tables at ``place`` and read back."""
-    mf = ST.model_frame(spark, d)
-    scaler = fixed_scaler(mf)
-    train = scaler.transform(mf).where(F.col("part") == "train")
-    path = model_path(spark, place)
-    save_model(spark, path, scaler, ST.dictionary(spark, d), _fit(train, name, cache), FEATS)
+_STORED: dict[str, str] = {}
+
+
+def _store(spark, d, name, cache=None):
+    """The default kernel ``name`` fitted on the train part, stored as tables (once per input) and read back."""
+    path = model_path(spark, name.lower())
+    tag = ST.signature(spark, d)
+    if _STORED.get(path) != tag:
+        mf = ST.model_frame(spark, d)
+        scaler = fixed_scaler(mf)
+        train = scaler.transform(mf).where(F.col("part") == "train")
+        save_model(spark, path, scaler, ST.dictionary(spark, d), _fit(train, name, cache), FEATS)
+        _STORED[path] = tag
     return load_model(spark, path)
 
 
@@ -365,7 +373,7 @@ def svr_gap(spark, d):
     cache = training_cache(train, FEATS, "y")
     rows, n = [], cache.count()
     for name in KERNELS:
-        (primal,), (dual,) = duality_gap(cache, FEATS, "y", _store(spark, d, name, name.lower(), cache)["fit"])
+        (primal,), (dual,) = duality_gap(cache, FEATS, "y", _store(spark, d, name, cache)["fit"])
         rows.append((name, n, float(primal), float(dual), float((primal - dual) / abs(primal))))
     cache.unpersist()
     out = spark.createDataFrame(rows, "model string, n bigint, primal double, dual double, gap double")
@@ -373,25 +381,92 @@ def svr_gap(spark, d):
                       round_half_even("gap", 7).alias("gap"), (F.col("gap") < 1e-3).alias("converged"))
 
 
+def _stored_score_cte(spark, name, rows, out):
+    """CTE ``out`` (rid, pred): the stored model ``name`` applied to the standardised columns z0.. of ``rows``."""
+    t, n = name.lower(), len(FEATS)
+    b = f"(SELECT weight FROM {_stored(spark, t, 'weights')} WHERE idx < 0)"
+    if KERNELS[name]["kind"] == "rbf":
+        near = " + ".join(f"(z{i} - l.x[{i + 1}]) * (z{i} - l.x[{i + 1}])" for i in range(n))
+        return f"""{out}_b AS (SELECT p.k, sum(p.value * w.weight) AS beta FROM {_stored(spark, t, 'projection')} p JOIN {_stored(spark, t, 'weights')} w ON p.idx = w.idx GROUP BY p.k),
+{out} AS (SELECT rid, sum(beta * exp(-l.gamma * ({near}))) + {b} AS pred FROM {rows}, {_stored(spark, t, 'landmarks')} l JOIN {out}_b s ON s.k = l.k GROUP BY rid)"""
+    fmap = poly_map(n, 3, None, 1.0)
+    terms = [f"z{i}" for i in range(n)] if name == "Linear" else \
+        [" * ".join([repr(float(c)), *(f"z{i}" for i, e in enumerate(x) for _ in range(int(e)))]) for x, c in zip(fmap.exps, fmap.coefs)]
+    return f"""{out}_w AS (SELECT list(weight ORDER BY idx) AS w FROM {_stored(spark, t, 'weights')} WHERE idx >= 0),
+{out} AS (SELECT rid, {' + '.join(f'({x}) * w[{i + 1}]' for i, x in enumerate(terms))} + {b} AS pred FROM {rows}, {out}_w)"""
+
+
+_TEST_SQL = MF + SQL_PRED.split(",\nlp AS")[0] + f""",
+ts AS (SELECT row_number() OVER () AS rid, m.order_key, m.crop, m.y, {', '.join(f'{_z(c)} AS z{i}' for i, c in enumerate(FEATS))}
+       FROM mf m, st WHERE m.part = 'test')"""
+
+
 def _stored_score_sql(spark):
-    near = " + ".join(f"(z{i} - l.x[{i + 1}]) * (z{i} - l.x[{i + 1}])" for i in range(len(FEATS)))
-    return MF + SQL_PRED.split(",\nlp AS")[0] + f""",
-te AS (SELECT row_number() OVER () AS rid, m.order_key, m.crop, m.y, {', '.join(f'{_z(c)} AS z{i}' for i, c in enumerate(FEATS))}
-       FROM mf m, st WHERE m.part = 'test'),
-be AS (SELECT p.k, sum(p.value * w.weight) AS beta FROM {_stored(spark, 'scored', 'projection')} p JOIN {_stored(spark, 'scored', 'weights')} w ON p.idx = w.idx GROUP BY p.k),
-sc AS (SELECT rid, sum(beta * exp(-l.gamma * ({near}))) AS f FROM te, {_stored(spark, 'scored', 'landmarks')} l JOIN be ON be.k = l.k GROUP BY rid)
-SELECT order_key, crop, y, round_even((f + (SELECT weight FROM {_stored(spark, 'scored', 'weights')} WHERE idx < 0)) * 1e4, 0) / 1e4 AS pred FROM te JOIN sc USING (rid)"""
+    return _TEST_SQL + ",\n" + _stored_score_cte(spark, "RBF", "ts", "sc") + """
+SELECT order_key, crop, y, round_even(pred * 1e4, 0) / 1e4 AS pred FROM ts JOIN sc USING (rid)"""
+
+
+def _stored_predict(spark, d, name):
+    """A scorer of unscaled rows with the stored model ``name``, all in the JVM; the features stay as they are."""
+    m = _store(spark, d, name)
+
+    def apply(df):
+        raw = df.withColumns({f"_raw_{c}": F.col(c) for c in m["features"]})
+        out = predict(m["scaler"].transform(raw), m["features"], m["fit"])
+        return out.withColumns({c: F.col(f"_raw_{c}") for c in m["features"]}).drop(*[f"_raw_{c}" for c in m["features"]])
+    return apply
+
+
+def _test_rows(spark, d):
+    return ST.model_frame(spark, d).where(F.col("part") == "test").select("order_key", "crop", "y", *FEATS)
 
 
 @register("score_stored_model", later=_stored_score_sql)
 def score_stored_model(spark, d):
     """The RBF regressor fitted, stored as tables, read back, and used to score the test rows in the JVM."""
-    m = _store(spark, d, "RBF", "scored")
-    test = ST.model_frame(spark, d).where(F.col("part") == "test").select("order_key", "crop", "y", *FEATS)
-    out = predict(m["scaler"].transform(test), m["features"], m["fit"])
+    out = _stored_predict(spark, d, "RBF")(_test_rows(spark, d))
     return out.select("order_key", "crop", "y", round_half_even("pred", 4).alias("pred"))
 
 
+def _report_sql(spark):
+    ctes = ",\n".join(_stored_score_cte(spark, name, "ts", f"s{i}") for i, name in enumerate(KERNELS))
+    preds = " UNION ALL ".join(f"SELECT '{name}' AS model, y, pred FROM ts JOIN s{i} USING (rid)" for i, name in enumerate(KERNELS))
+    return _TEST_SQL + f""",
+{ctes},
+lp AS ({preds}),""" + METRICS_SQL + "\nSELECT *, CAST(row_number() OVER (ORDER BY rmse, model) AS BIGINT) AS rank FROM mt"
+
+
+@register("fitted_report", later=_report_sql)
+def fitted_report(spark, d):
+    """The fitted, stored kernels scored on the same test rows, with errors and rank."""
+    rows, out = _test_rows(spark, d), None
+    for name in KERNELS:
+        p = _stored_predict(spark, d, name)(rows).select(F.lit(name).alias("model"), "y", "pred")
+        out = p if out is None else out.unionByName(p)
+    return M.rank_models(M.regression_metrics(out))
+
+
+def _fitted_importance_sql(spark):
+    z = lambda src, f: ", ".join(f"({'m.p_' + c if c == f else 'm.' + c} - st.a_{c}) / st.b_{c} AS z{i}" for i, c in enumerate(FEATS))
+    shown = [f"SELECT m.rank * 100 + {r * len(FEATS) + i} AS rid, '{f}' AS feature, {r} AS repeat, m.y, {z('m', f)} FROM j{r} m, st"
+             for r in range(5) for i, f in enumerate(FEATS)]
+    return MF + SQL_PRED.split(",\nlp AS")[0] + perm_mates_sql() + f""",
+own AS (SELECT m.rank AS rid, m.y, {z('m', None)} FROM rk m, st),
+var AS ({' UNION ALL '.join(shown)}),
+{_stored_score_cte(spark, 'RBF', 'own', 'so')},
+{_stored_score_cte(spark, 'RBF', 'var', 'sv')},
+rb AS (SELECT 1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(*)) AS r2_base FROM own JOIN so USING (rid)),
+rp AS (SELECT feature, repeat, 1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(*)) AS r2 FROM var JOIN sv USING (rid) GROUP BY feature, repeat)
+SELECT feature, CAST(repeat AS BIGINT) AS repeat, round_even((r2_base - r2) * 1e4, 0) / 1e4 AS importance FROM rp, rb"""
+
+
+@register("fitted_importance", later=_fitted_importance_sql)
+def fitted_importance(spark, d):
+    """M13 over the fitted pipeline: R^2 drop of the stored RBF model when one feature is permuted over the whole test part."""
+    mf, test = perm_frame(spark, d)
+    return permutation_importance(test, FEATS, _stored_predict(spark, d, "RBF"), "y", ["order_key", "crop", "y_key"], repeats=5)
+
+
 # ---- vector classifier (image stand-in) ----------------------------------------
 
 def _vectors(spark, d):

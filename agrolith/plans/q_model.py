@@ -221,7 +221,7 @@ GRID_EPS = [0.1, 0.5, 1.0]
 
 # ---- permutation importance ------------------------------------------------------------
 
-def _perm_frame(spark, d):
+def perm_frame(spark, d):
     mf = ST.model_frame(spark, d)
     test = mf.where(F.col("part") == "test").select(
         "order_key", "crop", "y", *FEATS, F.rint(F.col("y") * 1e4).cast("bigint").alias("y_key"))
@@ -288,7 +288,7 @@ im AS (SELECT feature, CAST(repeat AS BIGINT) AS repeat, round_even((r2_base - r
 def staged_importance(spark, d):
     """The importances of fixed_a, computed once per application and read by the tables over them."""
     def build():
-        mf, test = _perm_frame(spark, d)
+        mf, test = perm_frame(spark, d)
         return permutation_importance(test, FEATS, _perm_predict(mf), "y", ["order_key", "crop", "y_key"], repeats=5)
     return ST.stage(spark, d, "importance", build)
 
@@ -296,7 +296,7 @@ def staged_importance(spark, d):
 @register("permutation_importance", _perm_sql() + "SELECT * FROM im")
 def perm_importance(spark, d):
     """R^2 drop of fixed_a when one feature is permuted over the whole test part, 5 repeats."""
-    mf, test = _perm_frame(spark, d)
+    mf, test = perm_frame(spark, d)
     return permutation_importance(test, FEATS, _perm_predict(mf), "y", ["order_key", "crop", "y_key"], repeats=5)
 
 
