@@ -26,21 +26,38 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op1_sql() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
+    listed = lambda xs: "[" + ", ".join(map(quote, xs)) + "]"
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     rows = ", ".join(f"({i}, {quote(n)}, {quote(t.translate(str.maketrans(upper, lower)))})" for i, (n, t) in enumerate(licenses.TEMPLATES))
     speaks = lambda c: "(" + " OR ".join(f"contains({c}, {quote(t)})" for t in licenses.TRIGGERS) + ")"
+    fits = " ".join(f"WHEN {quote(n)} THEN " + " AND ".join(
+        [f"list_has_any(tokens, {listed(g)})" for g in licenses.MUST.get(n, ())] + [f"NOT list_has_any(tokens, {listed(licenses.MUST_NOT.get(n, ()))})"] * (n in licenses.MUST_NOT)
+        or ["true"]) for n in sorted({n for n, _ in licenses.TEMPLATES}))
+    runs = lambda parts, most: (
+        f"flatten(list_transform(range(1, len({parts}) + 1), lambda i: list_transform(range(1, least({most}, len({parts}) - i + 1) + 1), "
+        f"lambda k: struct_pack(a := {parts}[i], t := array_to_string({parts}[i:i + k - 1], ' ')))))")
     return rf"""
 WITH tem(t, license, text) AS (VALUES {rows}),
 base AS (SELECT doc_id, coalesce(text, '') AS text,
     coalesce(source, '') || '/' || coalesce(lang, '') || '/' || CAST(CAST(floor(doc_id / 100) AS BIGINT) AS VARCHAR) AS dir FROM documents),
 low AS (SELECT doc_id, translate(text, '{upper}', '{lower}') AS low FROM base),
-cand AS (SELECT doc_id, regexp_replace(trim(seg, ' '), '[ 	
-]+', ' ', 'g') AS seg
-  FROM (SELECT doc_id, unnest(string_split_regex(low, '
-|[.;!?][ 	]+')) AS seg FROM low WHERE {speaks('low')}) WHERE {speaks('seg')}),
-segs AS (SELECT seg, count(*) AS c FROM cand GROUP BY seg),
-stok AS (SELECT seg, c, token, CAST(count(*) AS DOUBLE) AS tf
-  FROM (SELECT seg, c, unnest(regexp_extract_all(seg, '{licenses.TOKENS}')) AS token FROM segs) GROUP BY ALL),
+lin AS (SELECT doc_id, low, list_transform(string_split(low, chr(10)), lambda x: regexp_replace(regexp_replace(regexp_replace(x,
+    '{licenses.OPENING_MARKS}', ''), '{licenses.CLOSING_MARKS}', ''), '[ 	]+', ' ', 'g')) AS lines FROM low WHERE {speaks('low')}),
+par AS (SELECT doc_id, low, list_filter(string_split_regex(array_to_string(lines, chr(10)), '
+
++'), lambda p: p <> '') AS ps FROM lin),
+joi AS (SELECT doc_id, list_transform(ps, lambda p: replace(p, chr(10), ' ')) AS ps FROM par),
+spo AS (SELECT doc_id, unnest(list_filter(ps, lambda p: {speaks('p')})) AS p FROM par),
+sen AS (SELECT doc_id, string_split_regex(replace(p, chr(10), ' '), '{licenses.SENTENCES}') AS s FROM spo),
+seg AS (
+  SELECT doc_id, unnest(string_split_regex(p, '
+|{licenses.SENTENCES}')) AS seg, true AS one FROM spo
+  UNION ALL SELECT doc_id, r.t, true FROM (SELECT doc_id, unnest({runs('s', licenses.SENTENCE_RUN)}) AS r FROM sen)
+  UNION ALL SELECT doc_id, r.t, {speaks('r.a')} FROM (SELECT doc_id, unnest({runs('ps', licenses.PARAGRAPH_RUN)}) AS r FROM joi)
+  UNION ALL SELECT doc_id, array_to_string(ps, ' '), true FROM joi),
+cand AS (SELECT DISTINCT doc_id, trim(seg, ' ') AS seg FROM seg WHERE one AND {speaks('seg')} AND trim(seg, ' ') <> ''),
+segs AS (SELECT seg, count(*) AS c, regexp_extract_all(seg, '{licenses.TOKENS}') AS tokens FROM cand GROUP BY seg),
+stok AS (SELECT seg, c, token, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT seg, c, unnest(tokens) AS token FROM segs) GROUP BY ALL),
 ttok AS (SELECT t, license, token, CAST(count(*) AS DOUBLE) AS tf
   FROM (SELECT t, license, unnest(regexp_extract_all(text, '{licenses.TOKENS}')) AS token FROM tem) GROUP BY ALL),
 df AS (SELECT token, sum(c) AS df FROM (SELECT token, c FROM stok UNION ALL SELECT token, 1 FROM ttok) GROUP BY token),
@@ -48,15 +65,15 @@ idf AS (SELECT token, ln(((SELECT coalesce(sum(c), 0) + {len(licenses.TEMPLATES)
 tw AS (SELECT t, license, token, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY t)) AS tw FROM ttok JOIN idf USING (token)),
 sw AS (SELECT seg, token, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY seg)) AS norm FROM stok JOIN idf USING (token)),
 cos AS (SELECT seg, t, license, round(sum(w * tw) / any_value(norm), 4) AS score FROM sw JOIN tw USING (token) GROUP BY ALL),
-best AS (SELECT seg, license, score FROM cos QUALIFY row_number() OVER (PARTITION BY seg ORDER BY score DESC, license) = 1),
-own AS (SELECT doc_id, license, score FROM cand JOIN best USING (seg) WHERE score >= {licenses.MIN_SCORE}
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
-marked AS (SELECT b.doc_id, b.dir, o.license, o.score, len(list_filter(regexp_split_to_array(b.text, '[	
-
- ]+'), lambda w: w <> '')) AS words
-  FROM base b LEFT JOIN own o USING (doc_id)),
+fit AS (SELECT seg, license, max(score) AS score, any_value(len(tokens)) AS n FROM cos JOIN segs USING (seg)
+  WHERE score >= {licenses.MIN_SCORE} AND CASE license {fits} END GROUP BY seg, license),
+best AS (SELECT * FROM fit QUALIFY row_number() OVER (PARTITION BY seg ORDER BY score DESC, license) = 1),
+met AS (SELECT doc_id, license, max(score) AS score, max(n) AS covered FROM cand JOIN best USING (seg) GROUP BY doc_id, license),
+own AS (SELECT m.doc_id, license, score, 2 * covered >= len(regexp_extract_all(low, '{licenses.TOKENS}')) AS whole FROM met m JOIN low USING (doc_id)
+  QUALIFY row_number() OVER (PARTITION BY m.doc_id ORDER BY score DESC, license) = 1),
+marked AS (SELECT b.doc_id, b.dir, o.license, o.score, o.whole FROM base b LEFT JOIN own o USING (doc_id)),
 files AS (SELECT array_to_string(list_filter(string_split(dir, '/'), lambda p: p <> ''), '/') AS at, license, score FROM marked
-  WHERE license IS NOT NULL AND words <= {licenses.FILE_WORDS}
+  WHERE license IS NOT NULL AND whole
   QUALIFY row_number() OVER (PARTITION BY array_to_string(list_filter(string_split(dir, '/'), lambda p: p <> ''), '/') ORDER BY score DESC, license) = 1),
 parts AS (SELECT DISTINCT dir, list_filter(string_split(dir, '/'), lambda p: p <> '') AS ps FROM marked),
 ups AS (SELECT dir, ps, unnest(range(0, len(ps) + 1)) AS up FROM parts),
