@@ -139,7 +139,7 @@ def candidates(low: Column) -> Column:
     sentences = F.flatten(F.transform(spoken, lambda p: F.filter(
         _runs(F.split(F.replace(p, F.lit("\n"), F.lit(" ")), SENTENCES), SENTENCE_RUN, lambda x: F.lit(True)), _speaks)))
     joined = F.transform(paragraphs, lambda p: F.replace(p, F.lit("\n"), F.lit(" ")))
-    return F.transform(F.concat(one_line, sentences, _runs(joined, PARAGRAPH_RUN, _speaks), F.array(F.array_join(joined, " "))), F.trim)
+    return F.transform(F.concat(one_line, sentences, _runs(joined, PARAGRAPH_RUN, _speaks), F.array(F.array_join(joined, " "))), lambda x: F.trim(x))
 
 
 def _tokens(df: DataFrame, keys: list[str], text: str) -> DataFrame:
