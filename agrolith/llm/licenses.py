@@ -3,7 +3,8 @@
 Comment marks are taken off the lines of a text that speaks of licences, and
 its paragraphs are put together again. Candidates are lines, runs of up to four
 sentences across line breaks, runs of up to six paragraphs that start with one
-that speaks of licences, and the whole text; equal ones are scored once. Their
+that speaks of licences, and the whole text, if half of their words are words of
+the templates; equal ones are scored once. Their
 sparse TF-IDF vectors (document frequencies over all candidates and the
 templates) meet those of the templates in a join on the token. Templates are
 whole headers, whole short licences and the titles of long ones, and a
@@ -16,6 +17,8 @@ ancestors and joined. All of it is DataFrame functions.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,6 +107,8 @@ MUST = {
 #: A licence with these tokens is another one.
 MUST_NOT = {"GPL-2.0": ("lesser", "library", "affero"), "GPL-3.0": ("lesser", "affero"), "BSD-2-Clause": ("neither", "3-clause")}
 TRIGGERS = ("licens", "licenc", "copyright", "public domain", "permission is hereby", "permission to use", "redistribution and use", "cc0", "free software")
+#: The same words in any case, for texts that are not lower-cased yet.
+_TRIGGER_PATTERN = "(?i)" + "|".join(TRIGGERS)
 MIN_SCORE = 0.7
 #: Sentences and paragraphs that a run may join.
 SENTENCE_RUN, PARAGRAPH_RUN = 4, 6
@@ -115,6 +120,10 @@ TOKENS = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: The words of all templates.
+VOCABULARY = sorted({w for _, t in TEMPLATES for w in re.findall(TOKENS, t.translate(str.maketrans(_UPPER, _LOWER)))})
+
+
 def _speaks(text: Column) -> Column:
     hit = F.lit(False)
     for t in TRIGGERS:
@@ -122,24 +131,50 @@ def _speaks(text: Column) -> Column:
     return hit
 
 
-def _runs(parts: Column, most: int, keep) -> Column:
-    """All runs of 1 to ``most`` neighbours, joined, that start where ``keep`` says so."""
-    starts = F.filter(F.transform(parts, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: keep(s["x"]))
-    return F.flatten(F.transform(starts, lambda s: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(most), F.size(parts) - s["i"])), lambda k: F.array_join(F.slice(parts, s["i"] + 1, k), " "))))
+def _runs(parts: str, flags: str, most: int, near: bool) -> Column:
+    """Runs of 1 to ``most`` neighbours of the array column ``parts``, joined: those whose first part speaks of licences
+    (``flags``) or, if ``near``, any part."""
+    speaks = lambda i, k: F.coalesce(F.get(F.col(flags), i + k), F.lit(False))
+
+    def starting(i, k):  # the run of k + 1 parts from i, or null
+        met = speaks(i, 0)
+        for j in range(1, k + 1 if near else 1):
+            met = met | speaks(i, j)
+        return F.when(met & (i + k < F.size(parts)), F.concat_ws(" ", *[F.get(F.col(parts), i + j) for j in range(k + 1)]))
 
+    def reach(i):
+        met = speaks(i, 0)
+        for j in range(1, most if near else 1):
+            met = met | speaks(i, j)
+        return met
 
-def candidates(low: Column) -> Column:
-    """Array of the candidate segments of a lower-case text (repeats included)."""
-    lines = F.transform(F.split(low, "\n"), lambda x: F.regexp_replace(
+    starts = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), reach)
+    runs = F.flatten(F.transform(starts, lambda i: F.array(*[starting(i, k) for k in range(most)])))
+    return F.when(F.size(parts) > 0, F.filter(runs, lambda r: r.isNotNull()))
+
+
+def candidates(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, seg): the distinct candidate segments of the lower-case texts ``low``.
+
+    At least half of a segment's words must be words of the templates: what is
+    mostly other text cannot be near one.
+    """
+    lines = F.transform(F.split("low", "\n"), lambda x: F.regexp_replace(
         F.regexp_replace(F.regexp_replace(x, OPENING_MARKS, ""), CLOSING_MARKS, ""), r"[ \t\r]+", " "))
-    paragraphs = F.filter(F.split(F.array_join(lines, "\n"), "\n\n+"), lambda p: p != "")
-    spoken = F.filter(paragraphs, _speaks)
-    one_line = F.flatten(F.transform(spoken, lambda p: F.filter(F.split(p, "\n|" + SENTENCES), _speaks)))
-    sentences = F.flatten(F.transform(spoken, lambda p: F.filter(
-        _runs(F.split(F.replace(p, F.lit("\n"), F.lit(" ")), SENTENCES), SENTENCE_RUN, lambda x: F.lit(True)), _speaks)))
-    joined = F.transform(paragraphs, lambda p: F.replace(p, F.lit("\n"), F.lit(" ")))
-    return F.transform(F.concat(one_line, sentences, _runs(joined, PARAGRAPH_RUN, _speaks), F.array(F.array_join(joined, " "))), lambda x: F.trim(x))
+    # the steps are written: folded into one another, a text would be split anew for each of its parts
+    paras = staged(texts.select(*keys, F.filter(F.split(F.array_join(lines, "\n"), "\n\n+"), lambda p: p != "").alias("paras")), "license-paragraphs")
+    spoken = paras.select(*keys, F.explode(F.filter("paras", _speaks)).alias("p"))
+    one_line = spoken.select(*keys, F.filter(F.split("p", "\n|" + SENTENCES), _speaks).alias("segs"))
+    flagged = lambda df: staged(staged(df, "license-parts").select(*keys, "parts", F.transform("parts", _speaks).alias("flags")), "license-flags")
+    sentences = flagged(spoken.select(*keys, F.split(F.replace("p", F.lit("\n"), F.lit(" ")), SENTENCES).alias("parts"))) \
+        .select(*keys, _runs("parts", "flags", SENTENCE_RUN, True).alias("segs"))
+    joined = flagged(paras.select(*keys, F.transform("paras", lambda p: F.replace(p, F.lit("\n"), F.lit(" "))).alias("parts")))
+    whole = joined.select(*keys, F.concat(F.coalesce(_runs("parts", "flags", PARAGRAPH_RUN, False), F.array()), F.array(F.array_join("parts", " "))).alias("segs"))
+    segs = one_line.unionByName(sentences).unionByName(whole).select(*keys, F.explode("segs").alias("seg"))
+    segs = segs.select(*keys, F.trim("seg").alias("seg")).where(F.col("seg") != "") \
+        .withColumn("tokens", F.regexp_extract_all("seg", F.lit(TOKENS), F.lit(0)))
+    known = F.size(F.filter("tokens", lambda t: t.isin(VOCABULARY)))
+    return segs.where(2 * known >= F.size("tokens")).select(*keys, "seg").distinct()
 
 
 def _tokens(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -216,17 +251,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     same = ["id", "path", "key"]
-    low = F.translate("text", _UPPER, _LOWER)
-    cand = base.withColumn("low", low).where(_speaks(F.col("low"))) \
-        .select("id", "path", F.sha2("text", 256).alias("key"), F.size(F.regexp_extract_all("low", F.lit(TOKENS), F.lit(0))).alias("words"),
-                F.explode(F.array_distinct(candidates(F.col("low")))).alias("seg")).where(F.col("seg") != "")
-    cand = staged(cand, "license-candidates")
+    speaking = base.where(F.col("text").rlike(_TRIGGER_PATTERN)).withColumn("low", F.translate("text", _UPPER, _LOWER)) \
+        .select("id", "path", F.sha2("text", 256).alias("key"), F.size(F.regexp_extract_all("low", F.lit(TOKENS), F.lit(0))).alias("words"), "low")
+    cand = staged(candidates(staged(speaking, "license-texts"), [*same, "words"]), "license-candidates")
     best = segment_licenses(cand.groupBy("seg").agg(F.count("*").alias("c")), min_score)
     met = cand.join(best, "seg").groupBy(*same, "license").agg(F.max("score").alias("score"), F.max("n_tokens").alias("covered"), F.first("words").alias("words"))
     own = met.groupBy(*same).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("l"), (2 * F.col("covered") >= F.col("words")).alias("whole"))).alias("b")) \
         .select(F.col("id").alias("o_id"), F.col("path").alias("o_path"), F.col("key").alias("o_key"), F.col("b.l").alias("license"),
                 (-F.col("b.s")).alias("score"), F.col("b.whole").alias("whole"))
-    slim = base.select("id", "path", F.when(_speaks(low), F.sha2("text", 256)).alias("key"))
+    slim = base.select("id", "path", F.when(F.col("text").rlike(_TRIGGER_PATTERN), F.sha2("text", 256)).alias("key"))
     slim = slim.withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit("")))
     met = (F.col("key") == F.col("o_key")) & F.col("id").eqNullSafe(F.col("o_id")) & F.col("path").eqNullSafe(F.col("o_path"))
     marked = staged(slim.join(own, met, "left").select("id", "path", "dir", "license", "score", "whole"), "license-declared")

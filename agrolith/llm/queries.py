@@ -35,14 +35,16 @@ def _op1_sql() -> str:
         or ["true"]) for n in sorted({n for n, _ in licenses.TEMPLATES}))
     runs = lambda parts, most: (
         f"flatten(list_transform(range(1, len({parts}) + 1), lambda i: list_transform(range(1, least({most}, len({parts}) - i + 1) + 1), "
-        f"lambda k: struct_pack(a := {parts}[i], t := array_to_string({parts}[i:i + k - 1], ' ')))))")
+        f"lambda k: struct_pack(a := {speaks(parts + '[i]')}, s := len(list_filter({parts}[i:i + k - 1], lambda p: {speaks('p')})) > 0, "
+        f"t := array_to_string({parts}[i:i + k - 1], ' ')))))")
     return rf"""
 WITH tem(t, license, text) AS (VALUES {rows}),
 base AS (SELECT doc_id, coalesce(text, '') AS text,
     coalesce(source, '') || '/' || coalesce(lang, '') || '/' || CAST(CAST(floor(doc_id / 100) AS BIGINT) AS VARCHAR) AS dir FROM documents),
 low AS (SELECT doc_id, translate(text, '{upper}', '{lower}') AS low FROM base),
 lin AS (SELECT doc_id, low, list_transform(string_split(low, chr(10)), lambda x: regexp_replace(regexp_replace(regexp_replace(x,
-    '{licenses.OPENING_MARKS}', ''), '{licenses.CLOSING_MARKS}', ''), '[ 	]+', ' ', 'g')) AS lines FROM low WHERE {speaks('low')}),
+    '{licenses.OPENING_MARKS}', ''), '{licenses.CLOSING_MARKS}', ''), '[ 	
+]+', ' ', 'g')) AS lines FROM low WHERE {speaks('low')}),
 par AS (SELECT doc_id, low, list_filter(string_split_regex(array_to_string(lines, chr(10)), '
 
 +'), lambda p: p <> '') AS ps FROM lin),
@@ -52,10 +54,13 @@ sen AS (SELECT doc_id, string_split_regex(replace(p, chr(10), ' '), '{licenses.S
 seg AS (
   SELECT doc_id, unnest(string_split_regex(p, '
 |{licenses.SENTENCES}')) AS seg, true AS one FROM spo
-  UNION ALL SELECT doc_id, r.t, true FROM (SELECT doc_id, unnest({runs('s', licenses.SENTENCE_RUN)}) AS r FROM sen)
-  UNION ALL SELECT doc_id, r.t, {speaks('r.a')} FROM (SELECT doc_id, unnest({runs('ps', licenses.PARAGRAPH_RUN)}) AS r FROM joi)
+  UNION ALL SELECT doc_id, r.t, r.s FROM (SELECT doc_id, unnest({runs('s', licenses.SENTENCE_RUN)}) AS r FROM sen)
+  UNION ALL SELECT doc_id, r.t, r.a FROM (SELECT doc_id, unnest({runs('ps', licenses.PARAGRAPH_RUN)}) AS r FROM joi)
   UNION ALL SELECT doc_id, array_to_string(ps, ' '), true FROM joi),
-cand AS (SELECT DISTINCT doc_id, trim(seg, ' ') AS seg FROM seg WHERE one AND {speaks('seg')} AND trim(seg, ' ') <> ''),
+voc AS (SELECT list(DISTINCT w) AS v FROM (SELECT unnest(regexp_extract_all(text, '{licenses.TOKENS}')) AS w FROM tem)),
+can AS (SELECT DISTINCT doc_id, trim(seg, ' ') AS seg FROM seg WHERE one AND trim(seg, ' ') <> ''),
+cand AS (SELECT doc_id, seg FROM can, voc WHERE 2 * len(list_filter(regexp_extract_all(seg, '{licenses.TOKENS}'), lambda w: list_contains(v, w)))
+  >= len(regexp_extract_all(seg, '{licenses.TOKENS}'))),
 segs AS (SELECT seg, count(*) AS c, regexp_extract_all(seg, '{licenses.TOKENS}') AS tokens FROM cand GROUP BY seg),
 stok AS (SELECT seg, c, token, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT seg, c, unnest(tokens) AS token FROM segs) GROUP BY ALL),
 ttok AS (SELECT t, license, token, CAST(count(*) AS DOUBLE) AS tf

@@ -24,12 +24,16 @@ def segments(text):
     paras = [p for p in re.split(r"\n\n+", "\n".join(clean(x) for x in text.split("\n"))) if p]
     out = []
     for p in paras:
-        out += re.split(r"\n|[.;!?][ \t]+", p)
+        if not speaks(p):
+            continue
+        out += [x for x in re.split(r"\n|[.;!?][ \t]+", p) if speaks(x)]
         sent = re.split(r"[.;!?][ \t]+", p.replace("\n", " "))
-        out += [" ".join(sent[i:i + k]) for i in range(len(sent)) for k in range(1, 5)]
+        out += [" ".join(sent[i:i + k]) for i in range(len(sent)) for k in range(1, 5) if any(map(speaks, sent[i:i + k]))]
     out += [" ".join(paras[i:i + k]).replace("\n", " ") for i in range(len(paras)) if speaks(paras[i]) for k in range(1, 7)]
     out.append(" ".join(paras).replace("\n", " "))
-    return {x.strip(" ") for x in out if speaks(x)} - {""}
+    known = {w for _, t in licenses.TEMPLATES for w in re.findall(licenses.TOKENS, low(t))}
+    half = lambda x: 2 * sum(w in known for w in re.findall(licenses.TOKENS, x)) >= len(re.findall(licenses.TOKENS, x))
+    return {x.strip(" ") for x in out if half(x)} - {""}
 
 
 def brute(docs):
