@@ -115,7 +115,7 @@ OP3_PATTERNS = {
 def _op3_sql() -> str:
     kinds = {k.name: k for k in pii.KINDS}
     found = " UNION ALL ".join(
-        f"SELECT rid, '{k}' AS kind, {i} AS rank, regexp_extract_all(text, '{p}') AS hits, string_split_regex(text, '{p}') AS pieces "
+        f"SELECT rid, text, '{k}' AS kind, {i} AS rank, regexp_extract_all(text, '{p}') AS hits, string_split_regex(text, '{p}') AS pieces "
         f"FROM d WHERE regexp_matches(text, '{p}')" for i, (k, p) in enumerate(OP3_PATTERNS.items()))
     context = " ".join(f"WHEN '{k}' THEN regexp_matches(near, '{v.context}')" for k, v in kinds.items())
     scores = " ".join(f"WHEN '{k}' THEN {v.score}" for k, v in kinds.items())
@@ -126,10 +126,10 @@ def _op3_sql() -> str:
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 k AS ({found}),
-e AS (SELECT rid, kind, rank, unnest(hits) AS hit, unnest(pieces[1:len(hits)]) AS before, unnest(pieces[2:len(hits) + 1]) AS after,
+e AS (SELECT rid, text, kind, rank, unnest(hits) AS hit, unnest(pieces[1:len(hits)]) AS before, unnest(pieces[2:len(hits) + 1]) AS after,
              unnest(range(1, len(hits) + 1)) AS i FROM k),
-p AS (SELECT *, lower(right(before, {pii.CONTEXT_CHARS}) || ' ' || left(after, {pii.CONTEXT_CHARS})) AS near,
-             CAST(sum(length(before) + length(hit)) OVER (PARTITION BY rid, kind ORDER BY i) AS BIGINT) AS b FROM e),
+o AS (SELECT *, CAST(sum(length(before) + length(hit)) OVER (PARTITION BY rid, kind ORDER BY i) AS BIGINT) AS b FROM e),
+p AS (SELECT *, lower(right(left(text, b - length(hit)), {pii.CONTEXT_CHARS}) || ' ' || substr(text, b + 1, {pii.CONTEXT_CHARS})) AS near FROM o),
 v AS (SELECT rid, kind, rank, b - length(hit) AS a, b,
   CASE kind {scores} END + CASE WHEN CASE kind {context} END THEN {pii.CONTEXT_BONUS} ELSE 0 END AS score,
   CASE kind

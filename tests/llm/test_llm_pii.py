@@ -125,3 +125,16 @@ def test_lists_of_numbers(spark):
     assert counts == [2, 1, 1, 2, 4, 2, 2, 1, 1, 2, 2, 1, 1, 0, 0, 2]
     redacted = {r["doc_id"]: r["text"] for r in pii.redact(df, "text").collect()}
     assert redacted[0] == "SSNs: [SSN] and [SSN]." and redacted[8] == "[IBAN] EURO"
+
+
+def test_twin_reads_the_context_of_lists_from_the_whole_text(spark):
+    import duckdb
+    texts = ["SSNs: 123-45-6789, 234-56-7890 and 345-67-8901.", "123-45-6789 " + "x" * 60 + " 234-56-7890 social security", "no 123-45-6789 here", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.scan(df, "doc_id", "text").collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    d = con.execute(queries.ORACLE["op3_pii"]).df()
+    assert dict(zip(d["doc_id"], d["spans"])) == got
+    assert got[0].count("ssn") == 3 and got[1].count("ssn") == 1 and got[2] == ""
