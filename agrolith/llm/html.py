@@ -13,6 +13,7 @@ from __future__ import annotations
 import html as htmllib
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -64,17 +65,36 @@ _WORD = re.compile("[a-z]+")
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
 
 
+class Open:
+    """An open element with what its path says: made once when it opens, so that a block needs no walk up."""
+
+    __slots__ = ("tag", "tags", "hints", "own", "near", "marked", "named")
+
+    def __init__(self, tag: str, hints: frozenset, marked: bool, up: Open | None):
+        self.tag = tag
+        self.tags = (up.tags if up else frozenset()) | ({tag} & STRUCTURE)
+        self.hints = (up.hints if up else frozenset()) | hints
+        self.own = tag if tag in BLOCK else up.own if up else "none"
+        self.near = min(hints) if hints else up.near if up else "none"
+        self.marked = marked or bool(up and up.marked)                       # labelled main text
+        self.named = bool(hints - {"body"}) or bool(up and up.named)          # some name of another part
+
+
+TOP = Open("", frozenset(), False, None)
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple  # the open elements: (tag, hints, is labelled main text)
+    path: Open   # the innermost open element
     linked: int  # characters inside links
 
 
 def parse(page: str) -> list[Block]:
     """The leaf blocks of text in page order."""
     blocks: list[Block] = []
-    stack: list[tuple] = []
+    stack: list[Open] = []
+    still: Counter = Counter()  # open elements by tag
     parts: list[str] = []
     linked, at, n = 0, 0, len(page)
 
@@ -83,20 +103,24 @@ def parse(page: str) -> list[Block]:
         if parts:
             text = " ".join(htmllib.unescape("".join(parts)).split())
             if text:
-                blocks.append(Block(text, tuple(stack), linked))
+                blocks.append(Block(text, stack[-1] if stack else TOP, linked))
             parts.clear()
         linked = 0
 
     def close(depth: int):
-        if any(e[0] in BLOCK for e in stack[depth:]):
+        gone = [e.tag for e in stack[depth:]]
+        if any(t in BLOCK for t in gone):
             flush()
+        still.subtract(gone)
         del stack[depth:]
 
     def nearest(names, fence) -> int:
+        if not any(still[t] > 0 for t in names):
+            return -1
         for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
+            if stack[i].tag in names:
                 return i
-            if stack[i][0] in fence:
+            if stack[i].tag in fence:
                 break
         return -1
 
@@ -104,9 +128,9 @@ def parse(page: str) -> list[Block]:
         lt = page.find("<", at)
         piece = page[at:lt if lt >= 0 else n]
         if piece:
-            if not (stack and stack[-1][0] == "head"):
+            if not (stack and stack[-1].tag == "head"):
                 parts.append(piece)
-                if any(e[0] == "a" for e in stack):
+                if still["a"] > 0:
                     linked += len(piece)
         if lt < 0:
             break
@@ -158,7 +182,8 @@ def parse(page: str) -> list[Block]:
             continue
         names = _WORD.findall(" ".join(x.strip("\"'") for x in _NAMES.findall(attrs)).lower()) if attrs else []
         hints = frozenset(_HINT_OF[w] for w in names if w in _HINT_OF) | ({"notice"} if attrs and _HIDDEN.search(attrs) else frozenset())
-        stack.append((tag, hints, "data-y" in attrs))
+        stack.append(Open(tag, hints, "data-y" in attrs, stack[-1] if stack else None))
+        still[tag] += 1
     flush()
     return blocks
 
@@ -171,10 +196,7 @@ def features(blocks: list[Block]) -> list[list[str]]:
     """Feature names of each block: tags and names of its ancestors, its text, its place."""
     out = []
     for i, b in enumerate(blocks):
-        tags = {e[0] for e in b.path}
-        own = next((e[0] for e in reversed(b.path) if e[0] in BLOCK), "none")
-        hints = [g for e in b.path for g in e[1]]
-        near = next((sorted(e[1])[0] for e in reversed(b.path) if e[1]), "none")
+        tags, hints, own, near = b.path.tags, b.path.hints, b.path.own, b.path.near
         words = b.text.count(" ") + 1
         f = ["bias", f"own={own}", f"near={near}", *(f"in={t}" for t in sorted(tags & STRUCTURE)), *(f"hint={g}" for g in sorted(set(hints)))]
         if tags & {"article", "main"} or "body" in hints:
@@ -273,14 +295,14 @@ class Field:
 
 
 def labelled(blocks: list[Block]) -> list[int]:
-    return [int(any(e[2] for e in b.path)) for b in blocks]
+    return [int(b.path.marked) for b in blocks]
 
 
 def from_markup(blocks: list[Block]) -> list[int] | None:
     """Labels from a page's own markup: what stands in ``article`` and in no other part; None without one."""
     def inside(b: Block) -> bool:
-        tags = {e[0] for e in b.path}
-        return "article" in tags and not tags & {"nav", "footer", "aside", "form"} and not any(e[1] - {"body"} for e in b.path)
+        tags = b.path.tags
+        return "article" in tags and not tags & {"nav", "footer", "aside", "form"} and not b.path.named
     y = [int(inside(b)) for b in blocks]
     return y if any(y) else None
 

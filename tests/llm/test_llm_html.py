@@ -94,3 +94,12 @@ def test_query(spark):
     want = {r["page_id"]: gold(r["html"]) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     got = queries.op7_html(spark, SF).collect()
     assert {r["page_id"]: r["text"] for r in got} == want
+
+
+def test_long_and_deep_pages_take_time_in_proportion():
+    import time
+    t = time.time()
+    assert len(html.features(html.parse("<div>word" * 100_000))) == 100_000
+    assert len(html.parse("<p>x " + "<span>word " * 100_000)) == 1
+    assert len(html.features(html.parse("<ul>" + "<li>item <b>text" * 50_000 + "</ul>"))) == 50_000
+    assert time.time() - t < 30
