@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from agrolith.llm.common import with_workers
 from agrolith.llm.layouts import LAYOUTS
 
-TRAIN_PAGES = 120
+#: Bounds of the training sample: pages, characters of a page, and blocks of a run; longer pages train as several runs.
+TRAIN_PAGES, TRAIN_CHARS, TRAIN_RUN = 120, 1 << 20, 256
 STEPS = 120
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -242,8 +243,9 @@ class Field:
 
     @classmethod
     def train(cls, pages: list[tuple[list[list[str]], list[int]]], steps: int = STEPS, l2: float = 0.02, rate: float = 0.15) -> Field:
-        """Maximum likelihood with Adam; all pages advance together, block by block."""
-        pages = [p for p in pages if p[0]]
+        """Maximum likelihood with Adam; all runs advance together, block by block. Pages are cut into runs of TRAIN_RUN
+        blocks, so the arrays grow with the blocks and not with the longest page."""
+        pages = [(f[i:i + TRAIN_RUN], y[i:i + TRAIN_RUN]) for f, y in pages for i in range(0, len(f), TRAIN_RUN)]
         if not pages:
             return cls()
         index: dict[str, int] = {"": 0}
@@ -343,8 +345,8 @@ def extract(page: str | None, model: Field) -> str:
 
 
 def fit(pages: DataFrame, id_col: str, html_col: str, train_pages: int = TRAIN_PAGES) -> Field:
-    """The field trained on at most ``train_pages`` pages, taken by hash of the id."""
-    some = pages.where(F.col(html_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(html_col).alias("h"))
+    """The field trained on at most ``train_pages`` pages of at most TRAIN_CHARS characters, taken by hash of the id."""
+    some = pages.where(F.col(html_col).isNotNull() & (F.length(html_col) <= TRAIN_CHARS)).select(F.col(id_col).alias("i"), F.col(html_col).alias("h"))
     order = F.xxhash64(F.col("i"), F.lit(17))
     n = max(1, some.count())
     share = min(1.0, 4.0 * train_pages / n)

@@ -103,3 +103,14 @@ def test_long_and_deep_pages_take_time_in_proportion():
     assert len(html.parse("<p>x " + "<span>word " * 100_000)) == 1
     assert len(html.features(html.parse("<ul>" + "<li>item <b>text" * 50_000 + "</ul>"))) == 50_000
     assert time.time() - t < 30
+
+
+def test_training_with_very_long_pages(spark, pages):
+    """A page of 100,000 paragraphs is beyond the bound of the sample, one of 6,000 trains as runs; both are read whole."""
+    import time
+    page = lambda n: "<nav><a>Home</a></nav><article>" + "<p>Some words of a long article, again and again.</p>" * n + "</article>"
+    rows = [(i, "u", p) for i, p in enumerate([*pages[:40], page(6_000), page(100_000)])]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    t = time.time()
+    got = {r["page_id"]: r["text"].count("\n") + 1 for r in html.extract_pages(df).where("page_id >= 40").collect()}
+    assert got == {40: 6_000, 41: 100_000} and time.time() - t < 120
