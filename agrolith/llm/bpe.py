@@ -2,8 +2,10 @@
 
 A rolling hash over the bytes cuts a text into chunks at places that depend
 only on nearby bytes, so a passage shared by many texts gives the same chunks in
-all of them. A chunk is encoded once per worker and its ids and decoded text
-are reused. A cut may fall inside a word, so the two sides of every join are
+all of them. A worker process keeps one encoder for all the tasks it runs, so a
+chunk that texts share, in whatever batch or partition, is encoded once there
+and its ids and decoded text are reused while the bounded cache holds it. A cut
+may fall inside a word, so the two sides of every join are
 encoded again together: the piece that is re-encoded grows to the white space
 on either side, which no token of this vocabulary crosses, and there the ids of
 both sides and of the whole agree exactly.
@@ -15,6 +17,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
@@ -27,7 +30,7 @@ from agrolith.llm.common import with_workers
 #: A cut on average every 2**CUT_BITS bytes.
 CUT_BITS = 9
 WINDOW = 16
-#: Entries of a worker's caches. A full word cache becomes the older one, a full chunk cache is emptied.
+#: Entries of a generation of a worker's caches. A full one becomes the older generation; what is used again moves back.
 MAX_WORDS = 1 << 18
 MAX_CHUNKS = 1 << 14
 #: Longer chunks are encoded without being kept.
@@ -57,6 +60,18 @@ def cuts(data: bytes, bits: int = CUT_BITS) -> list[int]:
     return ends
 
 
+@dataclass
+class Reuse:
+    """How many chunks, and bytes in them."""
+
+    chunks: int = 0
+    size: int = 0
+
+    def add(self, data: bytes) -> None:
+        self.chunks += 1
+        self.size += len(data)
+
+
 class ChunkEncoder:
     """Encodes whole texts as the tokenizer does, chunk by chunk.
 
@@ -75,6 +90,8 @@ class ChunkEncoder:
         self.words: dict[bytes, tuple[bytes, str]] = {}
         self.older: dict[bytes, tuple[bytes, str]] = {}  # the words before the cache was last emptied
         self.chunks: dict[bytes, tuple[bytes, str]] = {}
+        self.older_chunks: dict[bytes, tuple[bytes, str]] = {}
+        self.encoded, self.reused = Reuse(), Reuse()
 
     def pack(self, ids: list[int]) -> tuple[bytes, str]:
         return np.array(ids, "<u4").tobytes(), " ".join([self.names[i] for i in ids])
@@ -118,12 +135,19 @@ class ChunkEncoder:
 
     def chunk(self, data: bytes) -> tuple[bytes, str]:
         got = self.chunks.get(data)
+        if got is not None:
+            self.reused.add(data)
+            return got
+        got = self.older_chunks.get(data)
         if got is None:
             got = self.core(data)
-            if len(data) <= MAX_KEPT_CHUNK:
-                if len(self.chunks) >= MAX_CHUNKS:
-                    self.chunks.clear()
-                self.chunks[data] = got
+            self.encoded.add(data)
+        else:
+            self.reused.add(data)
+        if len(data) <= MAX_KEPT_CHUNK:
+            if len(self.chunks) >= MAX_CHUNKS:
+                self.chunks, self.older_chunks = {}, self.chunks
+            self.chunks[data] = got
         return got
 
     def encode(self, text: str) -> tuple[bytes, str]:
@@ -151,6 +175,17 @@ class ChunkEncoder:
         return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[1]])
 
 
+_OF_WORKER: dict[str, ChunkEncoder] = {}
+
+
+def worker_encoder(json_text: str) -> ChunkEncoder:
+    """The encoder of this worker process, kept from task to task; another vocabulary replaces it."""
+    if json_text not in _OF_WORKER:
+        _OF_WORKER.clear()
+        _OF_WORKER[json_text] = ChunkEncoder(json_text)
+    return _OF_WORKER[json_text]
+
+
 def encode_decode(df: DataFrame, id_col: str, text_col: str, tokenizer_json: str | None = None, keep_ids: bool = False) -> DataFrame:
     """One row per input row: id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded with ``keep_ids``).
 
@@ -165,7 +200,7 @@ def encode_decode(df: DataFrame, id_col: str, text_col: str, tokenizer_json: str
         sent = spark.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ChunkEncoder(sent.value)
+        coder = worker_encoder(sent.value)
         for b in batches:
             got = [coder.encode(t.as_py() or "") for t in b.column(1)]
             cols = [b.column(0), pa.array([len(g[0]) // 4 for g in got], pa.int64()),

@@ -63,7 +63,39 @@ def test_caches_stay_bounded(plain, monkeypatch):
         small = bpe.ChunkEncoder(f.read(), bits=4)
     for k in range(30):
         check(small, plain, " ".join(f"w{k}x{i}" for i in range(40)))
-        assert len(small.words) <= 90 and len(small.chunks) <= 5
+        assert len(small.words) <= 90 and len(small.chunks) <= 5 and len(small.older_chunks) <= 5
+
+
+def test_chunks_are_reused_across_texts_and_batches(plain):
+    """A passage's chunks are encoded with the first text that holds it, and taken from the cache in all later ones."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocabulary = f.read()
+    passage = " ".join(f"word{i * i % 977} of passage" for i in range(2000))
+    first = bpe.worker_encoder(vocabulary)
+    first.encode("some beginning " + passage)
+    encoded, reused = first.encoded.size, first.reused.size
+    for k in range(5):  # as later batches and tasks of the same worker do
+        coder = bpe.worker_encoder(vocabulary)
+        assert coder is first
+        check(coder, plain, f"other words, {k} " * (k + 1) + passage + " and an end")
+    again = first.reused.size - reused
+    assert again >= 5 * 0.9 * len(passage) and first.encoded.size - encoded <= 5 * 0.1 * len(passage)
+    assert first.reused.chunks > 5 * 50
+
+
+def test_chunks_in_use_outlive_a_full_cache(plain, monkeypatch):
+    """A chunk used again moves to the new generation; one not used for two generations is encoded anew."""
+    monkeypatch.setattr(bpe, "MAX_CHUNKS", 4)
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        small = bpe.ChunkEncoder(f.read())
+    for k in range(40):
+        small.chunk(b" used often")
+        small.chunk(b" used once %d" % k)
+    assert (small.encoded.chunks, small.reused.chunks) == (41, 39)
+    for k in range(8):
+        small.chunk(b" other %d" % k)
+    small.chunk(b" used often")
+    assert small.encoded.chunks == 50
 
 
 def test_operator_and_query(spark, plain):
