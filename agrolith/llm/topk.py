@@ -165,7 +165,8 @@ class Router:
         return leaf, np.sqrt(((x - np.array(self.centres)[leaf]) ** 2).sum(axis=1) + rest)
 
 
-def top_k(vectors: DataFrame, id_col: str, vec_col: str, is_query, k: int = 20, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, id_col: str, vec_col: str, is_query, k: int = 20, shard_rows: int = SHARD_ROWS,
+          query_block: int = QUERY_BLOCK) -> DataFrame:
     """Rows (query_id, rank, id, score): the k largest integer inner products of each query.
 
     ``vec_col`` is an array of integers; ``is_query`` a condition on the id that
@@ -217,15 +218,20 @@ def top_k(vectors: DataFrame, id_col: str, vec_col: str, is_query, k: int = 20,
         r, c = np.nonzero(found != np.iinfo(np.int64).max)
         return pd.DataFrame({"qid": asked["qid"].to_numpy(np.int64)[r], "vid": found[r, c], "score": score[r, c]})
 
-    def over(index: DataFrame, asked: DataFrame, blocks: int) -> DataFrame:
-        """Every (shard, block of queries) is one bounded group."""
-        index = index.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        asked = asked.withColumn("qb", F.pmod(F.xxhash64("qid", F.lit(11)), F.lit(blocks)).cast("int"))
+    def over(index: DataFrame, asked: DataFrame) -> DataFrame:
+        """Every (shard, block of its queries) is one bounded group.
+
+        A shard is sent once for each ``query_block`` queries that ask it, and not
+        at all if none does, so the copies are fewer than half the queries sent.
+        """
+        blocks = asked.groupBy("leaf", "sub").agg(F.ceil(F.count("*") / query_block).cast("int").alias("blocks"))
+        index = index.join(blocks, ["leaf", "sub"]).select("vid", "v", "leaf", "sub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("qb"))
+        asked = asked.join(blocks, ["leaf", "sub"]).withColumn("qb", F.pmod(F.xxhash64("qid", F.lit(11)), F.col("blocks")).cast("int")).drop("blocks")
         keys = ["leaf", "sub", "qb"]
         index, asked = index.toDF(*index.columns), asked.toDF(*asked.columns)  # both come from one table
         return index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, result)
 
-    own = staged(over(placed, queries.withColumn("floor", F.lit(None).cast("double")), 1), "topk-own")
+    own = staged(over(placed, queries.withColumn("floor", F.lit(None).cast("double"))), "topk-own")
     floors = own.groupBy("qid").agg(F.count("*").alias("c"), F.min("score").cast("double").alias("m")) \
         .select("qid", F.when(F.col("c") >= k, F.col("m")).alias("floor"))
 
@@ -248,8 +254,7 @@ def top_k(vectors: DataFrame, id_col: str, vec_col: str, is_query, k: int = 20,
 
     asked = queries.join(floors, "qid", "left").select("qid", "q", "floor", "leaf", "sub") \
         .mapInPandas(spread, "qid bigint, q array<bigint>, floor double, leaf int, sub int")
-    n_queries = queries.count()
-    rest = over(placed, asked, max(1, -(-n_queries // QUERY_BLOCK)))
+    rest = over(placed, asked)
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("vid"))
     ranked = own.unionByName(rest).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select(F.col("qid").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("vid").alias("vec_id"), "score")

@@ -16,12 +16,12 @@ def brute(vectors, ask, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard_rows", [16, 100_000])
-def test_equals_brute_force_with_ties_and_a_hot_vector(spark, shard_rows):
+@pytest.mark.parametrize("shard_rows, query_block", [(16, 1 << 14), (16, 3), (100_000, 5)])
+def test_equals_brute_force_with_ties_and_a_hot_vector(spark, shard_rows, query_block):
     rng = random.Random(3)
     vectors = [(i, [rng.randint(-3, 3) for _ in range(6)]) for i in range(240)] + [(i, [1, 2, 0, 0, 1, -1]) for i in range(240, 360)]
     df = spark.createDataFrame([(i, v, 0, 0) for i, v in vectors], "vid bigint, v array<bigint>, leaf int, score int")
-    got = topk.top_k(df, "vid", "v", lambda i: i % 20 == 0, k=7, shard_rows=shard_rows).collect()
+    got = topk.top_k(df, "vid", "v", lambda i: i % 20 == 0, k=7, shard_rows=shard_rows, query_block=query_block).collect()
     assert sorted(tuple(r) for r in got) == brute(vectors, lambda i: i % 20 == 0, 7)
 
 
