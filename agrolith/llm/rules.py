@@ -28,15 +28,35 @@ WINDOW = 8
 #: A document stays if the lines it loses hold at most this share of its word characters.
 MAX_LOSS = 0.4
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-#: Words of menus and notices; a line made of them alone is navigation.
-NAV_WORDS = frozenset("home menu login logout register search next previous prev back top share tweet contact about help sitemap rss print email more".split())
-BOILERPLATE = re.compile(r"all rights reserved|cookie policy|accept (all )?cookies|privacy policy|terms of (use|service)|click here|subscribe to our|"
-                         r"enable javascript|sign up for|lorem ipsum", re.IGNORECASE)
-NAV_OR_NONE = NAV_WORDS | {""}
+#: Words of menus, in the four languages of the corpus.
+NAV_WORDS = frozenset("""
+home menu login logout register search next previous prev back top share tweet contact about help sitemap rss print email more
+startseite kontakt anmelden abmelden registrieren suche suchen hilfe impressum datenschutz weiter zurück oben teilen drucken mehr warenkorb übersicht
+accueil connexion déconnexion inscription recherche rechercher aide suivant précédent retour partager imprimer plus panier plan site
+inicio contacto acceder entrar salir registrarse registro buscar búsqueda ayuda siguiente anterior volver arriba compartir imprimir más mapa carrito
+""".split())
+#: Small words that join menu words ("contact us", "plan du site"); a menu has no more of them than of menu words.
+NAV_JOINS = frozenset("& us the and to und uns nach et nous du de la le en haut y el del".split())
+#: Phrases of notices, in the four languages of the corpus.
+BOILERPLATE = re.compile("|".join((
+    r"all rights reserved|cookie policy|accept (all )?cookies|privacy policy|terms of (use|service)|click here|subscribe to our",
+    r"enable javascript|sign up for|lorem ipsum",
+    r"alle rechte vorbehalten|cookie-richtlinien?|alle (cookies )?akzeptieren|datenschutzerklärung|nutzungsbedingungen|hier klicken|klicken sie hier",
+    r"abonnieren sie unseren|javascript aktivieren|aktivieren sie javascript",
+    r"tous droits réservés|politique de cookies|accepter (tous )?les cookies|tout accepter|politique de confidentialité|conditions d['’]utilisation",
+    r"mentions légales|cliquez ici|abonnez-vous à (notre|la)|activez javascript|activer javascript|inscrivez-vous à (notre|la)",
+    r"todos los derechos reservados|política de cookies|aceptar (todas )?las cookies|aceptar todo|política de privacidad|condiciones de uso|aviso legal",
+    r"ha(ga|z) clic aquí|suscríbe(te|se) a nuestr[oa]|active javascript|activar javascript|regístrese en")), re.IGNORECASE)
+NAV_ANY = NAV_WORDS | NAV_JOINS | {""}
 SEPARATORS = ".,:|>-·•»/"
+#: Marks that stand by themselves between the entries of a menu, in any language.
+BETWEEN = frozenset("| / · • » › > → ::".split())
 SENTENCE = re.compile(r"(?<=[.!?;])\s+")
-#: Every phrase holds one of these.
-NOTICE_PARTS = ("reserved", "cookie", "privacy policy", "terms of", "click here", "subscribe to", "enable javascript", "sign up for", "lorem ipsum")
+#: Every phrase holds one of these, in lower case.
+NOTICE_PARTS = ("reserved", "cookie", "privacy policy", "terms of", "click here", "subscribe to", "javascript", "sign up for", "lorem ipsum",
+                "vorbehalten", "akzeptieren", "datenschutz", "nutzungsb", "klicken", "abonnieren sie", "tous droits", "accepter", "confidential",
+                "conditions d", "mentions l", "cliquez ici", "vous à", "reservados", "privacidad", "aceptar todo", "condiciones de uso", "aviso legal",
+                "clic aqu", "suscríbe", "regístrese")
 #: A line or sentence is a notice if boilerplate phrases fill at least one word in this many.
 NOTICE_WORDS = 12.5
 #: Punctuation marks; not those inside a word or a number (don't, 3.14, 10:30).
@@ -105,6 +125,16 @@ def notice(line: str, n: int) -> bool:
     return 2 * sum(m for m, f in sentences if f and f * NOTICE_WORDS >= m) >= n
 
 
+def navigation(words: list[str]) -> bool:
+    """Menu words with no more small words than those, or three and more marks between entries of two words on average."""
+    if all(w.strip(SEPARATORS).lower() in NAV_ANY for w in words):
+        bare = [w.strip(SEPARATORS).lower() for w in words]
+        menu = sum(map(NAV_WORDS.__contains__, bare))
+        return 0 < menu >= sum(map(NAV_JOINS.__contains__, bare))
+    marks = sum(map(BETWEEN.__contains__, words))
+    return marks >= 3 and marks <= len(words) - marks <= 2 * (marks + 1) and words[-1][-1] not in ".!?"
+
+
 def unmarked(line: str, n: int) -> bool:
     """Whether a line has fewer marks than one in MARK_WORDS words, none at all, or LAST_WORDS words behind the last."""
     ends = [m.end() for m in MARKS.finditer(line)]
@@ -119,8 +149,8 @@ def fails(line: str, words: list[str], chars: int) -> bool:
         return True  # noise of symbols, or cells of a table or menu
     if line.count("!!") * 3 > n or (n >= 5 and chars > 20 and line == line.upper() and line != line.lower()):
         return True  # shouting
-    if all(w.strip(SEPARATORS).lower() in NAV_OR_NONE for w in words) and any(w.strip(SEPARATORS) for w in words):
-        return True  # navigation
+    if navigation(words):
+        return True
     if notice(line, n):
         return True
     if n >= 10 and 3 * sum(map(str.__eq__, words, words[1:])) > n:
