@@ -8,15 +8,18 @@ a lower bound of the whole distance. So each block has one vantage-point tree
 over its own Hamming distance: a node sends a point to its inner or outer side
 by the distance to the vantage point, and by the triangle inequality only the
 outer points within ``radius`` of the boundary need a copy inside as well. A
-top tree from a bounded sample cuts the fingerprints into shards; shards go on
-with trees of their own, and small leaves are compared pair by pair on all 64
-bits. Shards return stars (a spanning set of links), never pairs, and the stars
+top tree from a bounded sample cuts the fingerprints into shards; where the
+bound of its size leaves shards overfull, each of them is cut again by a tree
+from a sample of its own, level by level, as long as the trees part it. Shards
+go on with trees of their own, and small leaves are compared pair by pair on
+all 64 bits. Shards return stars (a spanning set of links), never pairs, and the stars
 of all shards are joined into components by alternating large-star and
 small-star rounds.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +35,9 @@ SEED = 42
 BLOCKS = 3
 SHARD_ROWS = 8192
 LEAF_ROWS = 512
-MAX_SHARDS = 1 << 14  # of a tree; bounds the sample to SAMPLE_PER_SHARD times as many fingerprints
+MAX_SHARDS = 1 << 14  # of the top tree; bounds the sample to SAMPLE_PER_SHARD times as many fingerprints
+MAX_CUT = 1 << 8  # shards that one overfull shard is cut into at a level
+PIECE_ROWS = 1 << 16  # rows of an overfull shard that one task sends to its tree
 SAMPLE_PER_SHARD = 32
 _HASH_BLOCK = 1 << 18
 
@@ -224,8 +229,71 @@ def components(edges: DataFrame) -> DataFrame:
     return cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def overfull(routed: DataFrame, shard_rows: int) -> DataFrame:
+    """(tree, leaf, n) of the shards with more than four times ``shard_rows`` rows."""
+    return routed.groupBy("tree", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > 4 * shard_rows)
+
+
+def cut_again(routed: DataFrame, masks: list[int], radius: int, shard_rows: int, max_cut: int = MAX_CUT, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Rows (tree, leaf, fp) with every overfull shard cut by vantage trees of its own, level by level.
+
+    A shard's tree is made from a hash sample of about SAMPLE_PER_SHARD rows for
+    each shard it is to be cut into, and its rows meet it in pieces of bounded
+    size. A shard stays as it is when the cut would not lower the rows to
+    compare by a quarter, so the levels end. New leaf names are hashes of the
+    old one and the place in the tree: two shards that share a name would only
+    compare more pairs.
+    """
+    def cost(n):
+        return n * F.ceil(n / (4 * shard_rows))
+
+    done = None
+    while True:
+        big = staged(overfull(routed, shard_rows), "simhash-overfull")
+        if big.isEmpty():
+            return routed if done is None else done.unionByName(routed)
+        fine = routed.join(big, ["tree", "leaf"], "left_anti")
+        rows = routed.join(big, ["tree", "leaf"])
+        cuts = F.least(F.ceil(2 * F.col("n") / shard_rows), F.lit(max_cut))
+        rows = rows.withColumns({"cuts": cuts.cast("int"), "piece": F.pmod(F.xxhash64("fp", F.lit(7)), F.ceil(F.col("n") / piece_rows)).cast("int")})
+        share = F.least(F.lit(1.0), SAMPLE_PER_SHARD * F.col("cuts") / F.col("n"))
+        sample = rows.where(F.pmod(F.xxhash64("fp", F.lit(9)), F.lit(1 << 30)) <= share * (1 << 30))
+
+        def plant(p: pd.DataFrame) -> pd.DataFrame:
+            points = np.sort(p["fp"].to_numpy(np.int64)).view(np.uint64)
+            t, cuts = int(p["tree"].iloc[0]), int(p["cuts"].iloc[0])
+            tree = VantageTree(points, masks[t], radius, cuts, 2)
+            return pd.DataFrame({"tree": [np.int32(t)], "leaf": [p["leaf"].iloc[0]], "made": [pickle.dumps(tree)], "leaves": [tree.n_leaves]})
+
+        made = staged(sample.groupBy("tree", "leaf").applyInPandas(plant, "tree int, leaf bigint, made binary, leaves int"), "simhash-trees")
+        pieces = big.join(made.where("leaves > 1"), ["tree", "leaf"]) \
+            .select("tree", "leaf", "made", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / piece_rows) - 1).cast("int"))).alias("piece"))
+
+        def send(points: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+            if not len(points) or not len(tree):
+                return pd.DataFrame({"tree": [], "old": [], "leaf": [], "fp": []}).astype({"tree": "int32"} | dict.fromkeys(("old", "leaf", "fp"), "int64"))
+            t, leaf = points["tree"].iloc[0], int(points["leaf"].iloc[0])
+            fps = points["fp"].to_numpy(np.int64).view(np.uint64)
+            out = []
+            for k, at in pickle.loads(tree["made"].iloc[0]).route(fps):
+                name = xxhash.xxh64_intdigest(f"{leaf}:{k}", SEED) >> 1
+                out.append(pd.DataFrame({"tree": t, "old": np.int64(leaf), "leaf": np.int64(name), "fp": fps[at].view(np.int64)}))
+            return pd.concat(out)
+
+        keys = ["tree", "leaf", "piece"]
+        sent = rows.select(*keys, "fp").groupBy(*keys).cogroup(pieces.groupBy(*keys)).applyInPandas(send, "tree int, old bigint, leaf bigint, fp bigint")
+        sent = staged(sent, "simhash-shards")
+        after = sent.groupBy("tree", "old", "leaf").agg(F.count("*").alias("c")).groupBy("tree", "old").agg(F.sum(cost(F.col("c"))).alias("cost"))
+        better = after.join(big.withColumnRenamed("leaf", "old"), ["tree", "old"]).where(F.col("cost") <= 0.75 * cost(F.col("n"))).select("tree", "old")
+        better = staged(better, "simhash-better")
+        whole = rows.join(better.withColumnRenamed("old", "leaf"), ["tree", "leaf"], "left_anti").select("tree", "leaf", "fp")
+        kept = fine.unionByName(whole)
+        done = kept if done is None else done.unionByName(kept)
+        routed = sent.join(better, ["tree", "old"], "left_semi").select("tree", "leaf", "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4,
-                    blocks: int = BLOCKS, shard_rows: int = SHARD_ROWS, also: list[str] = ()) -> DataFrame:
+                    blocks: int = BLOCKS, shard_rows: int = SHARD_ROWS, max_shards: int = MAX_SHARDS, also: list[str] = ()) -> DataFrame:
     """One row per input row: id, fp (signed), component_fp, component_id and the columns ``also``.
 
     Components join all rows whose fingerprints are linked, directly or through
@@ -241,23 +309,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = staged(fingerprints(docs, id_col, text_col, shingle, also), "simhash-fp")
     nodes = staged(fps.groupBy("fp").agg(F.min("id").alias("min_id")), "simhash-nodes")
     n = nodes.count()
-    shards = max(1, min(MAX_SHARDS, -(-2 * n // shard_rows)))
+    shards = max(1, min(max_shards, -(-2 * n // shard_rows)))
     share = min(1.0, 1.2 * SAMPLE_PER_SHARD * shards / max(1, n))
     near = nodes.where(F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     sample = np.sort(near.select("fp").limit(2 * SAMPLE_PER_SHARD * shards).toPandas()["fp"].to_numpy(np.int64)).view(np.uint64)
     masks, radius = block_masks(blocks), max_bits // blocks
     trees = [VantageTree(sample, m, radius, shards, 2) for m in masks]
-    sent = spark.sparkContext.broadcast(trees)  # bounded by MAX_SHARDS nodes a tree
+    sent = spark.sparkContext.broadcast(trees)  # bounded by max_shards nodes a tree
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             points = p["fp"].to_numpy(np.int64).view(np.uint64)
             for t, tree in enumerate(sent.value):
                 for leaf, rows in tree.route(points):
-                    yield pd.DataFrame({"tree": np.int32(t), "leaf": np.int32(leaf), "fp": points[rows].view(np.int64)})
+                    yield pd.DataFrame({"tree": np.int32(t), "leaf": np.int64(leaf), "fp": points[rows].view(np.int64)})
 
-    routed = staged(nodes.select("fp").mapInPandas(route, "tree int, leaf int, fp bigint"), "simhash-shards")
-    # a shard that a dense region overfills is cut into parts, and each pair of parts is one group
+    routed = staged(nodes.select("fp").mapInPandas(route, "tree int, leaf bigint, fp bigint"), "simhash-shards")
+    routed = cut_again(routed, masks, radius, shard_rows)
+    # a shard that trees do not part (a dense region) is cut into parts, and each pair of parts is one group
     parts = routed.groupBy("tree", "leaf").count().select("tree", "leaf", F.ceil(F.col("count") / (4 * shard_rows)).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("fp", F.lit(5)), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))

@@ -69,6 +69,36 @@ def test_equals_brute_force(spark, shard_rows):
     assert found(got) == brute(docs)
 
 
+@pytest.mark.parametrize("max_shards", [1, 2])
+def test_overfull_shards_are_cut_level_by_level(spark, max_shards):
+    """A top tree far too small for the rows: the same components as the plain comparison of all pairs."""
+    docs = make(random.Random(8), 260)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert found(simhash.near_duplicates(df, shard_rows=6, max_shards=max_shards)) == brute(docs)
+
+
+@pytest.mark.parametrize("spread_bits", [64, 3])
+def test_cut_again(spark, spread_bits):
+    """Close pairs still meet, scattered shards are no more overfull, a dense one stays whole, copies stay few."""
+    rng = random.Random(21)
+    base = rng.getrandbits(64)
+    near = lambda p, n: p ^ sum(1 << b for b in rng.sample(range(64), n))
+    points = {near(base, rng.randrange(spread_bits)) if spread_bits < 64 else rng.getrandbits(64) for _ in range(1500)}
+    points |= {near(p, rng.randrange(1, 5)) for p in sorted(points)[:400]}
+    signed = [p - (1 << 64) if p >> 63 else p for p in sorted(points)]
+    masks, radius = simhash.block_masks(3), 1
+    routed = spark.createDataFrame([(t, 0, p) for t in range(3) for p in signed], "tree int, leaf bigint, fp bigint")
+    rows = simhash.cut_again(routed, masks, radius, 20, max_cut=8, piece_rows=300).collect()
+    shards = {}
+    for r in rows:
+        shards.setdefault((r["tree"], r["leaf"]), set()).add(r["fp"] & (1 << 64) - 1)
+    met = {(a, b) for s in shards.values() for a in s for b in s if a < b and (a ^ b).bit_count() <= 4}
+    want = {(a, b) for a in points for b in points if a < b and (a ^ b).bit_count() <= 4}
+    assert met == want and len(want) > 300
+    if spread_bits == 64:
+        assert max(map(len, shards.values())) < 600 and len(shards) > 30 and len(rows) < 8 * len(routed.collect())
+
+
 @pytest.mark.parametrize("radius,blocks", [(4, 1), (2, 2), (1, 3)])
 def test_every_close_pair_meets_in_a_leaf(radius, blocks):
     rng = random.Random(11)
