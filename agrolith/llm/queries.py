@@ -101,22 +101,24 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"), "doc_id", "text").drop("scores")
 
 
-#: The plain patterns of the base kinds and of the kinds that the method adds.
+#: The plain patterns of the base kinds and of security numbers; account numbers are read by their country's length.
 OP3_PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([ -]?[0-9])+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[0-9]{1,3})?",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
 }
 
 
 def _op3_sql() -> str:
     kinds = {k.name: k for k in pii.KINDS}
+    ranks = {k.name: i for i, k in enumerate(pii.KINDS)}
     found = " UNION ALL ".join(
-        f"SELECT rid, text, '{k}' AS kind, {i} AS rank, regexp_extract_all(text, '{p}') AS hits, string_split_regex(text, '{p}') AS pieces "
-        f"FROM d WHERE regexp_matches(text, '{p}')" for i, (k, p) in enumerate(OP3_PATTERNS.items()))
+        f"SELECT rid, text, '{k}' AS kind, {ranks[k]} AS rank, regexp_extract_all(text, '{p}') AS hits, string_split_regex(text, '{p}') AS pieces "
+        f"FROM d WHERE regexp_matches(text, '{p}')" for k, p in OP3_PATTERNS.items())
+    head = "[A-Z]{2}[0-9]{2}"
+    sizes = ", ".join(f"'{c}': {n}" for n, codes in pii.IBAN_LENGTHS.items() for c in codes.split())
     context = " ".join(f"WHEN '{k}' THEN regexp_matches(near, '{v.context}')" for k, v in kinds.items())
     scores = " ".join(f"WHEN '{k}' THEN {v.score}" for k, v in kinds.items())
     digits = "regexp_replace(hit, '[^0-9]', '', 'g')"
@@ -126,9 +128,19 @@ def _op3_sql() -> str:
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 k AS ({found}),
+heads AS (SELECT rid, text, unnest(string_split_regex(text, '{head}')[:-2]) AS before,
+    unnest(range(1, len(regexp_extract_all(text, '{head}')) + 1)) AS i FROM d WHERE regexp_matches(text, '{head}')),
+starts AS (SELECT rid, text, CAST(sum(length(before) + 4) OVER (PARTITION BY rid ORDER BY i) - 4 AS BIGINT) AS a FROM heads),
+sized AS (SELECT *, substr(text, a + 1, 64) AS rest, MAP {{{sizes}}}[substr(text, a + 1, 2)] AS size FROM starts),
+grouped AS (SELECT *, regexp_extract(rest, '^{head}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[0-9]{{1,3}})?') AS other FROM sized),
+-- the characters of the country's length, cut from the groups of four and the shorter group behind them
+accounts AS (SELECT rid, text, a, CASE WHEN size IS NULL THEN other ELSE coalesce(list_filter(
+    list_transform(range(size, size + 12), lambda n: regexp_extract(left(rest, CAST(n AS INTEGER)), '^{head}(?: ?[A-Z0-9]{{4}})*(?: ?[A-Z0-9]{{1,3}})?$')),
+    lambda x: length(replace(x, ' ', '')) = size AND right(x, 1) <> ' ')[1], '') END AS hit FROM grouped),
 e AS (SELECT rid, text, kind, rank, unnest(hits) AS hit, unnest(pieces[1:len(hits)]) AS before, unnest(pieces[2:len(hits) + 1]) AS after,
              unnest(range(1, len(hits) + 1)) AS i FROM k),
-o AS (SELECT *, CAST(sum(length(before) + length(hit)) OVER (PARTITION BY rid, kind ORDER BY i) AS BIGINT) AS b FROM e),
+o AS (SELECT rid, text, kind, rank, hit, CAST(sum(length(before) + length(hit)) OVER (PARTITION BY rid, kind ORDER BY i) AS BIGINT) AS b FROM e
+  UNION ALL SELECT rid, text, 'iban', {ranks["iban"]}, hit, a + length(hit) FROM accounts WHERE hit <> ''),
 p AS (SELECT *, lower(right(left(text, b - length(hit)), {pii.CONTEXT_CHARS}) || ' ' || substr(text, b + 1, {pii.CONTEXT_CHARS})) AS near FROM o),
 v AS (SELECT rid, kind, rank, b - length(hit) AS a, b,
   CASE kind {scores} END + CASE WHEN CASE kind {context} END THEN {pii.CONTEXT_BONUS} ELSE 0 END AS score,
@@ -143,7 +155,12 @@ v AS (SELECT rid, kind, rank, b - length(hit) AS a, b,
         lambda acc, c: CASE WHEN c < 65 THEN (acc * 10 + c - 48) % 97 ELSE (acc * 100 + c - 55) % 97 END, 0) = 1
     WHEN 'ssn' THEN NOT regexp_matches(hit, '^(000|666|9)|-00-|-0000$')
     ELSE true END AS ok FROM p),
-s AS (SELECT * FROM v WHERE ok AND (rank < 4 OR score >= {pii.KEEP_SCORE}))
+f AS (SELECT rid, kind, rank, a, b FROM v WHERE ok AND (rank < 4 OR score >= {pii.KEEP_SCORE})),
+-- of account numbers that overlap the first stays
+n AS (SELECT rid, list_reduce(list(struct_pack(b := b, kept := [struct_pack(a := a, b := b)]) ORDER BY a), lambda x, y:
+    CASE WHEN y.kept[1].a >= x.b THEN struct_pack(b := y.b, kept := x.kept || y.kept) ELSE x END).kept AS kept FROM f WHERE kind = 'iban' GROUP BY rid),
+s AS (SELECT * FROM f WHERE kind <> 'iban'
+  UNION ALL SELECT rid, 'iban', {ranks["iban"]}, k.a, k.b FROM (SELECT rid, unnest(kept) AS k FROM n))
 SELECT d.doc_id, {counts},
        sha256(coalesce(string_agg({line}, ',' ORDER BY s.a, s.rank) FILTER (s.rank < 4), '')) AS base_sha256,
        coalesce(string_agg({line}, ',' ORDER BY s.a, s.rank) FILTER (s.kind IS NOT NULL), '') AS spans

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import duckdb
@@ -138,3 +139,33 @@ def test_twin_reads_the_context_of_lists_from_the_whole_text(spark):
     d = con.execute(queries.ORACLE["op3_pii"]).df()
     assert dict(zip(d["doc_id"], d["spans"])) == got
     assert got[0].count("ssn") == 3 and got[1].count("ssn") == 1 and got[2] == ""
+
+
+def made_numbers(rng, country, size):
+    """A valid account number, in groups of four or without."""
+    body = "".join(rng.choices("0123456789ABCXYZ", k=size - 4))
+    check = 98 - int("".join(str(int(c, 36)) for c in f"{body}{country}00")) % 97
+    flat = f"{country}{check:02d}{body}"
+    return flat if rng.random() < 0.4 else " ".join(flat[i:i + 4] for i in range(0, size, 4))
+
+
+def test_twin_finds_the_same_account_numbers(spark):
+    """Lists of account numbers of every country, cut short, run together and in other words: operator and twin agree on each span."""
+    rng = random.Random(6)
+    known = [(c, n) for n, cs in pii.IBAN_LENGTHS.items() for c in cs.split()]
+    texts = list(LISTS)
+    for c, n in known + [("ZZ", 20), ("QQ", 24), ("QQ", 23)] * 4:
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            x = made_numbers(rng, c, n) if rng.random() < 0.7 else made_numbers(rng, *rng.choice(known))
+            cut = rng.random()
+            parts.append(x[:-rng.randrange(1, 9)] if cut < 0.15 else x[rng.randrange(1, 9):] if cut < 0.25 else x)
+        texts.append(rng.choice(["", "pay to ", "é😀 AB12", "X"]) + rng.choice([" ", "", ", ", " 12 ", " AND "]).join(parts) + rng.choice(["", ".", " 1", " EURO"]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.scan(df, "doc_id", "text").collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    twin = dict(con.execute(queries.ORACLE["op3_pii"]).df()[["doc_id", "spans"]].itertuples(index=False))
+    assert [(t, twin[i]) for i, t in enumerate(texts) if twin[i] != got[i]] == [(t, got[i]) for i, t in enumerate(texts) if twin[i] != got[i]]
+    assert sum(x.count("iban") for x in got.values()) > 100
