@@ -185,7 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     model = Model(np.log(target / target.sum()) - np.log(raw / raw.sum()), 0.0)
     if len(bad):
         some = base.join(F.broadcast(spark.createDataFrame(known.astype({"i": "int64", "l": "int32"}), "i bigint, l int")), "i")
-        seen = score(some, model, "i", "t", ["l"]).where("n > 0").select((F.col("total") / F.col("n")).alias("m"), "l").limit(4 * label_rows).toPandas()
+        means = score(some, model, "i", "t", ["l"]).where("n > 0").select("i", "l", (F.col("total") / F.col("n")).alias("m"))
+        seen = means.groupBy("i", "l").agg(F.min("m").alias("m")).toPandas()  # at most one row for each known label
         model.tilt = tilt_between(seen.loc[seen["l"] == 1, "m"].to_numpy(), seen.loc[seen["l"] != 1, "m"].to_numpy())
     return model
 
