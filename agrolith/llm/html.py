@@ -40,25 +40,33 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 ENDS_P = BLOCK - {"body", "html", "head", "label", "button", "option", "td", "th", "tr", "tbody", "caption", "legend"}
 P_FENCE = {"td", "th", "table", "button", "object", "caption"}
 STRUCTURE = frozenset("article main nav footer header aside form section table ul ol blockquote figure pre address dialog button label select td li p body".split())
+#: Words of class, id and role names, in four languages.
 HINTS = {
-    "nav": "nav navbar navigation topnav menu breadcrumb breadcrumbs pagination pager toc",
-    "head": "header masthead topbar logo",
-    "foot": "footer colophon copyright",
-    "side": "sidebar aside widget related recommended popular trending",
-    "notice": "cookie cookies consent notice notices alert banner popup modal gdpr dialog disclaimer",
-    "ad": "ad ads advert adverts advertisement sponsor sponsored promo promotion",
-    "form": "form login signup subscribe newsletter search register",
-    "comment": "comment comments commentlist reply replies discussion disqus respond responses",
-    "share": "share social sharing follow",
-    "body": "article content post entry main story text body",
+    "nav": "nav navbar navigation topnav menu breadcrumb breadcrumbs pagination pager toc hauptmenue hauptnavigation brotkrumen inhaltsverzeichnis "
+           "sommaire ariane navegacion migas indice",
+    "head": "header masthead topbar logo kopf kopfzeile entete cabecera encabezado",
+    "foot": "footer colophon copyright fuss fusszeile impressum pied piedpage pie piepagina",
+    "side": "sidebar aside widget related recommended popular trending seitenleiste verwandte empfohlen laterale similaires lateral relacionados recomendados",
+    "notice": "cookie cookies consent notice notices alert banner popup modal gdpr dialog disclaimer hinweis hinweise einwilligung avis avertissement "
+              "consentement aviso avisos consentimiento",
+    "ad": "ad ads advert adverts advertisement sponsor sponsored promo promotion anzeige anzeigen werbung publicite pub annonce publicidad anuncio anuncios "
+          "patrocinado",
+    "form": "form login signup subscribe newsletter search register formular anmeldung suche formulaire inscription recherche formulario registro busqueda boletin",
+    "comment": "comment comments commentlist reply replies discussion disqus respond responses kommentar kommentare antwort antworten commentaire commentaires "
+               "reponse reponses comentario comentarios respuesta respuestas",
+    "share": "share social sharing follow teilen partager partage compartir",
+    "body": "article content post entry main story text body artikel inhalt beitrag contenu texte contenido articulo noticia entrada",
 }
 _HINT_OF = {w: g for g, ws in HINTS.items() for w in ws.split()}
 _PHRASES = {
-    "rights": re.compile(r"©|all rights reserved|copyright", re.I),
-    "cookies": re.compile(r"\bcookies?\b|privacy policy|terms of", re.I),
-    "signup": re.compile(r"subscribe|newsletter|sign up|log ?in|register", re.I),
-    "answer": re.compile(r"\brepl(y|ies)\b|\bcomments?\b|\bsays:|posted by", re.I),
-    "share": re.compile(r"\bshare\b|\bfollow us|read more|related", re.I),
+    "rights": re.compile(r"©|all rights reserved|copyright|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados|"
+                         r"\blast (changed|updated|modified)|zuletzt (geändert|aktualisiert)|dernière (modification|mise à jour)|última (modificación|actualización)", re.I),
+    "cookies": re.compile(r"\bcookies?\b|privacy policy|terms of|datenschutz|nutzungsbedingungen|politique de confidentialité|política de privacidad|aviso legal", re.I),
+    "signup": re.compile(r"subscribe|newsletter|sign up|log ?in|register|abonnieren|anmelden|abonnez-vous|inscrivez-vous|suscríb[ea]|regístr[ea]|iniciar sesión", re.I),
+    "answer": re.compile(r"\brepl(y|ies)\b|\bcomments?\b|\bsays:|posted by|\bantworten\b|\bkommentare?\b|\bschrieb:|\brépondre\b|\bcommentaires?\b|"
+                         r"\ba dit ?:|\bresponder\b|\bcomentarios?\b|\bdice:", re.I),
+    "share": re.compile(r"\bshare\b|\bfollow us|read more|related|\bteilen\b|folgen sie uns|weiterlesen|\bpartager\b|suivez-nous|lire la suite|"
+                        r"\bcompartir\b|síguenos|leer más", re.I),
 }
 _TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|</?([a-zA-Z][^\s/>]*)([^>]*)>""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)

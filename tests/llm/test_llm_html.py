@@ -44,6 +44,40 @@ def test_layout_not_trained_on(pages):
     assert np.mean([np.mean([a == b for a, b in zip(other.decode(f), y)]) for f, y in held]) >= 0.9
 
 
+#: A layout that no training page has, in words of four languages: menu, notice, advert, names of the parts, comment heads, footer.
+ABROAD = {
+    "en": ("Home Weather Sport", "We use cookies. Read our privacy policy.", "advert", ("topnav", "content", "related", "comments", "footer"), "Anna says:", "All rights reserved."),
+    "de": ("Startseite Wetter Sport", "Wir verwenden Cookies. Lesen Sie unsere Datenschutzerklärung.", "werbung",
+           ("hauptnavigation", "inhalt", "seitenleiste", "kommentare", "fusszeile"), "Anna schrieb:", "Alle Rechte vorbehalten. Zuletzt geändert 2003."),
+    "fr": ("Accueil Météo Sport", "Nous utilisons des cookies. Lisez notre politique de confidentialité.", "publicite",
+           ("sommaire", "contenu", "similaires", "commentaires", "pied"), "Anna a dit :", "Tous droits réservés. Dernière mise à jour en 2003."),
+    "es": ("Inicio Tiempo Deportes", "Usamos cookies. Lea nuestra política de privacidad.", "publicidad",
+           ("navegacion", "contenido", "relacionados", "comentarios", "pie"), "Anna dice:", "Todos los derechos reservados. Última actualización en 2003."),
+}
+
+
+@pytest.mark.parametrize("lang", sorted(ABROAD))
+def test_layout_of_another_language(pages, model, lang):
+    """Pages without an article element: share of blocks told rightly, reader comments and footers left out."""
+    menu, notice, advert, (nav, body, side, comments, foot), says, rights = ABROAD[lang]
+    right, left_out = [], []
+    for page in pages[60:100]:
+        paragraphs = [p for p in gold(page).split("\n") if len(p) > 40]
+        if len(paragraphs) < 2:
+            continue
+        first, rest = paragraphs[0], paragraphs[1:]
+        main = ["A heading", *rest]
+        out = [*menu.split(), notice, first, "A link", says, first, rights]
+        made = (f'<html><body><div class="{nav}">' + "".join(f"<span><a href='#'>{w}</a></span>" for w in menu.split()) + f'</div><div class="x-{advert}"><p>{first}</p></div>'
+                f'<div id="{body}"><h1>A heading</h1>' + "".join(f"<p>{p}</p>" for p in rest) + f'</div><div class="{side}"><p>A link</p></div>'
+                f'<div class="{comments}"><p>{says}</p><p>{first}</p></div><div class="note"><p>{notice}</p></div><div class="{foot}"><p>{rights}</p></div></body></html>')
+        blocks = html.parse(made)
+        state = model.decode(html.features(blocks))
+        right += [s == (b.text in main) for s, b in zip(state, blocks)]
+        left_out += [not s for s, b in zip(state, blocks) if b.text in out]
+    assert len(right) > 200 and np.mean(right) >= 0.95 and np.mean(left_out) >= 0.95
+
+
 def test_viterbi_equals_enumeration():
     rng = random.Random(8)
     for n in (1, 2, 5, 8):
