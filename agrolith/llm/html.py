@@ -58,15 +58,24 @@ HINTS = {
     "body": "article content post entry main story text body artikel inhalt beitrag contenu texte contenido articulo noticia entrada",
 }
 _HINT_OF = {w: g for g, ws in HINTS.items() for w in ws.split()}
+#: Looked for in lower-cased text.
 _PHRASES = {
     "rights": re.compile(r"©|all rights reserved|copyright|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados|"
-                         r"\blast (changed|updated|modified)|zuletzt (geändert|aktualisiert)|dernière (modification|mise à jour)|última (modificación|actualización)", re.I),
-    "cookies": re.compile(r"\bcookies?\b|privacy policy|terms of|datenschutz|nutzungsbedingungen|politique de confidentialité|política de privacidad|aviso legal", re.I),
-    "signup": re.compile(r"subscribe|newsletter|sign up|log ?in|register|abonnieren|anmelden|abonnez-vous|inscrivez-vous|suscríb[ea]|regístr[ea]|iniciar sesión", re.I),
+                         r"\blast (changed|updated|modified)|zuletzt (geändert|aktualisiert)|dernière (modification|mise à jour)|última (modificación|actualización)"),
+    "cookies": re.compile(r"\bcookies?\b|privacy policy|terms of|datenschutz|nutzungsbedingungen|politique de confidentialité|política de privacidad|aviso legal"),
+    "signup": re.compile(r"subscribe|newsletter|sign up|log ?in|register|abonnieren|anmelden|abonnez-vous|inscrivez-vous|suscríb[ea]|regístr[ea]|iniciar sesión"),
     "answer": re.compile(r"\brepl(y|ies)\b|\bcomments?\b|\bsays:|posted by|\bantworten\b|\bkommentare?\b|\bschrieb:|\brépondre\b|\bcommentaires?\b|"
-                         r"\ba dit ?:|\bresponder\b|\bcomentarios?\b|\bdice:", re.I),
+                         r"\ba dit ?:|\bresponder\b|\bcomentarios?\b|\bdice:"),
     "share": re.compile(r"\bshare\b|\bfollow us|read more|related|\bteilen\b|folgen sie uns|weiterlesen|\bpartager\b|suivez-nous|lire la suite|"
-                        r"\bcompartir\b|síguenos|leer más", re.I),
+                        r"\bcompartir\b|síguenos|leer más"),
+}
+#: Every phrase holds one of these.
+_PARTS = {
+    "rights": ("©", "reserved", "copyright", "vorbehalten", "réservés", "reservados", "last ", "zuletzt", "dernière", "última"),
+    "cookies": ("cookie", "privacy", "terms of", "datenschutz", "nutzungsb", "confidential", "privacidad", "aviso legal"),
+    "signup": ("subscribe", "newsletter", "sign up", "login", "log in", "register", "abonn", "anmelden", "inscrivez", "suscr", "regístr", "iniciar"),
+    "answer": ("repl", "comment", "says:", "posted by", "antworten", "komment", "schrieb:", "répondre", "a dit", "responder", "comentario", "dice:"),
+    "share": ("share", "follow us", "read more", "related", "teilen", "folgen sie", "weiterlesen", "partager", "suivez", "lire la", "compartir", "síguenos", "leer más"),
 }
 _TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|</?([a-zA-Z][^\s/>]*)([^>]*)>""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
@@ -214,7 +223,8 @@ def features(blocks: list[Block]) -> list[list[str]]:
         f.append(f"linked={_bin(b.linked / max(1, len(b.text)), (0.01, 0.3, 0.6, 0.9))}")
         f.append("stop" if b.text[-1] in ".!?\"”…" else "open")
         f.append(f"commas={_bin(b.text.count(','), (1, 3))}")
-        f.extend(f"says={k}" for k, p in _PHRASES.items() if words <= 60 and p.search(b.text))
+        low = b.text.lower() if words <= 60 else ""
+        f.extend(f"says={k}" for k, p in _PHRASES.items() if any(map(low.__contains__, _PARTS[k])) and p.search(low))
         f.append(f"place={0 if i == 0 else 2 if i == len(blocks) - 1 else 1}")
         out.append(f)
     return out
