@@ -84,3 +84,21 @@ def test_integration_same_under_1_4_64_shuffle_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert results[0] == results[1] == results[2] and len(results[0]) > 0
+
+
+def test_few_keys_do_not_deal_the_base_out(spark):
+    """The sides are few keys made of many rows: their bytes are known before the base is planned, so it is not shuffled by key."""
+    n = spark.range(30_000)
+    country, year = F.concat(F.lit("N"), (F.col("id") % 3).cast("string")), (F.lit(2000) + F.col("id") % 2).cast("string")
+    frames = {"yield": n.select(country.alias("Area"), F.lit("x").alias("Item"), year.alias("Year"), F.col("id").cast("string").alias("Value")),
+              "rainfall": n.groupBy(country.alias("Area"), year.alias("Year")).agg(F.count(F.lit(1)).cast("string").alias("average_rain_fall_mm_per_year")),
+              "temp": n.select(year.alias("year"), country.alias("country"), F.lit("7").alias("avg_temp")),
+              "pesticides": n.select(country.alias("Area"), year.alias("Year"), F.lit("2").alias("Value"))}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        out = I.merge_sources(frames)
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in plan
+    assert out.count() == 30_000 and out.agg(F.sum("avg_temp")).first()[0] == 210_000.0
