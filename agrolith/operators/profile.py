@@ -52,7 +52,7 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, places: i
         aggs += [F.count(x).alias(f"count__{c}"), F.avg(x).alias(f"mean__{c}"),
                  F.stddev_samp(x).alias(f"std__{c}"), F.min(x).alias(f"min__{c}"), F.max(x).alias(f"max__{c}")]
     basic = _long(df.agg(*aggs), cols, ["count", "mean", "std", "min", "max"])
-    q = exact_quantiles(unpivot(df, cols, name_col="column"), "value", [0.25, 0.5, 0.75], ["column"])
+    q = exact_quantiles(unpivot(df, cols, name_col="column"), "value", [0.25, 0.5, 0.75], ["column"], few=True)
     qw = q.groupBy("column").pivot("prob_id", [0, 1, 2]).agg(F.first("value")) \
         .select("column", F.col("0").alias("q25"), F.col("1").alias("q50"), F.col("2").alias("q75"))
     out = basic.join(qw, "column", "left").select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")

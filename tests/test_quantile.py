@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from agrolith.operators.quantile import exact_median, exact_quantiles
+from agrolith.operators.quantile import exact_median, exact_medians_many, exact_quantiles
 
 
 def _ref(vals, p):
@@ -71,3 +72,22 @@ def test_brackets_hold_on_large_groups_of_any_layout(spark, shape):
         q = exact_quantiles(df.repartition(parts), "v", [0.001, 0.25, 0.5, 0.9999], accuracy=200)
         assert jobs() == before
         assert [r.value for r in q.orderBy("prob_id").collect()] == pytest.approx([_ref(v, p) for p in (0.001, 0.25, 0.5, 0.9999)], abs=0, rel=1e-15)
+
+
+def test_rows_are_not_dealt_out_by_a_few_groups(spark):
+    """Where groups are few, the rows meet the brackets without a shuffle by group, which puts each group in one task."""
+    df = spark.range(30_000).select((F.col("id") % 3).cast("string").alias("g"), (F.col("id") % 1000).cast("double").alias("v"),
+                                    F.col("id").cast("double").alias("w"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        staged = exact_median(df, "v", ["g"], staged=True)
+        many = exact_medians_many(df, ["v", "w"])
+        one = exact_median(df, "v")
+        plans = [x._jdf.queryExecution().sparkPlan().toString() for x in (staged, many, one)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert all("Broadcast" in p for p in plans)
+    v = np.arange(30_000) % 1000
+    assert {r.g: r.median for r in staged.collect()} == {str(g): float(np.median(v[g::3])) for g in range(3)}
+    assert {r.measure: r.median for r in many.collect()} == {"v": 499.5, "w": 14_999.5} and one.first()["median"] == 499.5
+    assert exact_medians_many(df.limit(0), ["v", "w"]).count() == 0 and exact_median(df.limit(0), "v").count() == 0
