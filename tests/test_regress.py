@@ -172,3 +172,28 @@ def test_rbf_scores_in_the_jvm_equal_the_map(spark):
     pdf = out.toPandas()
     assert np.max(np.abs(pdf["pred"].to_numpy() - (fm.apply(pdf[FEATS].to_numpy()) @ fit.W[:, 0] + 0.7))) < 1e-9
     assert predict(spark.createDataFrame([(None, 1.0, 2.0)], "a double, b double, c double"), FEATS, fit).first()["pred"] is None
+
+
+def test_runs_of_equal_features_give_the_sums_of_their_rows(monkeypatch):
+    """A scan over ordered runs maps each feature row once and equals one over the rows, with folds, ties and short steps."""
+    import pyarrow as pa
+    from agrolith.operators import regress
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(7, 3)), [900, 60, 1, 400, 300, 50, 289], axis=0)
+    fold = rng.integers(0, 3, size=2000).astype(np.int32)
+    y = np.round(rng.normal(scale=3.0, size=2000) + 40.0, 1)
+    order = np.lexsort((y, fold, x[:, 2], x[:, 1], x[:, 0]))
+    fm = poly_map(3, 2, None, 1.0)
+    mapped = []
+    monkeypatch.setattr(fm, "apply", lambda a, f=fm.apply: (mapped.append(len(a)), f(a))[1])
+    w, d = rng.normal(size=(fm.dim_out, 4)), rng.normal(size=(fm.dim_out, 4))
+    scan = regress.Scan(fm, FEATS, "y", "fold", w, np.full(4, 39.0), np.array([0.1, 0.1, 1.0, 0.0]), np.array([0.03, 3.0, 0.5, 1e-3]),
+                        np.array([0, 1, 2, -1]), d, rng.normal(size=4), 1)
+
+    def sums(at):
+        batch = pa.RecordBatch.from_arrays([*(pa.array(x[at, i]) for i in range(3)), pa.array(y[at]), pa.array(fold[at])], [*FEATS, "y", "fold"])
+        return np.frombuffer(next(scan.run([batch])).column(0)[0].as_py())
+    by_runs = sums(order)
+    assert max(mapped) <= 21  # seven feature rows, three folds
+    shuffled = sums(rng.permutation(2000))
+    assert np.allclose(by_runs, shuffled, rtol=1e-9, atol=1e-8)
