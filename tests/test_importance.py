@@ -69,6 +69,22 @@ def test_importance_equals_a_loop_at_any_number_of_partitions(spark):
                 assert abs(got[f, rep] - (r2(2 * a - 0.5 * b) - r2(pred))) < 1e-9
 
 
+def test_importance_scores_each_feature_row_once(spark):
+    df = spark.range(400).select("id", (F.col("id") % 4).cast("double").alias("a"), (F.col("id") % 3).cast("int").alias("b"),
+                                 F.when(F.col("id") != 7, F.col("id").cast("double")).alias("y"))
+    scored = spark.sparkContext.accumulator(0)
+
+    def predict(t):
+        def count(batches):
+            for b in batches:
+                scored.add(b.num_rows)
+                yield b
+        return t.mapInArrow(count, t.schema).withColumn("pred", 100.0 * F.col("a") - F.col("b"))
+    got = {(r["feature"], r["repeat"]): r["importance"] for r in permutation_importance(df, ["a", "b"], predict, "y", ["id"], repeats=2).collect()}
+    assert scored.value <= 2 * 3 * 12  # repeats, variants, feature rows
+    assert len(got) == 4 and all(v is not None for v in got.values())
+
+
 def test_density_has_every_point(spark):
     v = np.concatenate([np.random.default_rng(2).normal(size=3000), [25.0]])  # an empty stretch before the last value
     got = kernel_density(spark.createDataFrame([(float(x),) for x in v], "v double"), "v").orderBy("point").collect()
