@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agrolith.operators.score import respond
+from agrolith.session import stage_table
 
 REQUEST_SCHEMA = ("event_id bigint, country string, crop string, year int, rainfall double, "
                   "temperature double, pesticides double, model_type string, image_id bigint")
@@ -58,4 +59,5 @@ def commit_log(spark: SparkSession, out_path: str) -> DataFrame:
         return [(a["path"].rsplit("/", 1)[1], batch) for a in adds if a["action"] == "add"]
 
     rows = spark.createDataFrame(logs.flatMap(entries), "file string, batch bigint")
-    return rows.groupBy("file").agg(F.min("batch").alias("batch"))
+    # staged: its bytes are known where rows are joined to their file
+    return stage_table(rows.groupBy("file").agg(F.min("batch").alias("batch")), "commits")
