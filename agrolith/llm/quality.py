@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agrolith.llm.common import staged, with_workers
@@ -228,6 +228,21 @@ def score(docs: DataFrame, model: Model, id_col: str, text_col: str, also: list[
     return base.mapInArrow(run, ", ".join([f"`{id_col}` {kinds[id_col]}", "total double", "n bigint", *(f"{c} {kinds[c]}" for c in also)]))
 
 
+def _score_of(docs: DataFrame, model: Model, text_col: str) -> Column:
+    """Struct (total, n) of a row's text, beside its other columns."""
+    with_workers(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # one number a bucket
+
+    @F.arrow_udf("total double, n bigint")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        grams = Grams(len(sent.value.ratio))
+        for t in texts:
+            total, n = sent.value.scores(t, grams)
+            yield pa.StructArray.from_arrays([pa.array(total), pa.array(n)], names=["total", "n"])
+
+    return run(F.col(text_col).cast("string"))
+
+
 def kth_largest(df: DataFrame, col: str, k: int) -> float | None:
     """The k-th largest value of a double column, from counts per interval that are narrowed until it is exact."""
     lo, hi, n = df.agg(F.min(col), F.max(col), F.count(col)).first()
@@ -269,8 +284,12 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def _keyed(base: DataFrame, model: Model, seed: int, also: list[str]) -> DataFrame:
+    return _with_keys(score(base, model, "__id", "__text", also), model, seed)
+
+
+def _with_keys(scored: DataFrame, model: Model, seed: int) -> DataFrame:
     unit = (F.shiftrightunsigned(F.xxhash64(F.col("__id"), F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    return score(base, model, "__id", "__text", also) \
+    return scored \
         .withColumn("log_weight", F.when(F.col("n") > 0, F.col("total") - F.col("n") * F.lit(model.tilt))) \
         .withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(unit)))
 
@@ -288,10 +307,12 @@ def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     """The rows of ``docs``, same columns, that :func:`resample` keeps.
 
     The keys depend on the row alone, so the second pass over the texts finds
-    the same ones and nothing is joined.
+    the same ones and nothing is joined. It sends a text to the Python worker
+    once and gets two numbers back: the rows themselves never leave the JVM.
     """
     model = fit(docs, labels, id_col, text_col, label_col) or Model(np.zeros(BUCKETS), 0.0)
     both = [F.col(id_col).alias("__id"), F.col(text_col).alias("__text")]
     least = _threshold(staged(_keyed(docs.select(*both), model, seed, []), "quality-scores"), k)
-    packed = docs.select(*both, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    return _keyed(packed, model, seed, ["__row"]).where(_kept(least)).select("__row.*")
+    scored = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), both[0],
+                         _score_of(docs, model, text_col).alias("__score")).select("__row", "__id", "__score.*")
+    return _with_keys(scored, model, seed).where(_kept(least)).select("__row.*")

@@ -82,6 +82,13 @@ def test_resample_and_keep(spark, small):
     assert all(r["gumbel_key"] >= by_key[9] - 1e-9 for r in ten) and len(ten) >= 10
 
 
+def test_keep_sends_texts_once_and_gets_numbers_back(spark, small):
+    """The rows stay in the JVM: no operator hands them through the Python worker and back."""
+    docs, labels = small
+    plan = quality.keep(docs, labels)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1
+
+
 def test_without_labels_or_rows(spark, small):
     docs, labels = small
     got = quality.resample(docs, labels.limit(0)).collect()
