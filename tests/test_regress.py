@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from agrolith.operators.kernel import grown_map, linear_map, poly_map, rbf_map
-from agrolith.operators.regress import SVRFit, duality_gap, fit_svr, fold_scores, predict, training_cache
+from agrolith.operators.regress import SVRFit, duality_gap, fit_svr, fold_scores, predict, training_blocks, training_cache
 from agrolith.sources.store import load_model, save_model
 
 
@@ -197,3 +197,106 @@ def test_runs_of_equal_features_give_the_sums_of_their_rows(monkeypatch):
     assert max(mapped) <= 21  # seven feature rows, three folds
     shuffled = sums(rng.permutation(2000))
     assert np.allclose(by_runs, shuffled, rtol=1e-9, atol=1e-8)
+
+
+def _few_features(spark, n=3000):
+    """Rows of 40 feature rows with folds: long and short runs."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 3))
+    at = np.minimum(rng.geometric(0.1, size=n) - 1, 39)
+    y = x[at] @ np.array([1.5, -2.0, 0.5]) + x[at, 2] ** 2 + rng.normal(scale=0.3, size=n)
+    return spark.createDataFrame([(int(i), *map(float, x[at[i]]), float(y[i]), int(i % 3)) for i in range(n)],
+                                 "k long, a double, b double, c double, y double, fold int")
+
+
+def test_packed_blocks_hold_every_row_once_in_bounded_pieces(monkeypatch):
+    """Long runs together, the rest by a bounded number of rows, whatever the labels are."""
+    import pyarrow as pa
+    from agrolith.operators import regress
+    monkeypatch.setattr(regress, "BLOCK_ROWS", 700)
+    monkeypatch.setattr(regress, "SHORT_ROWS", 50)
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(140, 3)), rng.choice([1, 2, 47, 48, 300], size=140), axis=0)
+    fold = rng.integers(0, 3, size=len(x)).astype(np.int32)
+    y = rng.normal(size=len(x))
+    y[::97] = np.nan
+    y[5] = np.inf
+    order = np.lexsort((y, fold, x[:, 2], x[:, 1], x[:, 0]))
+    x, fold, y = x[order], fold[order], y[order]
+    rows = pa.Table.from_arrays([*(pa.array(x[:, i]) for i in range(3)), pa.array(y), pa.array(fold)], [*FEATS, "y", "fold"])
+    packed = list(regress._pack(rows.to_batches(max_chunksize=100), FEATS, "y", "fold"))
+    blocks = list(regress._packed_blocks(packed, 3, "fold"))
+    seen = np.concatenate([np.column_stack([np.repeat(bx, n, axis=0), np.repeat(bf, n), by]) for bx, bf, n, by in blocks])
+    known = np.column_stack([x, fold, y])
+    key = lambda t: t[np.lexsort(t.T[::-1])]
+    assert np.array_equal(key(seen), key(known), equal_nan=True)
+    for _, _, n, by in blocks:
+        assert len(by) <= 50 or (n >= regress.LONG_RUNS).all() and np.isfinite(by).all() and len(by) < 700 + 100
+    assert len(packed) < len(x) / 40
+
+
+def test_fits_on_packed_blocks_are_those_of_the_rows(spark):
+    df = _few_features(spark)
+    fm = grown_map(df, FEATS, 0.3, 0.05, block=8)
+    settings = dict(C=[1.0, 10.0, 1.0], eps=[0.1, 0.1, 0.5], fold_col="fold", model_folds=[0, 1, 2], gap_tol=1e-4)
+    rows, blocks = training_cache(df, FEATS, "y", "fold"), training_blocks(df, FEATS, "y", "fold")
+    assert blocks.count() == 3000 == rows.count()
+    assert blocks.data.count() < 3000 / 20  # a scan is sent blocks, not rows
+    was, now = (fit_svr(df, FEATS, "y", fm, cache=c, **settings) for c in (rows, blocks))
+    assert (was.iterations == now.iterations).all()
+    assert np.allclose(was.W, now.W, rtol=1e-6, atol=1e-9) and np.allclose(was.b, now.b, rtol=1e-9)
+    assert np.allclose(was.objective, now.objective, rtol=1e-10) and np.allclose(was.gap, now.gap, rtol=1e-5)
+    assert np.allclose(fold_scores(rows, FEATS, "y", "fold", now), fold_scores(blocks, FEATS, "y", "fold", now), rtol=1e-10)
+    by_hand = df.toPandas()
+    r = by_hand["y"].to_numpy()[:, None] - (fm.apply(by_hand[FEATS].to_numpy()) @ now.W + now.b)
+    held = by_hand["fold"].to_numpy()[:, None] == np.arange(3)
+    assert np.allclose(fold_scores(blocks, FEATS, "y", "fold", now)[:, 0], [np.sqrt((r[held[:, j], j] ** 2).mean()) for j in range(3)], rtol=1e-9)
+    # a fit on all rows may use blocks that keep folds apart
+    whole, plain = (fit_svr(df, FEATS, "y", fm, 10.0, 0.1, cache=c) for c in (blocks, training_cache(df, FEATS, "y")))
+    assert np.allclose(whole.W, plain.W, rtol=1e-6, atol=1e-9) and (whole.iterations == plain.iterations).all()
+    assert np.allclose(duality_gap(blocks, FEATS, "y", whole), duality_gap(df, FEATS, "y", whole), rtol=1e-9)
+
+
+def test_rbf_scores_in_the_workers_equal_those_in_the_jvm(spark):
+    df = _data(spark, 200)
+    fm = grown_map(df, FEATS, 0.3, 0.05, block=16)
+    fit = SVRFit(fm, np.random.default_rng(3).normal(size=(fm.dim_out, 1)), np.array([0.7]), np.ones(1), np.ones(1), np.full(1, -1))
+    odd = spark.createDataFrame([(-1, None, 1.0, 2.0, 0.0, 0), (-2, float("nan"), 1.0, 2.0, 0.0, 0), (-3, float("inf"), 1.0, 2.0, 0.0, 0),
+                                 (-4, float("nan"), float("inf"), 2.0, 0.0, 0), (-5, 1e200, 1.0, 2.0, 0.0, 0)], df.schema)
+    rows = df.unionByName(odd)
+    jvm, workers = (predict(rows, FEATS, fit, in_workers=w).orderBy("k").collect() for w in (False, True))
+    assert len(jvm) == len(workers) == 205
+    for a, b in zip(jvm, workers):
+        assert a["k"] == b["k"] and (a["pred"] is None) == (b["pred"] is None)
+        assert a["pred"] is None or np.isclose(a["pred"], b["pred"], rtol=1e-9, atol=1e-9, equal_nan=True), (a, b)
+
+
+def test_refit_counts_packs_and_maps_the_train_rows_once(spark, monkeypatch, tmp_path):
+    """One packed cache and one map a gamma serve the grid and both fits; the comparison is that of fits made on their own."""
+    from agrolith.operators import metrics
+    from agrolith.plans import q_learn as Q
+    rng = np.random.default_rng(10)
+    f = rng.normal(size=(30, 5))
+    at = rng.integers(0, 30, size=900)
+    y = np.sin(f[at, 0] * 2) * 3 + f[at, 1] + rng.normal(scale=0.4, size=900) + 5
+    mf = spark.createDataFrame([(*map(float, f[at[i]]), float(y[i]), "test" if i % 5 == 0 else "train", int(i % 3)) for i in range(900)],
+                               ", ".join(f"{c} double" for c in Q.FEATS) + ", y double, part string, fold int").persist()
+    (tmp_path / "rows.txt").write_text("own rows")
+    monkeypatch.setattr(Q.ST, "model_frame", lambda spark, d: mf)
+    monkeypatch.setattr(Q, "GRID_C", [1.0, 10.0])
+    monkeypatch.setattr(Q, "GRID_EPS", [0.1, 0.5])
+    calls = {"training_blocks": [], "make_map": [], "feature_rows": []}
+    for name, seen in calls.items():
+        monkeypatch.setattr(Q, name, lambda *a, _f=getattr(Q, name), _s=seen, **k: (_s.append(k.get("gamma")), _f(*a, **k))[1])
+    out = {r["model"]: r for r in Q.refit_best(spark, str(tmp_path)).collect()}
+    assert len(calls["training_blocks"]) == 1 and len(calls["feature_rows"]) == 1
+    assert sorted(calls["make_map"]) == sorted(Q.GRID_GAMMA)
+    cv = Q.staged_cv(spark, str(tmp_path)).toPandas().groupby(["C", "gamma", "eps"])["test_rmse"].mean()
+    assert (out["RBF tuned"]["best_C"], out["RBF tuned"]["best_gamma"], out["RBF tuned"]["best_eps"]) == cv.idxmin()
+    z = Q.zframe(spark, str(tmp_path))
+    train, test = z.where("part = 'train'"), z.where("part = 'test'")
+    for model, c, gamma, eps in (("RBF default", 10.0, 0.2, 0.1), ("RBF tuned", *cv.idxmin())):
+        fit = fit_svr(train, Q.FEATS, "y", grown_map(train, Q.FEATS, gamma, Q.RBF_TOL), c, eps, cache=training_cache(train, Q.FEATS, "y"))
+        p = predict(test, Q.FEATS, fit).select(F.lit(model).alias("model"), "y", "pred")
+        m = metrics.regression_metrics(p).first()
+        assert (out[model]["mae"], out[model]["rmse"], out[model]["iterations"]) == (m["mae"], m["rmse"], fit.iterations[0])
