@@ -300,3 +300,11 @@ def test_refit_counts_packs_and_maps_the_train_rows_once(spark, monkeypatch, tmp
         p = predict(test, Q.FEATS, fit).select(F.lit(model).alias("model"), "y", "pred")
         m = metrics.regression_metrics(p).first()
         assert (out[model]["mae"], out[model]["rmse"], out[model]["iterations"]) == (m["mae"], m["rmse"], fit.iterations[0])
+
+
+def test_smoothing_reaches_its_last_width_in_two_steps_whatever_the_last_bit():
+    from agrolith.operators import regress
+    widths = np.random.default_rng(11).uniform(0.5, 50.0, size=500)
+    assert any(0.1 * (0.1 * w) > 0.01 * w for w in widths)  # where two scans were made at widths a last bit apart
+    for w in widths:
+        assert regress._narrower(w, 0.01 * w) == 0.1 * w and regress._narrower(0.1 * w, 0.01 * w) == 0.01 * w
